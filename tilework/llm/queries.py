@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .html import extract_text
 from .linededup import line_dedup
 from .quality import RULES, quality_verdicts
+from .store import fresh_path, remove
+from .warc import archive_index, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +38,22 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of the archives written from all pages, as read back from them."""
+    path = fresh_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    index = archive_index(spark, path)
+    remove(spark, path)
+    return index
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op5_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op5_line_dedup, op7_html_extraction, op9_warc_segments)}
 
 
 # Words of a text, and the same with A-Z lowered.
