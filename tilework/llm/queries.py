@@ -15,6 +15,7 @@ from .html import extract_text
 from .linededup import line_dedup
 from .quality import RULES, quality_verdicts
 from .store import fresh_path, remove
+from .urls import rules_of, url_verdicts
 from .warc import archive_index, write_archives
 
 
@@ -43,6 +44,21 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+#: The rules that the query applies.
+URL_RULES = """
+allow org/
+block example.org/es/
+block example.org/en/1
+allow com/fr/
+block com/de/
+"""
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url."""
+    return url_verdicts(_table(spark, sf_dir, "pages"), rules_of(URL_RULES)).select("page_id", "host", "path", "rule", "verdict", F.round("mean", 6).alias("mean"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of the archives written from all pages, as read back from them."""
     path = fresh_path(spark, "warc")
@@ -53,7 +69,7 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op5_line_dedup, op7_html_extraction, op9_warc_segments)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op5_line_dedup, op7_html_extraction, op8_url_filter, op9_warc_segments)}
 
 
 # Words of a text, and the same with A-Z lowered.
