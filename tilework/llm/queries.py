@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contained_items
 from .html import extract_text
 from .linededup import line_dedup
+from .packing import Packing, pack
 from .quality import RULES, quality_verdicts
 from .store import fresh_path, remove
 from .urls import rules_of, url_verdicts
@@ -33,6 +34,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def packing_parameters() -> Packing:
+    """The tokenizer file comes with the public vocabulary files of the machine."""
+    import public_tokenizers
+
+    return Packing(tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document is packed."""
+    return pack(_table(spark, sf_dir, "documents"), packing_parameters())
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines removed from each document, and a digest of what stays (null text: null)."""
     out = line_dedup(_table(spark, sf_dir, "documents"))
@@ -69,7 +82,7 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op5_line_dedup, op7_html_extraction, op8_url_filter, op9_warc_segments)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op4_packing, op5_line_dedup, op7_html_extraction, op8_url_filter, op9_warc_segments)}
 
 
 # Words of a text, and the same with A-Z lowered.
