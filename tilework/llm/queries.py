@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contained_items
 from .html import extract_text
 from .linededup import line_dedup
+from .ngramjoin import ngram_jaccard_components
 from .packing import Packing, pack
 from .quality import RULES, quality_verdicts
 from .store import fresh_path, remove
@@ -34,6 +35,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under links of 80 % shared shingles."""
+    return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def packing_parameters() -> Packing:
     """The tokenizer file comes with the public vocabulary files of the machine."""
     import public_tokenizers
@@ -82,7 +88,7 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op4_packing, op5_line_dedup, op7_html_extraction, op8_url_filter, op9_warc_segments)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_ngram_join, op4_packing, op5_line_dedup, op7_html_extraction, op8_url_filter, op9_warc_segments)}
 
 
 # Words of a text, and the same with A-Z lowered.
@@ -149,5 +155,19 @@ FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id
 """
 
 
+_OP3 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (s) WHERE x.doc_id != y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.a = w.doc_id LEFT JOIN k ON k.a = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op2_quality_rules": _op2_sql(), "op5_line_dedup": _OP5}
+    return {"op1_decontamination": _OP1, "op2_quality_rules": _op2_sql(), "op3_ngram_join": _OP3, "op5_line_dedup": _OP5}
