@@ -31,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,44 +59,41 @@ class Packing:
 
 
 class WordTokens:
-    """Token ids of words by their hash; starts anew after so many words, which bounds its memory."""
+    """Token ids of words by their hash. Of further words than most, those of a block at hand are known for that block only, which bounds the memory."""
 
     SEPARATOR = "<|endoftext|>"
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
-        self.clear()
-
-    def clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        known = [[] for _ in words]
         plain = [i for i, w in enumerate(words) if self.separator is not None and self.SEPARATOR not in w]
-        for i in set(range(len(words))) - set(plain):
-            known[i] = self.encode(words[i])
+        ids, lengths = [], []
         for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.encode(self.SEPARATOR.join(words[i] for i in part)), np.uint32)
-            for i, x in zip(part, np.split(ids, np.flatnonzero(ids == self.separator)), strict=True):
-                known[i] = x[1:] if i != part[0] else x
+            found = np.array(self.encode(self.SEPARATOR.join([words[i] for i in plain[k : k + 4096]])), np.uint32)
+            between = found == self.separator
+            lengths.append(np.diff(np.flatnonzero(between), prepend=-1, append=len(found)) - 1)
+            ids.append(found[~between])
+        others = sorted(set(range(len(words))) - set(plain))
+        for i in others:
+            ids.append(np.array(self.encode(words[i]), np.uint32))
+            lengths.append([len(ids[-1])])
         at = len(self.first) - 1
-        self.slot.update(zip(hashes.tolist(), range(at, at + len(words)), strict=True))
-        lengths = np.fromiter(map(len, known), np.int64, len(known))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, *[np.asarray(x, np.uint32) for x in known]])
+        self.slot.update(zip(hashes[plain + others].tolist(), range(at, at + len(words)), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
+        self.ids = np.concatenate([self.ids, *ids])
 
     def tokens(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of a block, and where each word's begin (one more at the end)."""
-        if len(self.slot) > self.most:
-            self.clear()
+        known = len(self.slot)
         values, where, back = np.unique(b.hash, return_index=True, return_inverse=True)
         new = [k for k, h in enumerate(values.tolist()) if h not in self.slot]
         if new:
@@ -105,7 +103,19 @@ class WordTokens:
         first, n = self.first[slot], self.first[slot + 1] - self.first[slot]
         begin = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=begin[1:])
-        return self.ids[np.repeat(first - begin[:-1], n) + np.arange(begin[-1])], begin
+        ids = self.ids[np.repeat(first - begin[:-1], n) + np.arange(begin[-1])]
+        if len(self.slot) > self.most:
+            for k in new:
+                del self.slot[int(values[k])]
+            self.first = self.first[: known + 1]
+            self.ids = self.ids[: self.first[-1]]
+        return ids, begin
+
+
+@lru_cache(maxsize=1)
+def _word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a Python worker."""
+    return WordTokens(path)
 
 
 def _documents(column: pa.Array, tokens: WordTokens, by_word: bool) -> Iterator[np.ndarray]:
@@ -125,7 +135,7 @@ def pieces(docs: DataFrame, p: Packing, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece; with_ids adds the ids (array<int>)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(p.tokenizer)
+        tokens = _word_tokens(p.tokenizer)
         end = np.array([p.end_id], np.uint32)
         names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids
         for batch in batches:
