@@ -9,10 +9,11 @@ n - ceil(percent * n / 100) + 1 of each share one: the prefix filter. Candidates
 must pass it under several orders at once:
 
 1. Equal sets are one class from the start, whatever their number.
-2. First order: shingles that many texts hold come last, others by hash. Prefix
-   shingles are grouped; classes that share one are connected. Frequent
-   shingles are counted over all texts, except those whose hash lies beyond the
-   part of a text that a prefix can reach; any counts give a valid order.
+2. First order: shingles of one text only come first, then those of several, last
+   those of very many, each by hash. They are counted over all texts by 32 bits
+   of their hash within a hash range; a rare confusion only changes the order,
+   and any order is valid. Prefix shingles are grouped; classes that share one
+   are connected.
 3. Connected classes (few of all) are compared in tiles: whole groups where they
    are small; large ones split by set size, where only neighbouring sizes can
    link, and by salt, each pair of blocks in a tile of its own. No pair of blocks
@@ -24,8 +25,7 @@ must pass it under several orders at once:
 
 Skew: a shingle that very many texts hold is dealt out by a salt, its parts tied
 together through a node of its own. Nothing is sampled, capped or dropped. What is
-broadcast is the list of frequent shingles, bounded by ``frequent_bound``, and
-the ids of classes to compare where they are at most ``broadcast_rows`` (they are
+broadcast is the table of frequencies, of bounded size (see ranges.py), and the ids of copies to leave out and of classes to compare where they are at most ``broadcast_rows`` (they are
 joined by a shuffle beyond). Classes are told apart by 64 bits and set size.
 
 Repeated rows of one doc_id are one document. Null doc_ids are left out. An empty
@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ranges import Lookup, blobs, frequent, most_frequent, per_range, range_count
-from .store import materialise
+from .ranges import blobs, frequencies, per_range, range_count, range_of
+from .store import materialise, stored
 from .words import Block, blocks, mix
 
 SALT_ROWS = 50_000
@@ -76,16 +76,9 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[
             yield batch, at, Sets(b)
 
 
-def _reachable(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Shingles among the lowest hashes of a text, twice as many as a prefix has."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, s in _sets(batches):
-            v = s.shingle[s.rank() <= 2 * (s.size - _least_shared(s.size, percent))[s.doc]]
-            if len(v):
-                yield blobs((v >> np.uint64(32)) % np.uint64(n), v)
-
-    return texts.mapInArrow(emit, "range int, v0 binary")
+def _shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, _, s in _sets([batch]):
+        yield s.shingle
 
 
 def _prefix_edges(texts: DataFrame, n: int, percent: int, often: object) -> DataFrame:
@@ -93,18 +86,18 @@ def _prefix_edges(texts: DataFrame, n: int, percent: int, often: object) -> Data
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, s in _sets(batches):
-            count = often.value(s.shingle)
-            order = np.argsort(s.doc * 2 + (count > 0), kind="stable")
+            level = often.value.repeated(s.shingle) + (often.value.count(s.shingle) > 0)
+            order = np.argsort(s.doc * 3 + level, kind="stable")
             keep = order[s.rank() <= (s.size - _least_shared(s.size, percent))[s.doc]]
             if not len(keep):
                 continue
             v, k = s.shingle[keep], s.klass[s.doc[keep]]
             pair = np.unique(np.stack([v, k]), axis=1)  # copies within a block
             v, k = pair
-            salts = (1 + often.value(v) // SALT_ROWS).astype(np.uint64)
-            yield blobs((mix(v + mix(k, 33) % salts, 34) >> np.uint64(32)) % np.uint64(n), v, k)
+            salts = (1 + often.value.count(v) // SALT_ROWS).astype(np.uint64)
+            yield blobs(range_of(mix(v + mix(k, 33) % salts, 34), n), v, k)
 
-    def work(v: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(_: int, v: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((k, v))
         v, k = v[order], k[order]
         fresh = np.ones(len(v), bool)
@@ -113,13 +106,13 @@ def _prefix_edges(texts: DataFrame, n: int, percent: int, often: object) -> Data
         head = np.ones(len(v), bool)
         head[1:] = v[1:] != v[:-1]
         leader = k[head][np.cumsum(head) - 1]
-        salted = head & (often.value(v) >= SALT_ROWS)
+        salted = head & (often.value.count(v) >= SALT_ROWS)
         a = np.concatenate([k[~head], k[salted]])
         b = np.concatenate([leader[~head], mix(v[salted], 35)])
         pairs = np.unique(np.stack([a, b]), axis=1).view(np.int64) if len(a) else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    return per_range(texts.mapInArrow(emit, "range int, v0 binary, v1 binary"), n, work, "a long, b long")
+    return per_range(texts.mapInArrow(emit, "range int, v0 binary, v1 binary"), n, [np.uint64, np.uint64], work, "a long, b long")
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
@@ -240,16 +233,20 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array(a), b, pa.array(np.concatenate([np.zeros(len(edges), np.int64), links[has]]))], ["a", "b", "links"])
 
 
-def ngram_jaccard_components(docs: DataFrame, percent: int = 80, frequent_bound: int = 1 << 21, broadcast_rows: int = 500_000) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents that it links with)."""
-    spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     n = range_count(docs)
-    often = spark.sparkContext.broadcast(Lookup(most_frequent(materialise(frequent(_reachable(texts, n, percent), 64)), frequent_bound)))
-    groups = connected_components(_prefix_edges(texts, n, percent, often))
-
     signed = materialise(_signatures(texts).groupBy("doc_id").agg(F.max(F.struct("n", "klass")).alias("x")).select("doc_id", "x.n", "x.klass"))
     classes = signed.where("klass is not null").groupBy("klass", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+
+    # From here on a class is its first text.
+    copied = classes.where("copies > 1").select(F.col("klass").alias("__klass"), F.col("rep"))
+    others = signed.join(copied, F.col("klass") == F.col("__klass")).where("doc_id != rep").select("doc_id")
+    few = others.count() <= broadcast_rows
+    texts = texts.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
+    texts = texts if few else stored(texts, "classes")
+    groups = connected_components(_prefix_edges(texts, n, percent, frequencies(texts, _shingles, n)))
     members = materialise(groups.withColumnsRenamed({"node": "klass", "component": "comp"}).join(classes, "klass").select("comp", "klass", "rep", "copies", "n"))
     wanted = members.select(F.col("rep").alias("doc_id"), "klass")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted

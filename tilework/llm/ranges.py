@@ -1,10 +1,10 @@
 """Counting and grouping very many hash values with few bytes each.
 
-Tasks emit values as binary blobs by hash range, 8 bytes a value, instead of a row
-each; a range is then worked on with numpy in one task, one range at a time. The
-number of ranges follows the session's shuffle partitions, so a range stays small
-as the data grows. A value that very many rows share would make its range large;
-such values are found first (``frequent``) and dealt out by a salt.
+Tasks emit values as binary blobs by hash range instead of a row each; a range is
+then worked on with numpy in one task, one range at a time. The number of ranges
+follows the session's shuffle partitions, so a range stays small as the data
+grows. A value that very many rows share would make its range large; such values
+are found first (Frequencies) and dealt out by a salt.
 """
 
 from __future__ import annotations
@@ -13,14 +13,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .words import mix
 
 
 def range_count(df: DataFrame) -> int:
     return max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def range_of(v: np.ndarray, n: int) -> np.ndarray:
+    """Range of 64-bit hashes; it doesn't depend on their low 32 bits."""
+    return ((v >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
 def blobs(ranges: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """A row per range that occurs: the values of the columns that belong to it, as bytes."""
     order = np.argsort(ranges, kind="stable")
@@ -30,62 +37,104 @@ def blobs(ranges: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts]], ["range", *[f"v{i}" for i in range(len(parts))]])
 
 
-def per_range(rows: DataFrame, n: int, work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """work(values of v0, values of v1, ...) for each range, all of one range together; values are 64-bit."""
-    columns = len(rows.columns) - 1
+def per_range(rows: DataFrame, n: int, kinds: list[type], work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work(range, values of v0, values of v1, ...) for each range, all of one range together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, [[] for _ in range(columns)]
+        now, held = None, [[] for _ in kinds]
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                yield from work(now, *[np.frombuffer(b"".join(h), k) for h, k in zip(held, kinds, strict=True)])
+
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            values = [batch.column(i + 1).to_pylist() for i in range(columns)]
+            values = [batch.column(i + 1).to_pylist() for i in range(len(kinds))]
             for k, key in enumerate(keys):
                 if key != now:
-                    if now is not None:
-                        yield from work(*[np.frombuffer(b"".join(h), np.uint64) for h in held])
-                    now, held = key, [[] for _ in range(columns)]
+                    yield from done()
+                    now, held = key, [[] for _ in kinds]
                 for h, v in zip(held, values, strict=True):
                     h.append(v[k])
-        if now is not None:
-            yield from work(*[np.frombuffer(b"".join(h), np.uint64) for h in held])
-
-    dealt = rows.repartition(n, "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, schema)
-
-
-def frequent(values: DataFrame, at_least: int) -> DataFrame:
-    """value and n, the number of times that it occurs, for values (range, v0) that occur that often."""
-
-    def count(v: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, n = np.unique(v, return_counts=True)
-        keep = n >= at_least
-        yield pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(n[keep])], ["value", "n"])
-
-    return per_range(values, range_count(values), count, "value long, n long")
-
+        yield from done()
+
+    return rows.repartition(n, "range").sortWithinPartitions("range").mapInArrow(run, schema)
+
+
+class Frequencies:
+    """How often hash values occur: once, more than once (a few wrongly so), or often, with the count.
+
+    What a value is taken for depends on the value alone. It holds a Bloom filter
+    of 16 bits per value that occurs twice or more, and the counts of those that
+    occur ``often`` times or more. Both are bounded, at most ``bits`` bits and
+    ``bound`` counts, shared equally by the ranges: beyond, the filter gets denser
+    and the least count that is listed is doubled.
+    """
+
+    def __init__(self, n: int, rows: pa.Table):
+        self.n = n
+        order = np.argsort(rows["range"].to_numpy())
+        rows = rows.take(pa.array(order))
+        filters = [np.frombuffer(x, np.uint8) for x in rows["filter"].to_pylist()]
+        have = rows["range"].to_numpy()
+        size = np.ones(n, np.uint64)
+        size[have] = [8 * len(f) for f in filters]
+        start = np.zeros(n, np.uint64)
+        start[have] = np.cumsum([8, *[8 * len(f) for f in filters]])[:-1]
+        self.size, self.start = size, start
+        self.filter = np.concatenate([np.zeros(1, np.uint8), *filters])
+        keys = [np.frombuffer(x, np.uint64) for x in rows["often"].to_pylist()]
+        counts = [np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()]
+        self.keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+        self.counts = np.concatenate([np.zeros(0, np.int64), *counts])
+        order = np.argsort(self.keys)
+        self.keys, self.counts = self.keys[order], self.counts[order]
+
+    @staticmethod
+    def _key(r: np.ndarray | int, v: np.ndarray) -> np.ndarray:
+        return (np.asarray(r).astype(np.uint64) << np.uint64(32)) | (v & np.uint64(0xFFFFFFFF))
+
+    def repeated(self, v: np.ndarray) -> np.ndarray:
+        """Whether values occur more than once."""
+        r = range_of(v, self.n)
+        key, out = self._key(r, v), np.ones(len(v), bool)
+        for salt in (51, 52):
+            at = self.start[r] + mix(key, salt) % self.size[r]
+            out &= (self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    def count(self, v: np.ndarray) -> np.ndarray:
+        """How often values occur that occur often; 0 for others."""
+        if not len(self.keys):
+            return np.zeros(len(v), np.int64)
+        key = self._key(range_of(v, self.n), v)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.counts[at], 0)
 
-class Lookup:
-    """Values with a number each, small enough to be broadcast; 0 for any other value."""
 
-    def __init__(self, rows: pa.Table):
-        v = rows["value"].to_numpy().view(np.uint64)
-        order = np.argsort(v)
-        self.values, self.numbers = v[order], rows["n"].to_numpy()[order]
+def frequencies(texts: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n: int, often: int = 64, bits: int = 1 << 28, bound: int = 1 << 20) -> Broadcast:
+    """Frequencies of all 64-bit hashes that values gives for the batches of texts, broadcast."""
 
-    def __call__(self, v: np.ndarray) -> np.ndarray:
-        if not len(self.values):
-            return np.zeros(len(v), np.int64)
-        at = np.minimum(np.searchsorted(self.values, v), len(self.values) - 1)
-        return np.where(self.values[at] == v, self.numbers[at], 0)
-
-
-def most_frequent(counted: DataFrame, bound: int) -> pa.Table:
-    """The rows of counted with the highest counts: those at or above the lowest power of two that leaves at most bound rows."""
-    step = F.length(F.bin("n"))
-    sizes = {r[0]: r[1] for r in counted.groupBy(step.alias("bits")).agg(F.count("*")).collect()}
-    total, least = 0, 65
-    for bits in sorted(sizes, reverse=True):
-        if total + sizes[bits] > bound:
-            break
-        total, least = total + sizes[bits], bits
-    return counted.where(step >= least).toArrow()
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v in values(batch):
+                if len(v):
+                    yield blobs(range_of(v, n), v.astype(np.uint32))
+
+    def count(r: int, low: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, k = np.unique(low, return_counts=True)
+        u, k = u[k > 1], k[k > 1]
+        key = Frequencies._key(r, u.astype(np.uint64))
+        size = min(max(64, 1 << int(16 * len(u)).bit_length()), max(64, bits // n // 64 * 64))
+        filled = np.zeros(size, bool)
+        for salt in (51, 52):
+            filled[mix(key, salt) % np.uint64(size)] = True
+        least = often
+        while (k >= least).sum() > max(16, bound // n):
+            least *= 2
+        top = k >= least
+        parts = [np.packbits(filled, bitorder="little").tobytes(), key[top].tobytes(), k[top].astype(np.int64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *[pa.array([x], pa.binary()) for x in parts]], ["range", "filter", "often", "counts"])
+
+    counted = per_range(texts.mapInArrow(emit, "range int, v0 binary"), n, [np.uint32], count, "range int, filter binary, often binary, counts binary")
+    return texts.sparkSession.sparkContext.broadcast(Frequencies(n, counted.toArrow()))
