@@ -15,6 +15,7 @@ from .html import extract_text
 from .linededup import line_dedup
 from .ngramjoin import ngram_jaccard_components
 from .packing import Packing, pack
+from .pii import detect
 from .quality import RULES, quality_verdicts
 from .store import fresh_path, remove
 from .urls import rules_of, url_verdicts
@@ -58,6 +59,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each document."""
+    return detect(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
@@ -88,7 +94,7 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_ngram_join, op4_packing, op5_line_dedup, op7_html_extraction, op8_url_filter, op9_warc_segments)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_ngram_join, op4_packing, op5_line_dedup, op6_personal_data, op7_html_extraction, op8_url_filter, op9_warc_segments)}
 
 
 # Words of a text, and the same with A-Z lowered.
