@@ -79,11 +79,13 @@ def _valid(kind: Column, m: Column) -> Column:
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Each match with the length of what lies between it and the one before, and its context."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # zipped, so that neither is computed again for each match
+    zipped = F.filter(F.arrays_zip(found.alias("m"), between.alias("left"), F.slice(between, 2, 2**31 - 1).alias("right")), lambda x: x["m"].isNotNull())
     return F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.lit(KINDS.index(kind)).alias("k"), i.alias("i"), F.length(F.get(between, i)).alias("gap"), m.alias("m"),
-            F.right(F.get(between, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(between, i + 1), F.lit(CONTEXT)).alias("after"),
+        zipped,
+        lambda x, i: F.struct(
+            F.lit(KINDS.index(kind)).alias("k"), i.alias("i"), F.length(x["left"]).alias("gap"), x["m"].alias("m"),
+            F.right(x["left"], F.lit(CONTEXT)).alias("before"), F.left(x["right"], F.lit(CONTEXT)).alias("after"),
         ),
     )
 
@@ -166,6 +168,7 @@ def fit_model(spark: SparkSession) -> tuple[str, dict[str, float]]:
     docs = spark.createDataFrame([(i, t) for i, t, *_ in made], "doc_id long, text string")
     names = ["kind_no", *features()]
     rows = spans(docs, GENERATORS).where("kind is not null").withColumns(features()).select("doc_id", "start", "end", F.col("k").alias("kind_no"), *names[1:]).collect()
+    rows.sort()
     x = np.array([list(r)[3:] for r in rows], np.int64)
     where = {i: (a, z, y) for i, _, a, z, y in made}
     y = np.array([where[r.doc_id][2] and r.start < where[r.doc_id][1] and r.end > where[r.doc_id][0] for r in rows], np.float64)
