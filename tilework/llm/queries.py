@@ -18,6 +18,7 @@ from .packing import Packing, pack
 from .pii import detect
 from .quality import RULES, quality_verdicts
 from .store import fresh_path, remove
+from .substring import substring_dedup
 from .urls import rules_of, url_verdicts
 from .warc import archive_index, write_archives
 
@@ -93,8 +94,14 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from each document, and a digest of those that stay."""
+    out = substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_ngram_join, op4_packing, op5_line_dedup, op6_personal_data, op7_html_extraction, op8_url_filter, op9_warc_segments)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_ngram_join, op4_packing, op5_line_dedup, op6_personal_data, op7_html_extraction, op8_url_filter, op9_warc_segments, op10_substring_dedup)}
 
 
 # Words of a text, and the same with A-Z lowered.
@@ -175,5 +182,17 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.a = w.doc_id LEFT JOIN k O
 """
 
 
+_OP10 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS s FROM w),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (s) WHERE doc_id > first),
+r AS (SELECT doc_id, list(p) AS p FROM p GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: p IS NULL OR NOT list_contains(p, i)), lambda i: w[i]), ' ')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op2_quality_rules": _op2_sql(), "op3_ngram_join": _OP3, "op5_line_dedup": _OP5}
+    return {"op1_decontamination": _OP1, "op2_quality_rules": _op2_sql(), "op3_ngram_join": _OP3, "op5_line_dedup": _OP5, "op10_substring_dedup": _OP10}
