@@ -63,7 +63,7 @@ class WordTokens:
 
     SEPARATOR = "<|endoftext|>"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most

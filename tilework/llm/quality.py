@@ -177,10 +177,14 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows:
     return joined.select("doc_id", *_NAMES, _base_failed().alias("base_failed"), (~_base_failed() & F.coalesce(_passes(rules), F.lit(False))).alias("kept"))
 
 
-def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: int = 200) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. The counts are made twice, so that no text is shuffled."""
+def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: int = 200, broadcast_groups: int = 100_000) -> DataFrame:
+    """The rows of docs that are kept, with all their columns.
+
+    The counts are made twice, so that no text is shuffled, unless there are more groups than may be broadcast.
+    """
     keyed = with_measures(_keys(docs))
     limits = fences(with_measures(docs.select("lang", "source", "text")).selectExpr("coalesce(cast(lang as string), '') as lang", "coalesce(cast(source as string), '') as source", "__tw_m.*"), rules, min_rows)
-    limits = limits.withColumnsRenamed({"lang": "__tw_lang", "source": "__tw_source"})
+    limits = materialise(limits.withColumnsRenamed({"lang": "__tw_lang", "source": "__tw_source"}))
+    limits = F.broadcast(limits) if limits.count() <= broadcast_groups else limits
     kept = keyed.where(~_base_failed("__tw_m.")).join(limits, ["__tw_lang", "__tw_source"], "inner").where(_passes(rules, "__tw_m."))
     return kept.select(*docs.columns)
