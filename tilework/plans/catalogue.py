@@ -4,12 +4,357 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import blocks as B
+from ..operators import entropy as E
+from ..operators import geometry as G
+from ..operators import neighbours as NB
+from ..operators import predict as P
+from ..operators import report as R
+from ..operators import transform as T
+from . import oracles
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QPS = (22, 27, 32, 37)
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _px(s: SparkSession, d: str) -> DataFrame:
+    return B.sample_blocks(_t(s, d, "embeddings"))
+
+
+def _tiles(s: SparkSession, d: str) -> DataFrame:
+    return R.tile_stats(_t(s, d, "lineitem"), _t(s, d, "orders"))
+
+
+def _coefficients(s: SparkSession, d: str, n: int, sine: bool = False) -> DataFrame:
+    return B.residual_blocks(_t(s, d, "embeddings"), n).withColumn("c", T.dct(F.col("r"), n, sine))
+
+
+def _levels(s: SparkSession, d: str, qp: int = 32) -> DataFrame:
+    return _coefficients(s, d, 8).select("blk", "r", T.quantize(F.col("c"), qp, 8).alias("level"))
+
+
+@_query
+def psnr_block_pairs(s, d):
+    """Distortion between each block and the next."""
+    e = B.sse(F.col("px"), F.col("nxt"))
+    return B.pairs(_px(s, d).select("vec_id", "px")).select("vec_id", e.alias("sse")).withColumn("psnr", F.round(X.psnr(F.col("sse"), 64), 6))
+
+
+@_query
+def psnr_weighted_avg(s, d):
+    """Mean decibels of three planes (blocks dealt to planes by number), and their weighted mean."""
+    plane = F.when(F.col("vec_id") % 6 < 4, "y").when(F.col("vec_id") % 6 == 4, "cb").otherwise("cr")
+    one = psnr_block_pairs(s, d).withColumn("plane", plane)
+    mean = lambda p: F.round(F.avg(F.when(F.col("plane") == p, F.col("psnr"))), 4)
+    return one.agg(mean("y").alias("y"), mean("cb").alias("cb"), mean("cr").alias("cr")).withColumn("mean", F.round(R.weighted_mean(F.col("y"), F.col("cb"), F.col("cr")), 4))
+
+
+@_query
+def rd_report(s, d):
+    """A row per frame in KiB, and one of all frames in KiB per second."""
+    frames = _tiles(s, d).groupBy("frame").agg(F.sum("bytes").alias("bytes"))
+    rows = frames.select(F.lit("frame").alias("kind"), "frame", F.round(F.col("bytes") / 1024, 6).alias("kib"), F.lit(None).cast("double").alias("kib_per_s"))
+    total = frames.agg(F.round(F.avg("bytes") * 30 / 1024, 6).alias("kib_per_s")).select(F.lit("avg").alias("kind"), F.lit(None).cast("long").alias("frame"), F.lit(None).cast("double").alias("kib"), "kib_per_s")
+    return rows.unionByName(total)
+
+
+@_query
+def bytes_rollup(s, d):
+    return R.bytes_rollup(_tiles(s, d))
+
+
+@_query
+def byte_rate(s, d):
+    frames = _tiles(s, d).groupBy("year", "frame").agg(F.sum("bytes").alias("bytes"))
+    return R.byte_rate(frames, 30, "year")
+
+
+@_query
+def stats_wide(s, d):
+    return R.wide(_tiles(s, d), 7)
+
+
+@_query
+def tile_split_uniform(s, d):
+    parts = _t(s, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("p_size"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("parts"))
+    return G.split_uniform(parts, F.col("p_size"), F.col("parts")).select("p_partkey", "k", "j", "start", "size")
+
+
+@_query
+def tile_bounds(s, d):
+    return G.tile_bounds(tile_split_uniform(s, d).where("k = 3")).select("p_partkey", "j", "first_pel", "last_pel")
+
+
+@_query
+def block_address(s, d):
+    e = _t(s, d, "events").select("event_id", (F.col("event_id") % 2040).alias("number"))
+    x, y = G.block_start(F.col("number"), F.lit(60))
+    return e.withColumns({"x": x, "y": y}).withColumn("back", G.block_number(F.col("x") + 5, F.col("y") + 7, F.lit(60)))
+
+
+@_query
+def blocks_in_tiles(s, d):
+    tiles = _t(s, d, "part").select("p_partkey", (F.col("p_size") % 4 + 1).alias("w"), (F.col("p_size") % 3 + 1).alias("h"), (F.col("p_size") % 7).alias("x0"), (F.col("p_size") % 5).alias("y0"))
+    return G.blocks_in_tiles(tiles).select("p_partkey", "seq", "bx", "by", "is_last")
+
+
+@_query
+def zorder_xy(s, d):
+    z = (F.col("event_id") % 64).cast("int")
+    return _t(s, d, "events").select("event_id", X.morton_x(z).alias("x"), X.morton_y(z).alias("y"))
+
+
+@_query
+def bit_length(s, d):
+    return _t(s, d, "orders").select("o_orderkey", X.bit_length(F.col("o_orderkey")).alias("bits"))
+
+
+@_query
+def block_explode(s, d):
+    return B.cells(_px(s, d), "px", 8, "vec_id")
+
+
+@_query
+def sad_pairs(s, d):
+    return B.pairs(_px(s, d).select("vec_id", "px")).select("vec_id", B.sad(F.col("px"), F.col("nxt")).alias("sad")).withColumn("mad", F.expr("sad div 64"))
+
+
+@_query
+def ref_fill(s, d):
+    e = _t(s, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "error", F.floor("value").cast("long")).alias("v"))
+    return NB.fill(e, "v", ["user_id"], ["ts", "event_id"]).select("event_id", "v", "filled")
+
+
+@_query
+def ref_smooth(s, d):
+    return _px(s, d).select("vec_id", F.posexplode(NB.smooth(F.col("px"), 64)).alias("p", "v"))
+
+
+@_query
+def neighbour_mask(s, d):
+    return NB.neighbour_mask(_t(s, d, "embeddings").select("vec_id"), "vec_id", 10)
+
+
+def _sizes_and_modes(s: SparkSession) -> DataFrame:
+    return s.range(4 * 35).select(F.call_function("shiftleft", F.lit(4), F.expr("cast(id div 35 as int)")).alias("n"), (F.col("id") % 35).cast("int").alias("mode"))
+
+
+@_query
+def mode_filter_flag(s, d):
+    return _sizes_and_modes(s).withColumn("smoothed", NB.uses_smoothing(F.col("n"), F.col("mode")))
+
+
+@_query
+def scan_choice(s, d):
+    luma = F.explode(F.array(F.lit(True), F.lit(False)))
+    return _sizes_and_modes(s).withColumn("luma", luma).withColumn("scan", G.scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    """Labels of the neighbours, spread over the modes, stand in for decided modes."""
+    mode = (F.col("label") * 11 % 35).cast("int")
+    e = _t(s, d, "embeddings").select("vec_id", mode.alias("mode"))
+    ref = lambda k, name: e.select((F.col("vec_id") + k).alias("vec_id"), F.col("mode").alias(name))
+    both = e.join(ref(1, "left_mode"), "vec_id", "left").join(ref(10, "top_mode"), "vec_id", "left")
+    return both.withColumn("cand", NB.probable_modes(F.col("left_mode"), F.col("top_mode")))
+
+
+@_query
+def mpm_candidates(s, d):
+    c = F.col("cand")
+    return _candidates(s, d).select("vec_id", F.get(c, F.lit(0)).alias("c0"), F.get(c, F.lit(1)).alias("c1"), F.get(c, F.lit(2)).alias("c2"))
+
+
+@_query
+def mode_index(s, d):
+    return _candidates(s, d).select("vec_id", "mode", NB.mode_index(F.col("mode"), F.col("cand")).alias("idx"))
+
+
+@_query
+def mode_bins(s, d):
+    return mode_index(s, d).select("vec_id", E.mode_bins(F.col("idx")).alias("bins"))
+
+
+def _prediction(s: SparkSession, d: str, *modes: int) -> DataFrame:
+    b = P.borders(_px(s, d))
+    out = None
+    for m in modes:
+        one = b.select("vec_id", F.lit(m).alias("mode"), F.posexplode(P.predicted(F.col("border"), m)).alias("p", "v"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@_query
+def pred_dc(s, d):
+    return _prediction(s, d, 1)
+
+
+@_query
+def pred_planar(s, d):
+    return _prediction(s, d, 0)
+
+
+@_query
+def pred_angular(s, d):
+    """Directions of every kind: diagonals, straight ones, positive and negative angles."""
+    return _prediction(s, d, 2, 6, 10, 14, 18, 23, 26, 30, 34)
+
+
+@_query
+def mode_decision_luma(s, d):
+    return P.decide(_px(s, d))
+
+
+@_query
+def mode_decision_chroma(s, d):
+    px = _px(s, d)
+    planes = B.pairs(px.select("vec_id", "px")).join(px.select("vec_id", "label"), "vec_id")
+    return P.decide_chroma(planes, P.decide(px))
+
+
+@_query
+def quadtree_open_loop(s, d):
+    """Costs are sums of absolute residuals; of 4x4, 8x8 and 16x16 blocks, larger ones with a fixed discount."""
+    e = _t(s, d, "embeddings")
+    size = lambda level, n, off: B.residual_blocks(e, n).select(F.lit(level).alias("level"), F.col("blk").alias("node"), (F.aggregate(F.transform("r", lambda x: F.abs(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x) + off + F.col("blk") % 97).alias("cost"))
+    return P.quadtree(size(0, 4, 0).unionByName(size(1, 8, 40)).unionByName(size(2, 16, 100)), 3)
+
+
+def _dct_query(n: int, sine: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        return B.cells(_coefficients(s, d, n, sine), "c", n, "blk")
+
+    query.__name__ = ("dst" if sine else "dct") + str(n)
+    return query
+
+
+def _idct_query(n: int, sine: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        return B.cells(_coefficients(s, d, n, sine).withColumn("v", T.idct(F.col("c"), n, sine)), "v", n, "blk")
+
+    query.__name__ = ("idst" if sine else "idct") + str(n)
+    return query
+
+
+for _n, _sine in ((4, True), (4, False), (8, False), (16, False), (32, False)):
+    _query(_dct_query(_n, _sine))
+    _query(_idct_query(_n, _sine))
+
+
+@_query
+def quantize(s, d):
+    c = _coefficients(s, d, 8)
+    out = [c.select("blk", F.lit(q).alias("qp"), F.posexplode(T.quantize(F.col("c"), q, 8)).alias("p", "level")) for q in QPS]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
+@_query
+def dequantize(s, d):
+    return _levels(s, d).select("blk", F.posexplode(T.dequantize(F.col("level"), 32, 8)).alias("p", "c"))
+
+
+@_query
+def reconstruct(s, d):
+    """Blocks coded over a flat prediction of 128 and decoded again."""
+    flat = F.transform("r", lambda x: F.lit(128))
+    decoded = T.idct(T.dequantize(F.col("level"), 32, 8), 8)
+    return _levels(s, d).select("blk", F.posexplode(T.reconstruct(flat, decoded)).alias("p", "v"))
+
+
+@_query
+def cbf_flags(s, d):
+    return _levels(s, d, 37).select("blk", T.coded(F.col("level")).alias("coded"))
+
+
+@_query
+def scan_order(s, d):
+    return G.scan_order(s)
+
+
+@_query
+def last_significant(s, d):
+    return E.last_significant(_levels(s, d), G.scan_order(s, (8,)), 8)
+
+
+@_query
+def last_pos_bins(s, d):
+    return last_significant(s, d).select("blk", E.last_position_bins(F.col("x"), 8).alias("x_bins"), E.last_position_bins(F.col("y"), 8).alias("y_bins"))
+
+
+@_query
+def cg_context(s, d):
+    return E.group_flags(_levels(s, d), 8)
+
+
+@_query
+def context_init(s, d):
+    grid = s.range(256 * 52).select(F.expr("cast(id div 52 as int)").alias("value"), (F.col("id") % 52).cast("int").alias("qp"))
+    return grid.withColumn("state", E.context_state(F.col("value"), F.col("qp")))
+
+
+@_query
+def exp_golomb(s, d):
+    o = _t(s, d, "orders")
+    return o.select("o_orderkey", X.exp_golomb(F.col("o_custkey")).alias("ue"), X.signed_exp_golomb(F.col("o_custkey") - 500).alias("se"))
+
+
+@_query
+def coeff_remain_code(s, d):
+    o = _t(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 300).alias("v"), (F.col("o_orderkey") % 5).cast("int").alias("k"))
+    return o.withColumn("code", X.remainder_code(F.col("v"), F.col("k")))
+
+
+@_query
+def emulation_prevention(s, d):
+    byte = F.when(F.col("l_quantity") < 30, 0).otherwise(F.col("l_linenumber"))
+    cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    return E.emulation_inserts(_t(s, d, "lineitem").select("l_orderkey", *cols, byte.alias("byte")), ["l_orderkey"], cols, "byte")
+
+
+@_query
+def entry_points(s, d):
+    return E.entry_points(_tiles(s, d), "frame", "tile", "bytes")
+
+
+@_query
+def header_bits(s, d):
+    """Headers of frames: a type by whether it is the first, picture order in 8 bits, and three coded numbers."""
+    o = _t(s, d, "orders").select(F.col("o_orderkey").alias("frame"), "o_custkey")
+    f = lambda i, kind, value, bits: F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), value.cast("long").alias("value"), F.lit(bits).alias("bits"))
+    fields = F.array(f(0, "u", F.when(F.col("frame") == 1, 19).otherwise(1), 6), f(1, "u", F.col("frame") % 256, 8), f(2, "ue", F.col("o_custkey") % 7, 0), f(3, "se", F.col("o_custkey") % 13 - 6, 0), f(4, "u", F.lit(1), 1))
+    return E.header(o.select("frame", F.inline(fields)), "frame")
+
+
+@_query
+def segment_concat(s, d):
+    """Segments of each stream joined in order, with their number and bytes."""
+    seg = _t(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    whole = seg.groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum(F.length("data")).alias("n_bytes"), F.array_sort(F.collect_list(F.struct("turn", "data"))).alias("a"))
+    return whole.select("conv_id", "segments", "n_bytes", F.md5(F.expr("aggregate(a, cast('' as binary), (x, y) -> concat(x, y.data))")).alias("digest"))
+
+
+@_query
+def topn_desc_with_index(s, d):
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey")
+    return _t(s, d, "part").withColumn("place", F.row_number().over(w)).where("place <= 5").select("p_brand", "place", "p_partkey", "p_size")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.all_sql(QPS).items() if k in _QUERIES}
