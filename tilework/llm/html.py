@@ -6,8 +6,8 @@ too short to tell. What a block sits in counts too: menus, headers and footers o
 the page, sidebars, forms, dialogs, hidden parts, and elements whose class or id
 names adverts, notices, comments and the like are bad. Pass two gives each
 ambiguous block the label of the nearest decided block of its own section; on
-equal distance good wins. A section without any decided block is good where it
-is an article or the main part, and bad elsewhere.
+equal distance good wins, and the edges of an article or main part count as good.
+Elsewhere a section without any decided block is bad.
 
 Scripts, styles, comments and markup go; character references are decoded; white
 space inside a block becomes one space. Nothing is cut off or capped. Null and
@@ -213,7 +213,7 @@ def label(blocks: list[TextBlock], rules: BlockRules) -> None:
     for at in sections.values():
         distance: dict[int, tuple[int, bool]] = {}
         for order in (at, at[::-1]):
-            last = None
+            last = (-1, False) if blocks[order[0]].in_main else None  # an article's edges count as good
             for k, i in enumerate(order):
                 if blocks[i].label != "ambiguous":
                     last = (k, blocks[i].label == "bad")

@@ -104,7 +104,7 @@ def fit(labelled: DataFrame) -> Models:
 
 
 def _probability(kind: str, min_context: int, alphabet: int) -> str:
-    return f"aggregate(levels, cast(1.0 / {alphabet} as double), (p, x) -> if(coalesce(x.n_{kind}, 0) >= greatest({min_context}, 1), (coalesce(x.{kind}, 0) + x.t_{kind} * p) / (x.n_{kind} + x.t_{kind}), p))"
+    return f"aggregate(levels, 1.0D / {alphabet}, (p, x) -> if(coalesce(x.n_{kind}, 0) >= greatest({min_context}, 1), (coalesce(x.{kind}, 0) + x.t_{kind} * p) / (x.n_{kind} + x.t_{kind}), p))"
 
 
 def score(urls: DataFrame, key: str, models: Models, min_context: int = 2, alphabet: int = 128) -> DataFrame:
