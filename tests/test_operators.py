@@ -9,6 +9,7 @@ from tilework.functions import exprs as X
 from tilework.operators import entropy as E
 from tilework.operators import neighbours as NB
 from tilework.operators import predict as P
+from tilework.operators import report
 from tilework.operators import transform as T
 from tilework.sources import rawplanar
 from tilework.streaming import frames
@@ -124,6 +125,18 @@ def test_raw_planar_round_trip(spark, tmp_path):
         spark.read.format("rawplanar").option("width", w).option("height", h).load(str(clip)).count()
 
 
+def test_plane_report(spark):
+    r = np.random.default_rng(4)
+    a = [r.integers(0, 256, n, dtype=np.uint8) for n in (64, 16, 16)]
+    b = [x.copy() for x in a]
+    b[0][5] ^= 1
+    b[1][3] ^= 3
+    df = lambda x: spark.createDataFrame([(0, *(bytes(p) for p in x))], rawplanar.SCHEMA)
+    row = report.plane_report(df(a), df(b)).first()
+    assert abs(row.psnr_y - 10 * np.log10(65025 * 64)) < 1e-9 and row.psnr_cr is None and row.psnr is None
+    assert abs(row.psnr_cb - 10 * np.log10(65025 * 16 / int((int(a[1][3]) - int(b[1][3])) ** 2))) < 1e-9
+
+
 def test_stream_of_tiles(spark, tmp_path):
     spark.sql("SELECT id % 3 AS gop, id AS frame, 0 AS tile, id * 10 AS bytes FROM range(30)").repartition(3).write.parquet(str(tmp_path / "in"))
     q = frames.gop_totals(frames.tile_stream(spark, str(tmp_path / "in"), 1)).writeStream.format("memory").queryName("gops").outputMode("complete").start()

@@ -62,3 +62,19 @@ def morton_y(z: Column, bits: int = 3) -> Column:
 def psnr(sse: Column, samples: int | Column) -> Column:
     """Decibels of a sum of squared differences of 8-bit samples; null where there is none."""
     return F.when(sse > 0, 10 * F.log10(F.lit(65025.0) * samples / sse))
+
+
+#: Fixed values of the public H.265 specification: chroma QP of the luma QPs 30 to 43.
+CHROMA_QP = (29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37, 37)
+
+
+def chroma_qp(qp: Column) -> Column:
+    """QP of the colour planes."""
+    between = F.element_at(F.array(*map(F.lit, CHROMA_QP)), F.greatest(F.lit(1), F.least(F.lit(14), qp - 29)))
+    return F.when(qp < 30, qp).when(qp > 43, qp - 6).otherwise(between)
+
+
+def bits_to_hex(bits: Column) -> Column:
+    """Bytes of a string of bits whose length is a multiple of 8, as hexadecimal digits."""
+    byte = lambda i: F.lpad(F.conv(F.substr(bits, (i * 8 + 1).cast("int"), F.lit(8)), 2, 16), 2, "0")
+    return F.when(F.length(bits) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), (F.length(bits) / 8).cast("int") - 1), byte), ""))

@@ -35,6 +35,11 @@ def mode_bins(index: Column) -> Column:
     return F.when(index < 3, F.concat(F.lit("1"), F.element_at(F.array(F.lit("0"), F.lit("10"), F.lit("11")), F.least(index, F.lit(2)) + 1))).otherwise(F.concat(F.lit("0"), fixed_bits(F.greatest(index - 3, F.lit(0)), 5)))
 
 
+def chroma_mode_bins(index: Column) -> Column:
+    """Bins of a chroma mode: a single 0 for the luma mode (4), else 1 and two bits."""
+    return F.when(index == 4, "0").otherwise(F.concat(F.lit("1"), fixed_bits(F.least(index, F.lit(3)), 2)))
+
+
 def last_position_bins(v: Column, n: int) -> Column:
     """Prefix (a unary group number, cut off at the last group) and suffix of a coordinate of the last level."""
     group = F.when(v < 4, v).otherwise(2 * (bit_length(v) - 1) + F.call_function("shiftright", v, bit_length(v) - 2) % 2)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import psnr
+
 
 def tile_stats(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """gop, frame, tile, bytes: orders and their lines stand in for frames and tiles; quantities are summed to one row per tile first."""
@@ -31,3 +35,17 @@ def weighted_mean(y: Column, cb: Column, cr: Column) -> Column:
 def wide(tiles: DataFrame, count: int) -> DataFrame:
     """One row per frame with a column per tile."""
     return tiles.groupBy("frame").pivot("tile", list(range(1, count + 1))).agg(F.sum("bytes")).withColumnsRenamed({str(i): f"tile{i}_bytes" for i in range(1, count + 1)})
+
+
+def plane_report(source: DataFrame, coded: DataFrame) -> DataFrame:
+    """frame_no, psnr_y, psnr_cb, psnr_cr, psnr of frames (frame_no, y, cb, cr) and their coded version; null where planes are equal."""
+
+    def squares(a: pa.Array, b: pa.Array) -> pa.Array:
+        plane = lambda x: np.frombuffer(x, np.uint8).astype(np.int64)
+        return pa.array([int(((plane(x) - plane(y)) ** 2).sum()) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+
+    names = ("y", "cb", "cr")
+    both = source.join(coded.select("frame_no", *[F.col(n).alias(f"coded_{n}") for n in names]), "frame_no")
+    sse = F.arrow_udf(squares, "long")
+    out = both.select("frame_no", *[psnr(sse(F.col(n), F.col(f"coded_{n}")), F.length(n)).alias(f"psnr_{n}") for n in names])
+    return out.withColumn("psnr", weighted_mean(F.col("psnr_y"), F.col("psnr_cb"), F.col("psnr_cr")))

@@ -338,6 +338,33 @@ def header_bits(s, d):
     return E.header(o.select("frame", F.inline(fields)), "frame")
 
 
+@_query
+def header_bytes(s, d):
+    """The same as bytes behind a start code."""
+    return header_bits(s, d).select("frame", F.concat(F.lit("00000001"), X.bits_to_hex(F.col("bits"))).alias("bytes"))
+
+
+@_query
+def parameter_sets(s, d):
+    """Sizes and tile grids of streams as a header: width, height, tiles on or off, columns, rows, uniform."""
+    p = _t(s, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("n"))
+    f = lambda i, kind, value, bits: F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), value.cast("long").alias("value"), F.lit(bits).alias("bits"))
+    n = F.col("n")
+    fields = F.array(f(0, "ue", 32 * (n + 1), 0), f(1, "ue", 32 * (n % 17 + 1), 0), f(2, "u", (n % 6 != 0).cast("int"), 1), f(3, "ue", n % 3, 0), f(4, "ue", n % 2, 0), f(5, "u", F.lit(1), 1))
+    return E.header(p.select("p_partkey", F.inline(fields)), "p_partkey")
+
+
+@_query
+def chroma_qp(s, d):
+    return s.range(52).select(F.col("id").cast("int").alias("qp"), X.chroma_qp(F.col("id").cast("int")).alias("chroma_qp"))
+
+
+@_query
+def chroma_mode_bins(s, d):
+    luma = mode_index(s, d).select("vec_id", (F.col("idx") % 5).alias("idx"))
+    return luma.select("vec_id", E.chroma_mode_bins(F.col("idx")).alias("bins"))
+
+
 @_query
 def segment_concat(s, d):
     """Segments of each stream joined in order, with their number and bytes."""

@@ -162,6 +162,13 @@ def all_sql(qps: tuple[int, ...]) -> dict[str, str]:
     SELECT w.frame, n_tiles, width, coalesce(string_agg(lpad(bin(bytes - 1), width::INT, '0'), '' ORDER BY tile) FILTER (tile < last), '') AS code FROM t JOIN w ON w.frame = t.frame GROUP BY w.frame, n_tiles, width"""
     bits = f"lpad(bin(CASE WHEN o_orderkey = 1 THEN 19 ELSE 1 END), 6, '0') || lpad(bin(o_orderkey % 256), 8, '0') || {_UE.format('(o_custkey % 7)')} || {_UE.format('(CASE WHEN s > 0 THEN 2 * s - 1 ELSE -2 * s END)')} || '11'"
     out["header_bits"] = f"SELECT o_orderkey AS frame, rpad(b, ((length(b) + 7) // 8 * 8)::INT, '0') AS bits FROM (SELECT o_orderkey, {bits} AS b FROM (SELECT *, o_custkey % 13 - 6 AS s FROM orders))"
+    hexed = "array_to_string(list_transform(range(0, length(bits) // 8), lambda i: printf('%02X', list_sum(list_transform(range(0, 8), lambda j: substr(bits, i * 8 + j + 1, 1)::INT * (1 << (7 - j))))::INT)), '')"
+    out["header_bytes"] = f"SELECT frame, '00000001' || {hexed} AS bytes FROM ({out['header_bits']})"
+    ue = lambda v: _UE.format(f"({v})")
+    fields = f"{ue('32 * (p_size + 1)')} || {ue('32 * (p_size % 17 + 1)')} || CASE WHEN p_size % 6 != 0 THEN '1' ELSE '0' END || {ue('p_size % 3')} || {ue('p_size % 2')} || '11'"
+    out["parameter_sets"] = f"SELECT p_partkey, rpad(b, ((length(b) + 7) // 8 * 8)::INT, '0') AS bits FROM (SELECT p_partkey, {fields} AS b FROM part)"
+    out["chroma_qp"] = "SELECT qp, CASE WHEN qp < 30 THEN qp WHEN qp > 43 THEN qp - 6 WHEN qp < 34 THEN qp - 1 ELSE 33 + (qp - 34) // 2 END AS chroma_qp FROM (SELECT unnest(range(0, 52)) AS qp)"
+    out["chroma_mode_bins"] = f"{_LABELS} SELECT vec_id, ['100', '101', '110', '111', '0'][i % 5 + 1] AS bins FROM (SELECT vec_id, {_IDX} AS i FROM c)"
     out["segment_concat"] = "SELECT conv_id, count(*) AS segments, sum(strlen(coalesce(text, '')))::BIGINT AS n_bytes, md5(string_agg(coalesce(text, ''), '' ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id"
     out["topn_desc_with_index"] = "SELECT p_brand, place, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS place FROM part) WHERE place <= 5"
     return out
