@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
 from .words import blocks, mix
 
 FOUND = "doc_id long, item_id long, n_item_shingles long, n_shared long"
@@ -111,6 +112,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, block_
     docs: doc_id, text. items: item_id, text.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     sets = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(_item_sets, "item_id long, shingles binary").where("length(shingles) > 0")
     total = sets.agg(F.sum(F.length("shingles") / 8)).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_shingles))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
+
 #: Tags that start and end a block.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -238,6 +240,7 @@ def extract_text(pages: DataFrame, rules: BlockRules = BlockRules(), html: str =
     def texts(column: pa.Array) -> pa.Array:
         return pa.array([main_text(x, rules) for x in column.to_pylist()], pa.string())
 
+    bounded_batches(pages.sparkSession)
     own = [c for c in pages.columns if c not in ("text", "n_chars", html)]
     out = pages.select(*own, F.arrow_udf(texts, "string")(F.col(html)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

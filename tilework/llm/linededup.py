@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
 from .words import blocks, ngrams
 
 LINES = 3
@@ -47,6 +48,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], lines: int) -> Iterator[pa.R
 
 def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id and the first lines, from 0, of its windows that occurred before."""
+    bounded_batches(docs.sparkSession)
     windows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _window_rows(it, lines), "h1 long, h2 long, doc_id long, line int")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where("struct(doc_id, line) != first")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .ranges import blobs, frequencies, per_range, range_count, range_of
-from .store import materialise, stored
+from .store import bounded_batches, materialise, stored
 from .words import Block, blocks, mix
 
 SALT_ROWS = 50_000
@@ -236,6 +236,7 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
 def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents that it links with)."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    bounded_batches(docs.sparkSession)
     n = range_count(docs)
     signed = materialise(_signatures(texts).groupBy("doc_id").agg(F.max(F.struct("n", "klass")).alias("x")).select("doc_id", "x.n", "x.klass"))
     classes = signed.where("klass is not null").groupBy("klass", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

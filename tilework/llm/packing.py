@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import bounded_batches, materialise
 from .words import Block, blocks, text_buffers
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -149,6 +149,7 @@ def pieces(docs: DataFrame, p: Packing, with_ids: bool = False) -> DataFrame:
             for k in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 

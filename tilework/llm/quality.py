@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import bounded_batches, materialise
 from .words import Block, blocks, covered
 
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_stutter bigint"
@@ -103,6 +103,7 @@ def _measures(text: pa.Array) -> pa.Array:
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column ``__tw_m`` of counts."""
+    bounded_batches(docs.sparkSession)
     counts = F.arrow_udf(_measures, f"struct<{MEASURES.replace(' bigint', ':bigint')}>")
     return docs.withColumn("__tw_m", counts(F.col(text)))
 

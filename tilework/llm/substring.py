@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import blobs, frequencies, per_range, range_count, range_of
-from .store import materialise, stored
+from .store import bounded_batches, materialise, stored
 from .words import Block, blocks, mix, ngrams
 
 LENGTH = 13
@@ -308,6 +308,7 @@ def _against_shards(routed: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id and spans (array of start, stop: word numbers) for documents with words to remove."""
+    bounded_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     lists = stored(_shared_anchors(texts, length).groupBy("doc_id").agg(F.collect_list(F.struct("value", "first", "docs")).alias("shared")), "anchors")
     found = stored(_against_shards(_stretches(_narrowed(texts, lists.select("doc_id"), broadcast_rows), lists, length), length), "spans")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import bounded_batches, materialise
 
 EOL = b"\r\n"
 RECORD_END = "\r\n\r\n"
@@ -106,6 +106,7 @@ def _digests(column: pa.Array) -> pa.Array:
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, archive_bytes: int = 32 << 20, compression: str = "gzip") -> None:
     """Writes a record per row of pages (page_id, url, html) to archives under path."""
+    bounded_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").withColumn("digest", F.arrow_udf(_digests, "string")(F.col("html")))
     # Who owns a payload is settled on digests alone; pages meet the owners of repeated payloads only.
     owners = own.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__tw_digest"), "owner")

@@ -172,6 +172,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         j = min(j, n)
         yield i, Block(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
