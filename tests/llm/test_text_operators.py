@@ -176,6 +176,7 @@ def plain_components(docs, percent=80):
 def test_ngram_join(spark, odd, none, monkeypatch, block_rows, salt_rows, few):
     """Also with tiles of a few rows, salted shingles and without broadcasts."""
     monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngramjoin, "SALT_ROWS", salt_rows)
     docs = generated(250, 11, vocabulary=40, longest=80) + [(i + 1000, t.upper()) for i, t in generated(40, 11, vocabulary=40, longest=80)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngramjoin.ngram_jaccard_components(df, broadcast_rows=few).collect()}
@@ -300,6 +301,7 @@ def plain_substring_dedup(docs, n=13):
 def test_substring_dedup(spark, monkeypatch, stream, salt_rows, few):
     """Also with shards replicated every few documents, and without broadcasts."""
     monkeypatch.setattr(substring, "STREAM", stream)
+    monkeypatch.setattr(substring, "SALT_ROWS", salt_rows)
     docs = generated(300, 21, vocabulary=30, longest=90)
     passage = " ".join(f"s{i}" for i in range(20))
     docs += [(1000 + i, f"x{i} {passage} y{i} {' '.join(f's{k}' for k in range(i % 7, 15))}") for i in range(80)]
