@@ -189,12 +189,8 @@ def mode_bins(s, d):
 
 
 def _prediction(s: SparkSession, d: str, *modes: int) -> DataFrame:
-    b = P.borders(_px(s, d))
-    out = None
-    for m in modes:
-        one = b.select("vec_id", F.lit(m).alias("mode"), F.posexplode(P.predicted(F.col("border"), m)).alias("p", "v"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), P.predicted(F.col("border"), m).alias("px")) for m in modes])
+    return P.borders(_px(s, d)).select("vec_id", F.explode(each).alias("x")).select("vec_id", "x.mode", F.posexplode("x.px").alias("p", "v"))
 
 
 @_query
@@ -257,8 +253,8 @@ for _n, _sine in ((4, True), (4, False), (8, False), (16, False), (32, False)):
 @_query
 def quantize(s, d):
     c = _coefficients(s, d, 8)
-    out = [c.select("blk", F.lit(q).alias("qp"), F.posexplode(T.quantize(F.col("c"), q, 8)).alias("p", "level")) for q in QPS]
-    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+    each = F.array(*[F.struct(F.lit(q).alias("qp"), T.quantize(F.col("c"), q, 8).alias("level")) for q in QPS])
+    return c.select("blk", F.explode(each).alias("x")).select("blk", "x.qp", F.posexplode("x.level").alias("p", "level"))
 
 
 @_query
