@@ -68,7 +68,8 @@ class WordTokens:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
-        self.slot: dict[int, int] = {}
+        # hashes of the known words in order, and which of first each has
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, text: str) -> list[int]:
@@ -86,29 +87,28 @@ class WordTokens:
         for i in others:
             ids.append(np.array(self.encode(words[i]), np.uint32))
             lengths.append([len(ids[-1])])
-        at = len(self.first) - 1
-        self.slot.update(zip(hashes[plain + others].tolist(), range(at, at + len(words)), strict=True))
+        slots = np.empty(len(words), np.int32)
+        slots[plain + others] = np.arange(len(words)) + len(self.first) - 1
+        where = np.searchsorted(self.known, hashes)
+        self.known, self.slot = np.insert(self.known, where, hashes), np.insert(self.slot, where, slots)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
         self.ids = np.concatenate([self.ids, *ids])
 
     def tokens(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of a block, and where each word's begin (one more at the end)."""
-        known = len(self.slot)
+        before = self.known, self.slot, self.first, self.ids
         values, where, back = np.unique(b.hash, return_index=True, return_inverse=True)
-        new = [k for k, h in enumerate(values.tolist()) if h not in self.slot]
-        if new:
+        new = ~np.isin(values, self.known, assume_unique=True)
+        if new.any():
             at = where[new]
             self._learn(values[new], [b.text(x, y) for x, y in zip(b.first[at], b.last[at], strict=True)])
-        slot = np.fromiter((self.slot[h] for h in values.tolist()), np.int64, len(values))[back]
+        slot = self.slot[np.searchsorted(self.known, values)][back]
         first, n = self.first[slot], self.first[slot + 1] - self.first[slot]
         begin = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=begin[1:])
         ids = self.ids[np.repeat(first - begin[:-1], n) + np.arange(begin[-1])]
-        if len(self.slot) > self.most:
-            for k in new:
-                del self.slot[int(values[k])]
-            self.first = self.first[: known + 1]
-            self.ids = self.ids[: self.first[-1]]
+        if len(self.known) > self.most:
+            self.known, self.slot, self.first, self.ids = before
         return ids, begin
 
 
