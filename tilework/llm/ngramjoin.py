@@ -47,7 +47,7 @@ from .store import bounded_batches, materialise, stored
 from .words import Block, blocks, mix
 
 SALT_ROWS = 50_000
-BLOCK_ROWS, BLOCK_SHINGLES = 1_500, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1_500, 500_000
 
 
 def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -157,11 +157,13 @@ class Tile:
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.size = percent, np.array([len(s) for s in sets])
-        self.owner = np.repeat(np.arange(len(sets)), self.size)
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)
         flat = np.concatenate(sets)
-        values, self.token = np.unique(flat, return_inverse=True)
+        values, token = np.unique(flat, return_inverse=True)
+        self.token = token.astype(np.int32)
+        del token
         self.first = np.cumsum(self.size) - self.size
-        df = np.bincount(self.token)
+        df = np.bincount(self.token).astype(np.int32)
         self.mark = np.zeros(len(values), bool)
         self.orders = [self._order(np.lexsort((flat, df[self.token], self.owner))), self._order(np.lexsort((mix(flat, 41), self.owner))), self._order(np.lexsort((mix(flat, 42), self.owner)))]
 
