@@ -284,6 +284,18 @@ def test_personal_data_model_on_held_out_examples(spark):
     assert len(hit & private) >= 0.9 * len(private) and len(hit - private) <= 0.05 * len(hit)
 
 
+def test_personal_data_in_lists_of_numbers(spark):
+    """Each number of a list has a span of its own, also in long lists, after a base span and where only spaces lie between."""
+    us = [f"{200 + 37 * i}-555-0{100 + 13 * i}" for i in range(12)]
+    german = [f"0{711 + i} {7654321 + 1111 * i}" for i in range(4)]
+    lists = [("call ", us[:5], ", "), ("call ", us, ", "), ("call ", us[:5], " "), ("tel ", german, ", "), ("", [f"({x[:3]}) {x[4:]}" for x in us[:4]], " "), ("visa ", [f"4000 1234 5678 90{i}1" for i in range(10, 14)], "; ")]
+    texts = [(a + mark.join(items), items) for a, items, mark in lists] + [("tel +49 30 1234567, 0711 7654321", ["+49 30 1234567", "0711 7654321"])]
+    texts += [("in " + ", ".join(map(str, range(1985, 2005))), []), ("pages 12, 34, 56, 78, 90, 123, 145", [])]
+    for x in pii.detect(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect():
+        t, items = texts[x.doc_id]
+        assert [t[int(a) : int(z)] for _, a, z in (s.split(":") for s in filter(None, x.spans.split(",")))] == items
+
+
 def plain_substring_dedup(docs, n=13):
     first, out = {}, {}
     for i, t in sorted(docs, key=lambda x: x[0]):

@@ -2,15 +2,17 @@
 
 Base spans are four fixed patterns with checks (see BASE). Besides, generators
 with high recall propose spans that may overlap: anything around an "@", digit
-groups of any punctuation, and long strings with digits. Boosted trees score each
-by its form (digits, letters, separators, ...) and its context (words and
-characters before and after it). A candidate is redacted when its log odds reach
-the threshold of its kind, calibrated on held-out examples to a precision of
-0.98; one that overlaps a base span is dropped, and of candidates that overlap
-each other the best scored stays.
+groups of any punctuation, and long strings with digits. Lists of numbers are one
+run of digit groups, so besides the run each part of it is proposed: neighbouring
+groups of PART_DIGITS digits in all, or one group of more, without a mark of lists
+(LIST_MARK) inside. Boosted trees score each candidate by its form (digits, letters, separators, ...)
+and its context (words and characters before and after it). A candidate is redacted
+when its log odds reach the threshold of its kind, calibrated on held-out examples
+to a precision of 0.98. Overlaps are resolved pairwise, best first: base spans stay,
+then each candidate, from the best scored on, that overlaps nothing kept before it.
 
 The trees are fitted on labelled examples which are generated here (EXAMPLES of
-them, of fixed seed): the only sample, independent of the corpus. The corpus
+them and LISTS lists, of fixed seed): the only sample, independent of the corpus. The corpus
 itself is handled by DataFrame expressions alone. Texts are matched where they are
 scanned; only matches with 24 characters of context are shuffled, to number them
 within their text. Patterns use possessive repeats and start anchors, so that long
@@ -27,7 +29,7 @@ import random
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import boosting
@@ -47,7 +49,10 @@ GENERATORS = {
 }
 KINDS = [*BASE, *GENERATORS]
 CONTEXT = 24
+PART_DIGITS = (7, 19)
+LIST_MARK = r"[,:/] | [,:/]|  "
 EXAMPLES = 6_000
+LISTS = 600
 PRECISION = 0.98
 
 
@@ -71,7 +76,7 @@ def _valid(kind: Column, m: Column) -> Column:
         .when(kind == "ip", m.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"))
         .when(kind == "card", F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
         .when(kind == "phone", F.length(d).between(10, 15))
-        .when(kind == "number", F.length(d).between(7, 40))
+        .when(kind == "number", F.length(d) >= PART_DIGITS[0])
         .otherwise(True)
     )
 
@@ -90,8 +95,39 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     )
 
 
+def _with_parts(placed: DataFrame) -> DataFrame:
+    """placed and a row for each part of a run of digit groups (part: 1). A part is found from its first group and those around it, so work grows with the length of the run."""
+    least, most = PART_DIGITS
+    m = F.col("m")
+    groups = F.when((F.col("k") == KINDS.index("number")) & (F.length(_digits(m)) >= least) & m.rlike("[0-9][^0-9]+[0-9]"), F.regexp_extract_all(m, F.lit("[^0-9]*[0-9]+"), F.lit(0)))
+    each = F.concat(F.array(F.struct(F.lit(-1).alias("j"), m.alias("x"))), F.coalesce(F.transform(groups, lambda x, j: F.struct(j.alias("j"), x.alias("x"))), F.array().cast("array<struct<j:int,x:string>>")))
+    rows = placed.select("rid", "doc_id", "k", "i", "start", "before", "after", F.explode(each).alias("g")).select("rid", "doc_id", "k", "i", "start", "before", "after", "g.*")
+    run = Window.partitionBy("rid", "k", "i").orderBy("j")
+    group, around = F.when(F.col("j") >= 0, F.col("x")), 1 + CONTEXT // 2  # a group but the first has two characters at least
+    rows = rows.withColumns({
+        "at": F.coalesce(F.sum(F.length(group)).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "back": F.array_join(F.collect_list(group).over(run.rowsBetween(-around, -1)), ""),
+        "ahead": F.when(F.col("j") >= 0, F.collect_list(group).over(run.rowsBetween(0, most + around))),
+        "last": F.max("j").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    text = lambda a: F.array_join(a, "")
+    parts = F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size("ahead"))), lambda t: F.struct(t.alias("t"), text(F.slice("ahead", F.lit(1), t)).alias("x"), text(F.slice("ahead", t + 1, F.lit(around))).alias("rest")))
+    lead = lambda x: F.regexp_extract(x, r"^([^0-9]*?)[+(]?[0-9]", 1)
+    parts = F.transform(parts, lambda p: F.struct(p["t"].alias("t"), lead(p["x"]).alias("lead"), F.substr(p["x"], F.length(lead(p["x"])) + 1).alias("m"), p["rest"].alias("rest")))
+    size = lambda p: F.length(_digits(p["m"]))
+    fits = lambda p: (size(p) >= least) & ((size(p) <= most) | (p["t"] == 1)) & ~((F.col("j") == 0) & (p["t"] == F.col("last") + 1)) & ~p["m"].rlike(LIST_MARK)
+    found = F.when(F.col("j") < 0, F.array(F.struct(F.lit(0).alias("t"), F.lit("").alias("lead"), F.col("x").alias("m"), F.lit("").alias("rest")))).otherwise(F.filter(parts, fits))
+    out = rows.select("rid", "doc_id", "k", "j", "start", "before", "after", "at", "back", F.explode(found).alias("p"))
+    start = F.col("start") + F.col("at") + F.length("p.lead")
+    return out.select(
+        "rid", "doc_id", "k", F.col("p.m").alias("m"), start.alias("start"), (start + F.length("p.m")).alias("end"), (F.col("j") >= 0).cast("int").alias("part"),
+        F.when(F.col("j") < 0, F.col("before")).otherwise(F.right(F.concat("before", "back", "p.lead"), F.lit(CONTEXT))).alias("before"),
+        F.when(F.col("j") < 0, F.col("after")).otherwise(F.left(F.concat("p.rest", "after"), F.lit(CONTEXT))).alias("after"),
+    )
+
+
 def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """A row per match that passes its check, and at least one per row of docs: rid, doc_id, kind, m, start, end, before, after (kind null where there is none)."""
+    """A row per match or part that passes its check, and at least one per row of docs: rid, doc_id, kind, m, start, end, part, before, after (kind null where there is none)."""
     text = F.col("text")
     # most texts hold neither a digit nor an "@"
     found = F.when(text.rlike("[0-9@]"), F.concat(*[_matches(text, k, p) for k, p in patterns.items()]))
@@ -99,7 +135,7 @@ def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     run = Window.partitionBy("rid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(run)).withColumn("start", F.col("end") - F.length("m"))
     kind = reduce(lambda a, i: F.when(F.col("k") == i, KINDS[i]).otherwise(a), range(len(KINDS)), F.lit(None).cast("string"))
-    placed = placed.withColumn("kind", kind)
+    placed = _with_parts(placed).withColumn("kind", kind)
     return placed.withColumn("kind", F.when(F.col("k").isNotNull() & _valid(F.col("kind"), F.col("m")), F.col("kind")))
 
 
@@ -123,8 +159,11 @@ def features() -> dict[str, Column]:
         "quoted": before.rlike("[\"'`]$") & after.rlike("^[\"'`]"), "assigned": before.rlike(r"[=:]\s*[\"'`]?$"),
         "secret_word": before.rlike(_SECRET_WORDS), "person_word": before.rlike(_PERSON_WORDS), "thing_word": before.rlike(_THING_WORDS),
         "money": before.rlike(r"[$€£¥]\s*$") | after.rlike(r"^\s*(?:[$€£¥%]|[a-z]{1,2}\b)"), "joined": before.rlike(r"[A-Za-z0-9_/=.-]$") | after.rlike("^[A-Za-z0-9_/=-]"),
+        "zero": m.startswith("0"), "digit_before": before.rlike(r"[0-9][\x20().,/:;-]{1,3}$"), "digit_after": after.rlike(r"^[\x20().,/:;-]{1,3}\+?[0-9]"),
+        "list_before": before.rlike(r"[0-9](?:\x20?[,;:/]\x20?|\x20\x20)$"), "list_after": after.rlike(r"^(?:\x20?[,;:/]\x20?|\x20\x20)[+(]?[0-9]"), "tight": before.rlike(r"[0-9)][(.-]$|[0-9]\)\x20?$") | after.rlike(r"^[.-][0-9]"),
     }
     out |= {k: v.cast("int") for k, v in flags.items()}
+    out["in_run"] = F.col("part")
     return {k: F.coalesce(v, F.lit(0)) for k, v in out.items()}
 
 
@@ -162,16 +201,53 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[int, str, int, int,
     return out
 
 
+def list_examples(n: int = LISTS, seed: int = 8) -> list[tuple[str, list[tuple[int, int]], int]]:
+    """Generated lists of numbers: text, range of each item in it, and whether the items are private."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda a=2, z=9: "".join(r.choice("etaoinshrdlucmwfgypbvk") for _ in range(r.randint(a, z)))
+    between, spaced = [", ", ", ", ", ", " / ", "; ", ",", " or ", ": "], [", ", ", ", " ", " ", "/", " / ", "; ", ","]
+    private = [
+        (lambda: f"{d(3)}-{d(3)}-{d(4)}", spaced), (lambda: f"({d(3)}) {d(3)}-{d(4)}", spaced), (lambda: f"{d(3)}.{d(3)}.{d(4)}", spaced), (lambda: f"0{d(3)} {d(3)} {d(4)}", between), (lambda: f"0{d(r.randint(2, 4))} {d(r.randint(6, 8))}", [*between, " "]),
+        (lambda: f"0{d(3)}/{d(7)}", [", ", " ", "; "]), (lambda: f"+{d(2)} {d(3)} {d(r.randint(5, 7))}", [*between, " "]), (lambda: f"0{d(r.randint(9, 10))}", spaced),
+        (lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", between), (lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", spaced), (lambda: d(16), spaced), (lambda: d(10), spaced), (lambda: f"{d(3)}-{d(2)}-{d(4)}", spaced),
+    ]
+    common = [
+        (lambda: f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", spaced), (lambda: f"1{d(1)}/0{r.randint(1, 9)}/19{d(2)}", [", ", " ", "; "]), (lambda: f"1{d(1)}.0{r.randint(1, 9)}.20{d(2)}", spaced), (lambda: f"19{d(2)}", spaced), (lambda: f"19{d(2)}-20{d(2)}", spaced),
+        (lambda: d(r.randint(1, 3)), spaced), (lambda: d(1), [".", " ", "-", "/"]), (lambda: d(r.randint(1, 2)), [".", " ", "-"]), (lambda: d(4), [" ", "  ", "-"]), (lambda: d(r.randint(3, 6)), spaced), (lambda: f"{r.randint(1, 99)},{d(3)},{d(3)}", [" ", "; ", ", "]), (lambda: f"{r.randint(1, 99)},{d(3)}", [" ", ", "]), (lambda: f"{r.randint(1, 9)} {d(3)} {d(3)}", between),
+        (lambda: f"{d(1)}.{d(r.randint(2, 8))}", spaced), (lambda: f"1{d(1)}:{r.randint(10, 59)}", [", ", " ", "; "]), (lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", spaced), (lambda: f"{d(1)}.{d(1)}.{d(2)}", spaced), (lambda: f"{r.randint(1, 9)}00000{'0' * r.randint(1, 4)}", spaced),
+    ]
+    out = []
+    for _ in range(n):
+        label = r.random() < 0.5
+        form, marks = r.choice(private if label else common)
+        mark = r.choice(marks)
+        text = " ".join(word() for _ in range(r.randint(1, 4))) + " " + r.choice(["", "", "call ", "tel ", "phone: ", "contact "] if label else ["", "", "in ", "from ", "pages ", "values "])
+        items = []
+        for k in range(r.randint(2, 6 if label else 9)):
+            text += mark if k else ""
+            items.append((len(text), len(text := text + form())))
+        out.append((text + r.choice([" ", ". ", ", "]) + word(), items, int(label)))
+    return out
+
+
 def fit_model(spark: SparkSession) -> tuple[str, dict[str, float]]:
     """The log odds as a SQL expression over the features, and the threshold of each kind."""
     made = examples()
-    docs = spark.createDataFrame([(i, t) for i, t, *_ in made], "doc_id long, text string")
+    lists = list(enumerate(list_examples(), len(made)))
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in made] + [(i, t) for i, (t, *_) in lists], "doc_id long, text string")
     names = ["kind_no", *features()]
     rows = spans(docs, GENERATORS).where("kind is not null").withColumns(features()).select("doc_id", "start", "end", F.col("k").alias("kind_no"), *names[1:]).collect()
     rows.sort()
     x = np.array([list(r)[3:] for r in rows], np.int64)
-    where = {i: (a, z, y) for i, _, a, z, y in made}
-    y = np.array([where[r.doc_id][2] and r.start < where[r.doc_id][1] and r.end > where[r.doc_id][0] for r in rows], np.float64)
+    where = {i: ([(a, z)], y) for i, _, a, z, y in made} | {i: (items, y) for i, (_, items, y) in lists}
+
+    def private(r: Row) -> bool:
+        """A part must be an item as a whole, and so must any candidate in a list."""
+        items, y = where[r.doc_id]
+        return bool(y) and ((r.start, r.end) in items or len(items) == 1 and not r.in_run and r.start < items[0][1] and r.end > items[0][0])
+
+    y = np.array([private(r) for r in rows], np.float64)
     held = np.array([r.doc_id % 4 == 0 for r in rows])
     model = boosting.fit(x[~held], y[~held])
     odds = model.predict(x)
@@ -192,13 +268,17 @@ def detect(docs: DataFrame) -> DataFrame:
     scored = scored.withColumn("odds", F.when(~is_base & F.col("kind").isNotNull(), F.expr(odds))).withColumn("chosen", F.col("kind").isNotNull() & (is_base | (F.col("odds") >= limit)))
     rows = scored.select("rid", "doc_id", F.when(F.col("chosen"), F.col("kind")).alias("kind"), F.col("k"), F.col("start"), F.col("end"), F.when(F.col("chosen"), F.coalesce("odds", F.lit(1e9))).alias("odds"), (is_base & F.col("chosen")).alias("base"))
 
-    # Stretches of overlapping spans: base ones stay; without any, the best scored.
+    # Stretches of overlapping spans; in each, best first, what overlaps nothing kept before stays (base ones always).
     by_row = Window.partitionBy("rid").orderBy(F.expr("kind is null"), "start", "end", "k")
     reach = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     stretch = F.sum(F.when(F.col("start") >= F.coalesce(reach, F.lit(-1)), 1).otherwise(0)).over(by_row.rowsBetween(Window.unboundedPreceding, 0))
     marked = rows.withColumn("stretch", F.when(F.col("kind").isNotNull(), stretch))
-    best = F.row_number().over(Window.partitionBy("rid", "stretch").orderBy(F.desc_nulls_last("odds"), "start", F.desc("end"), "k"))
-    kept = marked.withColumn("stays", F.col("kind").isNotNull() & (F.col("base") | (best == 1)))
+    ranked = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct((-F.col("odds")).alias("order"), "start", (-F.col("end")).alias("far"), "k", "end", "kind", "base"))))
+    kind = "array<struct<order:double,start:bigint,far:bigint,k:int,end:bigint,kind:string,base:boolean>>"
+    best = lambda kept, x: F.when(x["base"] | ~F.exists(kept, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), F.concat(kept, F.array(x))).otherwise(kept)
+    grouped = marked.groupBy("rid", "stretch").agg(F.first("doc_id").alias("doc_id"), ranked.alias("ranked"))
+    kept = grouped.select("rid", "doc_id", F.explode_outer(F.aggregate("ranked", F.array().cast(kind), best)).alias("x")).select("rid", "doc_id", "x.*")
+    kept = kept.withColumns({"stays": F.col("kind").isNotNull(), "base": F.coalesce("base", F.lit(False))})
 
     listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("start", "k", "end", "kind"))))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
