@@ -196,6 +196,18 @@ def test_ngram_join_of_a_large_group(spark):
     assert found[0].n_links == 1899
 
 
+@pytest.mark.parametrize("shingles", [100, 400])
+def test_ngram_join_of_few_long_texts(spark, monkeypatch, shingles):
+    """Groups of a few long near copies leave salts of their size class without a row."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_SHINGLES", shingles)
+    docs = []
+    for g in range(8):
+        base = [f"g{g}w{i}" for i in range(300 + 11 * g)]
+        docs += [(10 * g + k, " ".join(base[: 50 * k] + [f"edit{k}"] * (k > 0) + base[50 * k :] + [f"t{i}" for i in range(12 * k)])) for k in range(2 + g % 2)]
+    found = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngramjoin.ngram_jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == plain_components(docs) and found[10][2] == 2
+
+
 def test_ngram_join_on_odd_rows(spark, odd, none):
     found = {x.doc_id: x for x in ngramjoin.ngram_jaccard_components(odd).collect()}
     assert set(found) == set(range(14)) and ngramjoin.ngram_jaccard_components(none).count() == 0

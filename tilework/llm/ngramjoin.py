@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,7 +138,7 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """members (comp, rep, klass, copies, n) with the tiles that each takes part in: tile (string) and its own block (int)."""
+    """members (comp, rep, klass, copies, n) with the tiles that each takes part in: tile (string) and its own block (int), and crossing: whether the tile is for two blocks, as its name says (salts that no row hashed to have tiles too)."""
     sized = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
     parts = sized.groupBy("comp", "s").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     need = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
@@ -149,7 +150,9 @@ def _tiles(members: DataFrame) -> DataFrame:
     down = "transform(sequence(0, coalesce(try_element_at(salts, s - 1), 0)), b -> if(b = coalesce(try_element_at(salts, s - 1), 0), null, concat_ws('.', comp, s - 1, b, s, block)))"
     tiles = F.when(small, F.array(F.col("comp").cast("string"))).otherwise(F.expr(f"filter(concat({same}, {up}, {down}), t -> t is not null)"))
     own = F.when(small, F.lit(0)).otherwise(F.col("s") * 100_000 + F.col("block"))
-    return x.select("rep", "klass", "copies", own.alias("block"), F.explode(tiles).alias("tile"))
+    parts = F.split("tile", "[.]")
+    crossing = (F.size(parts) == 5) & F.coalesce((F.try_element_at(parts, F.lit(2)) != F.try_element_at(parts, F.lit(4))) | (F.try_element_at(parts, F.lit(3)) != F.try_element_at(parts, F.lit(5))), F.lit(False))
+    return x.select("rep", "klass", "copies", own.alias("block"), F.explode(tiles).alias("tile")).withColumn("crossing", crossing)
 
 
 class Tile:
@@ -200,13 +203,14 @@ class Tile:
 
 
 def _compare(table: pa.Table, percent: int) -> pa.Table:
-    """Links within a tile: rows (a, b) of a spanning forest, and rows (a, null, links) with the texts that a's class links with."""
+    """Links within a tile: rows (a, b) of a spanning forest, and rows (a, null, links) with the texts that a's class links with. A crossing tile compares its two blocks; where no row hashed to one of them, there is nothing to compare."""
+    crossing = table["crossing"][0].as_py()
+    if crossing and len(pc.unique(table["block"])) < 2:
+        return pa.table([pa.array([], pa.int64())] * 3, ["a", "b", "links"])
     rep, where = np.unique(table["rep"].to_numpy(), return_index=True)
     copies, block = table["copies"].to_numpy()[where], table["block"].to_numpy()[where]
     sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].take(pa.array(where)).to_pylist()]
     tile = Tile(sets, percent)
-    blocks_ = np.unique(block)
-    crossing = len(blocks_) > 1
     links, root = np.zeros(len(rep), np.int64), list(range(len(rep)))
 
     def find(x: int) -> int:
@@ -219,7 +223,7 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     later = np.ones(len(rep), bool)
     for i in range(len(rep)):
         later[i] = False
-        if crossing and block[i] != blocks_[0]:
+        if crossing and block[i] != block.min():
             continue
         found = tile.linked(i, block != block[i] if crossing else later)
         links[i] += copies[found].sum()
@@ -254,7 +258,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows:
     wanted = members.select(F.col("rep").alias("doc_id"), "klass")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     sets = _whole_sets(texts.join(wanted.select("doc_id"), "doc_id", "left_semi"))
-    sets = sets.join(_tiles(members).withColumnsRenamed({"rep": "doc_id"}), ["doc_id", "klass"]).select(F.col("doc_id").alias("rep"), "copies", "block", "tile", "shingles")
+    sets = sets.join(_tiles(members).withColumnsRenamed({"rep": "doc_id"}), ["doc_id", "klass"]).select(F.col("doc_id").alias("rep"), "copies", "block", "tile", "crossing", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
         return _compare(table, percent)
