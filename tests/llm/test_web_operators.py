@@ -38,6 +38,23 @@ def test_main_text(source, text):
     assert html.main_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (f"<head><title>T</title><meta charset=x><body><article><p>{PROSE}</article>", PROSE),
+        (f"<html><head><title>T</title><link rel=x><article><p>{PROSE}</article>", PROSE),
+        (f"<head><title>T</title><script>x</script><b>{PROSE}</b>", PROSE),
+        (f"<head><title>T</title>{PROSE}", PROSE),
+        (page(f"<div class=elementor-widget-text><p>{PROSE}</p><article><p>Short</p><p>{PROSE}</p></article></div>"), f"Short\n{PROSE}"),
+        (page(f"<div class='has-sidebar'><main class=has-sidebar><p>{PROSE}</p><div class=widget>{PROSE}</div></main><p>{PROSE}</p></div>"), PROSE),
+        (page(f"<aside><article>{PROSE}</article></aside><div hidden class=widget><main>{PROSE}</main></div><div class=widget><nav><article>{PROSE}</article></nav></div>"), ""),
+        (page(f"<ol class=comments><li><article class=comment-body>{PROSE}</article></ol>"), ""),
+    ],
+)
+def test_main_text_without_head_end_and_inside_named_parts(source, text):
+    assert html.main_text(source) == text
+
+
 def test_extraction_keeps_whole_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = {r.page_id: r for r in queries.op7_html_extraction(spark, sf_dir).collect()}

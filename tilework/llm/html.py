@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. Pass one decides each block by
 link density, length and stop-word density: good, bad, or ambiguous when it is
 too short to tell. What a block sits in counts too: menus, headers and footers of
 the page, sidebars, forms, dialogs, hidden parts, and elements whose class or id
-names adverts, notices, comments and the like are bad. Pass two gives each
+names adverts, notices, comments and the like are bad; a main part, or an article
+whose own class and id don't name such, is judged anew in what only a class or id
+marks. A head without end tag ends where the body's content starts. Pass two gives each
 ambiguous block the label of the nearest decided block of its own section; on
 equal distance good wins, and the edges of an article or main part count as good.
 Elsewhere a section without any decided block is bad.
@@ -37,6 +39,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Elements whose content is no text of the page.
 RAW_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video textarea title".split())
 BAD_TAGS = frozenset("nav footer aside form menu button select dialog head fieldset datalist search".split())
+#: What can stand in a head; anything else ends it.
+HEAD_TAGS = frozenset("html head base link meta noscript script style template title".split())
 MAIN_TAGS = frozenset(["article", "main"])
 SECTION_TAGS = MAIN_TAGS | {"body", "section", "aside", "nav", "header", "footer", "form"}
 #: Parts of class and id names that mark boilerplate.
@@ -89,42 +93,52 @@ class TextBlock:
         self.label = ""
 
 
-def _marked(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element marks what it holds as boilerplate."""
+def _named(value: str, in_main: bool) -> bool:
+    """Whether a class or id names boilerplate."""
+    parts = {x.lower() for x in _PART.findall(value)}
+    return bool(parts & BAD_WORDS or "header" in parts and not in_main)
+
+
+def _marked(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element marks what it holds as boilerplate: 1 only by its class or id, 2 otherwise."""
     if tag in BAD_TAGS or tag == "header" and not in_main:
-        return True
+        return 2
     if not attributes or tag in ("html", "body") or tag in MAIN_TAGS:
-        return False
+        return 0
+    named = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "role" and value.lower() in BAD_ROLES:
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id"):
-            parts = {x.lower() for x in _PART.findall(value)}
-            if parts & BAD_WORDS or "header" in parts and not in_main:
-                return True
-    return False
+            return 2
+        if name in ("class", "id") and _named(value, in_main):
+            named = 1
+    return named
+
+
+def _starts_anew(tag: str, attributes: str) -> bool:
+    """Whether an element is judged anew inside a part that only a class or id marks."""
+    return tag == "main" or tag == "article" and not any(name.lower() in ("class", "id") and _named(value.strip("\"'"), True) for name, value in _ATTRIBUTE.findall(attributes))
 
 
 def page_blocks(page: str) -> list[TextBlock]:
     """The blocks of a page in order, unlabelled."""
     out: list[TextBlock] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, bad place, in main, section
+    stack: list[tuple[str, int, bool, int]] = []  # tag, mark of its place (see _marked), in main, section
     open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked = sections = pos = 0
-    state = (False, False, 0)
+    state = (0, False, 0)
 
     def end_block() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(TextBlock(text, linked, state[2], state[1], state[0]))
+                out.append(TextBlock(text, linked, state[2], state[1], state[0] > 0))
             parts, linked = [], 0
 
     def add(piece: str) -> None:
@@ -142,10 +156,19 @@ def page_blocks(page: str) -> list[TextBlock]:
             open_tags[name] -= 1
             if name == tag:
                 break
-        state = stack[-1][1:] if stack else (False, False, 0)
+        state = stack[-1][1:] if stack else (0, False, 0)
+
+    def end_head() -> None:
+        if open_tags.get("head"):
+            end_block()
+            while open_tags.get("head"):
+                close("head")
 
     while m := _TOKEN.search(page, pos):
-        add(page[pos : m.start()])
+        piece = page[pos : m.start()]
+        if piece.strip():
+            end_head()
+        add(piece)
         pos = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -159,6 +182,8 @@ def page_blocks(page: str) -> list[TextBlock]:
             if open_tags.get(tag):
                 close(tag)
             continue
+        if tag not in HEAD_TAGS:
+            end_head()
         if tag in RAW_TAGS and not attributes.endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
             pos = end.end() if end else len(page)
@@ -170,7 +195,7 @@ def page_blocks(page: str) -> list[TextBlock]:
         elif tag in BLOCK_TAGS and open_tags.get("p") and tag != "p":
             close("p")
         bad, main, section = state
-        bad = bad or _marked(tag, attributes, main)
+        bad = 0 if bad == 1 and _starts_anew(tag, attributes) else max(bad, _marked(tag, attributes, main))
         main = main or tag in MAIN_TAGS
         if tag in SECTION_TAGS or bad and not state[0]:
             sections += 1
@@ -178,12 +203,14 @@ def page_blocks(page: str) -> list[TextBlock]:
         stack.append((tag, bad, main, section))
         open_tags[tag] = open_tags.get(tag, 0) + 1
         state = (bad, main, section)
+    if page[pos:].strip():
+        end_head()
     add(page[pos:])
     end_block()
     return out
 
 
-def _list_inside(stack: list[tuple[str, bool, bool, int]]) -> bool:
+def _list_inside(stack: list[tuple[str, int, bool, int]]) -> bool:
     """Whether a list has begun since the last open item."""
     for tag, *_ in reversed(stack):
         if tag in ("ul", "ol", "menu", "dir"):
