@@ -131,6 +131,6 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, block_
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
+    """The rows of docs that contain no item, with all their columns; rows without doc_id aren't searched and stay."""
     bad = contained_items(docs, items, percent).select(F.col("doc_id").alias("__tw_bad")).distinct()
     return docs.join(bad, F.col("doc_id") == F.col("__tw_bad"), "left_anti")
