@@ -1,10 +1,12 @@
 """Operators on pages against plain Python and round trips."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -45,8 +47,9 @@ def test_main_text(source, text):
         (f"<html><head><title>T</title><link rel=x><article><p>{PROSE}</article>", PROSE),
         (f"<head><title>T</title><script>x</script><b>{PROSE}</b>", PROSE),
         (f"<head><title>T</title>{PROSE}", PROSE),
-        (page(f"<div class=elementor-widget-text><p>{PROSE}</p><article><p>Short</p><p>{PROSE}</p></article></div>"), f"Short\n{PROSE}"),
-        (page(f"<div class='has-sidebar'><main class=has-sidebar><p>{PROSE}</p><div class=widget>{PROSE}</div></main><p>{PROSE}</p></div>"), PROSE),
+        (page(f"<div class=footer-widgets><p>{PROSE}</p><article><p>Short</p><p>{PROSE}</p></article></div>"), f"Short\n{PROSE}"),
+        (page(f"<div class='sidebar'><main class=sidebar><p>{PROSE}</p><div class=widget>{PROSE}</div></main><p>{PROSE}</p></div>"), PROSE),
+        (page(f"<div class='has-sidebar'><main class=has-sidebar><p>{PROSE}</p></main><p>{PROSE}</p></div><noscript>{PROSE}</noscript>"), f"{PROSE}\n{PROSE}"),
         (page(f"<aside><article>{PROSE}</article></aside><div hidden class=widget><main>{PROSE}</main></div><div class=widget><nav><article>{PROSE}</article></nav></div>"), ""),
         (page(f"<ol class=comments><li><article class=comment-body>{PROSE}</article></ol>"), ""),
     ],
@@ -55,6 +58,68 @@ def test_main_text_without_head_end_and_inside_named_parts(source, text):
     assert html.main_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        (f"<p title='a hidden gem'>{PROSE}</p><p data-id=comment data-class='ad'>{PROSE}</p><p TITLE=\"id='menu' hidden\">x</p>", f"{PROSE}\n{PROSE}\nx"),
+        (f"<div class='related-work'><p>{PROSE}</p></div><div class=elementor-widget-text>{PROSE}</div><div id=skipping-stones>{PROSE}</div>", "\n".join([PROSE] * 3)),
+        (f"<div class='share-buttons'>{PROSE}</div><div class='x comment-list'>{PROSE}</div><div id=adBox>{PROSE}</div><p hidden>{PROSE}</p><p class=notice>{PROSE}</p>Left", "Left"),
+        ("<p>Let <math><mi>y</mi><annotation>tex</annotation></math> be <object data=f>an object</object>, <noscript>a note</noscript> <svg><title>no</title><text>and a label</text></svg></p>", "Let y be an object, a note and a label"),
+        (f"<p>Some<button>Share</button> text<span hidden>no</span>, <select><option>no</select>and more</p>", "Some text, and more"),
+        ("<p>one<img alt='a > b'>two<b title=\"x>y\">three</b></p>", "onetwothree"),
+        ("<p>1 < 2 and <3, 4 > 3</p>", "1 < 2 and <3, 4 > 3"),
+    ],
+)
+def test_no_article_text_is_lost(inside, text):
+    assert html.main_text(page("<article>", inside, "</article>")) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a x=\"", "<a \">\" <a x=\">", "<a x='>' ", "<", "</", "<!", "< >", "<ul><li>", "<li><div>", "<!-- >", "<script>", "&lt;", "<a b c=d e"])
+def test_pages_are_read_in_linear_time(unit):
+    began = time.process_time()
+    html.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 4
+
+
+def plain_two_passes(paragraphs, rules=html.BlockRules()):
+    """paragraphs of a page's only section: (text, linked characters). Both passes, written plainly."""
+    first = []
+    for text, linked in paragraphs:
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        density = sum(w in html.STOP_WORDS for w in found) / max(1, len(found))
+        if linked / len(text) > rules.max_link_density:
+            first.append("bad")
+        elif len(found) >= rules.long_words:
+            first.append("good" if density >= rules.long_stop_density else "bad")
+        else:
+            first.append("good" if len(found) >= rules.min_words and density >= rules.min_stop_density else None)
+    out = []
+    for i, verdict in enumerate(first):
+        near = sorted((abs(i - k), other == "bad") for k, other in enumerate(first) if other)
+        out.append(verdict or ("bad" if not near or near[0][1] else "good"))
+    return [t for (t, _), v in zip(paragraphs, out, strict=True) if v == "good"]
+
+
+def test_two_passes_decide_pages_without_article_or_names():
+    r = random.Random(12)
+    stop, other = ["the", "of", "and", "to", "is", "that"], ["quartz", "lantern", "meadow", "signal", "copper", "violet"]
+    kept = short = 0
+    for _ in range(400):
+        paragraphs, body = [], []
+        for _ in range(r.randint(1, 14)):
+            p = r.choice([0, 0.08, 0.15, 0.25, 0.6])
+            text = " ".join(r.choice(stop if r.random() < p else other) for _ in range(r.choice([1, 3, 8, 11, 12, 20, 39, 40, 70])))
+            cut = r.choice([0, 0, 0, len(text) // 4, len(text) // 3, len(text)])
+            linked = text[:cut]
+            paragraphs.append((text, len(linked.strip())))
+            body.append(f"<p><a href=/x>{linked}</a>{text[cut:]}</p>")
+        expected = plain_two_passes(paragraphs)
+        assert html.main_text(page(*body)) == "\n".join(expected)
+        kept += len(expected)
+        short += sum(len(t.split()) < 12 for t in expected)
+    assert kept > 500 and short > 150
+
+
 def test_extraction_keeps_whole_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = {r.page_id: r for r in queries.op7_html_extraction(spark, sf_dir).collect()}
@@ -187,6 +252,43 @@ def test_damaged_segments_are_errors(spark, tmp_path):
         warc.read_archives(spark, str(path)).collect()
 
 
+def test_archives_of_many_members(spark, tmp_path):
+    """One gzip member for each record, padding between files' members, plain files, and cut ones."""
+    path = tmp_path / "w"
+    path.mkdir()
+    payloads = {i: b"payload %d " % i * (i * 7) for i in range(12)}
+    records = [x + b"\r\n\r\n" for i, p in payloads.items() for x in warc.page_records(i, "u", p, plain_digest(p), None, f"urn:{i}", 200)]
+    members = [gzip.compress(x) for x in records]
+    (path / "a.warc.gz").write_bytes(b"".join(members[:20]))
+    (path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[20:24])) + b"".join(members[24:30]))
+    (path / "c.warc").write_bytes(b"".join(records[30:]))
+    assert len(records) > 32
+    assert {r.page_id: bytes(r.payload) for r in warc.read_archives(spark, str(path)).collect()} == payloads
+    for k, cut in enumerate([b"".join(members)[:-5], b"".join(members)[:-60], b"".join(records)[:-9]]):
+        other = tmp_path / f"cut{k}"
+        other.mkdir()
+        (other / "a.warc.gz").write_bytes(cut)
+        with pytest.raises(Exception, match="ended before|cut short|no record"):
+            warc.read_archives(spark, str(other)).collect()
+
+
+def test_query_over_repeated_payloads(spark, tmp_path):
+    """The query over a table with many equal payloads, clashing columns and nulls, against plain Python."""
+    r = random.Random(9)
+    rows = [(i, f"http://h/{i}", r.choice([None, "", "a", "é" * 9000, f"own {i} " * 30, *[f"body {k} " * 900 for k in range(4)]]), "x", 7) for i in r.sample(range(10_000), 300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, refers_to long").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    owner = {}
+    for i, _, h, *_ in sorted(rows, key=lambda x: x[0]):
+        owner.setdefault(h or "", i)
+    expected = set()
+    for i, _, h, *_ in rows:
+        data = (h or "").encode()
+        first = owner[h or ""] == i
+        expected.add((i, len(data), plain_digest(data), "response" if first else "revisit", None if first else owner[h or ""]))
+    found = queries.op9_warc_segments(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert len(found) == len(rows) and {tuple(x) for x in found} == expected and sum(x[3] == "revisit" for x in expected) > 150
+
+
 def test_chunks():
     for n in (0, 1, 5, 6, 100):
         payload = ("é" * n).encode()

@@ -3,16 +3,22 @@
 A page is cut into blocks at block-level tags. Pass one decides each block by
 link density, length and stop-word density: good, bad, or ambiguous when it is
 too short to tell. What a block sits in counts too: menus, headers and footers of
-the page, sidebars, forms, dialogs, hidden parts, and elements whose class or id
-names adverts, notices, comments and the like are bad; a main part, or an article
+the page, sidebars, forms, dialogs, hidden parts, and elements with a class or id
+that names nothing but adverts, notices, comments and the like (BAD_WORDS, with
+CARRIERS such as "box" or "list" beside them: "share-buttons", not "related-work")
+are bad; a main part, or an article
 whose own class and id don't name such, is judged anew in what only a class or id
 marks. A head without end tag ends where the body's content starts. Pass two gives each
 ambiguous block the label of the nearest decided block of its own section; on
 equal distance good wins, and the edges of an article or main part count as good.
 Elsewhere a section without any decided block is bad.
 
-Scripts, styles, comments and markup go; character references are decoded; white
-space inside a block becomes one space. Nothing is cut off or capped. Null and
+Scripts, styles, comments and markup go, and so do fallbacks of frames and media and
+the notes of formulas; what noscript holds counts inside an article or main part only.
+Character references are decoded; white
+space inside a block becomes one space. Nothing is cut off or capped. Tags are read
+in linear time: attributes are pairs of name and value, quotes count behind "=", and
+once a tag has no end outside of quotes, quotes don't count for the rest of the page. Null and
 empty pages give an empty text. A page's work depends on that page alone, so
 there is no shuffle, and repeated rows give equal results.
 """
@@ -21,34 +27,39 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
-
 #: Tags that start and end a block.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary "
-    "table tbody td tfoot th thead title tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary "
+    "table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW_TAGS = frozenset("script style noscript template iframe object svg math canvas audio video textarea title".split())
+RAW_TAGS = frozenset("script style template iframe canvas audio video textarea title annotation annotation-xml".split())
 BAD_TAGS = frozenset("nav footer aside form menu button select dialog head fieldset datalist search".split())
 #: What can stand in a head; anything else ends it.
 HEAD_TAGS = frozenset("html head base link meta noscript script style template title".split())
 MAIN_TAGS = frozenset(["article", "main"])
+LIST_TAGS = frozenset("ul ol menu dir".split())
 SECTION_TAGS = MAIN_TAGS | {"body", "section", "aside", "nav", "header", "footer", "form"}
-#: Parts of class and id names that mark boilerplate.
+#: Parts of class and id names that mark boilerplate, and what may stand beside them in a name that does.
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie "
     "cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup "
     "promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription toolbar topbar widget".split()
+    "subscribe subscription toolbar topbar widget widgets".split()
+)
+CARRIERS = frozenset(
+    "area articles bar block body bottom box button buttons card center container content header holder icon icons inner item items left link "
+    "links list main mobile outer page panel post posts primary right rows secondary section site slot small sticky stories thread top "
+    "unit user wrap wrapper x".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Very common words of the languages handled.
@@ -63,11 +74,9 @@ STOP_WORDS = frozenset(
     "también te tiene una y ya".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+_ATTRIBUTE = re.compile(r"([^\s>/=][^\s>/=]*+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -84,66 +93,98 @@ class BlockRules:
 
 
 class TextBlock:
-    """A piece of a page: raw text, characters in links, section number (each marked part is a section too), whether in an article, whether its place marks it as bad."""
+    """A piece of a page: raw text, characters in links, section number, whether in an article."""
 
-    __slots__ = ("bad_place", "in_main", "label", "linked", "section", "text")
+    __slots__ = ("in_main", "label", "linked", "section", "text")
 
-    def __init__(self, text: str, linked: int, section: int, in_main: bool, bad_place: bool):
-        self.text, self.linked, self.section, self.in_main, self.bad_place = text, linked, section, in_main, bad_place
+    def __init__(self, text: str, linked: int, section: int, in_main: bool):
+        self.text, self.linked, self.section, self.in_main = text, linked, section, in_main
         self.label = ""
 
 
 def _named(value: str, in_main: bool) -> bool:
-    """Whether a class or id names boilerplate."""
-    parts = {x.lower() for x in _PART.findall(value)}
-    return bool(parts & BAD_WORDS or "header" in parts and not in_main)
+    """Whether one of the names in a class or id is that of boilerplate."""
+    for name in value.split():
+        parts = {x.lower() for x in _PART.findall(name)}
+        if parts & BAD_WORDS and parts <= BAD_WORDS | CARRIERS or not in_main and "header" in parts and parts <= CARRIERS:
+            return True
+    return False
 
 
-def _marked(tag: str, attributes: str, in_main: bool) -> int:
+def _attributes(text: str) -> dict[str, str]:
+    """Names in small letters with their values; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        quoted = value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1
+        out.setdefault(name.lower(), _html.unescape(value[1:-1] if quoted else value))
+    return out
+
+
+def _marked(tag: str, attributes: dict[str, str], in_main: bool) -> int:
     """Whether an element marks what it holds as boilerplate: 1 only by its class or id, 2 otherwise."""
-    if tag in BAD_TAGS or tag == "header" and not in_main:
+    if tag in BAD_TAGS or tag in ("header", "noscript") and not in_main:
         return 2
     if not attributes or tag in ("html", "body") or tag in MAIN_TAGS:
         return 0
-    named = 0
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2
-        if name == "role" and value.lower() in BAD_ROLES:
-            return 2
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2
-        if name in ("class", "id") and _named(value, in_main):
-            named = 1
-    return named
-
-
-def _starts_anew(tag: str, attributes: str) -> bool:
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in BAD_ROLES:
+        return 2
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
+        return 2
+    return int(_named(attributes.get("class", ""), in_main) or _named(attributes.get("id", ""), in_main))
+
+
+def _starts_anew(tag: str, attributes: dict[str, str]) -> bool:
     """Whether an element is judged anew inside a part that only a class or id marks."""
-    return tag == "main" or tag == "article" and not any(name.lower() in ("class", "id") and _named(value.strip("\"'"), True) for name, value in _ATTRIBUTE.findall(attributes))
+    return tag == "main" or tag == "article" and not any(_named(attributes.get(k, ""), True) for k in ("class", "id"))
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """What markup there is: begin, end, name of the tag in small letters ("" for comments and the like), whether it closes, its attributes. Send a position to go on from there."""
+    pos, plain, last = 0, False, page.rfind(">")
+    while (at := page.find("<" if pos < last else "<!--", pos)) >= 0:
+        if at > last and not page.startswith("<!--", at):  # no tag ends from here on
+            pos = at
+            last = -1
+            continue
+        go = None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            pos = len(page) if end < 0 else end + 3
+            go = yield at, pos, "", False, ""
+        elif m := _NAME.match(page, at + 1):
+            rest = None if plain else _REST.match(page, m.end())
+            plain = rest is None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            pos = end
+            go = yield at, pos, m[2].lower(), bool(m[1]), page[m.end() : end - 1]
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and (end := page.find(">", at + 2)) > at + 2:
+            pos = end + 1
+            go = yield at, pos, "", False, ""
+        else:
+            pos = at + 1
+        pos = pos if go is None else go
 
 
 def page_blocks(page: str) -> list[TextBlock]:
-    """The blocks of a page in order, unlabelled."""
+    """The blocks of a page in order, unlabelled, without what lies in parts marked as boilerplate."""
     out: list[TextBlock] = []
-    stack: list[tuple[str, int, bool, int]] = []  # tag, mark of its place (see _marked), in main, section
+    stack: list[tuple[str, int, bool, int, bool]] = []  # tag, mark of its place (see _marked), in main, section, whether a list has begun since the last open item
     open_tags: dict[str, int] = {}
     parts: list[str] = []
     linked = sections = pos = 0
-    state = (0, False, 0)
+    state = (0, False, 0, False)
 
     def end_block() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(TextBlock(text, linked, state[2], state[1], state[0] > 0))
+                out.append(TextBlock(text, linked, state[2], state[1]))
             parts, linked = [], 0
 
     def add(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not state[0]:
             piece = _html.unescape(piece) if "&" in piece else piece
             parts.append(piece)
             if open_tags.get("a"):
@@ -156,7 +197,7 @@ def page_blocks(page: str) -> list[TextBlock]:
             open_tags[name] -= 1
             if name == tag:
                 break
-        state = stack[-1][1:] if stack else (0, False, 0)
+        state = stack[-1][1:] if stack else (0, False, 0, False)
 
     def end_head() -> None:
         if open_tags.get("head"):
@@ -164,16 +205,21 @@ def page_blocks(page: str) -> list[TextBlock]:
             while open_tags.get("head"):
                 close("head")
 
-    while m := _TOKEN.search(page, pos):
-        piece = page[pos : m.start()]
+    tags = _tags(page)
+    go = None
+    while True:
+        try:
+            begin, end, tag, closing, text = tags.send(go)
+        except StopIteration:
+            break
+        go = None
+        piece = page[pos:begin]
         if piece.strip():
             end_head()
         add(piece)
-        pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        pos = end
         if not tag:
             continue
-        closing, attributes = (m[1], m[3]) if m[2] else (m[4], m[6])
         if tag in BLOCK_TAGS:
             end_block()
         elif tag == "br":
@@ -184,25 +230,27 @@ def page_blocks(page: str) -> list[TextBlock]:
             continue
         if tag not in HEAD_TAGS:
             end_head()
-        if tag in RAW_TAGS and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else len(page)
+        if tag in RAW_TAGS and not text.endswith("/"):
+            over = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            go = pos = over.end() if over else len(page)
             continue
-        if tag in VOID_TAGS or attributes.endswith("/"):
+        if tag in VOID_TAGS or text.endswith("/"):
             continue
-        if tag in ("p", "li", "option", "a") and open_tags.get(tag) and (tag != "li" or not _list_inside(stack)):
+        if tag in ("p", "li", "option", "a") and open_tags.get(tag) and (tag != "li" or not state[3]):
             close(tag)  # these end where the next one starts
         elif tag in BLOCK_TAGS and open_tags.get("p") and tag != "p":
             close("p")
-        bad, main, section = state
+        attributes = _attributes(text) if text else {}
+        bad, main, section, listed = state
         bad = 0 if bad == 1 and _starts_anew(tag, attributes) else max(bad, _marked(tag, attributes, main))
         main = main or tag in MAIN_TAGS
-        if tag in SECTION_TAGS or bad and not state[0]:
+        if tag in SECTION_TAGS:
             sections += 1
             section = sections
-        stack.append((tag, bad, main, section))
+        listed = tag in LIST_TAGS or listed and tag != "li"
+        stack.append((tag, bad, main, section, listed))
         open_tags[tag] = open_tags.get(tag, 0) + 1
-        state = (bad, main, section)
+        state = (bad, main, section, listed)
     if page[pos:].strip():
         end_head()
     add(page[pos:])
@@ -210,19 +258,9 @@ def page_blocks(page: str) -> list[TextBlock]:
     return out
 
 
-def _list_inside(stack: list[tuple[str, int, bool, int]]) -> bool:
-    """Whether a list has begun since the last open item."""
-    for tag, *_ in reversed(stack):
-        if tag in ("ul", "ol", "menu", "dir"):
-            return True
-        if tag == "li":
-            return False
-    return False
-
-
 def decide(block: TextBlock, rules: BlockRules) -> str:
     """First pass: good, bad or ambiguous."""
-    if block.bad_place or block.linked > rules.max_link_density * len(block.text):
+    if block.linked > rules.max_link_density * len(block.text):
         return "bad"
     words = _WORD.findall(block.text.lower())
     if len(words) < rules.min_words:
@@ -267,7 +305,6 @@ def extract_text(pages: DataFrame, rules: BlockRules = BlockRules(), html: str =
     def texts(column: pa.Array) -> pa.Array:
         return pa.array([main_text(x, rules) for x in column.to_pylist()], pa.string())
 
-    bounded_batches(pages.sparkSession)
     own = [c for c in pages.columns if c not in ("text", "n_chars", html)]
     out = pages.select(*own, F.arrow_udf(texts, "string")(F.col(html)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

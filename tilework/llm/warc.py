@@ -9,7 +9,9 @@ WARC-Segment-Origin-ID, WARC-Segment-Total-Length on the last).
 Reading: the archives are cut into records; continuation records are grouped by
 the identifier of their origin, ordered by segment number, checked against the
 total length, joined, and the chunked framing is decoded. A missing, repeated or
-short segment raises an error instead of giving a damaged page.
+short segment raises an error instead of giving a damaged page, and so does an
+archive that ends within a record or a gzip member. A file may have any number of
+members.
 
 Files are made by Spark's text writer with the record separator as line end, so
 they go wherever Spark can write, are valid archives (gzip by default), and a
@@ -18,21 +20,25 @@ is read as one row. Segments of one record may be in different archives.
 
 A null html is an empty payload; payloads may be of any length; equal payloads,
 also very many, are found by digest with pre-aggregation. Repeated page_ids give
-records of their own (numbered by a running id). Empty tables give no records.
+records of their own (numbered by a running id), and of equal payloads all rows with
+the smallest page_id are responses. Empty tables give no records. Columns but
+page_id, url and html are ignored, whatever their names.
 A null page_id is kept: its record has an empty page identifier.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, materialise
+from .store import materialise
 
 EOL = b"\r\n"
 RECORD_END = "\r\n\r\n"
@@ -106,7 +112,6 @@ def _digests(column: pa.Array) -> pa.Array:
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, archive_bytes: int = 32 << 20, compression: str = "gzip") -> None:
     """Writes a record per row of pages (page_id, url, html) to archives under path."""
-    bounded_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").withColumn("digest", F.arrow_udf(_digests, "string")(F.col("html")))
     # Who owns a payload is settled on digests alone; pages meet the owners of repeated payloads only.
     owners = own.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__tw_digest"), "owner")
@@ -145,16 +150,20 @@ def parse_archive(data: bytes) -> Iterator[dict[str, object]]:
         yield fields
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
+def _inflated(data: bytes) -> bytes:
+    """Contents of a file: as it is, or of all its gzip members (often one for each record); an error where the last is cut short."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        return f.read()
+
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("kind", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
     whole = lambda x: int(x) if x else None
     for batch in batches:
         for i in range(batch.num_rows):
-            data = batch.column(0)[i].as_py()
-            if data[:2] == b"\x1f\x8b":
-                data = zlib.decompressobj(31).decompress(data)
+            data = _inflated(batch.column(0)[i].as_py())
             rows = []
             for r in parse_archive(data):
                 segment = whole(r.get("WARC-Segment-Number"))
