@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import remove, written
 
 
 def _stars(edges: DataFrame, low: bool) -> DataFrame:
@@ -27,14 +27,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small star steps (Kiveris et al. 2014): the number of
     edges never grows, and rounds are logarithmic in practice. A hub is a skewed
-    join key against one row. Each round is cut off by a checkpoint.
+    join key against one row. Each round is written and
+    read again, which cuts its lineage off, and the round before is removed.
     """
-    now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, path = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             break
         before = state
-        now = materialise(_stars(_stars(now, low=False), low=True))
+        now, after = written(_stars(_stars(now, low=False), low=True), "edges")
+        remove(edges.sparkSession, path)
+        path = after
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -6,21 +6,27 @@ nothing). Texts link when 100 * intersection >= percent * union.
 
 If two sets link, then under any one order of all shingles the first
 n - ceil(percent * n / 100) + 1 of each share one: the prefix filter. Candidates
-must pass it under several orders at once:
+must pass it under three global orders at once:
 
 1. Equal sets are one class from the start, whatever their number.
-2. First order: shingles of one text only come first, then those of several, last
-   those of very many, each by hash. They are counted over all texts by 32 bits
-   of their hash within a hash range; a rare confusion only changes the order,
-   and any order is valid. Prefix shingles are grouped; classes that share one
-   are connected.
-3. Connected classes (few of all) are compared in tiles: whole groups where they
-   are small; large ones split by set size, where only neighbouring sizes can
-   link, and by salt, each pair of blocks in a tile of its own. No pair of blocks
-   is left out, and no tile holds more than two blocks.
-4. In a tile, candidates must share a prefix shingle under each of three orders
-   (rarest first, and two by hash); those left are verified by counting shared
-   shingles. A tile returns links counted per class and a spanning forest.
+2. Each order has shingles of one text first, then those of two or three, of four to
+   seven and so on, and each has a hash of its own inside these levels. Shingles are
+   counted over all texts by 32 bits of their hash within a hash range; a rare
+   confusion only changes the orders, and any order is valid. A shingle of one text
+   is in no other prefix and isn't sent anywhere.
+3. Classes with the same prefix shingle of the same order are a group. A group of at
+   most GROUP classes gives its pairs of fitting sizes, each pair (but for a few) in
+   the group of its first common prefix shingle only: a row knows the PREVIOUS
+   shingles before it, and pairs that share one of these were there already. Pairs
+   that all three orders give go on. Larger groups give no pairs: each class is
+   tied to the group's first one.
+4. Pairs and ties make up connected groups of classes, nearly those of the links
+   themselves. They are verified in tiles: whole groups where they are small; large
+   ones split by set size, where only neighbouring sizes can link, and by salt, each
+   pair of blocks in a tile of its own. No pair of blocks is left out, and no tile
+   holds more than two blocks. Inside a tile the three filters are met once more,
+   with the counts of the tile; what is left is verified by counting shared shingles.
+   A tile returns links counted per class and a spanning forest.
 5. Connected components of the forest give each text its component.
 
 Skew: a shingle that very many texts hold is dealt out by a salt, its parts tied
@@ -43,11 +49,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ranges import blobs, frequencies, per_range, range_count, range_of
-from .store import bounded_batches, materialise, stored
+from .ranges import Frequencies, blobs, frequencies, per_range, range_count, range_of
+from .store import left_out, materialise, stored
 from .words import Block, blocks, mix
 
 SALT_ROWS = 50_000
+ORDERS, GROUP, PREVIOUS = 3, 64, 3
+WHOLE_ROWS, MOST_BLOCKS = 64, 16
 BLOCK_ROWS, BLOCK_SHINGLES = 1_500, 500_000
 
 
@@ -66,10 +74,6 @@ class Sets:
         np.cumsum(mix(self.shingle, 31), out=total[1:])
         self.klass = mix(total[self.first + self.size] - total[self.first] + self.size.astype(np.uint64), 32)
 
-    def rank(self) -> np.ndarray:
-        """Place of each shingle in its text, in the order of hashes."""
-        return np.arange(len(self.doc)) - self.first[self.doc]
-
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[tuple[pa.RecordBatch, int, Sets]]:
     for batch in batches:
@@ -83,37 +87,68 @@ def _shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _prefix_edges(texts: DataFrame, n: int, percent: int, often: object) -> DataFrame:
-    """Edges (a, b) between classes that share a prefix shingle under the first order."""
+    """Edges (a, b, orders) between classes: pairs of groups, with a bit for their order, and ties of large groups (no bit)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, s in _sets(batches):
-            level = often.value.repeated(s.shingle) + (often.value.count(s.shingle) > 0)
-            order = np.argsort(s.doc * 3 + level, kind="stable")
-            keep = order[s.rank() <= (s.size - _least_shared(s.size, percent))[s.doc]]
-            if not len(keep):
+            level = often.value.level(s.shingle)
+            # shingles of one text come first, so the others only need to be put in order
+            at = np.flatnonzero(level)
+            several = np.bincount(s.doc[at], minlength=len(s.size))
+            room = several - _least_shared(s.size, percent)
+            at = at[room[s.doc[at]] >= 0]
+            if not len(at):
                 continue
-            v, k = s.shingle[keep], s.klass[s.doc[keep]]
-            pair = np.unique(np.stack([v, k]), axis=1)  # copies within a block
-            v, k = pair
-            salts = (1 + often.value.count(v) // SALT_ROWS).astype(np.uint64)
-            yield blobs(range_of(mix(v + mix(k, 33) % salts, 34), n), v, k)
-
-    def work(_: int, v: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+            doc, level, shingle = s.doc[at], level[at], s.shingle[at]
+            for o in range(ORDERS):
+                order = np.lexsort((mix(shingle, 70 + o), level, doc))
+                d = doc[order]
+                inside = np.arange(len(d)) - np.searchsorted(d, d) <= room[d]
+                d, v = d[inside], shingle[order[inside]]
+                before = np.zeros((PREVIOUS, len(v)), np.uint64)
+                for j in range(1, PREVIOUS + 1):
+                    before[j - 1, j:] = np.where(d[j:] == d[:-j], v[:-j], 0)
+                k, salts = s.klass[d], (1 + often.value.count(v) // SALT_ROWS).astype(np.uint64)
+                # below zero: dealt out by a salt
+                size = np.where(often.value.count(v) >= SALT_ROWS, -s.size[d], s.size[d])
+                yield blobs(range_of(mix(v + mix(k, 33) % salts, 34), n) * ORDERS + o, v, k, size, *before)
+
+    def work(r: int, v: np.ndarray, k: np.ndarray, size: np.ndarray, *before: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((k, v))
-        v, k = v[order], k[order]
-        fresh = np.ones(len(v), bool)
-        fresh[1:] = (v[1:] != v[:-1]) | (k[1:] != k[:-1])
-        v, k = v[fresh], k[fresh]
-        head = np.ones(len(v), bool)
-        head[1:] = v[1:] != v[:-1]
-        leader = k[head][np.cumsum(head) - 1]
-        salted = head & (often.value.count(v) >= SALT_ROWS)
-        a = np.concatenate([k[~head], k[salted]])
-        b = np.concatenate([leader[~head], mix(v[salted], 35)])
-        pairs = np.unique(np.stack([a, b]), axis=1).view(np.int64) if len(a) else np.zeros((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return per_range(texts.mapInArrow(emit, "range int, v0 binary, v1 binary"), n, [np.uint64, np.uint64], work, "a long, b long")
+        order = order[np.append(True, (v[order][1:] != v[order][:-1]) | (k[order][1:] != k[order][:-1]))]
+        v, k, size, before = v[order], k[order], size[order], [x[order] for x in before]
+        head = np.append(True, v[1:] != v[:-1])
+        group = np.cumsum(head) - 1
+        salted = size < 0
+        tied = salted | (np.bincount(group)[group] > GROUP)
+        follows, leads = tied & ~head, salted & head
+        ties = np.unique(np.stack([np.concatenate([k[follows], k[leads]]), np.concatenate([k[head][group[follows]], mix(v[leads], 35 + r % ORDERS)])]), axis=1)
+        k, size, group, before = k[~tied], size[~tied], group[~tied], [x[~tied] for x in before]
+        pairs = [np.zeros((2, 0), np.uint64)]
+        for step in range(1, GROUP):
+            one = np.flatnonzero(group[step:] == group[: len(group) - step])
+            if not len(one):
+                break
+            two = one + step
+            fits = 100 * np.minimum(size[one], size[two]) >= percent * np.maximum(size[one], size[two])
+            for x in before:
+                for y in before:
+                    fits &= (x[one] != y[two]) | (x[one] == 0)
+            pairs.append(np.stack([k[one[fits]], k[two[fits]]]))
+        found = np.unique(np.concatenate(pairs, axis=1), axis=1)  # k grows within a group, so a < b
+        bits = np.repeat(np.array([1 << r % ORDERS, 0], np.int32), [found.shape[1], ties.shape[1]])
+        a, b = np.concatenate([found, ties], axis=1).view(np.int64)
+        for at in range(0, len(bits), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (a, b, bits)], ["a", "b", "orders"])
+
+    columns = "range int, " + ", ".join(f"v{i} binary" for i in range(3 + PREVIOUS))
+    return per_range(texts.mapInArrow(emit, columns), n, [np.uint64, np.uint64, np.int64] + [np.uint64] * PREVIOUS, work, "a long, b long, orders int")
+
+
+def candidates(texts: DataFrame, n: int, percent: int, often: object) -> DataFrame:
+    """Edges (a, b, orders): pairs of classes that share a prefix shingle under every order, and ties."""
+    edges = _prefix_edges(texts, n, percent, often).groupBy("a", "b").agg(F.bit_or("orders").alias("orders"))
+    return edges.where(F.col("orders").isin(0, (1 << ORDERS) - 1))
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
@@ -141,9 +176,11 @@ def _tiles(members: DataFrame) -> DataFrame:
     """members (comp, rep, klass, copies, n) with the tiles that each takes part in: tile (string) and its own block (int), and crossing: whether the tile is for two blocks, as its name says (salts that no row hashed to have tiles too)."""
     sized = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int"))
     parts = sized.groupBy("comp", "s").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    need = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    # more blocks than their size asks for, up to a number, so that a large group keeps many tasks busy
+    spread = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("rows") / WHOLE_ROWS))
+    need = F.greatest(spread, F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     groups = parts.groupBy("comp").agg(F.sum("rows").alias("all_rows"), F.sum("shingles").alias("all_shingles"), F.map_from_entries(F.collect_list(F.struct("s", need.alias("k")))).alias("salts"))
-    small = (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_shingles") <= BLOCK_SHINGLES)
+    small = (F.col("all_rows") <= WHOLE_ROWS) & (F.col("all_shingles") <= BLOCK_SHINGLES)
     x = sized.join(groups, "comp").withColumn("block", F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64("klass"), F.try_element_at("salts", F.col("s"))).cast("int")))
     same = "transform(sequence(0, try_element_at(salts, s) - 1), b -> concat_ws('.', comp, s, least(block, b), s, greatest(block, b)))"
     up = "transform(sequence(0, coalesce(try_element_at(salts, s + 1), 0)), b -> if(b = coalesce(try_element_at(salts, s + 1), 0), null, concat_ws('.', comp, s, block, s + 1, b)))"
@@ -242,7 +279,6 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
 def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents that it links with)."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    bounded_batches(docs.sparkSession)
     n = range_count(docs)
     signed = materialise(_signatures(texts).groupBy("doc_id").agg(F.max(F.struct("n", "klass")).alias("x")).select("doc_id", "x.n", "x.klass"))
     classes = signed.where("klass is not null").groupBy("klass", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -253,7 +289,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows:
     few = others.count() <= broadcast_rows
     texts = texts.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
     texts = texts if few else stored(texts, "classes")
-    groups = connected_components(_prefix_edges(texts, n, percent, frequencies(texts, _shingles, n)))
+    groups = connected_components(candidates(texts, n, percent, frequencies(texts, _shingles, n, Frequencies.LEVELS)).select("a", "b"))
     members = materialise(groups.withColumnsRenamed({"node": "klass", "component": "comp"}).join(classes, "klass").select("comp", "klass", "rep", "copies", "n"))
     wanted = members.select(F.col("rep").alias("doc_id"), "klass")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
@@ -272,7 +308,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; rows without doc_id stay."""
-    losers = ngram_jaccard_components(docs, percent).where("doc_id != component_id").select(F.col("doc_id").alias("__tw_doc"))
-    return docs.join(losers, F.col("doc_id") == F.col("__tw_doc"), "left_anti")
+def one_of_each(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns; rows without doc_id stay, as no id tells them from each other."""
+    losers = ngram_jaccard_components(docs, percent, broadcast_rows).where("doc_id != component_id").select("doc_id")
+    return left_out(docs, losers, broadcast_rows)

@@ -62,15 +62,17 @@ def per_range(rows: DataFrame, n: int, kinds: list[type], work: Callable[..., It
 
 
 class Frequencies:
-    """How often hash values occur: once, more than once (a few wrongly so), or often, with the count.
+    """How often hash values occur: by doublings (a few wrongly too often), and exactly where it is often.
 
     What a value is taken for depends on the value alone. It holds a Bloom filter
-    of 16 bits per value that occurs twice or more, and the counts of those that
+    of 16 bits per value and doubling of its count, up to LEVELS of them, and the counts of those that
     occur ``often`` times or more. Both are bounded, at most ``bits`` bits and
     ``bound`` counts, shared equally by the ranges: beyond, the filter gets denser
     and the least count that is listed is doubled.
     """
 
+    LEVELS = 6
+
     def __init__(self, n: int, rows: pa.Table):
         self.n = n
         order = np.argsort(rows["range"].to_numpy())
@@ -94,15 +96,26 @@ class Frequencies:
     def _key(r: np.ndarray | int, v: np.ndarray) -> np.ndarray:
         return (np.asarray(r).astype(np.uint64) << np.uint64(32)) | (v & np.uint64(0xFFFFFFFF))
 
-    def repeated(self, v: np.ndarray) -> np.ndarray:
-        """Whether values occur more than once."""
-        r = range_of(v, self.n)
-        key, out = self._key(r, v), np.ones(len(v), bool)
+    def _has(self, r: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
+        out = np.ones(len(key), bool)
         for salt in (51, 52):
-            at = self.start[r] + mix(key, salt) % self.size[r]
+            at = self.start[r] + mix(key, salt + 2 * level) % self.size[r]
             out &= (self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
+    def level(self, v: np.ndarray, most: int = LEVELS) -> np.ndarray:
+        """How many doublings values occur at least: 0 once, 1 twice, 2 four times, ... up to most."""
+        r = range_of(v, self.n)
+        key, out, left = self._key(r, v), np.zeros(len(v), np.int8), np.arange(len(v))
+        for j in range(1, most + 1):
+            left = left[self._has(r[left], key[left], j)]
+            out[left] = j
+        return out
+
+    def repeated(self, v: np.ndarray) -> np.ndarray:
+        """Whether values occur more than once."""
+        return self.level(v, 1) > 0
+
     def count(self, v: np.ndarray) -> np.ndarray:
         """How often values occur that occur often; 0 for others."""
         if not len(self.keys):
@@ -112,8 +125,8 @@ class Frequencies:
         return np.where(self.keys[at] == key, self.counts[at], 0)
 
 
-def frequencies(texts: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n: int, often: int = 64, bits: int = 1 << 28, bound: int = 1 << 20) -> Broadcast:
-    """Frequencies of all 64-bit hashes that values gives for the batches of texts, broadcast."""
+def frequencies(texts: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n: int, levels: int = 1, often: int = 64, bits: int = 1 << 28, bound: int = 1 << 20) -> Broadcast:
+    """Frequencies of all 64-bit hashes that values gives for the batches of texts, broadcast. levels: doublings that are told apart."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +138,12 @@ def frequencies(texts: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np
         u, k = np.unique(low, return_counts=True)
         u, k = u[k > 1], k[k > 1]
         key = Frequencies._key(r, u.astype(np.uint64))
-        size = min(max(64, 1 << int(16 * len(u)).bit_length()), max(64, bits // n // 64 * 64))
+        steps = [key[k >= 1 << j] for j in range(1, levels + 1)]
+        size = min(max(64, 1 << int(16 * sum(map(len, steps))).bit_length()), max(64, bits // n // 64 * 64))
         filled = np.zeros(size, bool)
-        for salt in (51, 52):
-            filled[mix(key, salt) % np.uint64(size)] = True
+        for j, step in enumerate(steps, 1):
+            for salt in (51, 52):
+                filled[mix(step, salt + 2 * j) % np.uint64(size)] = True
         least = often
         while (k >= least).sum() > max(16, bound // n):
             least *= 2
