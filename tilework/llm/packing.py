@@ -23,11 +23,16 @@ An empty table gives no rows. Extra columns are ignored.
 
 Tokenising: white space never joins tokens for the word vocabulary used here, so
 a task tokenises each distinct word once (told apart by a 64-bit hash) and looks
-the others up. For vocabularies where that doesn't hold set ``by_word`` to False.
+the others up. For vocabularies where that doesn't hold set ``by_word`` to False; each
+task tries it out on sample texts and refuses a tokenizer that doesn't work by words.
+
+Pieces are ranked by doc_id, start, length and checksum, so a rerun task gives the same
+places; rows equal in all of these are the same piece twice, and may swap.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, materialise
+from .store import materialise
 from .words import Block, blocks, text_buffers
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -62,12 +67,17 @@ class WordTokens:
     """Token ids of words by their hash. Of further words than most, those of a block at hand are known for that block only, which bounds the memory."""
 
     SEPARATOR = "<|endoftext|>"
+    #: Texts on which working by words must give the same ids.
+    TRIALS = ("Two  plain words, it's 1,234.50 \n\n a\tb\x0bc \r\n x ", " leading and trailing ", "\u00e9t\u00e9 \u6f22\u5b57 \u6f22 \U0001f600 ab\xa0cd #*$%&|<> --- (a) [b] c_d", "the the The THE unbelievably antidisestablishmentarianism 007")
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
+        for text in self.TRIALS:
+            if self.encode(text) != [i for w in re.findall(r"[^\x20\x09-\x0D]+", text) for i in self.encode(w)]:
+                raise ValueError("this tokenizer doesn't work word by word: set by_word to False")
         # hashes of the known words in order, and which of first each has
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -149,7 +159,6 @@ def pieces(docs: DataFrame, p: Packing, with_ids: bool = False) -> DataFrame:
             for k in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names)
 
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
 
 
@@ -256,7 +265,7 @@ def assign(pieces_: DataFrame, p: Packing) -> DataFrame:
 
     by_class = Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("__class", "__bucket", F.coalesce(F.sum("n").over(by_class), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__class", "__bucket").orderBy("doc_id", "start")) - 1
+    local = F.row_number().over(Window.partitionBy("__class", "__bucket").orderBy("doc_id", "start", "length", "ids_crc32")) - 1
     ranked = rows.withColumn("__local", local).join(before, ["__class", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__local"))
 
     def place(c: pa.Array, r: pa.Array) -> pa.Array:

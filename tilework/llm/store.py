@@ -1,51 +1,93 @@
 """Where intermediate results go: the shared folder that the cluster names.
 
-``spark.checkpoint.dir`` is read from the session; only where it is unset (tests
-on one machine) a temporary folder is set.
+``spark.checkpoint.dir`` is read from the session. Only where it is unset and
+Spark runs on this machine alone (tests) a temporary folder is made; on a cluster
+that is an error, as executors couldn't see it.
+
+Intermediate results are column files in that folder. They are read again by what
+is built on them, also after a lost executor, so they stay until the application
+ends or ``clear`` is called.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders written by each application, and the temporary folder of one on this machine.
+_WRITTEN: dict[str, list[str]] = {}
+_LOCAL: dict[str, str] = {}
+
+
+def _written(spark: SparkSession) -> list[str]:
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = []
+        atexit.register(clear, spark)
+    return _WRITTEN[app]
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilework-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="tilework-")
+        _written(spark).append(_LOCAL[sc.applicationId])
+    return _LOCAL[sc.applicationId]
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Whole texts go to Python in batches of so many rows; the session's setting is left alone unless it is Spark's default of 10,000."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; it goes with the application."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written(spark).append(path)
+    return path
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Compute once and read from the shared folder from then on; the frame and its path."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """written() without the path."""
+    return written(df, name)[0]
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and read from the shared folder from then on; survives lost executors, and Spark removes the files when the frame is gone."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """stored() without a name of its own."""
+    return stored(df, "part")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As materialise(), but as a compressed column file, for wide or large results."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def left_out(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids (doc_id: long). Texts stay where they are if the ids are few enough to be sent to every task."""
+    ids = materialise(ids.select(F.col("doc_id").alias("__tw_doc")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    return docs.join(ids, F.col("doc_id") == F.col("__tw_doc"), "left_anti")
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, wherever Spark has it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written(spark):
+        _written(spark).remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate results of this application; frames built on them can't be read any more."""
+    if spark.sparkContext._jsc is None:  # stopped before
+        return
+    for path in reversed([*_written(spark)]):
+        remove(spark, path)
+    _LOCAL.pop(spark.sparkContext.applicationId, None)
