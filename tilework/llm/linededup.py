@@ -12,7 +12,9 @@ apart by nothing: both count as the same place, and neither removes the other.
 Scale: one row of 32 bytes per window is shuffled, pre-aggregated to its first
 place; windows seen once are dropped before anything meets the texts. A window
 that very many documents share is a skewed join key against a single row, which
-adaptive execution splits. Per document only line numbers are gathered.
+adaptive execution splits. Per document only line numbers are gathered. The ids of
+documents with repeats are broadcast where they are at most ``broadcast_rows``, and
+only these documents' texts are shuffled; beyond that all are.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches
+from .store import materialise
 from .words import blocks, ngrams
 
 LINES = 3
@@ -48,19 +50,33 @@ def _window_rows(batches: Iterator[pa.RecordBatch], lines: int) -> Iterator[pa.R
 
 def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """doc_id and the first lines, from 0, of its windows that occurred before."""
-    bounded_batches(docs.sparkSession)
     windows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: _window_rows(it, lines), "h1 long, h2 long, doc_id long, line int")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where("struct(doc_id, line) != first")
     return later.groupBy("doc_id").agg(F.collect_set("line").alias("__tw_starts"))
 
 
-def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
+def _stays(text: Column, starts: Column, lines: int) -> list[Column]:
+    """Text, n_lines and n_removed when the windows at starts go (null: none)."""
+    parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    gone = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (lines - 1)))))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i)), "\n")
+    return [F.when(starts.isNull(), text).otherwise(left).alias("text"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
+
+
+def line_dedup(docs: DataFrame, lines: int = LINES, broadcast_rows: int = 500_000) -> DataFrame:
     """docs with text replaced by what stays, and the columns n_lines and n_removed (long). Other columns stay as they are."""
-    starts = repeated_lines(docs, lines).withColumnRenamed("doc_id", "__tw_doc")
-    gone = F.expr(f"array_distinct(flatten(transform(__tw_starts, s -> sequence(s, s + {lines - 1}))))")
-    out = docs.join(starts, F.col("doc_id") == F.col("__tw_doc"), "left").withColumn("__tw_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("__tw_gone", gone)
-    stays = F.expr("array_join(transform(array_except(sequence(0, size(__tw_lines) - 1), __tw_gone), i -> get(__tw_lines, i)), '\n')")
-    out = out.withColumns({"text": F.when(F.col("__tw_gone").isNull(), F.col("text")).otherwise(stays), "n_lines": F.size("__tw_lines").cast("long"), "n_removed": F.coalesce(F.size("__tw_gone"), F.lit(0)).cast("long")})
+    starts = materialise(repeated_lines(docs, lines).withColumnRenamed("doc_id", "__tw_doc"))
+    same = F.col("doc_id") == F.col("__tw_doc")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*own, "n_lines", "n_removed")
+
+    def result(rows: DataFrame, found: Column) -> DataFrame:
+        text, n_lines, n_removed = _stays(F.col("text"), found, lines)
+        return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in own], n_lines, n_removed)
+
+    if starts.count() > broadcast_rows:
+        return result(docs.join(starts, same, "left"), F.col("__tw_starts"))
+    # few documents have repeats: only their texts are shuffled
+    ids = F.broadcast(starts.select("__tw_doc"))
+    touched = docs.join(ids, same, "left_semi").join(starts, same)
+    return result(docs.join(ids, same, "left_anti"), F.lit(None).cast("array<int>")).unionByName(result(touched, F.col("__tw_starts")))
