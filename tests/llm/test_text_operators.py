@@ -1,10 +1,12 @@
 """Operators on documents against plain Python, on odd rows and on generated texts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
@@ -103,6 +105,80 @@ def test_quality_fences_follow_their_group(spark):
     assert 5001 in kept and 5000 not in kept and len(kept) == 601
 
 
+def bucket_of(v):
+    shift = max(v.bit_length() - 7, 0)
+    return v >> shift << shift
+
+
+def plain_verdicts(docs, prior=quality.PRIOR):
+    """Verdicts of the adaptive rules by plain Python on (id, lang, source, counts), with exact fractions."""
+    rate = lambda m, r: 1000 * m[r.count] // max(m[r.of], 1)
+    values = {r.name: (lambda m, r=r: rate(m, r)) for r in quality.RULES} | {x: (lambda m, x=x: m[x]) for x in ("n_words", "n_lines")}
+    counted = [(lang, source, m) for _, lang, source, m in docs if m["n_words"]]
+    out, quartiles = {}, {}
+    for name, value in values.items():
+        of = lambda keep: Counter(bucket_of(value(m)) for a, b, m in counted if keep(a, b))
+        every = of(lambda a, b: True)
+        for lang, source in {(a, b) for a, b, _ in counted}:
+            by_lang, own = of(lambda a, b: a == lang), of(lambda a, b: (a, b) == (lang, source))  # noqa: B023
+            lang_share = {k: Fraction(by_lang[k] * every.total() + prior * n, (by_lang.total() + prior) * every.total()) for k, n in every.items()}
+            share, run, q = {k: own[k] + prior * lang_share[k] for k in every}, 0, {}
+            for k in sorted(share):
+                run += share[k]
+                for part in (1, 2, 3):
+                    if 4 * run >= part * (own.total() + prior):
+                        q.setdefault(part, k)
+            quartiles[lang, source, name] = q[1], q[2], q[3]
+    for i, lang, source, m in docs:
+        out[i] = bool(m["n_words"]) and not (m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"])
+        for r in quality.RULES if out[i] else ():
+            q1, q2, q3 = quartiles[lang, source, r.name]
+            spread = max(min(q3 - q2, q2 - q1), math.ceil(Fraction(1000, min(quartiles[lang, source, r.of][1], max(m[r.of], 1)))))
+            value = bucket_of(rate(m, r))
+            out[i] &= value <= q2 + r.reach * spread and (not r.low or value >= q2 - r.reach * spread)
+    return out
+
+
+def test_quality_fences_of_every_rule_follow_their_group(spark):
+    """Groups of 300 that differ in symbols, repeated lines, stutter and word length: the same texts pass in one and fail in the other."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 6)))
+
+    def text(words=80, symbols=0, dup=0, stutter=0, lines=10, longer=0):
+        w = [word() + "z" * longer for _ in range(words)]
+        for k in range(stutter):
+            w[2 * k + 1] = w[2 * k]
+        w = [x + "#" * (k < symbols) for k, x in enumerate(w)]
+        out = [" ".join(w[k * words // lines : (k + 1) * words // lines]) for k in range(lines)]
+        return "\n".join(out[: lines - dup] + out[:1] * dup)
+
+    usual = {"plain": {}, "code": {"symbols": (20, 60)}, "poems": {"dup": (3, 7), "lines": (20, 20)}, "chat": {"stutter": (8, 20)}, "law": {"longer": (5, 6)}}
+    odd = {"code": {"symbols": 50}, "poems": {"dup": 6, "lines": 20}, "chat": {"stutter": 18}, "law": {"longer": 6}}
+    docs, i = [], 0
+    for source, kinds in usual.items():
+        for _ in range(300):
+            docs.append((i := i + 1, text(**{k: r.randint(*v) for k, v in kinds.items()}), "en", source))
+    for source, kinds in odd.items():
+        docs += [(i := i + 1, text(**kinds), "en", s) for s in (source, "plain")]
+    docs += [(i := i + 1, text(words=25, symbols=6, lines=2), "en", "plain"), (i := i + 1, text(symbols=3), None, None), (i := i + 1, "", "xx", "one")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    measured = quality.quality_verdicts(df).collect()
+    of = {x[0]: (x[2] or "", x[3] or "") for x in docs}
+    expected = plain_verdicts([(x.doc_id, *of[x.doc_id], x.asDict()) for x in measured])
+    assert {x.doc_id: x.kept for x in measured} == expected and {x.doc_id for x in quality.quality_filter(df).collect()} == {k for k, v in expected.items() if v}
+    at = 1500
+    for source in odd:
+        if source != "poems":  # of 20 lines, eight repeated ones may always pass
+            assert expected[at + 1] and not expected[at + 2], source
+        at += 2
+    assert expected[at + 1] and 3 <= sum(not x.kept and not x.base_failed for x in measured) <= 8
+
+
+def test_quality_filter_on_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"some plain words {10 + i} " * 3 + " ".join(f"w{10 + i}x{k}" for k in range(30)), "en", "s", 1, 2, "c") for i in range(30)], "doc_id long, text string, lang string, source string, mid_symbols long, bucket long, rule string")
+    assert quality.quality_filter(docs).columns == docs.columns and quality.quality_filter(docs).count() == 30 and quality.quality_verdicts(docs).count() == 30
+
+
 def plain_line_dedup(docs):
     first, gone = {}, {i: set() for i, _ in docs}
     for i, t in sorted(docs):
@@ -117,8 +193,10 @@ def plain_line_dedup(docs):
 def test_line_dedup(spark, odd, none):
     r = random.Random(2)
     docs = [(i, "\n".join(r.choice(["a", "b b", "c", "", " "]) for _ in range(r.randint(0, 9)))) for i in range(150)] + [(200, None), (201, "z\n" * 10)]
-    found = linededup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in found.collect()} == plain_line_dedup(docs)
+    for few in (500_000, 0):
+        found = linededup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_rows=few)
+        assert {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in found.collect()} == plain_line_dedup(docs)
+    assert [x.n_removed for x in linededup.line_dedup(spark.createDataFrame([(None, "a\nb\nc\nd")] * 2, "doc_id long, text string")).collect()] == [0, 0]
     out = linededup.line_dedup(odd)
     assert out.count() == odd.count() and "component_id" in out.columns and linededup.line_dedup(none).count() == 0
     by_id = {x.doc_id: x for x in out.collect()}
@@ -139,15 +217,22 @@ def test_decontamination(spark, odd, none):
             t[at:at] = [w.upper() for w in item] if r.random() < 0.3 else item
         docs.append((i, " ".join(t)))
     grams = lambda t: {tuple(w[k : k + 5]) for w in [split((t or "").lower())] for k in range(len(w) - 4)}
-    expected = [(i, j, len(grams(q)), len(grams(t) & grams(q))) for i, t in docs for j, q in items if grams(q) and 100 * len(grams(t) & grams(q)) >= 80 * len(grams(q))]
+    docs += [(None, "NOT FOUR words Here"), (None, "only\nfour words here it is"), (None, None)]
+    expected = {(i, j, len(grams(q)), len(grams(t) & grams(q))) for i, t in docs for j, q in items if grams(q) and 100 * len(grams(t) & grams(q)) >= 80 * len(grams(q))}
+    short = {j: split((q or "").lower()) for j, q in items if 0 < len(split(q)) < 5}
+    runs = lambda t, n: [split((t or "").lower())[k : k + n] for k in range(len(split(t)) - n + 1)]
+    expected = [*expected, *{(i, j, 1, 1) for i, t in docs for j, w in short.items() if w in runs(t, len(w))}]
     d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert len(expected) > 50 and rows(decontaminate.contained_items(d, q)) == sorted(expected, key=str)
     assert rows(decontaminate.contained_items(d, q, block_shingles=100)) == sorted(expected, key=str)
-    clean = decontaminate.decontaminate(d, q)
-    assert {x.doc_id for x in clean.collect()} == {i for i, _ in docs} - {x[0] for x in expected}
+    assert rows(decontaminate.contained_items(d, q, min_words=5)) == sorted((x for x in expected if x[1] not in short), key=str)
+    for clean in (decontaminate.decontaminate(d, q), decontaminate.decontaminate(d, q, block_shingles=100)):
+        left = clean.collect()
+        assert {x.doc_id for x in left} - {None} == {i for i, _ in docs} - {x[0] for x in expected} - {None}
+        assert [x.text for x in left if x.doc_id is None] == ["NOT FOUR words Here", None] or len([1 for x in left if x.doc_id is None]) == 2
     assert decontaminate.contained_items(odd, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
     same = decontaminate.contained_items(odd, odd.select(F.col("doc_id").alias("item_id"), "text"))
-    assert {(9, 10), (11, 9)} <= {(x.doc_id, x.item_id) for x in same.collect()}
+    assert {(9, 10), (11, 9), (None, 9)} <= {(x.doc_id, x.item_id) for x in same.collect()}
     assert decontaminate.decontaminate(odd, q).columns == odd.columns
 
 
@@ -172,17 +257,51 @@ def plain_components(docs, percent=80):
     return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("block_rows, salt_rows, few", [(1500, 50_000, 500_000), (4, 3, 0)])
-def test_ngram_join(spark, odd, none, monkeypatch, block_rows, salt_rows, few):
-    """Also with tiles of a few rows, salted shingles and without broadcasts."""
+@pytest.mark.parametrize("block_rows, salt_rows, group, few", [(1500, 50_000, 64, 500_000), (4, 3, 64, 0), (1500, 50_000, 2, 500_000), (8, 10, 5, 500_000)])
+def test_ngram_join(spark, odd, none, monkeypatch, block_rows, salt_rows, group, few):
+    """Also with tiles of a few rows, salted shingles, ties in place of pairs, and without broadcasts."""
+    monkeypatch.setattr(ngramjoin, "WHOLE_ROWS", min(block_rows, 64))
     monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", block_rows)
     monkeypatch.setattr(ngramjoin, "SALT_ROWS", salt_rows)
+    monkeypatch.setattr(ngramjoin, "GROUP", group)
     docs = generated(250, 11, vocabulary=40, longest=80) + [(i + 1000, t.upper()) for i, t in generated(40, 11, vocabulary=40, longest=80)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngramjoin.ngram_jaccard_components(df, broadcast_rows=few).collect()}
     expected = plain_components(docs)
     assert found == expected and len({c for _, c, _ in expected.values()}) < len(docs) - 50
-    assert {x.doc_id for x in ngramjoin.one_of_each(df).collect()} == {c for _, c, _ in expected.values()}
+    assert {x.doc_id for x in ngramjoin.one_of_each(df, broadcast_rows=few).collect()} == {c for _, c, _ in expected.values()}
+
+
+def test_ngram_join_compares_few_pairs(spark):
+    """Candidates of the three orders stay near the links, also where texts share passages, and don't grow faster than the texts."""
+    r = random.Random(7)
+
+    def corpus(groups):
+        passages = [[f"p{k}x{i}" for i in range(20)] for k in range(groups // 4)]
+        docs = []
+        for g in range(groups):
+            base = [f"g{g}w{i}" for i in range(100)]
+            for k in (r.randrange(len(passages)), r.randrange(len(passages))):
+                at = r.randrange(80)
+                base[at:at] = passages[k]
+            for c in range(r.choice([1, 1, 2, 3, 9])):
+                t = base.copy()
+                for _ in range(c and r.randint(1, 2)):
+                    t[r.randrange(len(t))] = f"edit{r.randrange(10**6)}"
+                docs.append((len(docs), " ".join(t)))
+        return docs
+
+    shares = []
+    for groups in (40, 400):
+        docs = corpus(groups)
+        texts = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        n = ngramjoin.range_count(texts)
+        found = ngramjoin.candidates(texts, n, 80, ngramjoin.frequencies(texts, ngramjoin._shingles, n, 6))
+        links = sum(x.n_links for x in ngramjoin.ngram_jaccard_components(texts).collect()) // 2
+        assert found.where("orders = 0").count() == 0 and links > groups
+        shares.append(found.count() / links)
+    print(shares)
+    assert max(shares) < 1.5
 
 
 def test_ngram_join_of_a_large_group(spark):

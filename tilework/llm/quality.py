@@ -1,15 +1,22 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 1. One Arrow pass counts words, symbols, repeated lines and so on for each text.
-2. Each rate, in thousandths, goes to a quantile sketch per (lang, source): a
+2. Each rate, in thousandths, goes to a quantile sketch per (lang, source), and so
+   do the numbers of words and lines that rates are taken of: a
    histogram whose buckets are exact below 128 and keep seven significant bits
    above, so a quantile is at most 1/64 too low. Sketches are plain counts;
    merging two is adding them up, and the order of merging doesn't matter.
-   Groups under ``min_rows`` merge into their language, small languages into all.
-3. A rate is an outlier beyond ``median + 8 * spread + slack`` (or below, for
-   word length), spread being the smaller distance from the median to a
-   quartile, so that junk in one tail can't widen its own fence.
-4. The fences are joined back to the documents by (lang, source).
+3. A group's sketch is merged with that of its language, weighing as much as
+   ``prior`` rows, and this one with that of all rows in the same way. So a small
+   group leans on its language and a large one on itself, without a switch.
+4. A rate is an outlier beyond ``median + reach * spread`` (or below, for word
+   length). The spread is the smaller distance from the median to a quartile, so that
+   junk in one tail can't widen its own fence, and no less than what one more of the
+   counted things is worth: in a text of the group's median size, or in this
+   text if it is shorter. So all thresholds follow from the sketches; where a thing
+   is rare, ``reach`` occurrences in a text of usual size pass and more don't. Rates
+   are compared by their buckets, as the quantiles are known no better.
+5. The fences are joined back to the documents by (lang, source).
 
 The sketch table has a row per group and bucket; rows per group are bounded
 (about 64 buckets per doubling), and a hot group is pre-aggregated before the
@@ -28,33 +35,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, materialise
+from .store import materialise
 from .words import Block, blocks, covered
 
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, n_stutter bigint"
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")]
+#: Rows that the sketch of the language weighs beside a group's own, and that of all rows beside a language's.
+PRIOR = 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rate per thousand of two counts, and on which sides outliers are rejected."""
+    """A rate per thousand of two counts, how many spreads pass, and whether low outliers are rejected too."""
 
     name: str
     count: str
     of: str
-    slack: int
+    reach: int
     low: bool = False
-    high: bool = True
 
 
+#: Repeated words need no rule here: the base rule takes them.
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 500, low=True),
-    Rule("symbols", "n_symbols", "n_words", 100),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 400),
-    Rule("repeats", "n_repeat_words", "n_words", 300),
-    Rule("stutter", "n_stutter", "n_words", 100),
+    Rule("word_length", "word_chars", "n_words", 12, low=True),
+    Rule("symbols", "n_symbols", "n_words", 8),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 8),
+    Rule("stutter", "n_stutter", "n_words", 8),
 )
 
 
@@ -103,7 +111,6 @@ def _measures(text: pa.Array) -> pa.Array:
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column ``__tw_m`` of counts."""
-    bounded_batches(docs.sparkSession)
     counts = F.arrow_udf(_measures, f"struct<{MEASURES.replace(' bigint', ':bigint')}>")
     return docs.withColumn("__tw_m", counts(F.col(text)))
 
@@ -117,48 +124,48 @@ def _bucket(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 
-def fences(measures: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: int = 200, reach: int = 8) -> DataFrame:
-    """Per (lang, source) and rule the lowest and highest rate that passes.
+def fences(measures: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR) -> DataFrame:
+    """Per (lang, source) the median and spread of each rule's rate, and the median of what it is a rate of.
 
     measures: lang, source (not null) and the counts; texts without words are left out of the sketches.
-    Returns lang, source, a column ``low_<rule>`` and ``high_<rule>`` for each rule.
+    Returns lang, source, a column ``mid_<rule>``, ``spread_<rule>`` and ``usual_<rule>`` for each rule.
     """
-    rates = F.array(*[F.struct(F.lit(i).alias("rule"), _bucket(_rate(r)).alias("bucket")) for i, r in enumerate(rules)])
-    cells = measures.where("n_words > 0").select("lang", "source", F.inline(rates))
+    sizes = sorted({r.of for r in rules})
+    values = [_rate(r) for r in rules] + [F.col(x) for x in sizes]
+    cells = measures.where("n_words > 0").select("lang", "source", F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), _bucket(v).alias("bucket")) for i, v in enumerate(values)])))
     sketch = materialise(cells.groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n")))
 
-    by = ["lang", "source"]
-    sizes = sketch.where("rule = 0").groupBy(*by).agg(F.sum("n").alias("rows"))
-    sizes = sizes.withColumn("lang_rows", F.sum("rows").over(Window.partitionBy("lang")))
-    level = F.when(F.col("rows") >= min_rows, 0).when(F.col("lang_rows") >= min_rows, 1).otherwise(2)
-    groups = sizes.select(*by, level.alias("level"))
-
-    def quantiles(keys: list[str], at: int) -> DataFrame:
-        """Quartiles of sketches merged by keys."""
-        merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys, "rule")
-        run = merged.withColumn("to", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-        q = lambda k: F.min(F.when(F.col("to") * 4 >= F.col("all") * k, F.col("bucket")))
-        out = run.groupBy(*keys, "rule").agg(q(1).alias("q1"), q(2).alias("q2"), q(3).alias("q3"))
-        wanted = groups.where(F.col("level") == at)
-        return wanted.join(out, keys).select(*by, "rule", "q1", "q2", "q3") if keys else wanted.crossJoin(F.broadcast(out)).select(*by, "rule", "q1", "q2", "q3")
-
-    q = quantiles(by, 0).unionByName(quantiles(["lang"], 1)).unionByName(quantiles([], 2))
-    spread = F.least(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1"))
+    whole = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731  products of three counts
+    everywhere = sketch.groupBy("rule", "bucket").agg(F.sum("n").alias("n_all"))  # at most some thousand rows
+    by_lang = sketch.groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n_lang"))
+    groups = sketch.groupBy("lang", "source", "rule").agg(F.sum("n").alias("rows"))
+    groups = groups.join(by_lang.groupBy("lang", "rule").agg(F.sum("n_lang").alias("lang_rows")), ["lang", "rule"])
+    groups = groups.join(everywhere.groupBy("rule").agg(F.sum("n_all").alias("all_rows")), "rule")
+    merged = groups.join(F.broadcast(everywhere), "rule").join(by_lang, ["lang", "rule", "bucket"], "left").join(sketch, ["lang", "source", "rule", "bucket"], "left").fillna(0, ["n_lang", "n"])
+    lang_weight = (whole("lang_rows") + prior) * whole("all_rows")
+    weight = whole("n") * lang_weight + prior * (whole("n_lang") * whole("all_rows") + prior * whole("n_all"))
+    merged = merged.select("lang", "source", "rule", "bucket", weight.alias("w"), ((whole("rows") + prior) * lang_weight).alias("all"))
+    run = merged.withColumn("to", F.sum("w").over(Window.partitionBy("lang", "source", "rule").orderBy("bucket")))
+    q = lambda k: F.min(F.when(F.col("to") * 4 >= F.col("all") * k, F.col("bucket")))
+    found = run.groupBy("lang", "source", "rule").agg(q(1).alias("q1"), q(2).alias("q2"), q(3).alias("q3"))
     wide = []
     for i, r in enumerate(rules):
-        of = lambda c, i=i: F.max(F.when(F.col("rule") == i, c))
-        wide += [of(F.col("q2") - reach * spread - r.slack).alias(f"low_{r.name}"), of(F.col("q2") + reach * spread + r.slack).alias(f"high_{r.name}")]
-    return q.groupBy(*by).agg(*wide)
+        of = lambda c, i: F.max(F.when(F.col("rule") == i, c))
+        wide += [of(F.col("q2"), i).alias(f"mid_{r.name}"), of(F.least(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1")), i).alias(f"spread_{r.name}")]
+        wide.append(of(F.col("q2"), len(rules) + sizes.index(r.of)).alias(f"usual_{r.name}"))
+    return found.groupBy("lang", "source").agg(*wide)
 
 
-def _passes(rules: tuple[Rule, ...], m: str = "") -> Column:
+def _passes(rules: tuple[Rule, ...], m: str = "", f: str = "") -> Column:
+    """m, f: prefixes of the counts and of the fences."""
     ok = F.lit(True)
     for r in rules:
+        size = f"least({f}usual_{r.name}, greatest({m}{r.of}, 1))"
+        reach = r.reach * F.greatest(F.expr(f"{f}spread_{r.name}"), F.expr(f"(999 + {size}) div {size}"))
+        rate, middle = _bucket(_rate(r, m)), F.expr(f"{f}mid_{r.name}")
+        ok &= rate <= middle + reach
         if r.low:
-            ok &= _rate(r, m) >= F.col(f"low_{r.name}")
-        if r.high:
-            ok &= _rate(r, m) <= F.col(f"high_{r.name}")
+            ok &= rate >= middle - reach
     return ok
 
 
@@ -170,22 +177,22 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__tw_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__tw_source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
 
 
-def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: int = 200) -> DataFrame:
+def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR) -> DataFrame:
     """A row per document: doc_id, its counts, base_failed, kept."""
     m = materialise(with_measures(docs.select("doc_id", "lang", "source", "text")).selectExpr("doc_id", "coalesce(cast(lang as string), '') as lang", "coalesce(cast(source as string), '') as source", "__tw_m.*"))
     # a text without words is in no sketch: its group may be missing, and it fails anyway
-    joined = m.join(fences(m, rules, min_rows), ["lang", "source"], "left")
+    joined = m.join(fences(m, rules, prior), ["lang", "source"], "left")
     return joined.select("doc_id", *_NAMES, _base_failed().alias("base_failed"), (~_base_failed() & F.coalesce(_passes(rules), F.lit(False))).alias("kept"))
 
 
-def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_rows: int = 200, broadcast_groups: int = 100_000) -> DataFrame:
+def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR, broadcast_groups: int = 100_000) -> DataFrame:
     """The rows of docs that are kept, with all their columns.
 
     The counts are made twice, so that no text is shuffled, unless there are more groups than may be broadcast.
     """
     keyed = with_measures(_keys(docs))
-    limits = fences(with_measures(docs.select("lang", "source", "text")).selectExpr("coalesce(cast(lang as string), '') as lang", "coalesce(cast(source as string), '') as source", "__tw_m.*"), rules, min_rows)
-    limits = materialise(limits.withColumnsRenamed({"lang": "__tw_lang", "source": "__tw_source"}))
+    limits = fences(with_measures(docs.select("lang", "source", "text")).selectExpr("coalesce(cast(lang as string), '') as lang", "coalesce(cast(source as string), '') as source", "__tw_m.*"), rules, prior)
+    limits = materialise(limits.select(F.col("lang").alias("__tw_lang"), F.col("source").alias("__tw_source"), F.struct(*[c for c in limits.columns if c not in ("lang", "source")]).alias("__tw_f")))
     limits = F.broadcast(limits) if limits.count() <= broadcast_groups else limits
-    kept = keyed.where(~_base_failed("__tw_m.")).join(limits, ["__tw_lang", "__tw_source"], "inner").where(_passes(rules, "__tw_m."))
+    kept = keyed.where(~_base_failed("__tw_m.")).join(limits, ["__tw_lang", "__tw_source"], "inner").where(_passes(rules, "__tw_m.", "__tw_f."))
     return kept.select(*docs.columns)

@@ -16,7 +16,7 @@ from .linededup import line_dedup
 from .ngramjoin import ngram_jaccard_components
 from .packing import Packing, pack
 from .pii import detect
-from .quality import RULES, quality_verdicts
+from .quality import PRIOR, RULES, quality_verdicts
 from .store import fresh_path, remove
 from .substring import substring_dedup
 from .urls import rules_of, url_verdicts
@@ -109,10 +109,12 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP1 = f"""
-WITH d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s
-           FROM (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents)),
-b AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s
-      FROM (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark)),
+WITH k AS (SELECT 5 AS k UNION SELECT DISTINCT len(w) FROM (SELECT {_WORDS.format(_LOWER)} AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND 4),
+d AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s
+           FROM (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents), k),
+q AS (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+      FROM q WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared
 FROM d JOIN b USING (s) JOIN n USING (item_id)
@@ -121,20 +123,17 @@ GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 
 
 def _op2_sql() -> str:
-    rate = {r.name: f"(1000 * {r.count} // greatest({r.of}, 1))" for r in RULES}
-    cells = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rule, {v} AS v FROM m WHERE n_words > 0" for k, v in rate.items())
-    low = {r.name for r in RULES if r.low}
-    slack = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.slack}" for r in RULES) + " END"
-    fails = " OR ".join(f"(rule = '{r.name}' AND (v > hi{' OR v < lo' if r.name in low else ''}))" for r in RULES)
+    sizes = sorted({r.of for r in RULES})
+    values = {r.name: f"(1000 * {r.count} // greatest({r.of}, 1))" for r in RULES} | {x: x for x in sizes}
+    cells = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rule, {v} AS v FROM m WHERE n_words > 0" for k, v in values.items())
     quart = "min(CASE WHEN upto * 4 >= total * {0} THEN bucket END) AS q{0}"
-    levels = " UNION ALL ".join(
-        f"""SELECT g.lang, g.source, x.rule, q1, q2, q3 FROM g JOIN (
-          SELECT {keys}rule, {quart.format(1)}, {quart.format(2)}, {quart.format(3)} FROM (
-            SELECT {keys}rule, bucket, sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS total
-            FROM (SELECT {keys}rule, bucket, sum(n) AS n FROM sketch GROUP BY {keys}rule, bucket)) GROUP BY {keys}rule) x
-          ON {on} WHERE g.level = {i}"""
-        for i, (keys, on) in enumerate((("lang, source, ", "g.lang = x.lang AND g.source = x.source"), ("lang, ", "g.lang = x.lang"), ("", "true")))
-    )
+    bucket = "(({0}) >> greatest(length(bin({0})) - 7, 0) << greatest(length(bin({0})) - 7, 0))"
+    fails = []
+    for r in RULES:
+        rate = bucket.format(values[r.name])
+        reach = f"{r.reach} * greatest(least(f.q3 - f.q2, f.q2 - f.q1), ceil(1000.0 / least((SELECT u.q2 FROM f u WHERE u.lang = m.lang AND u.source = m.source AND u.rule = '{r.of}'), greatest(m.{r.of}, 1)))::BIGINT)"
+        low = f" OR {rate} < f.q2 - {reach}" if r.low else ""
+        fails.append(f"SELECT m.doc_id FROM m JOIN f ON f.lang = m.lang AND f.source = m.source AND f.rule = '{r.name}' WHERE {rate} > f.q2 + {reach}{low}")
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {_WORDS.format('text')} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
@@ -146,14 +145,17 @@ m AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i-1]))::BIGINT AS n_stutter
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 c AS ({cells}),
-sketch AS (SELECT lang, source, rule, v >> greatest(length(bin(v)) - 7, 0) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n FROM c GROUP BY ALL),
-g AS (SELECT lang, source, CASE WHEN n >= 200 THEN 0 WHEN sum(n) OVER (PARTITION BY lang) >= 200 THEN 1 ELSE 2 END AS level
-  FROM (SELECT lang, source, sum(n) AS n FROM sketch WHERE rule = '{RULES[0].name}' GROUP BY ALL)),
-f AS (SELECT lang, source, rule, q2 - 8 * least(q3 - q2, q2 - q1) - {slack} AS lo, q2 + 8 * least(q3 - q2, q2 - q1) + {slack} AS hi FROM ({levels})),
-bad AS (SELECT DISTINCT doc_id FROM c JOIN f USING (lang, source, rule) WHERE {fails}),
-v AS (SELECT m.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stutter, base_failed,
-  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM v
+own AS (SELECT lang, source, rule, {bucket.format('v')} AS bucket, count(*)::HUGEINT AS n FROM c GROUP BY ALL),
+al AS (SELECT rule, bucket, sum(n)::HUGEINT AS n, (SELECT sum(n) FROM own o WHERE o.rule = own.rule)::HUGEINT AS total FROM own GROUP BY rule, bucket),
+la AS (SELECT lang, rule, bucket, sum(n)::HUGEINT AS n FROM own GROUP BY ALL),
+gr AS (SELECT lang, source, rule, sum(n)::HUGEINT AS rows, (SELECT sum(n) FROM own o WHERE o.rule = own.rule AND o.lang = own.lang)::HUGEINT AS lang_rows FROM own GROUP BY lang, source, rule),
+mix AS (SELECT gr.lang, gr.source, gr.rule, al.bucket, coalesce(own.n, 0) * (lang_rows + {PRIOR}) * al.total + {PRIOR} * (coalesce(la.n, 0) * al.total + {PRIOR} * al.n) AS w, (rows + {PRIOR}) * (lang_rows + {PRIOR}) * al.total AS total
+  FROM gr JOIN al ON al.rule = gr.rule LEFT JOIN la ON la.lang = gr.lang AND la.rule = gr.rule AND la.bucket = al.bucket
+  LEFT JOIN own ON own.lang = gr.lang AND own.source = gr.source AND own.rule = gr.rule AND own.bucket = al.bucket),
+f AS (SELECT lang, source, rule, {quart.format(1)}, {quart.format(2)}, {quart.format(3)} FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto FROM mix) GROUP BY lang, source, rule),
+bad AS ({" UNION ".join(fails)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stutter, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
 """
 
 
