@@ -20,3 +20,20 @@ def test_entry(spark, sf_dir):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(__spark_entry__.queries())
+
+
+def test_entry_survives_a_corpus_package_that_cannot_be_imported(monkeypatch):
+    """Whatever raises ImportError there, the other queries stay."""
+    import builtins
+
+    import __spark_entry__
+
+    real = builtins.__import__
+
+    def refuse(name, *args, **kwargs):
+        if "llm" in name or name == "corpus_pipeline":
+            raise ImportError(name)
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", lambda name: refuse(name))
+    assert set(__spark_entry__.queries()) == set(catalogue.queries()) and set(__spark_entry__.oracle_sql()) == set(SQL)

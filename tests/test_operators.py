@@ -11,7 +11,7 @@ from tilework.operators import neighbours as NB
 from tilework.operators import predict as P
 from tilework.operators import report
 from tilework.operators import transform as T
-from tilework.sources import rawplanar
+from tilework.sources import rawplanar, reports
 from tilework.streaming import frames
 
 
@@ -89,12 +89,98 @@ def test_emulation_prevention_against_a_byte_loop(spark):
         assert (r.inserts, r.end_mark) == loop(streams[r.s])
 
 
-def test_prediction_of_simple_borders():
-    flat = np.full((1, 33), 77)
-    assert all((P.predict(flat, m) == 77).all() for m in range(P.MODES))
-    border = np.arange(33)[None, :] * 5
-    assert (P.predict(border, 26)[0, :, 1:] == border[0, 18:25]).all()
-    assert (P.predict(border, 10)[0, 1:, :] == border[0, 14:7:-1][:, None]).all()
+@pytest.mark.parametrize("n", [4, 8, 16, 32])
+def test_prediction_of_simple_borders(n):
+    flat = np.full((1, 4 * n + 1), 77)
+    assert all((P.predict(flat, m, n, chroma) == 77).all() for m in range(P.MODES) for chroma in (False, True))
+    border = np.arange(4 * n + 1)[None, :] % 251
+    assert (P.predict(border, 26, n)[0, :, 1:] == border[0, 2 * n + 2 : 3 * n + 1]).all()
+    assert (P.predict(border, 10, n)[0, 1:, :] == border[0, 2 * n - 2 : n - 1 : -1][:, None]).all()
+    # colour planes keep the first column and row as they are
+    assert (P.predict(border, 26, n, True)[0] == border[0, 2 * n + 1 : 3 * n + 1]).all()
+    assert len(np.unique(P.predict(border, 1, n, True))) == 1
+
+
+def plain_border(picture, x, y, n):
+    """Samples around the block at (x, y) of a dict of blocks, filled in sample by sample."""
+    at = [(n * x - 1, n * y + 2 * n - 1 - i) for i in range(2 * n)] + [(n * x - 1 + i, n * y - 1) for i in range(2 * n + 1)]
+    there = [picture[px // n, py // n][py % n, px % n] if (px // n, py // n) in picture else None for px, py in at]
+    first = next((v for v in there if v is not None), 128)
+    out = []
+    for v in there:
+        out.append(int(v) if v is not None else out[-1] if out else first)
+    return out
+
+
+@pytest.mark.parametrize("n", [4, 8, 16, 32])
+def test_borders_against_a_loop_over_samples(spark, n):
+    """Blocks at edges, holes and blocks without any neighbour."""
+    r = np.random.default_rng(n)
+    places = [(x, y) for x in range(4) for y in range(3) if r.random() < 0.7] + [(9, 9)]
+    picture = {p: r.integers(0, 256, (n, n)) for p in places}
+    labels = {p: int(r.integers(0, 35)) for p in places}
+    df = spark.createDataFrame([(i, *p, labels[p], picture[p].reshape(-1).tolist()) for i, p in enumerate(places)], "blk long, bx long, by long, label int, px array<int>")
+    found = P.borders(df, n).collect()
+    assert len(found) == len(places)
+    for f in found:
+        x, y = places[f.blk]
+        assert f.border == plain_border(picture, x, y, n) and f.px == picture[x, y].reshape(-1).tolist()
+        assert f.left_mode == labels.get((x - 1, y)) and f.top_mode == (labels.get((x, y - 1)) if y * n % 32 else None)
+
+
+def test_protected_bytes_against_a_byte_loop(spark):
+    rng = np.random.default_rng(6)
+    streams = [rng.choice([0, 0, 0, 1, 2, 3, 4, 255], rng.integers(0, 14)).astype(np.uint8).tobytes() for _ in range(300)]
+
+    def loop(data):
+        out = bytearray()
+        for b in data:
+            if out[-2:] == b"\0\0" and b <= 3:
+                out.append(3)
+            out.append(b)
+        return bytes(out)
+
+    df = spark.createDataFrame([(i, s.hex()) for i, s in enumerate(streams)], "i int, h string").select("i", X.protected_hex(F.col("h")).alias("h"))
+    assert all(bytes.fromhex(x.h) == loop(streams[x.i]) for x in df.collect())
+
+
+def test_chroma_qp_never_falls(spark):
+    qps = [x[0] for x in spark.range(52).select(X.chroma_qp(F.col("id").cast("int"))).collect()]
+    assert qps[:30] == [*range(30)] and qps[51] == 39 and qps == sorted(qps)
+
+
+def test_report_and_stream_sinks(spark, tmp_path):
+    table = spark.createDataFrame([(i, 1000 + i, 30.5 + i, 40.0, None) for i in range(40)], "frame_no int, bytes long, psnr_y double, psnr_cb double, psnr_cr double")
+    rows = reports.distortion_report(table, 25)
+    reports.write_tabs(rows, str(tmp_path / "rd"), ["place"])
+    (part,) = (tmp_path / "rd").glob("part-*")
+    lines = [x.split("\t") for x in part.read_text().splitlines()]
+    assert lines[0][:3] == ["frame", "kib", "psnr_y"] and [x[0] for x in lines[1:]] == [*map(str, range(40)), "avg"] and lines[-1][1:5] == [str(round(1019.5 * 25 / 1024, 6)), "50.0", "40.0", ""]
+    reports.write_tabs(rows, str(tmp_path / "many"), ["place"], files=3, header=False)
+    assert [x.split("\t")[0] for p in sorted((tmp_path / "many").glob("part-*")) for x in p.read_text().splitlines()] == [*map(str, range(40)), "avg"]
+
+    spark.dataSource.register(reports.ByteStream)
+    segments = [bytes([i]) * (i % 7) for i in range(30)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(segments)], "number long, data binary")
+    out = tmp_path / "stream"
+    df.repartitionByRange(4, "number").sortWithinPartitions("number").write.format("bytestream").mode("append").save(str(out))
+    assert b"".join(p.read_bytes() for p in sorted(out.glob("segments-*"))) == b"".join(segments)
+    with pytest.raises(Exception, match="exists"):
+        df.write.format("bytestream").mode("append").save(str(out))
+
+
+def test_overwriting_leaves_nothing_of_a_longer_clip(spark, tmp_path):
+    spark.dataSource.register(rawplanar.RawPlanar)
+    out = tmp_path / "clip"
+
+    def write(n):
+        df = spark.createDataFrame([(i, bytes([i]) * 64, b"c" * 16, b"d" * 16) for i in range(n)], rawplanar.SCHEMA)
+        df.repartitionByRange(3, "frame_no").sortWithinPartitions("frame_no").write.format("rawplanar").option("width", 8).option("height", 8).mode("overwrite").save(str(out))
+        return b"".join(bytes([i]) * 64 + b"c" * 16 + b"d" * 16 for i in range(n))
+
+    for n in (9, 4, 7):
+        expected = write(n)
+        assert b"".join(p.read_bytes() for p in sorted(out.iterdir())) == expected
 
 
 def test_mode_index_is_one_to_one(spark):
@@ -133,6 +219,8 @@ def test_plane_report(spark):
     b[1][3] ^= 3
     df = lambda x: spark.createDataFrame([(0, *(bytes(p) for p in x))], rawplanar.SCHEMA)
     row = report.plane_report(df(a), df(b)).first()
+    gone = report.plane_report(df(a).withColumn("cb", F.lit(None).cast("binary")), df(b)).first()
+    assert gone.psnr_cb is None and gone.psnr_y == row.psnr_y
     assert abs(row.psnr_y - 10 * np.log10(65025 * 64)) < 1e-9 and row.psnr_cr is None and row.psnr is None
     assert abs(row.psnr_cb - 10 * np.log10(65025 * 16 / int((int(a[1][3]) - int(b[1][3])) ** 2))) < 1e-9
 

@@ -64,17 +64,22 @@ def psnr(sse: Column, samples: int | Column) -> Column:
     return F.when(sse > 0, 10 * F.log10(F.lit(65025.0) * samples / sse))
 
 
-#: Fixed values of the public H.265 specification: chroma QP of the luma QPs 30 to 43.
-CHROMA_QP = (29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37, 37)
+#: Chroma QP of the luma QPs 30 to 51.
+CHROMA_QP = (29, 30, 31, 32, 32, 33, 34, 34, 35, 35, 36, 36, 37, 37, 37, 38, 38, 38, 39, 39, 39, 39)
 
 
 def chroma_qp(qp: Column) -> Column:
-    """QP of the colour planes."""
-    between = F.element_at(F.array(*map(F.lit, CHROMA_QP)), F.greatest(F.lit(1), F.least(F.lit(14), qp - 29)))
-    return F.when(qp < 30, qp).when(qp > 43, qp - 6).otherwise(between)
+    """QP of the colour planes for luma QPs of 0 to 51."""
+    return F.when(qp < 30, qp).otherwise(F.element_at(F.array(*map(F.lit, CHROMA_QP)), F.greatest(F.lit(1), qp - 29)))
 
 
 def bits_to_hex(bits: Column) -> Column:
     """Bytes of a string of bits whose length is a multiple of 8, as hexadecimal digits."""
     byte = lambda i: F.lpad(F.conv(F.substr(bits, (i * 8 + 1).cast("int"), F.lit(8)), 2, 16), 2, "0")
     return F.when(F.length(bits) == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), (F.length(bits) / 8).cast("int") - 1), byte), ""))
+
+
+def protected_hex(digits: Column) -> Column:
+    """Bytes (hexadecimal digits) with a byte 03 before each byte of at most 3 that follows two zero bytes, so that no start code arises."""
+    spaced = F.regexp_replace(F.upper(digits), "(..)", "$1 ")
+    return F.replace(F.regexp_replace(spaced, "00 00 (?=0[0-3])", "00 00 03 "), F.lit(" "), F.lit(""))

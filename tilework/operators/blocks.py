@@ -27,9 +27,23 @@ def sample_blocks(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", samples(F.col("embedding")).alias("px"))
 
 
+def grid_blocks(vectors: DataFrame, n: int, width: int = 10) -> DataFrame:
+    """blk, bx, by, label, px: blocks of n x n samples on a picture ``width`` blocks of 8 wide (larger blocks make up a picture of as many of their own). The label is that of the first vector."""
+    many = max(1, n // 8) ** 2
+    px = _squares(vectors.select("vec_id", samples(F.col("embedding")).alias("r")), n).withColumnRenamed("r", "px")
+    first = F.expr("blk div 4") if n == 4 else F.col("blk") * many
+    blk, q = F.col("blk"), F.col("blk") % 4
+    bx, by = (F.expr("blk div 4") % width * 2 + q % 2, F.expr(f"blk div {4 * width} * 2 + blk % 4 div 2")) if n == 4 else (blk % width, F.expr(f"blk div {width}"))
+    return px.withColumn("vec_id", first).join(vectors.select("vec_id", "label"), "vec_id").select("blk", bx.alias("bx"), by.alias("by"), "label", "px")
+
+
 def residual_blocks(vectors: DataFrame, n: int) -> DataFrame:
     """blk, r: residual blocks of n x n samples in raster order."""
-    base = vectors.select("vec_id", residuals(F.col("embedding")).alias("r"))
+    return _squares(vectors.select("vec_id", residuals(F.col("embedding")).alias("r")), n)
+
+
+def _squares(base: DataFrame, n: int) -> DataFrame:
+    """base (vec_id, r: 64 values) as blocks of n x n: blk, r."""
     if n == 8:
         return base.select(F.col("vec_id").alias("blk"), "r")
     if n == 4:

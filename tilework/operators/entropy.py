@@ -23,6 +23,27 @@ def group_flags(levels: DataFrame, n: int) -> DataFrame:
     return flags.join(seen, ["blk", "gy", "gx"], "left").select("blk", "gy", "gx", F.coalesce("ctx", F.lit(0)).alias("ctx"))
 
 
+#: Fixed values of the public H.265 specification: contexts of the places of a 4x4 block, in raster order.
+PLACES_4X4 = (0, 1, 4, 5, 2, 3, 4, 5, 6, 6, 8, 8, 7, 7, 8, 8)
+
+
+def significance_context(pattern: Column, kind: Column, x: Column, y: Column, size: Column, luma: Column) -> Column:
+    """Context of the flag that says whether the level at x, y isn't 0. pattern: as ctx of group_flags; kind: of the scan."""
+    u, v = x % 4, y % 4
+    near = lambda a: F.when(a == 0, 2).when(a == 1, 1).otherwise(0)
+    sum_ = u + v
+    count = F.when(pattern == 0, F.when(sum_ == 0, 2).when(sum_ <= 2, 1).otherwise(0)).when(pattern == 1, near(v)).when(pattern == 2, near(u)).otherwise(2)
+    base = F.when(size == 8, F.when(kind == "diag", 9).otherwise(15)).when(luma, 21).otherwise(12)
+    later = F.when(luma & ((x >= 4) | (y >= 4)), 3).otherwise(0)
+    small = F.element_at(F.array(*map(F.lit, PLACES_4X4)), (F.least(y, F.lit(3)) * 4 + F.least(x, F.lit(3)) + 1).cast("int"))
+    return F.when((x == 0) & (y == 0), 0).when(size == 4, small).otherwise(base + count + later)
+
+
+def coded_flag_context(size: Column, luma: Column) -> Column:
+    """Context of the flag of a transform block with levels."""
+    return F.when(luma & (size != 4), 1).otherwise(0)
+
+
 def context_state(value: Column, qp: Column) -> Column:
     """State of a context from its initial value: twice the distance from the middle, plus the likelier bin."""
     slope, offset = F.shiftright(value, 4) * 5 - 45, F.shiftleft(value.bitwiseAND(15), 3) - 16

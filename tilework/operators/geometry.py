@@ -17,6 +17,11 @@ def tile_bounds(tiles: DataFrame, block: int = 32) -> DataFrame:
     return tiles.withColumns({"first_pel": F.col("start") * block, "last_pel": (F.col("start") + F.col("size")) * block - 1})
 
 
+def largest_tile(tiles: DataFrame, *by: str) -> DataFrame:
+    """by, most: the largest size of tiles (size), which a buffer for any of them must hold."""
+    return tiles.groupBy(*by).agg(F.max("size").alias("most"))
+
+
 def block_start(number: Column, width: Column, block: int = 32) -> tuple[Column, Column]:
     """x and y of the block with that number in a frame so many blocks wide."""
     return (number % width) * block, F.floor(number / width).cast("long") * block

@@ -1,7 +1,11 @@
-"""Intra prediction of 8x8 blocks from a border of 33 samples, and the choice of a mode.
-
-The border runs from the lowest left sample up to the corner (16) and on to the right end. A
-direction reads it at fixed places, so all modes of a batch of blocks are one gather.
+"""Intra prediction of square blocks from the samples around them, and the choice of a mode.
+
+Blocks (n, blk, bx, by, label, px) lie on a grid. The border of a block of n x n has 4n + 1
+samples, from the lowest left one up to the corner (place 2n) and on to the right end. Where a
+neighbour isn't there, its part repeats the sample before it, a leading part the first sample
+that is there, and without any neighbour all are 128. A direction reads the border at fixed
+places, so all modes of a batch of blocks are one gather. Luma smooths the border by size and
+mode, and the edges of some modes; colour planes (``chroma``) do neither.
 """
 
 from __future__ import annotations
@@ -15,24 +19,24 @@ from pyspark.sql import functions as F
 
 from .neighbours import probable_modes
 
-N = 8
 MODES = 35
+CTU = 32
 #: Displacement per row of the modes 2 to 34, in 1/32 samples.
 ANGLES = (32, 26, 21, 17, 13, 9, 5, 2, 0, -2, -5, -9, -13, -17, -21, -26, -32, -26, -21, -17, -13, -9, -5, -2, 0, 2, 5, 9, 13, 17, 21, 26, 32)
 
 
 @lru_cache
-def places(mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def places(mode: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a direction: both border places that each sample mixes, and the weight of the second."""
-    angle, sign = ANGLES[mode - 2], 1 if mode >= 18 else -1
+    angle, sign, corner = ANGLES[mode - 2], 1 if mode >= 18 else -1, 2 * n
     inverse = round(8192 / angle) if angle else 0
 
     def at(k: int) -> int:
-        return 16 + sign * k if k >= 0 else 16 - sign * ((k * inverse + 128) >> 8)
+        return corner + sign * k if k >= 0 else corner - sign * ((k * inverse + 128) >> 8)
 
-    one, two, f = (np.zeros((N, N), np.int64) for _ in range(3))
-    for y in range(N):
-        for x in range(N):
+    one, two, f = (np.zeros((n, n), np.int64) for _ in range(3))
+    for y in range(n):
+        for x in range(n):
             i, j = (y, x) if sign > 0 else (x, y)
             k, f[y, x] = j + ((i + 1) * angle >> 5) + 1, (i + 1) * angle & 31
             one[y, x], two[y, x] = at(k), at(k + 1) if f[y, x] else at(k)
@@ -45,84 +49,110 @@ def smoothed(border: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(border: np.ndarray, mode: int) -> np.ndarray:
-    """(b, 33) borders to (b, 8, 8) predictions; planar and the diagonals use the smoothed border."""
-    if mode in (0, 2, 18, 34):
+def smooths(mode: int, n: int) -> bool:
+    """Whether luma of that size reads the smoothed border; as neighbours.uses_smoothing."""
+    far = min(abs(mode - 10), abs(mode - 26)) > {8: 7, 16: 1, 32: 0}.get(n, 99)
+    return n > 4 and mode != 1 and (mode == 0 or far)
+
+
+def predict(border: np.ndarray, mode: int, n: int, chroma: bool = False) -> np.ndarray:
+    """(b, 4n + 1) borders to (b, n, n) predictions."""
+    if not chroma and smooths(mode, n):
         border = smoothed(border)
-    left, top, corner = border[:, 15 : 15 - N : -1], border[:, 17 : 17 + N], border[:, 16]
+    c, log = 2 * n, n.bit_length() - 1
+    left, top, corner = border[:, c - 1 : c - 1 - n : -1], border[:, c + 1 : c + 1 + n], border[:, c]
     if mode == 0:
-        i = np.arange(N)
-        across = (N - 1 - i)[None, None, :] * left[:, :, None] + (i + 1)[None, None, :] * border[:, 17 + N][:, None, None]
-        down = (N - 1 - i)[None, :, None] * top[:, None, :] + (i + 1)[None, :, None] * border[:, 15 - N][:, None, None]
-        return (across + down + N) >> 4
+        i = np.arange(n)
+        across = (n - 1 - i)[None, None, :] * left[:, :, None] + (i + 1)[None, None, :] * border[:, c + 1 + n][:, None, None]
+        down = (n - 1 - i)[None, :, None] * top[:, None, :] + (i + 1)[None, :, None] * border[:, c - 1 - n][:, None, None]
+        return (across + down + n) >> log + 1
     if mode == 1:
-        dc = (left.sum(1) + top.sum(1) + N) >> 4
-        out = np.repeat(dc, N * N).reshape(-1, N, N)
-        out[:, 0, :], out[:, :, 0] = (top + 3 * dc[:, None] + 2) >> 2, (left + 3 * dc[:, None] + 2) >> 2
-        out[:, 0, 0] = (left[:, 0] + 2 * dc + top[:, 0] + 2) >> 2
+        dc = (left.sum(1) + top.sum(1) + n) >> log + 1
+        out = np.repeat(dc, n * n).reshape(-1, n, n)
+        if not chroma:
+            out[:, 0, :], out[:, :, 0] = (top + 3 * dc[:, None] + 2) >> 2, (left + 3 * dc[:, None] + 2) >> 2
+            out[:, 0, 0] = (left[:, 0] + 2 * dc + top[:, 0] + 2) >> 2
         return out
-    one, two, f = places(mode)
+    one, two, f = places(mode, n)
     out = ((32 - f) * border[:, one] + f * border[:, two] + 16) >> 5
-    if mode == 26:
+    if mode == 26 and not chroma:
         out[:, :, 0] = np.clip(top[:, :1] + ((left - corner[:, None]) >> 1), 0, 255)
-    elif mode == 10:
+    elif mode == 10 and not chroma:
         out[:, 0, :] = np.clip(left[:, :1] + ((top - corner[:, None]) >> 1), 0, 255)
     return out
 
 
-def borders(blocks: DataFrame, width: int = 10) -> DataFrame:
-    """blocks (vec_id, label, px) on a grid: those whose five neighbours are all there, with border, and the labels left and above."""
-    ref = lambda name, offset: blocks.select((F.col("vec_id") - offset).alias("vec_id"), F.col("px").alias(name), *([F.col("label").alias(f"{name}_label")] if name in ("l", "t") else []))
-    out = blocks
-    for name, offset in (("lb", width - 1), ("l", -1), ("tl", -width - 1), ("t", -width), ("tr", 1 - width)):
-        out = out.join(ref(name, offset), "vec_id")
-    right = lambda c: F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda y: F.get(F.col(c), y * 8 + 7))
-    border = F.concat(right("lb"), right("l"), F.array(F.get(F.col("tl"), F.lit(63))), F.slice("t", 57, 8), F.slice("tr", 57, 8))
-    return out.select("vec_id", "label", "px", F.col("l_label").alias("left_mode"), F.col("t_label").alias("top_mode"), border.alias("border"))
+#: Which parts of a border a block gives to others: name, offset of the receiver.
+GIVEN = (("left_low", 1, -1), ("left", 1, 0), ("corner", 1, 1), ("top", 0, 1), ("top_right", -1, 1))
+
+
+def borders(blocks: DataFrame, n: int) -> DataFrame:
+    """Each block with its border, and the labels of the blocks left and above (null where there are none; above also at the top of a tree block).
+
+    Blocks send the few samples that their neighbours need, so whole blocks are moved once, in one grouping by place.
+    """
+    px = F.col("px")
+    right = F.transform(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), lambda y: F.get(px, y * n + n - 1))
+    low = F.slice(px, n * n - n + 1, n)
+    edge = {"left_low": right, "left": right, "corner": F.slice(px, n * n, 1), "top": low, "top_right": low}
+    none = F.lit(None)
+    own = F.struct(F.lit("own").alias("part"), F.col("bx").alias("x"), F.col("by").alias("y"), F.col("blk").alias("blk"), F.col("label").alias("label"), px.alias("s"))
+    sent = [F.struct(F.lit(name).alias("part"), (F.col("bx") + dx).alias("x"), (F.col("by") + dy).alias("y"), none.cast("long").alias("blk"), F.col("label").alias("label"), edge[name].alias("s")) for name, dx, dy in GIVEN]
+    rows = blocks.select(F.inline(F.array(own, *sent)))
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    met = rows.groupBy("x", "y").agg(of("own", "blk").alias("blk"), of("own", "label").alias("label"), of("own", "s").alias("px"), of("left", "label").alias("left_mode"), of("top", "label").alias("above"), *[of(name, "s").alias(name) for name, *_ in GIVEN])
+    met = met.where(F.col("blk").isNotNull())
+    start = F.coalesce(*[F.get(name, F.lit(0)) for name, *_ in GIVEN], F.lit(128))
+    parts: list[Column] = []
+    for name, *_ in GIVEN:
+        before = F.element_at(parts[-1], -1) if parts else start
+        met = met.withColumn(name, F.coalesce(F.col(name), F.array_repeat(before, 1 if name == "corner" else n)))
+        parts.append(F.col(name))
+    top_mode = F.when(F.col("y") * n % CTU != 0, F.col("above"))
+    return met.select(F.lit(n).alias("n"), "blk", "label", "px", "left_mode", top_mode.alias("top_mode"), F.concat(*parts).alias("border"))
 
 
 def _rows(arrays: pa.Array, n: int) -> np.ndarray:
     return arrays.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, n)
 
 
-def predicted(border: Column, mode: int) -> Column:
-    """Prediction of one mode as an array of 64."""
+def predicted(border: Column, mode: int, n: int, chroma: bool = False) -> Column:
+    """Prediction of one mode as an array of n * n."""
 
     def run(b: pa.Array) -> pa.Array:
-        y = predict(_rows(b, 33), mode).astype(np.int32).reshape(-1)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(y) + 1, 64), pa.int32()), pa.array(y))
+        y = predict(_rows(b, 4 * n + 1), mode, n, chroma).astype(np.int32).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(y) + 1, n * n), pa.int32()), pa.array(y))
 
     return F.arrow_udf(run, "array<int>")(border)
 
 
-def mode_sads(border: Column, px: Column) -> Column:
+def mode_sads(border: Column, px: Column, n: int, chroma: bool = False) -> Column:
     """Sum of absolute differences under each of the 35 modes."""
 
     def run(b: pa.Array, p: pa.Array) -> pa.Array:
-        b, p = _rows(b, 33), _rows(p, 64)
-        y = np.stack([np.abs(predict(b, m).reshape(-1, 64) - p).sum(1) for m in range(MODES)], axis=1).astype(np.int32).reshape(-1)
+        b, p = _rows(b, 4 * n + 1), _rows(p, n * n)
+        y = np.stack([np.abs(predict(b, m, n, chroma).reshape(-1, n * n) - p).sum(1) for m in range(MODES)], axis=1).astype(np.int32).reshape(-1)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(y) + 1, MODES), pa.int32()), pa.array(y))
 
     return F.arrow_udf(run, "array<int>")(border, px)
 
 
-def decide(blocks: DataFrame, qp: int = 32, width: int = 10) -> DataFrame:
-    """vec_id, mode, cost: the cheapest mode, on equal cost the lowest. Modes that are likely from the neighbours cost less."""
-    b = borders(blocks, width).withColumn("cand", probable_modes(F.col("left_mode"), F.col("top_mode"))).withColumn("sads", mode_sads(F.col("border"), F.col("px")))
+def decide(blocks: DataFrame, n: int, qp: int = 32) -> DataFrame:
+    """n, blk, mode, cost: the cheapest mode, on equal cost the lowest. Labels are the neighbours' modes; modes that are likely from them cost less."""
+    b = borders(blocks, n).withColumn("cand", probable_modes(F.col("left_mode"), F.col("top_mode"))).withColumn("sads", mode_sads(F.col("border"), F.col("px"), n))
     bias = lambda m: F.when(m == F.get("cand", F.lit(0)), 1).when(F.array_contains("cand", m), 2).otherwise(3)
     best = F.array_min(F.transform("sads", lambda s, m: F.struct((s + qp * bias(m)).alias("cost"), m.alias("mode"))))
-    return b.select("vec_id", best["mode"].alias("mode"), best["cost"].alias("cost"))
+    return b.select("n", "blk", best["mode"].alias("mode"), best["cost"].alias("cost"))
 
 
-def decide_chroma(pairs: DataFrame, luma: DataFrame, width: int = 10) -> DataFrame:
-    """The best of five modes for two planes at once (pairs: vec_id, label, px and its second plane nxt), given the luma mode."""
-    one = borders(pairs.select("vec_id", "label", "px"), width).select("vec_id", mode_sads(F.col("border"), F.col("px")).alias("a"))
-    two = borders(pairs.select("vec_id", "label", F.col("nxt").alias("px")), width).select("vec_id", mode_sads(F.col("border"), F.col("px")).alias("b"))
-    both = one.join(two, "vec_id").join(luma.select("vec_id", F.col("mode").alias("luma")), "vec_id")
+def decide_chroma(one: DataFrame, two: DataFrame, luma: DataFrame, n: int) -> DataFrame:
+    """The best of five modes for two colour planes at once, given the luma mode (luma: blk, mode)."""
+    sads = lambda plane, name: borders(plane, n).select("blk", mode_sads(F.col("border"), F.col("px"), n, chroma=True).alias(name))
+    both = sads(one, "a").join(sads(two, "b"), "blk").join(luma.select("blk", F.col("mode").alias("luma")), "blk")
     fixed = F.transform(F.array(*map(F.lit, (0, 26, 10, 1))), lambda m: F.when(m == F.col("luma"), 34).otherwise(m))
     cost = F.transform(F.concat(fixed, F.array("luma")), lambda m, i: F.struct((F.get("a", m) + F.get("b", m)).alias("cost"), i.alias("i"), m.alias("mode")))
     best = F.array_min(cost)
-    return both.select("vec_id", best["mode"].alias("mode"), best["cost"].alias("cost"))
+    return both.select(F.lit(n).alias("n"), "blk", best["mode"].alias("mode"), best["cost"].alias("cost"))
 
 
 def quadtree(own: DataFrame, levels: int) -> DataFrame:

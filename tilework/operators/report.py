@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +41,21 @@ def wide(tiles: DataFrame, count: int) -> DataFrame:
 def plane_report(source: DataFrame, coded: DataFrame) -> DataFrame:
     """frame_no, psnr_y, psnr_cb, psnr_cr, psnr of frames (frame_no, y, cb, cr) and their coded version; null where planes are equal."""
 
+    def samples(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].astype(np.int64), at - at[0]
+
     def squares(a: pa.Array, b: pa.Array) -> pa.Array:
-        plane = lambda x: np.frombuffer(x, np.uint8).astype(np.int64)
-        return pa.array([int(((plane(x) - plane(y)) ** 2).sum()) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+        """Of whole batches at once; null where a plane is missing."""
+        missing = pc.or_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        a, b = (pc.if_else(pa.array(missing), pa.scalar(b"", pa.binary()), x) for x in (a, b))
+        (x, at), (y, other) = samples(a), samples(b)
+        if (at != other).any():
+            raise ValueError("planes differ in size")
+        total = np.zeros(len(x) + 1, np.int64)
+        np.cumsum((x - y) ** 2, out=total[1:])
+        return pa.array(np.diff(total[at]), mask=missing)
 
     names = ("y", "cb", "cr")
     both = source.join(coded.select("frame_no", *[F.col(n).alias(f"coded_{n}") for n in names]), "frame_no")

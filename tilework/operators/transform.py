@@ -76,9 +76,14 @@ def idct(c: Column, n: int, sine: bool = False) -> Column:
 
 
 def quantize(c: Column, qp: int, n: int) -> Column:
-    """Levels of coefficients: magnitudes are scaled with the rounding of intra blocks, signs put back."""
+    """Levels of coefficients: magnitudes are scaled with the rounding of intra blocks, signs put back, clipped to 16 bits."""
     bits = 14 + qp // 6 + 7 - (n.bit_length() - 1)
-    return F.transform(c, lambda x: (F.signum(x.cast("double")).cast("long") * F.shiftright(F.abs(x).cast("long") * QUANT[qp % 6] + (171 << bits - 9), bits)).cast("int"))
+    return F.transform(c, lambda x: clip(-32768, 32767, F.signum(x.cast("double")).cast("long") * F.shiftright(F.abs(x).cast("long") * QUANT[qp % 6] + (171 << bits - 9), bits)).cast("int"))
+
+
+def sum_of_levels(levels: Column) -> Column:
+    """Sum of their magnitudes (before clipping they are the same for 16-bit coefficients)."""
+    return F.aggregate(levels, F.lit(0).cast("long"), lambda a, x: a + F.abs(x))
 
 
 def dequantize(levels: Column, qp: int, n: int) -> Column:
@@ -91,6 +96,11 @@ def reconstruct(prediction: Column, residual: Column) -> Column:
     return F.zip_with(prediction, residual, lambda p, r: clip(0, 255, p + r))
 
 
+def reconstruct_or_predict(prediction: Column, levels: Column, residual: Column) -> Column:
+    """As reconstruct(); blocks without levels are their prediction."""
+    return F.when(coded(levels), reconstruct(prediction, residual)).otherwise(prediction)
+
+
 def coded(levels: Column) -> Column:
     """Whether any level isn't 0."""
     return F.exists(levels, lambda x: x != 0)

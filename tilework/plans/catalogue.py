@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import blocks as B
 from ..operators import entropy as E
 from ..operators import geometry as G
+from ..operators import headers as H
 from ..operators import neighbours as NB
 from ..operators import predict as P
 from ..operators import report as R
 from ..operators import transform as T
+from ..sources import rawplanar as RP
+from ..sources import reports as W
 from . import oracles
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +66,37 @@ def psnr_weighted_avg(s, d):
     return one.agg(mean("y").alias("y"), mean("cb").alias("cb"), mean("cr").alias("cr")).withColumn("mean", F.round(R.weighted_mean(F.col("y"), F.col("cb"), F.col("cr")), 4))
 
 
+PLANAR = (32, 32)
+
+
+def _frames(s: SparkSession, d: str, samples: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """24 vectors each are a planar frame of 32x32 samples; an incomplete one is left out."""
+    digits = F.array_join(F.transform("px", lambda x: F.lpad(F.hex(samples(x).cast("long")), 2, "0")), "")
+    parts = _px(s, d).select(F.expr("vec_id div 24").cast("int").alias("frame_no"), F.struct(F.col("vec_id").alias("v"), digits.alias("h")).alias("part"))
+    whole = parts.groupBy("frame_no").agg(F.array_sort(F.collect_list("part")).alias("parts")).where("size(parts) = 24")
+    return RP.planes(whole.select("frame_no", F.unhex(F.array_join("parts.h", "")).alias("data")), *PLANAR)
+
+
+@_query
+def planar_psnr(s, d):
+    """Planar frames and a coarser version of them, paired by number."""
+    found = R.plane_report(_frames(s, d), _frames(s, d, lambda x: F.least(F.lit(255), F.floor(x / 6) * 6 + 3)))
+    return found.select("frame_no", *[F.round(c, 6).alias(c) for c in ("psnr_y", "psnr_cb", "psnr_cr", "psnr")])
+
+
+@_query
+def planar_blocks(s, d):
+    """Blocks of the luma planes of planar frames."""
+    return RP.plane_blocks(_frames(s, d), "y", *PLANAR).select("frame_no", "bx", "by", *_digest(F.col("px")))
+
+
+@_query
+def distortion_report(s, d):
+    """The report of planar frames: bytes stand for what the frames' tiles would take."""
+    frames = planar_psnr(s, d).withColumn("bytes", F.col("frame_no") * 37 % 1000 + 500)
+    return W.distortion_report(frames, 30).drop("place")
+
+
 @_query
 def rd_report(s, d):
     """A row per frame in KiB, and one of all frames in KiB per second."""
@@ -98,6 +133,11 @@ def tile_bounds(s, d):
     return G.tile_bounds(tile_split_uniform(s, d).where("k = 3")).select("p_partkey", "j", "first_pel", "last_pel")
 
 
+@_query
+def largest_tile(s, d):
+    return G.largest_tile(tile_split_uniform(s, d), "p_partkey", "k")
+
+
 @_query
 def block_address(s, d):
     e = _t(s, d, "events").select("event_id", (F.col("event_id") % 2040).alias("number"))
@@ -166,9 +206,11 @@ def scan_choice(s, d):
 def _candidates(s: SparkSession, d: str) -> DataFrame:
     """Labels of the neighbours, spread over the modes, stand in for decided modes."""
     mode = (F.col("label") * 11 % 35).cast("int")
-    e = _t(s, d, "embeddings").select("vec_id", mode.alias("mode"))
-    ref = lambda k, name: e.select((F.col("vec_id") + k).alias("vec_id"), F.col("mode").alias(name))
-    both = e.join(ref(1, "left_mode"), "vec_id", "left").join(ref(10, "top_mode"), "vec_id", "left")
+    e = _t(s, d, "embeddings").select("vec_id", mode.alias("mode"), (F.col("vec_id") % 10).alias("x"), F.expr("vec_id div 10").alias("y"))
+    ref = lambda dx, dy, name: e.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("mode").alias(name))
+    both = e.join(ref(1, 0, "left_mode"), ["x", "y"], "left").join(ref(0, 1, "top_mode"), ["x", "y"], "left")
+    # the row above another tree block counts as absent
+    both = both.withColumn("top_mode", F.when(F.col("y") % 4 != 0, F.col("top_mode")))
     return both.withColumn("cand", NB.probable_modes(F.col("left_mode"), F.col("top_mode")))
 
 
@@ -188,45 +230,75 @@ def mode_bins(s, d):
     return mode_index(s, d).select("vec_id", E.mode_bins(F.col("idx")).alias("bins"))
 
 
-def _prediction(s: SparkSession, d: str, *modes: int) -> DataFrame:
-    each = F.array(*[F.struct(F.lit(m).alias("mode"), P.predicted(F.col("border"), m).alias("px")) for m in modes])
-    return P.borders(_px(s, d)).select("vec_id", F.explode(each).alias("x")).select("vec_id", "x.mode", F.posexplode("x.px").alias("p", "v"))
+SIZES = (4, 8, 16, 32)
+
+
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _grid(s: SparkSession, d: str, n: int, second: bool = False) -> DataFrame:
+    """Blocks on a picture, with a spread of labels as their modes; of a second plane if asked for."""
+    blocks = B.grid_blocks(_t(s, d, "embeddings"), n).withColumn("label", (F.col("label") * 11 % 35).cast("int"))
+    return blocks.withColumn("px", F.transform("px", lambda x: (x * 5 + 77) % 256)) if second else blocks
+
+
+def _digest(px: Column) -> list[Column]:
+    """Sum of the samples and a digest of them in order."""
+    return [F.aggregate(px, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.md5(F.array_join(px, ",")).alias("digest")]
+
+
+def _prediction(s: SparkSession, d: str, modes: Iterable[int], sizes: Iterable[int] = SIZES, chroma: bool = False) -> DataFrame:
+    def one(n: int) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("mode"), P.predicted(F.col("border"), m, n, chroma).alias("px")) for m in modes])
+        return P.borders(_grid(s, d, n), n).select("n", "blk", F.inline(each)).select("n", "blk", "mode", *_digest(F.col("px")))
+
+    return _union(map(one, sizes))
+
+
+@_query
+def border_fill(s, d):
+    """Borders of blocks of all sizes, missing neighbours filled in, and the modes left and above."""
+    return _union(P.borders(_grid(s, d, n), n).select("n", "blk", "left_mode", "top_mode", *_digest(F.col("border"))) for n in SIZES)
 
 
 @_query
 def pred_dc(s, d):
-    return _prediction(s, d, 1)
+    return _prediction(s, d, [1])
 
 
 @_query
 def pred_planar(s, d):
-    return _prediction(s, d, 0)
+    return _prediction(s, d, [0])
 
 
 @_query
 def pred_angular(s, d):
-    """Directions of every kind: diagonals, straight ones, positive and negative angles."""
-    return _prediction(s, d, 2, 6, 10, 14, 18, 23, 26, 30, 34)
+    """All directions."""
+    return _prediction(s, d, range(2, 35))
+
+
+@_query
+def pred_chroma(s, d):
+    """Without smoothing and filtered edges."""
+    return _prediction(s, d, (0, 1, 2, 10, 18, 26, 34), (4, 8, 16), chroma=True)
 
 
 @_query
 def mode_decision_luma(s, d):
-    return P.decide(_px(s, d))
+    return _union(P.decide(_grid(s, d, n), n) for n in SIZES)
 
 
 @_query
 def mode_decision_chroma(s, d):
-    px = _px(s, d)
-    planes = B.pairs(px.select("vec_id", "px")).join(px.select("vec_id", "label"), "vec_id")
-    return P.decide_chroma(planes, P.decide(px))
+    return _union(P.decide_chroma(_grid(s, d, n), _grid(s, d, n, second=True), P.decide(_grid(s, d, n), n), n) for n in (4, 8, 16))
 
 
 @_query
 def quadtree_open_loop(s, d):
-    """Costs are sums of absolute residuals; of 4x4, 8x8 and 16x16 blocks, larger ones with a fixed discount."""
-    e = _t(s, d, "embeddings")
-    size = lambda level, n, off: B.residual_blocks(e, n).select(F.lit(level).alias("level"), F.col("blk").alias("node"), (F.aggregate(F.transform("r", lambda x: F.abs(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x) + off + F.col("blk") % 97).alias("cost"))
-    return P.quadtree(size(0, 4, 0).unionByName(size(1, 8, 40)).unionByName(size(2, 16, 100)), 3)
+    """Splits by the costs of the best modes, from blocks of 4 up to 32."""
+    own = _union(P.decide(_grid(s, d, n), n).select(F.lit(i).alias("level"), F.col("blk").alias("node"), F.col("cost").cast("long").alias("cost")) for i, n in enumerate(SIZES))
+    return P.quadtree(own, len(SIZES))
 
 
 def _dct_query(n: int, sine: bool = False) -> Callable[[SparkSession, str], DataFrame]:
@@ -257,6 +329,13 @@ def quantize(s, d):
     return c.select("blk", F.explode(each).alias("x")).select("blk", "x.qp", F.posexplode("x.level").alias("p", "level"))
 
 
+@_query
+def quantize_sums(s, d):
+    """Sums of levels for transforms of all sizes."""
+    each = lambda n: _coefficients(s, d, n).select(F.lit(n).alias("n"), "blk", F.inline(F.array(*[F.struct(F.lit(q).alias("qp"), T.sum_of_levels(T.quantize(F.col("c"), q, n)).alias("total")) for q in QPS])))
+    return _union(map(each, SIZES))
+
+
 @_query
 def dequantize(s, d):
     return _levels(s, d).select("blk", F.posexplode(T.dequantize(F.col("level"), 32, 8)).alias("p", "c"))
@@ -267,7 +346,7 @@ def reconstruct(s, d):
     """Blocks coded over a flat prediction of 128 and decoded again."""
     flat = F.transform("r", lambda x: F.lit(128))
     decoded = T.idct(T.dequantize(F.col("level"), 32, 8), 8)
-    return _levels(s, d).select("blk", F.posexplode(T.reconstruct(flat, decoded)).alias("p", "v"))
+    return _levels(s, d).select("blk", F.posexplode(T.reconstruct_or_predict(flat, F.col("level"), decoded)).alias("p", "v"))
 
 
 @_query
@@ -295,6 +374,22 @@ def cg_context(s, d):
     return E.group_flags(_levels(s, d), 8)
 
 
+@_query
+def significance_contexts(s, d):
+    """All places, patterns, scans and sizes, for luma and colour."""
+    x, y = (F.col("p") % F.col("n")).alias("x"), F.floor(F.col("p") / F.col("n")).cast("int").alias("y")
+    grid = s.range(1024).select(F.col("id").cast("int").alias("p")).select("p", F.explode(F.array(*map(F.lit, SIZES))).alias("n")).where("p < n * n")
+    grid = grid.select("n", x, y, F.explode(F.array(*map(F.lit, range(4)))).alias("pattern")).select("*", F.explode(F.array(*map(F.lit, ("diag", "hor", "ver")))).alias("kind")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("luma"))
+    return grid.withColumn("ctx", E.significance_context(F.col("pattern"), F.col("kind"), F.col("x"), F.col("y"), F.col("n"), F.col("luma")))
+
+
+@_query
+def coded_flag_contexts(s, d):
+    """Flags of the transform blocks of all sizes, with their contexts."""
+    each = lambda n: _coefficients(s, d, n).select(F.lit(n).alias("n"), "blk", F.explode(F.array(F.lit(True), F.lit(False))).alias("luma"), T.coded(T.quantize(F.col("c"), 37, n)).alias("coded"))
+    return _union(map(each, SIZES)).withColumn("ctx", E.coded_flag_context(F.col("n"), F.col("luma")))
+
+
 @_query
 def context_init(s, d):
     grid = s.range(256 * 52).select(F.expr("cast(id div 52 as int)").alias("value"), (F.col("id") % 52).cast("int").alias("qp"))
@@ -337,7 +432,38 @@ def header_bits(s, d):
 @_query
 def header_bytes(s, d):
     """The same as bytes behind a start code."""
-    return header_bits(s, d).select("frame", F.concat(F.lit("00000001"), X.bits_to_hex(F.col("bits"))).alias("bytes"))
+    return header_bits(s, d).select("frame", H.carried(F.col("bits")).alias("bytes"))
+
+
+@_query
+def protect_bytes(s, d):
+    """Runs of zero bytes of all lengths, kept from looking like start codes."""
+    o = _t(s, d, "orders").select("o_orderkey", "o_custkey")
+    byte = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    k = F.col("o_orderkey")
+    raw = F.concat(byte(k % 5), F.repeat(F.lit("00"), (k % 9).cast("int")), byte(F.col("o_custkey") % 6), F.repeat(F.lit("00"), (F.col("o_custkey") % 4).cast("int")), byte(k % 256), F.lit("0000"))
+    return o.select("o_orderkey", X.protected_hex(raw).alias("bytes"))
+
+
+def _streams(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of frames and tile grids of streams."""
+    n = F.col("p_size").cast("long")
+    return _t(s, d, "part").select("p_partkey", (32 * (n + 1)).alias("width"), (32 * (n % 17 + 1)).alias("height"), F.lit(4).alias("poc_bits_less_4"), (n % 3).alias("cols_less_1"), (n % 2).alias("rows_less_1"))
+
+
+@_query
+def video_parameter_set(s, d):
+    return _streams(s, d).select("p_partkey", H.video_set().alias("bytes"))
+
+
+@_query
+def sequence_parameter_set(s, d):
+    return _streams(s, d).select("p_partkey", H.sequence_set().alias("bytes"))
+
+
+@_query
+def picture_parameter_set(s, d):
+    return _streams(s, d).select("p_partkey", H.picture_set().alias("bytes"))
 
 
 @_query

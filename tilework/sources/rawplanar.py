@@ -6,7 +6,7 @@
 Rows: frame_no, y, cb, cr (binary, raster order). A file has no header: its size must be a whole
 number of frames, else reading fails. Frames are read in ranges, one per task, each with a seek. The
 path must be one that executors can open as a file; ``read_frames`` goes through Spark's own readers
-for any other store. Writing gives a folder of files, each with the frames of one partition and named by
+for any other store, a clip of at most 2 GB at a time. Writing gives a folder of files, each with the frames of one partition and named by
 the first of them; range-partition and sort by frame_no before, and the files in order are the clip.
 """
 
@@ -16,6 +16,8 @@ import os
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -57,23 +59,24 @@ class _Part(WriterCommitMessage):
         self.written, self.final = written, final
 
 
-class _Writer(DataSourceWriter):
-    """Each task writes a file of its own, named by its first frame; committing only renames them."""
+class OrderedFiles(DataSourceWriter):
+    """Each task writes a file of its own, named by the number of its first row; committing renames them and removes files of an earlier write."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, prefix: str, suffix: str, number: str, columns: list[str]):
+        self.path, self.prefix, self.suffix, self.number, self.columns = path, prefix, suffix, number, columns
         os.makedirs(path, exist_ok=True)
 
     def write(self, rows: Iterator) -> WriterCommitMessage | None:
         last, written, final = None, os.path.join(self.path, f".part-{uuid.uuid4().hex}"), ""
         for r in rows:
             if last is None:
-                final = os.path.join(self.path, f"frames-{r.frame_no:010d}.yuv")
+                final = os.path.join(self.path, f"{self.prefix}-{r[self.number]:010d}{self.suffix}")
                 out = open(written, "wb")  # noqa: SIM115
-            elif r.frame_no <= last:
-                raise ValueError("frames must come in order within a partition")
-            out.write(bytes(r.y) + bytes(r.cb) + bytes(r.cr))
-            last = r.frame_no
+            elif r[self.number] <= last:
+                raise ValueError("rows must come in order within a partition")
+            for c in self.columns:
+                out.write(bytes(r[c]))
+            last = r[self.number]
         if last is None:
             return None
         out.close()
@@ -83,6 +86,10 @@ class _Writer(DataSourceWriter):
         for m in messages:
             if m:
                 os.replace(m.written, m.final)
+        own = {os.path.basename(m.final) for m in messages if m}
+        for name in os.listdir(self.path):
+            if name not in own and (name.startswith(f"{self.prefix}-") and name.endswith(self.suffix) or name.startswith(".part-")):
+                os.remove(os.path.join(self.path, name))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         for m in messages:
@@ -90,6 +97,11 @@ class _Writer(DataSourceWriter):
                 os.remove(m.written)
 
 
+def check_empty(path: str, overwrite: bool) -> None:
+    if not overwrite and os.path.exists(path) and os.listdir(path):
+        raise ValueError(f"{path} exists")
+
+
 class RawPlanar(DataSource):
     """Options: path, width, height, frames_per_task."""
 
@@ -104,9 +116,8 @@ class RawPlanar(DataSource):
         return _Reader(self.options["path"], int(self.options["width"]), int(self.options["height"]), int(self.options.get("frames_per_task", "16")))
 
     def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
-        if not overwrite and os.path.exists(self.options["path"]) and os.listdir(self.options["path"]):
-            raise ValueError(f"{self.options['path']} exists")
-        return _Writer(self.options["path"])
+        check_empty(self.options["path"], overwrite)
+        return OrderedFiles(self.options["path"], "frames", ".yuv", "frame_no", ["y", "cb", "cr"])
 
 
 def planes(frames: DataFrame, width: int, height: int) -> DataFrame:
@@ -129,8 +140,13 @@ def read_frames(spark: SparkSession, path: str, width: int, height: int) -> Data
 
 def plane_blocks(frames: DataFrame, plane: str, width: int, height: int, n: int = 8) -> DataFrame:
     """frame_no, bx, by, px: n x n blocks of a plane as arrays of samples."""
-    at = frames.select("frame_no", plane, F.explode(F.sequence(F.lit(0), F.lit(height // n - 1))).alias("by")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width // n - 1))).alias("bx"))
-    row = lambda r: f"substring({plane}, cast((by * {n} + {r}) * {width} + bx * {n} + 1 as int), {n})"
-    digits = "hex(concat(" + ", ".join(row(r) for r in range(n)) + "))"
-    px = F.expr(f"transform(sequence(0, {n * n - 1}), i -> cast(conv(substring(h, i * 2 + 1, 2), 16, 10) as int))")
-    return at.withColumn("h", F.expr(digits)).select("frame_no", "bx", "by", px.alias("px"))
+    across, down = width // n, height // n
+
+    def cut(column: pa.Array) -> pa.Array:
+        whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, height, width)[:, : down * n, : across * n]
+        px = whole.reshape(-1, down, n, across, n).transpose(0, 1, 3, 2, 4).astype(np.int32).reshape(-1)
+        each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(px) + 1, n * n), pa.int32()), pa.array(px))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(each) + 1, across * down), pa.int32()), each)
+
+    out = frames.where(F.col(plane).isNotNull()).select("frame_no", F.posexplode(F.arrow_udf(cut, "array<array<int>>")(plane)).alias("i", "px"))
+    return out.select("frame_no", (F.col("i") % across).alias("bx"), F.expr(f"i div {across}").cast("int").alias("by"), "px")
