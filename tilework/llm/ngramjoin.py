@@ -11,9 +11,9 @@ must pass it under three global orders at once:
 1. Equal sets are one class from the start, whatever their number.
 2. Each order has shingles of one text first, then those of two or three, of four to
    seven and so on, and each has a hash of its own inside these levels. Shingles are
-   counted over all texts by 32 bits of their hash within a hash range; a rare
-   confusion only changes the orders, and any order is valid. A shingle of one text
-   is in no other prefix and isn't sent anywhere.
+   counted over all texts by four bytes of their hash within a hash range, and what is
+   shared comes back to the texts; a rare confusion only changes the orders or adds a
+   candidate. A shingle of one text is in no other prefix and isn't sent any further.
 3. Classes with the same prefix shingle of the same order are a group. A group of at
    most GROUP classes gives its pairs of fitting sizes, each pair (but for a few) in
    the group of its first common prefix shingle only: a row knows the PREVIOUS
@@ -29,9 +29,10 @@ must pass it under three global orders at once:
    A tile returns links counted per class and a spanning forest.
 5. Connected components of the forest give each text its component.
 
-Skew: a shingle that very many texts hold is dealt out by a salt, its parts tied
+Skew: a shingle that very many texts hold (found on a sample, see ranges.py) counts as one of the
+highest level without being counted, and is dealt out by a salt, its parts tied
 together through a node of its own. Nothing is sampled, capped or dropped. What is
-broadcast is the table of frequencies, of bounded size (see ranges.py), and the ids of copies to leave out and of classes to compare where they are at most ``broadcast_rows`` (they are
+broadcast is the list of such shingles, of bounded size, and the ids of copies to leave out and of classes to compare where they are at most ``broadcast_rows`` (they are
 joined by a shuffle beyond). Classes are told apart by 64 bits and set size.
 
 Repeated rows of one doc_id are one document. Null doc_ids are left out. An empty
@@ -45,16 +46,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ranges import Frequencies, blobs, frequencies, per_range, range_count, range_of
+from .ranges import GATHERED, blobs, hot_values, per_key, per_range, range_count, range_of
 from .store import left_out, materialise, stored
 from .words import Block, blocks, mix
 
 SALT_ROWS = 50_000
-ORDERS, GROUP, PREVIOUS = 3, 64, 3
+ORDERS, GROUP, PREVIOUS, LEVELS = 3, 64, 3, 6
 WHOLE_ROWS, MOST_BLOCKS = 64, 16
 BLOCK_ROWS, BLOCK_SHINGLES = 1_500, 500_000
 
@@ -86,32 +88,92 @@ def _shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield s.shingle
 
 
-def _prefix_edges(texts: DataFrame, n: int, percent: int, often: object) -> DataFrame:
-    """Edges (a, b, orders) between classes: pairs of groups, with a bit for their order, and ties of large groups (no bit)."""
+FOUND = "flush long, range int, low binary, doc binary, level binary, klass binary, size binary, hot binary, hot_doc binary"
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _shared_shingles(texts: DataFrame, n: int, hot: Broadcast) -> DataFrame:
+    """For each gathered lot of texts its shingles that other texts hold too, by range, with how many doublings of texts hold them.
+
+    Four bytes of each shingle and two for the number of its text in the lot are sent to count; only what is
+    shared comes back. The lot's name follows from its texts, so a rerun task gives the same.
+    """
+
+    def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        held, shingles, docs = [], 0, 0
         for _, _, s in _sets(batches):
-            level = often.value.level(s.shingle)
-            # shingles of one text come first, so the others only need to be put in order
-            at = np.flatnonzero(level)
-            several = np.bincount(s.doc[at], minlength=len(s.size))
-            room = several - _least_shared(s.size, percent)
-            at = at[room[s.doc[at]] >= 0]
-            if not len(at):
-                continue
-            doc, level, shingle = s.doc[at], level[at], s.shingle[at]
-            for o in range(ORDERS):
-                order = np.lexsort((mix(shingle, 70 + o), level, doc))
-                d = doc[order]
-                inside = np.arange(len(d)) - np.searchsorted(d, d) <= room[d]
-                d, v = d[inside], shingle[order[inside]]
-                before = np.zeros((PREVIOUS, len(v)), np.uint64)
-                for j in range(1, PREVIOUS + 1):
-                    before[j - 1, j:] = np.where(d[j:] == d[:-j], v[:-j], 0)
-                k, salts = s.klass[d], (1 + often.value.count(v) // SALT_ROWS).astype(np.uint64)
-                # below zero: dealt out by a salt
-                size = np.where(often.value.count(v) >= SALT_ROWS, -s.size[d], s.size[d])
-                yield blobs(range_of(mix(v + mix(k, 33) % salts, 34), n) * ORDERS + o, v, k, size, *before)
+            if held and (shingles + len(s.shingle) > GATHERED or docs + len(s.size) > 1 << 16):
+                yield held
+                held, shingles, docs = [], 0, 0
+            held.append(s)
+            shingles, docs = shingles + len(s.shingle), docs + len(s.size)
+        if held:
+            yield held
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in lots(batches):
+            before = np.cumsum([0, *[len(s.size) for s in held]])
+            doc = np.concatenate([s.doc + k for s, k in zip(held, before[:-1], strict=True)]).astype(np.uint16)
+            v, klass, size = (np.concatenate([getattr(s, x) for s in held]) for x in ("shingle", "klass", "size"))
+            flush = int(mix(klass + np.arange(len(klass), dtype=np.uint64), 36).sum().view(np.int64)) if len(klass) else 0
+            is_hot = hot.value.count(v) > 0
+            sent = blobs(range_of(v[~is_hot], n), v[~is_hot].astype(np.uint32), doc[~is_hot])
+            k, none = sent.num_rows, b""
+            yield pa.RecordBatch.from_arrays([sent.column(0), pa.array([flush] * k, pa.int64()), sent.column(1), sent.column(2), *[pa.array([none] * k, pa.binary())] * 4], _SENT)
+            own = [[flush % n], [flush], [none], [none], [klass.tobytes()], [size.astype(np.int64).tobytes()], [v[is_hot].tobytes()], [doc[is_hot].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(own[0], pa.int32()), pa.array(own[1], pa.int64()), *[pa.array(x, pa.binary()) for x in own[2:]]], _SENT)
+
+    def count(r: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        low = np.frombuffer(b"".join(x[1] for x in rows), np.uint32)
+        _, at, texts_ = np.unique(low, return_inverse=True, return_counts=True)
+        level = np.minimum(np.log2(texts_).astype(np.uint8), LEVELS)[at] if len(low) else np.zeros(0, np.uint8)
+        begin, out = 0, []
+        for flush, lows, docs, *own in rows:
+            part = level[begin : begin + len(lows) // 4]
+            begin += len(part)
+            keep = part > 0
+            out.append((flush, r, np.frombuffer(lows, np.uint32)[keep].tobytes(), np.frombuffer(docs, np.uint16)[keep].tobytes(), part[keep].tobytes(), *own))
+        for k in range(0, len(out), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[k : k + 256], strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * 7], strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+
+    rows = texts.mapInArrow(emit, "range int, flush long, low binary, doc binary, klass binary, size binary, hot binary, hot_doc binary")
+    return per_key(rows, n, count, FOUND)
+
+
+_SENT = ["range", "flush", "low", "doc", "klass", "size", "hot", "hot_doc"]
+
+
+def _prefix_edges(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b, orders) between classes: pairs of groups, with a bit for their order, and ties of large groups (no bit)."""
+    hot = hot_values(texts, _shingles, n)
+
+    def emit(_: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Prefixes of the texts of a lot under all orders. A shingle goes by its range and four bytes."""
+        r, low, docs, levels, klass, size, hots, hot_docs = zip(*rows, strict=True)
+        join = lambda parts, kind: np.frombuffer(b"".join(parts), kind)
+        low, klass, size, hots = join(low, np.uint32), join(klass, np.uint64), join(size, np.int64), join(hots, np.uint64)
+        token = (np.repeat(np.array(r, np.uint64), [len(x) // 2 for x in docs]) << np.uint64(32)) | low
+        own = (range_of(hots, n).astype(np.uint64) << np.uint64(32)) | (hots & np.uint64(0xFFFFFFFF))
+        v = np.concatenate([token, own])
+        doc = np.concatenate([join(docs, np.uint16), join(hot_docs, np.uint16)]).astype(np.int64)
+        level = np.concatenate([join(levels, np.uint8), np.full(len(own), LEVELS, np.uint8)])
+        often = np.concatenate([np.zeros(len(token), np.int64), hot.value.count(hots)])
+        # shingles of one text come first, so the others only need to be put in order
+        room = np.bincount(doc, minlength=len(size)) - _least_shared(size, percent)
+        keep = room[doc] >= 0
+        v, doc, level, often = v[keep], doc[keep], level[keep], often[keep]
+        if not len(v):
+            return
+        for o in range(ORDERS):
+            order = np.lexsort((mix(v, 70 + o), level, doc))
+            d = doc[order]
+            inside = np.arange(len(d)) - np.searchsorted(d, d) <= room[d]
+            d, w, many = d[inside], v[order[inside]], often[order[inside]]
+            before = np.zeros((PREVIOUS, len(w)), np.uint64)
+            for j in range(1, PREVIOUS + 1):
+                before[j - 1, j:] = np.where(d[j:] == d[:-j], w[:-j] + np.uint64(1), 0)  # 0: none
+            k, salts = klass[d], (1 + many // SALT_ROWS).astype(np.uint64)
+            # below zero: dealt out by a salt
+            yield blobs(range_of(mix(w + mix(k, 33) % salts, 34), n) * ORDERS + o, w, k, np.where(many >= SALT_ROWS, -size[d], size[d]), *before)
 
     def work(r: int, v: np.ndarray, k: np.ndarray, size: np.ndarray, *before: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((k, v))
@@ -142,12 +204,12 @@ def _prefix_edges(texts: DataFrame, n: int, percent: int, often: object) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (a, b, bits)], ["a", "b", "orders"])
 
     columns = "range int, " + ", ".join(f"v{i} binary" for i in range(3 + PREVIOUS))
-    return per_range(texts.mapInArrow(emit, columns), n, [np.uint64, np.uint64, np.int64] + [np.uint64] * PREVIOUS, work, "a long, b long, orders int")
+    return per_range(per_key(_shared_shingles(texts, n, hot), n, emit, columns), n, [np.uint64, np.uint64, np.int64] + [np.uint64] * PREVIOUS, work, "a long, b long, orders int")
 
 
-def candidates(texts: DataFrame, n: int, percent: int, often: object) -> DataFrame:
-    """Edges (a, b, orders): pairs of classes that share a prefix shingle under every order, and ties."""
-    edges = _prefix_edges(texts, n, percent, often).groupBy("a", "b").agg(F.bit_or("orders").alias("orders"))
+def candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b, orders): pairs of classes that share a prefix shingle under every order, and ties. texts: doc_id, text, a text of each class."""
+    edges = _prefix_edges(texts, n, percent).groupBy("a", "b").agg(F.bit_or("orders").alias("orders"))
     return edges.where(F.col("orders").isin(0, (1 << ORDERS) - 1))
 
 
@@ -289,7 +351,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows:
     few = others.count() <= broadcast_rows
     texts = texts.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
     texts = texts if few else stored(texts, "classes")
-    groups = connected_components(candidates(texts, n, percent, frequencies(texts, _shingles, n, Frequencies.LEVELS)).select("a", "b"))
+    groups = connected_components(candidates(texts, n, percent).select("a", "b"))
     members = materialise(groups.withColumnsRenamed({"node": "klass", "component": "comp"}).join(classes, "klass").select("comp", "klass", "rep", "copies", "n"))
     wanted = members.select(F.col("rep").alias("doc_id"), "klass")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted

@@ -3,8 +3,12 @@
 Tasks emit values as binary blobs by hash range instead of a row each; a range is
 then worked on with numpy in one task, one range at a time. The number of ranges
 follows the session's shuffle partitions, so a range stays small as the data
-grows. A value that very many rows share would make its range large; such values
-are found first (Frequencies) and dealt out by a salt.
+grows, and tasks gather many texts before they emit, so blobs stay large. Nothing
+that grows with the data is broadcast or held by the driver.
+
+A value that very many texts hold would make its range large. Such values are found
+first on a sample of texts (hot_values); being listed only decides where a value is
+worked on, never what comes out.
 """
 
 from __future__ import annotations
@@ -15,8 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import small_batches
 
-from .words import mix
+#: One text in so many is sampled for frequent values; a listed one is in at least so many of them, and is a twentieth of its range's.
+SAMPLE, LEAST, SHARE = 64, 64, 20
+#: Values that a task gathers before it emits them.
+GATHERED = 1_000_000
 
 
 def range_count(df: DataFrame) -> int:
@@ -37,119 +47,78 @@ def blobs(ranges: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts]], ["range", *[f"v{i}" for i in range(len(parts))]])
 
 
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tuples of columns joined until they are about so many values long."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for p in parts:
+        held.append(p)
+        if sum(len(x[0]) for x in held) >= (most or GATHERED):
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def per_key(rows: DataFrame, n: int, work: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work(key, rows without it) for each key, the first column of rows: all rows of one key together."""
+    key = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    if held:
+                        yield from work(now, held)
+                    now, held = k, []
+                held.append(tuple(row))
+        if held:
+            yield from work(now, held)
+
+    return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def per_range(rows: DataFrame, n: int, kinds: list[type], work: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """work(range, values of v0, values of v1, ...) for each range, all of one range together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, [[] for _ in kinds]
+    def joined(r: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        yield from work(r, *[np.frombuffer(b"".join(h), k) for h, k in zip(zip(*held, strict=True), kinds, strict=True)])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                yield from work(now, *[np.frombuffer(b"".join(h), k) for h, k in zip(held, kinds, strict=True)])
+    return per_key(rows, n, joined, schema)
 
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            values = [batch.column(i + 1).to_pylist() for i in range(len(kinds))]
-            for k, key in enumerate(keys):
-                if key != now:
-                    yield from done()
-                    now, held = key, [[] for _ in kinds]
-                for h, v in zip(held, values, strict=True):
-                    h.append(v[k])
-        yield from done()
-
-    return rows.repartition(n, "range").sortWithinPartitions("range").mapInArrow(run, schema)
-
-
-class Frequencies:
-    """How often hash values occur: by doublings (a few wrongly too often), and exactly where it is often.
-
-    What a value is taken for depends on the value alone. It holds a Bloom filter
-    of 16 bits per value and doubling of its count, up to LEVELS of them, and the counts of those that
-    occur ``often`` times or more. Both are bounded, at most ``bits`` bits and
-    ``bound`` counts, shared equally by the ranges: beyond, the filter gets denser
-    and the least count that is listed is doubled.
-    """
-
-    LEVELS = 6
-
-    def __init__(self, n: int, rows: pa.Table):
-        self.n = n
-        order = np.argsort(rows["range"].to_numpy())
-        rows = rows.take(pa.array(order))
-        filters = [np.frombuffer(x, np.uint8) for x in rows["filter"].to_pylist()]
-        have = rows["range"].to_numpy()
-        size = np.ones(n, np.uint64)
-        size[have] = [8 * len(f) for f in filters]
-        start = np.zeros(n, np.uint64)
-        start[have] = np.cumsum([8, *[8 * len(f) for f in filters]])[:-1]
-        self.size, self.start = size, start
-        self.filter = np.concatenate([np.zeros(1, np.uint8), *filters])
-        keys = [np.frombuffer(x, np.uint64) for x in rows["often"].to_pylist()]
-        counts = [np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()]
-        self.keys = np.concatenate([np.zeros(0, np.uint64), *keys])
-        self.counts = np.concatenate([np.zeros(0, np.int64), *counts])
-        order = np.argsort(self.keys)
-        self.keys, self.counts = self.keys[order], self.counts[order]
-
-    @staticmethod
-    def _key(r: np.ndarray | int, v: np.ndarray) -> np.ndarray:
-        return (np.asarray(r).astype(np.uint64) << np.uint64(32)) | (v & np.uint64(0xFFFFFFFF))
-
-    def _has(self, r: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
-        out = np.ones(len(key), bool)
-        for salt in (51, 52):
-            at = self.start[r] + mix(key, salt + 2 * level) % self.size[r]
-            out &= (self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return out
-
-    def level(self, v: np.ndarray, most: int = LEVELS) -> np.ndarray:
-        """How many doublings values occur at least: 0 once, 1 twice, 2 four times, ... up to most."""
-        r = range_of(v, self.n)
-        key, out, left = self._key(r, v), np.zeros(len(v), np.int8), np.arange(len(v))
-        for j in range(1, most + 1):
-            left = left[self._has(r[left], key[left], j)]
-            out[left] = j
-        return out
-
-    def repeated(self, v: np.ndarray) -> np.ndarray:
-        """Whether values occur more than once."""
-        return self.level(v, 1) > 0
+
+class Hot:
+    """Values that very many texts hold, with about how many do; at most SHARE for each range."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
 
     def count(self, v: np.ndarray) -> np.ndarray:
-        """How often values occur that occur often; 0 for others."""
+        """About how many texts hold the values; 0 for those that aren't listed."""
         if not len(self.keys):
             return np.zeros(len(v), np.int64)
-        key = self._key(range_of(v, self.n), v)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.counts[at], 0)
+        at = np.minimum(np.searchsorted(self.keys, v), len(self.keys) - 1)
+        return np.where(self.keys[at] == v, self.counts[at], 0)
 
 
-def frequencies(texts: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n: int, levels: int = 1, often: int = 64, bits: int = 1 << 28, bound: int = 1 << 20) -> Broadcast:
-    """Frequencies of all 64-bit hashes that values gives for the batches of texts, broadcast. levels: doublings that are told apart."""
+def hot_values(texts: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], n: int) -> Broadcast:
+    """The Hot values, broadcast. texts: doc_id, text; values: of a batch, each text's without repeats."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for v in values(batch):
-                if len(v):
-                    yield blobs(range_of(v, n), v.astype(np.uint32))
-
-    def count(r: int, low: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, k = np.unique(low, return_counts=True)
-        u, k = u[k > 1], k[k > 1]
-        key = Frequencies._key(r, u.astype(np.uint64))
-        steps = [key[k >= 1 << j] for j in range(1, levels + 1)]
-        size = min(max(64, 1 << int(16 * sum(map(len, steps))).bit_length()), max(64, bits // n // 64 * 64))
-        filled = np.zeros(size, bool)
-        for j, step in enumerate(steps, 1):
-            for salt in (51, 52):
-                filled[mix(step, salt + 2 * j) % np.uint64(size)] = True
-        least = often
-        while (k >= least).sum() > max(16, bound // n):
-            least *= 2
-        top = k >= least
-        parts = [np.packbits(filled, bitorder="little").tobytes(), key[top].tobytes(), k[top].astype(np.int64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *[pa.array([x], pa.binary()) for x in parts]], ["range", "filter", "often", "counts"])
-
-    counted = per_range(texts.mapInArrow(emit, "range int, v0 binary"), n, [np.uint32], count, "range int, filter binary, often binary, counts binary")
-    return texts.sparkSession.sparkContext.broadcast(Frequencies(n, counted.toArrow()))
+        for (v,) in gathered((x,) for batch in batches for x in values(batch)):
+            if len(v):
+                u, k = np.unique(v, return_counts=True)
+                yield blobs(range_of(u, n), u, k)
+
+    def count(_: int, v: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, at = np.unique(v, return_inverse=True)
+        total = np.bincount(at, weights=k).astype(np.int64)
+        top = total >= max(LEAST, total.sum() // SHARE)
+        yield pa.RecordBatch.from_arrays([pa.array(u[top].view(np.int64)), pa.array(total[top] * SAMPLE)], ["value", "texts"])
+
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    with small_batches(texts.sparkSession):
+        found = per_range(sampled.mapInArrow(emit, "range int, v0 binary, v1 binary"), n, [np.uint64, np.int64], count, "value long, texts long").toArrow()
+    return texts.sparkSession.sparkContext.broadcast(Hot(found["value"].to_numpy().view(np.uint64), found["texts"].to_numpy()))
+

@@ -8,8 +8,8 @@ A suffix automaton of all documents can't be sent to every task, so documents on
 meet the shards that can hold a match of theirs:
 
 1. The anchor of a window is its least run of six words by hash, so equal windows
-   have equal anchors. Anchors are counted over all documents by compact
-   fingerprints; those of one document only are dropped.
+   have equal anchors. Anchors are grouped over all documents by hash range; those of
+   one document only are dropped.
 2. For each shared anchor the first document (smallest doc_id) that holds it is
    found. The stretches of a document whose windows have anchors with first
    document A are sent to A's shard; A's own stretches are the shard.
@@ -21,8 +21,8 @@ meet the shards that can hold a match of theirs:
    document. Such windows, few, are grouped by a hash of 64 bits in effect.
 
 Skew: an anchor or shard that very many documents share is salted; first documents
-are pre-aggregated. Nothing is capped. Broadcast are the bounded frequencies, first
-documents of very frequent anchors (at most as many as Frequencies lists) and the
+are pre-aggregated. Nothing is capped. Broadcast are the list of very frequent
+anchors, of bounded size (see ranges.py), their first documents, and the
 ids of documents with repeats where they are at most ``broadcast_rows``; beyond
 that the texts are shuffled.
 
@@ -41,8 +41,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import blobs, frequencies, per_range, range_count, range_of
-from .store import materialise, stored
+from .ranges import blobs, gathered, hot_values, per_range, range_count, range_of
+from .store import materialise, small_batches, stored
 from .words import Block, blocks, mix, ngrams
 
 LENGTH = 13
@@ -84,25 +84,25 @@ class Anchors:
         return d[keep], v[keep]
 
 
-def _first_of_hot(texts: DataFrame, often: Broadcast, length: int) -> Broadcast:
-    """Smallest doc_id of each anchor that is so frequent that its rows are salted."""
-    hot = bool((often.value.counts >= SALT_ROWS).any())
+def _first_of_hot(texts: DataFrame, hot: Broadcast, length: int) -> Broadcast:
+    """Smallest doc_id and number of documents of each anchor that is so frequent that its rows are salted."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, b in blocks(batch.column(1)):
                 d, v = Anchors(b, length).distinct(b.doc)
-                keep = often.value.count(v) >= SALT_ROWS
+                keep = hot.value.count(v) >= SALT_ROWS
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), pa.array(ids[at + d[keep]])], ["value", "doc_id"])
 
-    values, firsts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if hot:
-        found = texts.mapInArrow(emit, "value long, doc_id long").groupBy("value").agg(F.min("doc_id").alias("first")).toArrow()
-        values, firsts = found["value"].to_numpy().view(np.uint64), found["first"].to_numpy()
-        order = np.argsort(values)
-        values, firsts = values[order], firsts[order]
-    return texts.sparkSession.sparkContext.broadcast((values, firsts))
+    found = [np.zeros(0, np.int64)] * 3
+    if (hot.value.counts >= SALT_ROWS).any():
+        with small_batches(texts.sparkSession):
+            rows = texts.mapInArrow(emit, "value long, doc_id long").groupBy("value").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).toArrow()
+        found = [rows[c].to_numpy() for c in ("value", "first", "docs")]
+    values = found[0].view(np.uint64)
+    order = np.argsort(values)
+    return texts.sparkSession.sparkContext.broadcast((values[order], found[1][order], found[2][order]))
 
 
 def _shared_anchors(texts: DataFrame, length: int) -> DataFrame:
@@ -113,19 +113,20 @@ def _shared_anchors(texts: DataFrame, length: int) -> DataFrame:
         for _, b in blocks(batch.column(1)):
             yield Anchors(b, length).distinct(b.doc)[1]
 
-    often = frequencies(texts, values, n)
-    hot = _first_of_hot(texts, often, length)
+    hot = hot_values(texts, values, n)
+    firsts = _first_of_hot(texts, hot, length)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, b in blocks(batch.column(1)):
                 d, v = Anchors(b, length).distinct(b.doc)
-                keep = often.value.repeated(v)
-                if keep.any():
-                    v, doc = v[keep], ids[at + d[keep]]
-                    salts = (1 + often.value.count(v) // SALT_ROWS).astype(np.uint64)
-                    yield blobs(range_of(mix(v + mix(doc.astype(np.uint64), 61) % salts, 62), n), v, doc)
+                yield v, ids[at + d]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, doc in gathered(anchors(batches)):
+            salts = (1 + hot.value.count(v) // SALT_ROWS).astype(np.uint64)
+            yield blobs(range_of(mix(v + mix(doc.astype(np.uint64), 61) % salts, 62), n), v, doc)
 
     def work(_: int, v: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((doc, v))
@@ -136,12 +137,11 @@ def _shared_anchors(texts: DataFrame, length: int) -> DataFrame:
         new = np.append(True, (v[1:] != v[:-1]) | (doc[1:] != doc[:-1]))
         docs = np.bincount(group[new], minlength=int(head.sum()))[group]
         first = doc[head][group]
-        values, firsts = hot.value
-        if len(values):
-            slot = np.minimum(np.searchsorted(values, v), len(values) - 1)
-            is_hot = values[slot] == v
-            first = np.where(is_hot, firsts[slot], first)
-            docs = np.where(is_hot, often.value.count(v), docs)
+        known, least, many = firsts.value
+        if len(known):
+            slot = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            is_hot = known[slot] == v
+            first, docs = np.where(is_hot, least[slot], first), np.where(is_hot, many[slot], docs)
         keep = new & (docs > 1)
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(v[keep].view(np.int64)), pa.array(first[keep]), pa.array(docs[keep].astype(np.int64))], ["doc_id", "value", "first", "docs"])
 

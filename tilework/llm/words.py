@@ -169,7 +169,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + 50_000)
         yield i, Block(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower)
         i = j
     pa.default_memory_pool().release_unused()
