@@ -85,7 +85,7 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Each match with the length of what lies between it and the one before, and its context."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # zipped, so that neither is computed again for each match
-    zipped = F.filter(F.arrays_zip(found.alias("m"), between.alias("left"), F.slice(between, 2, 2**31 - 1).alias("right")), lambda x: x["m"].isNotNull())
+    zipped = F.filter(F.arrays_zip(found.alias("m"), between.alias("left"), F.slice(between, F.lit(2), F.size(between)).alias("right")), lambda x: x["m"].isNotNull())
     return F.transform(
         zipped,
         lambda x, i: F.struct(
@@ -231,8 +231,18 @@ def list_examples(n: int = LISTS, seed: int = 8) -> list[tuple[str, list[tuple[i
     return out
 
 
-def fit_model(spark: SparkSession) -> tuple[str, dict[str, float]]:
-    """The log odds as a SQL expression over the features, and the threshold of each kind."""
+_FITTED: dict[str, tuple[boosting.Boosted, dict[str, float]]] = {}
+
+
+def fit_model(spark: SparkSession) -> tuple[boosting.Boosted, dict[str, float]]:
+    """The trees over kind_no and the features, and the threshold of each kind; fitted once for an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _FITTED:
+        _FITTED[app] = _fit(spark)
+    return _FITTED[app]
+
+
+def _fit(spark: SparkSession) -> tuple[boosting.Boosted, dict[str, float]]:
     made = examples()
     lists = list(enumerate(list_examples(), len(made)))
     docs = spark.createDataFrame([(i, t) for i, t, *_ in made] + [(i, t) for i, (t, *_) in lists], "doc_id long, text string")
@@ -252,13 +262,13 @@ def fit_model(spark: SparkSession) -> tuple[str, dict[str, float]]:
     model = boosting.fit(x[~held], y[~held])
     odds = model.predict(x)
     limits = {k: boosting.threshold(odds[held & (x[:, 0] == KINDS.index(k))], y[held & (x[:, 0] == KINDS.index(k))], PRECISION) for k in GENERATORS}
-    return model.sql(names), limits
+    return model, limits
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    spark = docs.sparkSession
-    odds, limits = fit_model(spark)
+    model, limits = fit_model(docs.sparkSession)
+    odds = model.sql(["kind_no", *features()])
     found = spans(docs, BASE | GENERATORS)
     is_base = F.col("k") < len(BASE)
     # Only rows that matter go on; each row of docs keeps at least one (the first match, or the null one).
