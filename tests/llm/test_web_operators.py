@@ -206,6 +206,46 @@ def test_calibration(spark):
     assert urls.calibrate(df.where("accepted")) == 0
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_url_verdicts_end_to_end_against_plain_python(spark, monkeypatch, few):
+    """Rules, both models, calibration on the fifth that Spark's hash picks, and the verdict of each page; also without broadcasts."""
+    monkeypatch.setattr(urls.score, "__defaults__", (*urls.score.__defaults__[:-1], few))
+    r = random.Random(3)
+    good, bad = ["news", "blog", "garden", "museum"], ["casino", "win", "bonus", "pills"]
+    made = []
+    for _ in range(260):
+        words = r.choice([good, good, bad])
+        host = f"{r.choice(words)}{r.randrange(5)}.{r.choice(['org', 'org', 'com', 'net', 'biz'] if words is good else ['com', 'biz', 'net', 'com'])}"
+        path = f"/{r.choice(['en', 'fr'] if words is good else ['de', 'es'])}/{r.choice(words)}-{r.randrange(30)}"
+        made.append(f"http://{host}{path}" + r.choice(["", "?q=1", "#top"]))
+    made += [None, None, "nothing", *made[:20]]
+    pages = spark.createDataFrame([(None if i == 7 else i, u, "x", 1.0) for i, u in enumerate(made)], "page_id long, url string, host string, mean double")
+    rules = urls.rules_of(queries.URL_RULES)
+
+    def parts(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    pairs = sorted({parts(u) for u in made})
+    rule = {p: plain_rule(*p, rules) for p in pairs}
+    labelled = [(*p, x.verdict == "allow") for p, x in rule.items() if x]
+    held = {(x.host, x.path) for x in spark.createDataFrame(labelled, "host string, path string, ok boolean").where("pmod(xxhash64(host, path), 5) = 0").collect()}
+    rest = plain_model([x for x in labelled if x[:2] not in held])
+    cells = sorted((max(-1000, min(1000, math.floor(plain_mean(rest, *x[:2]) * 500))), x[2]) for x in labelled if x[:2] in held)
+    total = Counter(ok for _, ok in cells)
+    assert min(total.values()) > 5 and len(total) == 2
+    best = min([(1.0, 0.0, 0)] + [(sum(ok for d, ok in cells if d <= c) / total[True] + sum(not ok for d, ok in cells if d > c) / total[False], abs(c + 1), c + 1) for c, _ in cells])
+    whole = plain_model(labelled)
+    expected = {p: rule[p].verdict if rule[p] else "block" if plain_mean(whole, *p) < best[2] / 500 else "allow" for p in pairs}
+    found = urls.url_verdicts(pages, rules).collect()
+    assert len(found) == len(made) and sum(x.page_id is None for x in found) == 1
+    for x in found:
+        p = parts(made[7 if x.page_id is None else x.page_id])
+        assert (x.host, x.path, x.rule, x.verdict) == (*p, rule[p] and rule[p].name, expected[p])
+        assert x.mean is None if rule[p] else abs(x.mean - plain_mean(whole, *p)) < 1e-9
+    assert {expected[p] for p in pairs if not rule[p]} == {"allow", "block"}
+
+
 def test_url_filter_on_held_out_urls(spark, sf_dir):
     """Judged by models alone, URLs that rules decide get the rules' verdict nine times of ten."""
     rules = urls.rules_of(queries.URL_RULES)

@@ -12,16 +12,21 @@ the mean over its characters of log P(accepted) - log P(rejected) is below a
 threshold, which is calibrated on a fifth of the labelled URLs that models
 counted from the others haven't seen: the least sum of both error rates.
 
-All of it is DataFrame work. Counts grow with the input and are joined, not
-broadcast: URLs are cut into six-character strings, each distinct string is
+All of it is DataFrame work. Counts grow with the input and are joined: URLs are
+cut into six-character strings, each distinct string is
 scored once, and the scores are joined back. A string that most URLs share is
 pre-aggregated for counting and scored once; as a join key it meets one row, so
-adaptive execution can split it. Only the calibration histogram (at most 2,001
+adaptive execution can split it. Contexts of no or one character are few and each
+belongs to very many strings: their counts are broadcast where they are at most
+``broadcast_rows``, and joined beyond. Only the calibration histogram (at most 2,001
 cells) goes to the driver.
 
-A null url, or one without "://", has an empty host and path and, having no
-characters, the mean 0. Repeated rows are judged alike. Without labelled URLs of
+Host and path are judged, not the query or fragment; each distinct pair counts once
+in models and calibration. A null url, or one without "://", has an empty host and
+path: its end alone is scored. Repeated rows are judged alike, each with its own
+page_id, also null. Without labelled URLs of
 both kinds there is no model and the verdict is allow. Empty tables give no rows.
+Columns but page_id and url are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,11 +112,19 @@ def _probability(kind: str, min_context: int, alphabet: int) -> str:
     return f"aggregate(levels, 1.0D / {alphabet}, (p, x) -> if(coalesce(x.n_{kind}, 0) >= greatest({min_context}, 1), (coalesce(x.{kind}, 0) + x.t_{kind} * p) / (x.n_{kind} + x.t_{kind}), p))"
 
 
-def score(urls: DataFrame, key: str, models: Models, min_context: int = 2, alphabet: int = 128) -> DataFrame:
+def score(urls: DataFrame, key: str, models: Models, min_context: int = 2, alphabet: int = 128, broadcast_rows: int = 200_000) -> DataFrame:
     """key and its mean log-likelihood difference; key must be unique in urls (key, host, path)."""
     grams = _grams(urls, key)
-    levels = _levels(grams.select("gram").distinct(), "gram").join(models.contexts, ["k", "context"], "left").join(models.nexts, ["k", "context", "c"], "left")
-    by_gram = levels.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "a", "r", "n_a", "t_a", "n_r", "t_r"))).alias("levels"))
+    levels = _levels(grams.select("gram").distinct(), "gram")
+
+    def counted(part: str) -> DataFrame:
+        """Levels with the counts of their context, and with those of the character in it."""
+        contexts, nexts = models.contexts.where(part), models.nexts.where(part)
+        few = part == "k <= 1" and nexts.count() <= broadcast_rows
+        contexts, nexts = (F.broadcast(x) if few else x for x in (contexts, nexts))
+        return levels.where(part).join(contexts, ["k", "context"], "left").join(nexts, ["k", "context", "c"], "left")
+
+    by_gram = counted("k <= 1").unionByName(counted("k > 1")).groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "a", "r", "n_a", "t_a", "n_r", "t_r"))).alias("levels"))
     worth = by_gram.select("gram", F.expr(f"ln({_probability('a', min_context, alphabet)}) - ln({_probability('r', min_context, alphabet)})").alias("worth"))
     return grams.join(worth, "gram").groupBy(key).agg(F.avg("worth").alias("mean"))
 
@@ -135,7 +148,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], min_context: int = 2)
     host, path = host_and_path(F.col("url").cast("string"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": _first_rule(rules, "name"), "__by_rule": _first_rule(rules, "verdict")})
     # Each distinct URL without its query is judged once.
-    distinct = materialise(judged.groupBy("host", "path", "rule", "__by_rule").agg(F.count("*").alias("n")).withColumn("__id", F.monotonically_increasing_id()))
+    distinct = materialise(judged.select("host", "path", "rule", "__by_rule").distinct().withColumn("__id", F.monotonically_increasing_id()))
     labelled = distinct.where("__by_rule is not null").select("__id", "host", "path", (F.col("__by_rule") == "allow").alias("accepted"))
     kinds = labelled.agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")).first()
     if not kinds.a or not kinds.r:
