@@ -177,11 +177,12 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__tw_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "__tw_source": F.coalesce(F.col("source").cast("string"), F.lit(""))})
 
 
-def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR) -> DataFrame:
+def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = PRIOR, broadcast_groups: int = 100_000) -> DataFrame:
     """A row per document: doc_id, its counts, base_failed, kept."""
     m = materialise(with_measures(docs.select("doc_id", "lang", "source", "text")).selectExpr("doc_id", "coalesce(cast(lang as string), '') as lang", "coalesce(cast(source as string), '') as source", "__tw_m.*"))
     # a text without words is in no sketch: its group may be missing, and it fails anyway
-    joined = m.join(fences(m, rules, prior), ["lang", "source"], "left")
+    limits = materialise(fences(m, rules, prior))
+    joined = m.join(F.broadcast(limits) if limits.count() <= broadcast_groups else limits, ["lang", "source"], "left")
     return joined.select("doc_id", *_NAMES, _base_failed().alias("base_failed"), (~_base_failed() & F.coalesce(_passes(rules), F.lit(False))).alias("kept"))
 
 
