@@ -64,15 +64,15 @@ def _stays(text: Column, starts: Column, lines: int) -> list[Column]:
     return [F.when(starts.isNull(), text).otherwise(left).alias("text"), F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
 
 
-def line_dedup(docs: DataFrame, lines: int = LINES, broadcast_rows: int = 500_000) -> DataFrame:
-    """docs with text replaced by what stays, and the columns n_lines and n_removed (long). Other columns stay as they are."""
+def line_dedup(docs: DataFrame, lines: int = LINES, broadcast_rows: int = 500_000, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with text replaced by what stays, and two columns of counts (long): lines before, and removed ones. Other columns stay as they are."""
     starts = materialise(repeated_lines(docs, lines).withColumnRenamed("doc_id", "__tw_doc"))
     same = F.col("doc_id") == F.col("__tw_doc")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [c for c in docs.columns if c not in counts]
 
     def result(rows: DataFrame, found: Column) -> DataFrame:
         text, n_lines, n_removed = _stays(F.col("text"), found, lines)
-        return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in own], n_lines, n_removed)
+        return rows.select(*[text if c == "text" else F.col(f"`{c}`") for c in own], n_lines.alias(counts[0]), n_removed.alias(counts[1]))
 
     if starts.count() > broadcast_rows:
         return result(docs.join(starts, same, "left"), F.col("__tw_starts"))

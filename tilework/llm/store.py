@@ -4,6 +4,11 @@
 Spark runs on this machine alone (tests) a temporary folder is made; on a cluster
 that is an error, as executors couldn't see it.
 
+What is computed at once sends texts to Python in small batches, by a setting that
+is put back afterwards. What is computed later, with a frame that an operator returns,
+runs under the session's own settings; Spark bounds its batches to 64 MB unless told
+otherwise (spark.sql.execution.arrow.maxBytesPerBatch).
+
 Intermediate results are column files in that folder. They are read again by what
 is built on them, also after a lost executor, so they stay until the application
 ends or ``clear`` is called.
@@ -14,6 +19,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +59,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """Batches to Python have at most so many rows meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Compute once and read from the shared folder from then on; the frame and its path."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
