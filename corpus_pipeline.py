@@ -1,8 +1,9 @@
 """A training-corpus pipeline: documents in, packed sequences out.
 
-STAGES in order; each takes (spark, docs, sf_dir), and its result is written as
-Parquet and read again as the next one's docs. All but the last return the
-columns of documents:
+STAGES in order; each takes (spark, docs, sf_dir). All but the last return the columns of
+documents, written as Parquet and read again for the next one, so no stage is computed
+twice. Rows without doc_id pass line_dedup and near_duplicates as they are, and
+are judged like others elsewhere:
 
 * quality_rules drops documents that the base rule or the adaptive rules reject.
 * line_dedup removes later occurrences of three-line passages; a document of
@@ -30,20 +31,20 @@ from tilework.llm.store import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_filter(docs)
+    return stored(quality_filter(docs), "pipeline-quality")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup(docs).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = line_dedup(docs, counts=("__lines", "__removed")).where(r"__removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    return stored(out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns), "pipeline-lines")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return stored(one_of_each(docs), "pipeline-near")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return stored(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-clean")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +65,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
