@@ -10,6 +10,7 @@ mode, and the edges of some modes; colour planes (``chroma``) do neither.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -116,14 +117,16 @@ def _rows(arrays: pa.Array, n: int) -> np.ndarray:
     return arrays.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, n)
 
 
-def predicted(border: Column, mode: int, n: int, chroma: bool = False) -> Column:
-    """Prediction of one mode as an array of n * n."""
+def predicted(border: Column, modes: Sequence[int], n: int, chroma: bool = False) -> Column:
+    """Predictions of some modes, in their order, each an array of n * n."""
 
     def run(b: pa.Array) -> pa.Array:
-        y = predict(_rows(b, 4 * n + 1), mode, n, chroma).astype(np.int32).reshape(-1)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(y) + 1, n * n), pa.int32()), pa.array(y))
+        b = _rows(b, 4 * n + 1)
+        y = np.stack([predict(b, m, n, chroma).reshape(-1, n * n) for m in modes], axis=1).astype(np.int32).reshape(-1)
+        each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(y) + 1, n * n), pa.int32()), pa.array(y))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(each) + 1, len(modes)), pa.int32()), each)
 
-    return F.arrow_udf(run, "array<int>")(border)
+    return F.arrow_udf(run, "array<array<int>>")(border)
 
 
 def mode_sads(border: Column, px: Column, n: int, chroma: bool = False) -> Column:

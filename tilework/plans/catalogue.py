@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -248,10 +248,10 @@ def _digest(px: Column) -> list[Column]:
     return [F.aggregate(px, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.md5(F.array_join(px, ",")).alias("digest")]
 
 
-def _prediction(s: SparkSession, d: str, modes: Iterable[int], sizes: Iterable[int] = SIZES, chroma: bool = False) -> DataFrame:
+def _prediction(s: SparkSession, d: str, modes: Sequence[int], sizes: Iterable[int] = SIZES, chroma: bool = False) -> DataFrame:
     def one(n: int) -> DataFrame:
-        each = F.array(*[F.struct(F.lit(m).alias("mode"), P.predicted(F.col("border"), m, n, chroma).alias("px")) for m in modes])
-        return P.borders(_grid(s, d, n), n).select("n", "blk", F.inline(each)).select("n", "blk", "mode", *_digest(F.col("px")))
+        each = P.borders(_grid(s, d, n), n).select("n", "blk", F.posexplode(P.predicted(F.col("border"), modes, n, chroma)).alias("i", "px"))
+        return each.select("n", "blk", F.get(F.array(*map(F.lit, modes)), F.col("i")).alias("mode"), *_digest(F.col("px")))
 
     return _union(map(one, sizes))
 
