@@ -9,6 +9,9 @@ within a text at overlapping places, the lines of the later one go, so ten equal
 lines in a row leave one. With equal doc_id (repeated rows) the rows are told
 apart by nothing: both count as the same place, and neither removes the other.
 
+Windows are told apart by two independent hashes of 64 bits over their lines' hashes
+(64 bits as well); lines themselves aren't compared.
+
 Scale: one row of 32 bytes per window is shuffled, pre-aggregated to its first
 place; windows seen once are dropped before anything meets the texts. A window
 that very many documents share is a skewed join key against a single row, which

@@ -18,7 +18,7 @@ meet the shards that can hold a match of theirs:
    maximal spans of at least ``length`` words that A holds are removed. A task
    holds one automaton, of one document's shared stretches, at a time.
 4. A window that shares its anchor but isn't in A may still be in another earlier
-   document. Such windows, few, are grouped by a hash of 64 bits in effect.
+   document. Such windows, few, are grouped by two independent hashes of 64 bits.
 
 Skew: an anchor or shard that very many documents share is salted; first documents
 are pre-aggregated. Nothing is capped. Broadcast are the list of very frequent

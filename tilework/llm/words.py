@@ -23,7 +23,7 @@ _RNG = np.random.default_rng(20240917)
 _BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 4 + 1 & (1 << 64) - 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,13 +54,14 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def ngrams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
-    """Hash of each run of n values; shorter input gives none."""
+    """Hash of each run of n values; shorter input gives none. Each salt has a polynomial of its own, so what two runs share under one tells nothing about the other."""
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
     out = hashes[:m].copy()
+    step = np.uint64((_STEP + 2 * salt * 0xD1B54A32D192ED03) & (1 << 64) - 1)
     for j in range(1, n):
-        out *= _STEP
+        out *= step
         out += hashes[j : j + m]
     return mix(out, salt + n)
 
