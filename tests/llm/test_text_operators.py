@@ -269,7 +269,8 @@ def test_ngram_join(spark, odd, none, monkeypatch, block_rows, salt_rows, group,
     if salt_rows < 100:
         monkeypatch.setattr(ranges, "SAMPLE", 1)
         monkeypatch.setattr(ranges, "LEAST", 2)
-        monkeypatch.setattr(ngramjoin, "GATHERED", 500)
+        monkeypatch.setattr(ranges, "GATHERED", 500)
+        monkeypatch.setattr(ranges, "PER_RANGE", 1)
     docs = generated(250, 11, vocabulary=40, longest=80) + [(i + 1000, t.upper()) for i, t in generated(40, 11, vocabulary=40, longest=80)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngramjoin.ngram_jaccard_components(df, broadcast_rows=few).collect()}

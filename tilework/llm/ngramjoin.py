@@ -51,8 +51,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ranges import GATHERED, blobs, hot_values, per_key, per_range, range_count, range_of
-from .store import left_out, materialise, stored
+from .ranges import blobs, gathered_values, hot_values, per_key, per_range, range_count, range_of
+from .store import left_out, materialise, scratch, stored, written
 from .words import Block, blocks, mix
 
 SALT_ROWS = 50_000
@@ -101,7 +101,7 @@ def _shared_shingles(texts: DataFrame, n: int, hot: Broadcast) -> DataFrame:
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held, shingles, docs = [], 0, 0
         for _, _, s in _sets(batches):
-            if held and (shingles + len(s.shingle) > GATHERED or docs + len(s.size) > 1 << 16):
+            if held and (shingles + len(s.shingle) > gathered_values(n) or docs + len(s.size) > 1 << 16):
                 yield held
                 held, shingles, docs = [], 0, 0
             held.append(s)
@@ -372,5 +372,7 @@ def ngram_jaccard_components(docs: DataFrame, percent: int = 80, broadcast_rows:
 
 def one_of_each(docs: DataFrame, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns; rows without doc_id stay, as no id tells them from each other."""
-    losers = ngram_jaccard_components(docs, percent, broadcast_rows).where("doc_id != component_id").select("doc_id")
+    with scratch(docs.sparkSession) as keep:
+        losers, path = written(ngram_jaccard_components(docs, percent, broadcast_rows).where("doc_id != component_id").select("doc_id"), "losers")
+        keep.append(path)
     return left_out(docs, losers, broadcast_rows)

@@ -25,8 +25,12 @@ from .store import small_batches
 
 #: One text in so many is sampled for frequent values; a listed one is in at least so many of them, and is a twentieth of its range's.
 SAMPLE, LEAST, SHARE = 64, 64, 20
-#: Values that a task gathers before it emits them.
-GATHERED = 1_000_000
+#: Values that a task gathers before it emits them, at least; more where there are many ranges.
+GATHERED, PER_RANGE = 250_000, 64
+
+
+def gathered_values(n: int) -> int:
+    return max(GATHERED, PER_RANGE * n)
 
 
 def range_count(df: DataFrame) -> int:
@@ -43,18 +47,20 @@ def blobs(ranges: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(ranges, kind="stable")
     which, first = np.unique(ranges[order], return_index=True)
     cut = [*first.tolist(), len(order)]
-    parts = [[c[order][a:z].tobytes() for a, z in zip(cut, cut[1:], strict=False)] for c in columns]
+    parts = [[c[a:z].tobytes() for a, z in zip(cut, cut[1:], strict=False)] for c in (x[order] for x in columns)]
     return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts]], ["range", *[f"v{i}" for i in range(len(parts))]])
 
 
-def gathered(parts: Iterator[tuple[np.ndarray, ...]], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Tuples of columns joined until they are about so many values long."""
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], n: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tuples of columns joined until they are long enough for n ranges."""
     held: list[tuple[np.ndarray, ...]] = []
+    size, most = 0, gathered_values(n)
     for p in parts:
         held.append(p)
-        if sum(len(x[0]) for x in held) >= (most or GATHERED):
+        size += len(p[0])
+        if size >= most:
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
-            held = []
+            held, size = [], 0
     if held:
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
@@ -106,7 +112,7 @@ def hot_values(texts: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.
     """The Hot values, broadcast. texts: doc_id, text; values: of a batch, each text's without repeats."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (v,) in gathered((x,) for batch in batches for x in values(batch)):
+        for (v,) in gathered(((x,) for batch in batches for x in values(batch)), n):
             if len(v):
                 u, k = np.unique(v, return_counts=True)
                 yield blobs(range_of(u, n), u, k)

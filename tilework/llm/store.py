@@ -72,6 +72,15 @@ def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is written meanwhile goes at the end, but for the paths put into the list."""
+    before, keep = set(_written(spark)), []
+    yield keep
+    for path in [p for p in _written(spark) if p not in before and p not in keep]:
+        remove(spark, path)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Compute once and read from the shared folder from then on; the frame and its path."""
     path = fresh_path(df.sparkSession, name)

@@ -124,7 +124,7 @@ def _shared_anchors(texts: DataFrame, length: int) -> DataFrame:
                 yield v, ids[at + d]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v, doc in gathered(anchors(batches)):
+        for v, doc in gathered(anchors(batches), n):
             salts = (1 + hot.value.count(v) // SALT_ROWS).astype(np.uint64)
             yield blobs(range_of(mix(v + mix(doc.astype(np.uint64), 61) % salts, 62), n), v, doc)
 
