@@ -1,9 +1,9 @@
 """A training-corpus pipeline: documents in, packed sequences out.
 
-STAGES in order; each takes (spark, docs, sf_dir). All but the last return the columns of
-documents, written as Parquet and read again for the next one, so no stage is computed
-twice. Rows without doc_id pass line_dedup and near_duplicates as they are, and
-are judged like others elsewhere:
+STAGES in order; each takes (spark, docs, sf_dir), and its result is written as
+Parquet and read again as the next one's docs. All but the last return the
+columns of documents. Rows without doc_id pass line_dedup and near_duplicates as
+they are, and are judged like others elsewhere:
 
 * quality_rules drops documents that the base rule or the adaptive rules reject.
 * line_dedup removes later occurrences of three-line passages; a document of
@@ -27,24 +27,32 @@ from tilework.llm.ngramjoin import one_of_each
 from tilework.llm.packing import pack
 from tilework.llm.quality import quality_filter
 from tilework.llm.queries import packing_parameters
-from tilework.llm.store import stored
+from tilework.llm.store import remove, scratch, written
+
+
+def _alone(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The frame, computed and written at once in small batches, without what was written on the way."""
+    with scratch(spark) as keep:
+        out, path = written(build(), name)
+        keep.append(path)
+    return out
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return stored(quality_filter(docs), "pipeline-quality")
+    return _alone(spark, lambda: quality_filter(docs), "pipeline-quality")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup(docs, counts=("__lines", "__removed")).where(r"__removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
-    return stored(out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns), "pipeline-lines")
+    return out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return stored(one_of_each(docs), "pipeline-near")
+    return one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return stored(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-clean")
+    return _alone(spark, lambda: decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-clean")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +73,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    path = None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs, after = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(after)
+        if path:
+            remove(spark, path)
+        path = after
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
