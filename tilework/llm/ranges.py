@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import small_batches
+from .words import give_back
 
 #: One text in so many is sampled for frequent values; a listed one is in at least so many of them, and is a twentieth of its range's.
 SAMPLE, LEAST, SHARE = 64, 64, 20
@@ -80,6 +81,8 @@ def per_key(rows: DataFrame, n: int, work: Callable[[int, list[tuple]], Iterator
                 held.append(tuple(row))
         if held:
             yield from work(now, held)
+        held = []
+        give_back()
 
     return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
 

@@ -11,6 +11,7 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -173,7 +174,17 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         j = min(j, n, i + 50_000)
         yield i, Block(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower)
         i = j
+    give_back()
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker that waits for its next task would hold it otherwise."""
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
