@@ -12,4 +12,4 @@ def test_same_as_sql(spark, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == [*range(1, 11)]
+    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == [*range(1, 14)]

@@ -10,6 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .codebooks import compress
+from .conversations import repair
 from .decontaminate import contained_items
 from .html import extract_text
 from .linededup import line_dedup
@@ -19,6 +22,7 @@ from .pii import detect
 from .quality import PRIOR, RULES, quality_verdicts
 from .store import fresh_path, remove
 from .substring import substring_dedup
+from .toxicity import toxicity
 from .urls import rules_of, url_verdicts
 from .warc import archive_index, write_archives
 
@@ -100,8 +104,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the parts of each vector, and what they lose."""
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and repair of each conversation after damage."""
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_ngram_join, op4_packing, op5_line_dedup, op6_personal_data, op7_html_extraction, op8_url_filter, op9_warc_segments, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_ngram_join, op4_packing, op5_line_dedup, op6_personal_data, op7_html_extraction, op8_url_filter, op9_warc_segments, op10_substring_dedup, op11_vector_codes, op12_toxicity, op13_conversation_repair)}
 
 
 # Words of a text, and the same with A-Z lowered.
@@ -197,4 +216,4 @@ FROM w LEFT JOIN r ON r.doc_id = w.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1, "op2_quality_rules": _op2_sql(), "op3_ngram_join": _OP3, "op5_line_dedup": _OP5, "op10_substring_dedup": _OP10}
+    return {"op1_decontamination": _OP1, "op2_quality_rules": _op2_sql(), "op3_ngram_join": _OP3, "op5_line_dedup": _OP5, "op10_substring_dedup": _OP10, "op11_vector_codes": oracles.compression(), "op13_conversation_repair": oracles.repair()}
