@@ -29,7 +29,7 @@ PROSE = "It is one of the things that we have to do before the end of the day, a
         ("<", ""),
         (f"<{PROSE}", f"<{PROSE}"),
         (page("<nav><a href=/>Home of the site</a></nav><article><h1>Be.</h1><p>A&amp;B &lt;i&gt;\n  x</p><p>", PROSE, "</article><footer>&copy; us</footer>"), f"Be.\nA&B <i> x\n{PROSE}"),
-        (page("<article><p>Short<script>var a='</p>';</script> one</p><!-- no --><ul><li><a href=x>Link one</a></li></ul><p>Two</p></article>"), "Short one\nTwo"),
+        (page("<article><p>Short<script>var a='</p>';</script> one</p><!-- no --><ul><li><a href=x>Link one</a></li></ul><p>Two</p></article>"), "Short one\nLink one\nTwo"),
         (page(f"<div class='cookie-notice'>{PROSE}</div><main><header><h1>Head</h1></header><p>{PROSE}</p><section id=comments><p>{PROSE}</p></section></main>"), f"Head\n{PROSE}"),
         (page(f"<div class=sidebar>{PROSE}</div><form><p>{PROSE}</p></form><div>{PROSE}<br>More</div><div hidden>{PROSE}</div><div>Tiny</div>"), f"{PROSE} More\nTiny"),
         (page(f"<header>{PROSE}</header><div id='top-menu'>{PROSE}</div><aside>{PROSE}</aside><p>{PROSE}"), PROSE),
@@ -74,6 +74,34 @@ def test_no_article_text_is_lost(inside, text):
     assert html.main_text(page("<article>", inside, "</article>")) == text
 
 
+LONG = " ".join([PROSE] * 3)
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (f"<form id=f action=x><div><p>{LONG}</p><p>And this is the end.</p></div></form>", f"{LONG}\nAnd this is the end."),
+        (f"<form id=f><nav>a b</nav><article><h1>Title</h1><p>{LONG}</p></article><p>Send it all to us.</p></form>", f"Title\n{LONG}"),
+        (f"<p>{LONG}</p><p>{LONG}</p><form><p>{LONG}</p><input></form>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><form><label>Name</label><p>{PROSE}</p></form></article>", LONG),
+        (f"<article><p>{LONG}</p><p>See <a href=x>the long report on the state of the harbour</a> now.</p></article>", f"{LONG}\nSee the long report on the state of the harbour now."),
+        (f"<article><h2><a href=x>A heading</a></h2><p>{LONG}</p></article>", f"A heading\n{LONG}"),
+        (f"<article><p>{LONG}</p><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul></article>", f"{LONG}\nFirst source\nSecond source"),
+        (f"<article><p>{LONG}</p><fieldset><legend>Note</legend><p>Words in a box.</p></fieldset></article>", f"{LONG}\nNote\nWords in a box."),
+        (f"<article><p>{LONG}</p></article><div class=comments><article><p>{PROSE}</p></article></div>", LONG),
+        (f"<div class='cookie-law-info'><p>{PROSE}</p></div><p>{LONG}</p>", LONG),
+        (f"<p>{LONG}</p><section class=reader-feedback><h2>Comments</h2><p>{PROSE}</p></section>", LONG),
+        (f"<p>{LONG}</p><div class=x><h3>3 comments</h3><p>{PROSE}</p><div><p>{PROSE}</p></div></div>", LONG),
+        (f"<article><p>{LONG}</p><section><h3>Comments</h3><p>{PROSE}</p></section></article>", f"{LONG}\nComments\n{PROSE}"),
+        ("<p>" + "我们在城市的中心看到了很多人，他们都在等待着节日的开始，" * 4 + "</p>", "我们在城市的中心看到了很多人，他们都在等待着节日的开始，" * 4),
+        ("<p>One short line of text.</p>", "One short line of text."),
+        ("<ul><li><a href=a>Home</a><li><a href=b>About</a></ul>", ""),
+    ],
+)
+def test_forms_links_comments_and_short_pages(source, text):
+    assert html.main_text(page(source)) == text
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<a x=\"", "<a \">\" <a x=\">", "<a x='>' ", "<", "</", "<!", "< >", "<ul><li>", "<li><div>", "<!-- >", "<script>", "&lt;", "<a b c=d e"])
 def test_pages_are_read_in_linear_time(unit):
     began = time.process_time()
@@ -93,6 +121,8 @@ def plain_two_passes(paragraphs, rules=html.BlockRules()):
             first.append("good" if density >= rules.long_stop_density else "bad")
         else:
             first.append("good" if len(found) >= rules.min_words and density >= rules.min_stop_density else None)
+    if "good" not in first:  # what has words enough, or ends like a sentence, is all that there is
+        first = ["good" if v is None and len(re.findall(r"[^\W\d_]+", t)) >= rules.min_words else v for v, (t, _) in zip(first, paragraphs, strict=True)]
     out = []
     for i, verdict in enumerate(first):
         near = sorted((abs(i - k), other == "bad") for k, other in enumerate(first) if other)

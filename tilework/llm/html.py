@@ -3,15 +3,19 @@
 A page is cut into blocks at block-level tags. Pass one decides each block by
 link density, length and stop-word density: good, bad, or ambiguous when it is
 too short to tell. What a block sits in counts too: menus, headers and footers of
-the page, sidebars, forms, dialogs, hidden parts, and elements with a class or id
+the page, sidebars, dialogs, hidden parts, and elements with a class or id
 that names nothing but adverts, notices, comments and the like (BAD_WORDS, with
 CARRIERS such as "box" or "list" beside them: "share-buttons", not "related-work")
-are bad; a main part, or an article
-whose own class and id don't name such, is judged anew in what only a class or id
-marks. A head without end tag ends where the body's content starts. Pass two gives each
+are bad, and so is outside articles a part that starts with a heading such as "3 comments"; a main part, or an article
+whose own class and id don't name such, is judged anew in a form and in what only a class or id
+marks, other than as comments. A form is bad unless it holds the larger part of the page's good words,
+as one around a whole page does; articles judged anew don't count for it. Inside articles and main parts links don't
+make a block bad. A head without end tag ends where the body's content starts. Pass two gives each
 ambiguous block the label of the nearest decided block of its own section; on
 equal distance good wins, and the edges of an article or main part count as good.
-Elsewhere a section without any decided block is bad.
+Elsewhere a section without any decided block is bad. Where a page has no good block at all, pass two
+takes ambiguous ones that end like a sentence, or have words enough, as good. In scripts
+without spaces two letters count as a word, and common particles as stop words.
 
 Scripts, styles, comments and markup go, and so do fallbacks of frames and media and
 the notes of formulas; what noscript holds counts inside an article or main part only.
@@ -43,24 +47,27 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 RAW_TAGS = frozenset("script style template iframe canvas audio video textarea title annotation annotation-xml".split())
-BAD_TAGS = frozenset("nav footer aside form menu button select dialog head fieldset datalist search".split())
+BAD_TAGS = frozenset("nav footer aside menu button select dialog head datalist search".split())
 #: What can stand in a head; anything else ends it.
 HEAD_TAGS = frozenset("html head base link meta noscript script style template title".split())
 MAIN_TAGS = frozenset(["article", "main"])
 LIST_TAGS = frozenset("ul ol menu dir".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTION_TAGS = MAIN_TAGS | {"body", "section", "aside", "nav", "header", "footer", "form"}
 #: Parts of class and id names that mark boilerplate, and what may stand beside them in a name that does.
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments consent cookie "
-    "cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup "
+    "cookies disqus feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup "
     "promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar topbar widget widgets".split()
 )
 CARRIERS = frozenset(
-    "area articles bar block body bottom box button buttons card center container content header holder icon icons inner item items left link "
-    "links list main mobile outer page panel post posts primary right rows secondary section site slot small sticky stories thread top "
+    "alert area articles bar block body bottom box button buttons card center container content header holder icon icons info inner item items law left link "
+    "links list main message mobile outer page panel post posts primary reader readers right rows secondary section site slot small sticky stories thread top "
     "unit user wrap wrapper x".split()
 )
+#: Those of them that mark what readers wrote.
+COMMENT_WORDS = frozenset("comment comments disqus feedback replies reply respond".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Very common words of the languages handled.
 STOP_WORDS = frozenset(
@@ -74,6 +81,12 @@ STOP_WORDS = frozenset(
     "también te tiene una y ya".split()
 )
 
+#: Particles of scripts without spaces that count as stop words.
+PARTICLES = frozenset("的了是在和有不这我们他她它也就都而及与以为 のにはをがでともへやからまでした")
+_UNSPACED = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+#: What heads a part that readers wrote.
+_COMMENTS = re.compile(r"\s*(?:\d+\s+)?(?:(?:reader|readers'|user)\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)\s*(?:\(\d+\)|:)?\s*", re.I)
+_SENTENCE = re.compile(r"[.!?。！？…][\"'»”’)）」]*$")
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _ATTRIBUTE = re.compile(r"([^\s>/=][^\s>/=]*+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -93,22 +106,25 @@ class BlockRules:
 
 
 class TextBlock:
-    """A piece of a page: raw text, characters in links, section number, whether in an article."""
+    """A piece of a page: raw text, characters in links, section number, whether in an article, number of its form (0: none)."""
 
-    __slots__ = ("in_main", "label", "linked", "section", "text")
+    __slots__ = ("form", "in_main", "label", "linked", "section", "text")
 
-    def __init__(self, text: str, linked: int, section: int, in_main: bool):
-        self.text, self.linked, self.section, self.in_main = text, linked, section, in_main
+    def __init__(self, text: str, linked: int, section: int, in_main: bool, form: int = 0):
+        self.text, self.linked, self.section, self.in_main, self.form = text, linked, section, in_main, form
         self.label = ""
 
 
-def _named(value: str, in_main: bool) -> bool:
-    """Whether one of the names in a class or id is that of boilerplate."""
+def _named(value: str, in_main: bool) -> int:
+    """Whether one of the names in a class or id is that of boilerplate: 2 if of comments."""
+    found = 0
     for name in value.split():
         parts = {x.lower() for x in _PART.findall(name)}
-        if parts & BAD_WORDS and parts <= BAD_WORDS | CARRIERS or not in_main and "header" in parts and parts <= CARRIERS:
-            return True
-    return False
+        if parts & BAD_WORDS and parts <= BAD_WORDS | CARRIERS:
+            found = max(found, 2 if parts & COMMENT_WORDS else 1)
+        elif not in_main and "header" in parts and parts <= CARRIERS:
+            found = max(found, 1)
+    return found
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -121,7 +137,7 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _marked(tag: str, attributes: dict[str, str], in_main: bool) -> int:
-    """Whether an element marks what it holds as boilerplate: 1 only by its class or id, 2 otherwise."""
+    """Whether an element marks what it holds as boilerplate: 1 only by its class or id, 2 otherwise and as comments."""
     if tag in BAD_TAGS or tag in ("header", "noscript") and not in_main:
         return 2
     if not attributes or tag in ("html", "body") or tag in MAIN_TAGS:
@@ -130,11 +146,11 @@ def _marked(tag: str, attributes: dict[str, str], in_main: bool) -> int:
         return 2
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
         return 2
-    return int(_named(attributes.get("class", ""), in_main) or _named(attributes.get("id", ""), in_main))
+    return max(_named(attributes.get(k, ""), in_main) for k in ("class", "id"))
 
 
 def _starts_anew(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an element is judged anew inside a part that only a class or id marks."""
+    """Whether an element is judged anew inside a form or a part that only a class or id marks."""
     return tag == "main" or tag == "article" and not any(_named(attributes.get(k, ""), True) for k in ("class", "id"))
 
 
@@ -168,18 +184,20 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 def page_blocks(page: str) -> list[TextBlock]:
     """The blocks of a page in order, unlabelled, without what lies in parts marked as boilerplate."""
     out: list[TextBlock] = []
-    stack: list[tuple[str, int, bool, int, bool]] = []  # tag, mark of its place (see _marked), in main, section, whether a list has begun since the last open item
+    # tag, blocks before it, then its place: mark (see _marked), in main, section, whether a list has begun since the last open item, form
+    stack: list[tuple[str, int, int, bool, int, bool, int]] = []
     open_tags: dict[str, int] = {}
     parts: list[str] = []
-    linked = sections = pos = 0
-    state = (0, False, 0, False)
+    linked = sections = forms = pos = 0
+    nowhere = (0, False, 0, False, 0)
+    state = nowhere
 
     def end_block() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(TextBlock(text, linked, state[2], state[1]))
+                out.append(TextBlock(text, linked, state[2], state[1], state[4]))
             parts, linked = [], 0
 
     def add(piece: str) -> None:
@@ -197,7 +215,7 @@ def page_blocks(page: str) -> list[TextBlock]:
             open_tags[name] -= 1
             if name == tag:
                 break
-        state = stack[-1][1:] if stack else (0, False, 0, False)
+        state = stack[-1][2:] if stack else nowhere
 
     def end_head() -> None:
         if open_tags.get("head"):
@@ -226,7 +244,12 @@ def page_blocks(page: str) -> list[TextBlock]:
             parts.append(" ")
         if closing:
             if open_tags.get(tag):
+                heads = tag in HEADINGS and len(stack) > 1 and stack[-1][0] == tag and stack[-2][0] in ("section", "div", "aside") and stack[-1][1] == stack[-2][1] == len(out) - 1
                 close(tag)
+                if heads and not state[1] and _COMMENTS.fullmatch(out[-1].text):
+                    out.pop()
+                    stack[-1] = (*stack[-1][:2], 2, *stack[-1][3:])
+                    state = stack[-1][2:]
             continue
         if tag not in HEAD_TAGS:
             end_head()
@@ -241,16 +264,22 @@ def page_blocks(page: str) -> list[TextBlock]:
         elif tag in BLOCK_TAGS and open_tags.get("p") and tag != "p":
             close("p")
         attributes = _attributes(text) if text else {}
-        bad, main, section, listed = state
-        bad = 0 if bad == 1 and _starts_anew(tag, attributes) else max(bad, _marked(tag, attributes, main))
+        bad, main, section, listed, form = state
+        if bad < 2 and (bad or form) and _starts_anew(tag, attributes):
+            bad = form = 0
+        else:
+            bad = max(bad, _marked(tag, attributes, main))
+        if tag == "form":
+            forms += 1
+            form = forms
         main = main or tag in MAIN_TAGS
         if tag in SECTION_TAGS:
             sections += 1
             section = sections
         listed = tag in LIST_TAGS or listed and tag != "li"
-        stack.append((tag, bad, main, section, listed))
+        state = (bad, main, section, listed, form)
+        stack.append((tag, len(out), *state))
         open_tags[tag] = open_tags.get(tag, 0) + 1
-        state = (bad, main, section, listed)
     if page[pos:].strip():
         end_head()
     add(page[pos:])
@@ -258,17 +287,36 @@ def page_blocks(page: str) -> list[TextBlock]:
     return out
 
 
+def words_of(text: str) -> tuple[int, int]:
+    """Words of a text, and stop words among them."""
+    words = _WORD.findall(text.lower())
+    stops = sum(w in STOP_WORDS for w in words)
+    if text.isascii() or not (letters := _UNSPACED.findall(text)):
+        return len(words), stops
+    return len(words) + len(letters) // 2, stops + sum(c in PARTICLES for c in letters)
+
+
 def decide(block: TextBlock, rules: BlockRules) -> str:
     """First pass: good, bad or ambiguous."""
-    if block.linked > rules.max_link_density * len(block.text):
+    if not block.in_main and block.linked > rules.max_link_density * len(block.text):
         return "bad"
-    words = _WORD.findall(block.text.lower())
-    if len(words) < rules.min_words:
+    words, stops = words_of(block.text)
+    if words < rules.min_words:
         return "ambiguous"
-    stops = sum(w in STOP_WORDS for w in words)
-    if stops >= (rules.long_stop_density if len(words) >= rules.long_words else rules.min_stop_density) * len(words):
+    if stops >= (rules.long_stop_density if words >= rules.long_words else rules.min_stop_density) * words:
         return "good"
-    return "ambiguous" if block.in_main or len(words) < rules.long_words else "bad"
+    return "ambiguous" if block.in_main or words < rules.long_words else "bad"
+
+
+def judge_forms(blocks: list[TextBlock]) -> None:
+    """Blocks of forms become bad, but for forms that hold more good words than what is outside of forms."""
+    if any(b.form for b in blocks):
+        good: dict[int, int] = {}
+        for b in blocks:
+            good[b.form] = good.get(b.form, 0) + (words_of(b.text)[0] if b.label == "good" else 0)
+        for b in blocks:
+            if b.form and good[b.form] <= good.get(0, -1):
+                b.label = "bad"
 
 
 def label(blocks: list[TextBlock], rules: BlockRules) -> None:
@@ -277,6 +325,11 @@ def label(blocks: list[TextBlock], rules: BlockRules) -> None:
     for i, b in enumerate(blocks):
         b.label = decide(b, rules)
         sections.setdefault(b.section, []).append(i)
+    judge_forms(blocks)
+    if not any(b.label == "good" for b in blocks):
+        for b in blocks:
+            if b.label == "ambiguous" and (_SENTENCE.search(b.text) or words_of(b.text)[0] >= rules.min_words):
+                b.label = "good"
     for at in sections.values():
         distance: dict[int, tuple[int, bool]] = {}
         for order in (at, at[::-1]):
