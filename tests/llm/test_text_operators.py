@@ -532,3 +532,43 @@ def test_suffix_automaton_matching_statistics():
         for e, n in enumerate(shard.statistics(text)):
             best = max((k for k in range(e + 2) if any("".join(text[e + 1 - k : e + 1]) in j for j in joined)), default=0)
             assert n == best
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_texts_of_one_template_are_no_candidates(spark, monkeypatch, frequent):
+    """They share 60 words and have 14 of their own: similarity 0.67, and 0.79 with those that have one of their own, which are links of each other."""
+    if frequent:  # the template's shingles count as frequent
+        monkeypatch.setattr(ngramjoin, "SALT_ROWS", 50)
+        monkeypatch.setattr(ranges, "SAMPLE", 1)
+        monkeypatch.setattr(ranges, "LEAST", 2)
+    template = " ".join(f"t{i}" for i in range(60))
+    rows = [(i, template + " " + " ".join(f"o{i}x{j}" for j in range(14))) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngramjoin.candidates(df, 16, 80).count() == 0
+    close = [(1000 + i, f"{template} z{i}") for i in range(100)]
+    df = df.unionByName(spark.createDataFrame(close, df.schema))
+    out = {r.doc_id: (r.component_id, r.n_links) for r in ngramjoin.ngram_jaccard_components(df).collect()}
+    assert out == {i: (i, 0) for i, _ in rows} | {i: (1000, 99) for i, _ in close}
+
+
+def test_bounds_of_groups_equal_loops():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        m = int(rng.integers(1, 12))
+        group, size = np.sort(rng.integers(0, 3, m)), rng.integers(1, 30, m)
+        order = np.lexsort((size, group))
+        group, size = group[order], size[order]
+        most = size + rng.integers(-6, 8, m)
+        pairs = {(i, j) for i in range(m) for j in range(m) if i != j and group[i] == group[j] and size[j] <= most[i] and size[i] <= most[j]}
+        some = ngramjoin._could_link(group, size, most)
+        assert some.tolist() == [any(i == a for a, _ in pairs) for i in range(m)]
+        at = np.flatnonzero(some)
+        run = dict(zip(at.tolist(), ngramjoin._runs(group[at], size[at], most[at]).tolist(), strict=True))
+        assert all(run[i] == run[j] for i, j in pairs)
+        # through nodes, too, whoever could link is tied to a node that one of both holds firmly
+        k = np.arange(m, dtype=np.uint64)
+        ties = set(zip(*map(np.ndarray.tolist, ngramjoin._node_ties(group.astype(np.uint64), k, size, np.minimum(most, size * 5 // 4), 1, 80)), strict=True))
+        for i, j in pairs:
+            if 4 * max(size[i], size[j]) <= 5 * min(size[i], size[j]) and max(size[i], size[j]) <= min(most[i], most[j]):
+                shared = {n for c, n, _ in ties if c == i} & {n for c, n, _ in ties if c == j}
+                assert any(bits & ngramjoin.FIRM for c, n, bits in ties if n in shared and c in (i, j))

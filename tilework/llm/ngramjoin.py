@@ -15,11 +15,14 @@ must pass it under three global orders at once:
    shared comes back to the texts; a rare confusion only changes the orders or adds a
    candidate. A shingle of one text is in no other prefix and isn't sent any further.
 3. Classes with the same prefix shingle of the same order are a group. A group of at
-   most GROUP classes gives its pairs of fitting sizes, each pair (but for a few) in
+   most GROUP classes gives its pairs, each pair (but for a few) in
    the group of its first common prefix shingle only: a row knows the PREVIOUS
-   shingles before it, and pairs that share one of these were there already. Pairs
-   that all three orders give go on. Larger groups give no pairs: each class is
-   tied to the group's first one.
+   shingles before it, and pairs that share one of these were there already. A row also knows
+   how many shingles come from this one on, which bounds what a pair can share: pairs that can't
+   share enough any more aren't given. Pairs
+   that all three orders give go on. Larger groups give no pairs: of the classes
+   that could link with another one of the group, by sizes and these bounds, runs of overlapping sizes
+   are tied together. So texts of one template, whose own parts keep them apart, aren't compared at all.
 4. Pairs and ties make up connected groups of classes, nearly those of the links
    themselves. They are verified in tiles: whole groups where they are small; large
    ones split by set size, where only neighbouring sizes can link, and by salt, each
@@ -30,8 +33,9 @@ must pass it under three global orders at once:
 5. Connected components of the forest give each text its component.
 
 Skew: a shingle that very many texts hold (found on a sample, see ranges.py) counts as one of the
-highest level without being counted, and is dealt out by a salt, its parts tied
-together through a node of its own. Nothing is sampled, capped or dropped. What is
+highest level without being counted, and is dealt out by a salt. Its group meets through nodes, one for
+each size of sets (within BAND of each other): a class is tied to the nodes of the sizes that it could link with, and firmly to that of
+its own size if it could link with one as large. Ties to nodes that no class holds firmly go. Nothing is sampled, capped or dropped. What is
 broadcast is the list of such shingles, of bounded size, and the ids of copies to leave out and of classes to compare where they are at most ``broadcast_rows`` (they are
 joined by a shuffle beyond). Classes are told apart by 64 bits and set size.
 
@@ -56,7 +60,9 @@ from .store import left_out, materialise, scratch, stored, written
 from .words import Block, blocks, mix
 
 SALT_ROWS = 50_000
-ORDERS, GROUP, PREVIOUS, LEVELS = 3, 64, 3, 6
+#: Bits of a tie through a node of a frequent shingle, and of a firm one; sizes within this factor share a node.
+NODE, FIRM, BAND = 16, 8, 1.05
+ORDERS, GROUP, PREVIOUS, LEVELS = 3, 64, 3, 40
 WHOLE_ROWS, MOST_BLOCKS = 64, 16
 BLOCK_ROWS, BLOCK_SHINGLES = 1_500, 500_000
 
@@ -65,6 +71,47 @@ def _least_shared(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
+def _could_link(group: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which members of groups have another one in theirs that could link with them: neither's size is beyond the other's most. Rows are sorted by group and size."""
+    if not len(group):
+        return np.zeros(0, bool)
+    base = group.astype(np.int64) << 32
+    reach = base + np.maximum(most, 0)
+    upto = np.searchsorted(base + size, reach, "right")  # members of this and of groups before, up to the largest size that fits
+    first = np.searchsorted(base, base)
+    best = np.maximum.accumulate(reach)  # groups grow, so it starts anew with each
+    passed = np.minimum(reach[1:], best[:-1])
+    second = np.maximum.accumulate(np.concatenate([[-1], np.where(group[1:] == group[:-1], passed, -1)]))
+    last = np.maximum(upto - 1, 0)
+    own = np.where((size <= most) & (reach == best[last]), second[last], best[last])
+    return (upto > first) & (own >= base + size)
+
+
+def _runs(group: np.ndarray, size: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Number of the run of each member, where a run ends before a size that nothing before it reaches. Sorted as for _could_link."""
+    if not len(group):
+        return np.zeros(0, np.int64)
+    base = group.astype(np.int64) << 32
+    reach = np.maximum.accumulate(base + np.maximum(most, size))
+    return np.cumsum(np.append(True, (base + size)[1:] > reach[:-1])) - 1
+
+
+def _bands(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
+
+
+def _node_ties(v: np.ndarray, k: np.ndarray, size: np.ndarray, most: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ties (class, node, bits) of the classes that share a frequent shingle: to the bands of all sizes that each could link with."""
+    out, low, own = [], _bands(_least_shared(size, percent)), _bands(size)
+    high = _bands(most)
+    for step in range(int((high - low).max(initial=-1)) + 1):
+        band = low + step
+        some = band <= high
+        node = mix(v[some] + mix(band[some].astype(np.uint64), 33), salt)
+        out.append((k[some], node, np.where((most >= size) & (band == own), NODE | FIRM, NODE)[some]))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 class Sets:
     """Shingle sets of a block: doc and shingle (sorted by both), size and class of each text."""
 
@@ -158,7 +205,8 @@ def _prefix_edges(texts: DataFrame, n: int, percent: int) -> DataFrame:
         level = np.concatenate([join(levels, np.uint8), np.full(len(own), LEVELS, np.uint8)])
         often = np.concatenate([np.zeros(len(token), np.int64), hot.value.count(hots)])
         # shingles of one text come first, so the others only need to be put in order
-        room = np.bincount(doc, minlength=len(size)) - _least_shared(size, percent)
+        shared = np.bincount(doc, minlength=len(size))
+        room = shared - _least_shared(size, percent)
         keep = room[doc] >= 0
         v, doc, level, often = v[keep], doc[keep], level[keep], often[keep]
         if not len(v):
@@ -166,51 +214,64 @@ def _prefix_edges(texts: DataFrame, n: int, percent: int) -> DataFrame:
         for o in range(ORDERS):
             order = np.lexsort((mix(v, 70 + o), level, doc))
             d = doc[order]
-            inside = np.arange(len(d)) - np.searchsorted(d, d) <= room[d]
-            d, w, many = d[inside], v[order[inside]], often[order[inside]]
+            rank = np.arange(len(d)) - np.searchsorted(d, d)
+            inside = rank <= room[d]
+            d, w, many, rest = d[inside], v[order[inside]], often[order[inside]], (shared[d] - rank)[inside]
             before = np.zeros((PREVIOUS, len(w)), np.uint64)
             for j in range(1, PREVIOUS + 1):
                 before[j - 1, j:] = np.where(d[j:] == d[:-j], w[:-j] + np.uint64(1), 0)  # 0: none
             k, salts = klass[d], (1 + many // SALT_ROWS).astype(np.uint64)
             # below zero: dealt out by a salt
-            yield blobs(range_of(mix(w + mix(k, 33) % salts, 34), n) * ORDERS + o, w, k, np.where(many >= SALT_ROWS, -size[d], size[d]), *before)
+            yield blobs(range_of(mix(w + mix(k, 33) % salts, 34), n) * ORDERS + o, w, k, np.where(many >= SALT_ROWS, -size[d], size[d]), rest, *before)
 
-    def work(r: int, v: np.ndarray, k: np.ndarray, size: np.ndarray, *before: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((k, v))
+    def work(r: int, v: np.ndarray, k: np.ndarray, size: np.ndarray, rest: np.ndarray, *before: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((-rest, k, v))
         order = order[np.append(True, (v[order][1:] != v[order][:-1]) | (k[order][1:] != k[order][:-1]))]
-        v, k, size, before = v[order], k[order], size[order], [x[order] for x in before]
+        v, k, size, rest, before = v[order], k[order], size[order], rest[order], [x[order] for x in before]
         head = np.append(True, v[1:] != v[:-1])
         group = np.cumsum(head) - 1
         salted = size < 0
-        tied = salted | (np.bincount(group)[group] > GROUP)
-        follows, leads = tied & ~head, salted & head
-        ties = np.unique(np.stack([np.concatenate([k[follows], k[leads]]), np.concatenate([k[head][group[follows]], mix(v[leads], 35 + r % ORDERS)])]), axis=1)
-        k, size, group, before = k[~tied], size[~tied], group[~tied], [x[~tied] for x in before]
+        # the largest size with which what is left of a class can link: all that two sets share comes from their first common shingle on
+        most = (100 + percent) * rest // percent - np.abs(size)
+        large = ~salted & (np.bincount(group)[group] > GROUP)
+        at = np.flatnonzero(large)
+        at = at[np.lexsort((size[at], group[at]))]
+        at = at[_could_link(group[at], size[at], most[at])]
+        run = _runs(group[at], size[at], most[at])
+        lead = at[np.searchsorted(run, run)]
+        ties = np.unique(np.stack([np.maximum(k[at], k[lead]), np.minimum(k[at], k[lead])]), axis=1)  # a > b, unlike pairs
+        ties = ties[:, ties[0] != ties[1]]
+        member, node, kind = _node_ties(v[salted], k[salted], -size[salted], most[salted], 35 + r % ORDERS, percent)
+        few = ~salted & ~large
+        k, size, most, group, before = k[few], size[few], most[few], group[few], [x[few] for x in before]
         pairs = [np.zeros((2, 0), np.uint64)]
         for step in range(1, GROUP):
             one = np.flatnonzero(group[step:] == group[: len(group) - step])
             if not len(one):
                 break
             two = one + step
-            fits = 100 * np.minimum(size[one], size[two]) >= percent * np.maximum(size[one], size[two])
+            fits = (size[two] <= most[one]) & (size[one] <= most[two])
             for x in before:
                 for y in before:
                     fits &= (x[one] != y[two]) | (x[one] == 0)
             pairs.append(np.stack([k[one[fits]], k[two[fits]]]))
         found = np.unique(np.concatenate(pairs, axis=1), axis=1)  # k grows within a group, so a < b
-        bits = np.repeat(np.array([1 << r % ORDERS, 0], np.int32), [found.shape[1], ties.shape[1]])
-        a, b = np.concatenate([found, ties], axis=1).view(np.int64)
+        bits = np.concatenate([np.repeat(np.array([1 << r % ORDERS, 0], np.int32), [found.shape[1], ties.shape[1]]), kind.astype(np.int32)])
+        a, b = np.concatenate([found, ties, np.stack([member, node])], axis=1).view(np.int64)
         for at in range(0, len(bits), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (a, b, bits)], ["a", "b", "orders"])
 
-    columns = "range int, " + ", ".join(f"v{i} binary" for i in range(3 + PREVIOUS))
-    return per_range(per_key(_shared_shingles(texts, n, hot), n, emit, columns), n, [np.uint64, np.uint64, np.int64] + [np.uint64] * PREVIOUS, work, "a long, b long, orders int")
+    columns = "range int, " + ", ".join(f"v{i} binary" for i in range(4 + PREVIOUS))
+    return per_range(per_key(_shared_shingles(texts, n, hot), n, emit, columns), n, [np.uint64, np.uint64, np.int64, np.int64] + [np.uint64] * PREVIOUS, work, "a long, b long, orders int")
 
 
 def candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges (a, b, orders): pairs of classes that share a prefix shingle under every order, and ties. texts: doc_id, text, a text of each class."""
     edges = _prefix_edges(texts, n, percent).groupBy("a", "b").agg(F.bit_or("orders").alias("orders"))
-    return edges.where(F.col("orders").isin(0, (1 << ORDERS) - 1))
+    edges = materialise(edges.where(F.col("orders").isin(0, (1 << ORDERS) - 1) | (F.col("orders") >= NODE)))
+    loose = edges.where(F.col("orders") >= NODE)
+    held = loose.groupBy("b").agg(F.bit_or("orders").alias("bits"), F.count("*").alias("ties")).where((F.col("bits") == NODE | FIRM) & (F.col("ties") > 1))
+    return edges.where(F.col("orders") < NODE).unionByName(loose.join(held.select("b"), "b", "left_semi").select("a", "b", "orders"))
 
 
 def _signatures(texts: DataFrame) -> DataFrame:
