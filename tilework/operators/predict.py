@@ -87,22 +87,30 @@ def predict(border: np.ndarray, mode: int, n: int, chroma: bool = False) -> np.n
 GIVEN = (("left_low", 1, -1), ("left", 1, 0), ("corner", 1, 1), ("top", 0, 1), ("top_right", -1, 1))
 
 
-def borders(blocks: DataFrame, n: int) -> DataFrame:
+def borders(blocks: DataFrame, n: int, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Each block with its border, and the labels of the blocks left and above (null where there are none; above also at the top of a tree block).
 
+    by: columns that neighbours have in common, such as frame and tile. order: a column with the place
+    in coding order; blocks that come later count as not there. Two blocks at one place are an error.
     Blocks send the few samples that their neighbours need, so whole blocks are moved once, in one grouping by place.
+    With either, mask has a bit for each neighbour that counts, from left below to top right.
     """
     px = F.col("px")
     right = F.transform(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), lambda y: F.get(px, y * n + n - 1))
     low = F.slice(px, n * n - n + 1, n)
     edge = {"left_low": right, "left": right, "corner": F.slice(px, n * n, 1), "top": low, "top_right": low}
-    none = F.lit(None)
-    own = F.struct(F.lit("own").alias("part"), F.col("bx").alias("x"), F.col("by").alias("y"), F.col("blk").alias("blk"), F.col("label").alias("label"), px.alias("s"))
-    sent = [F.struct(F.lit(name).alias("part"), (F.col("bx") + dx).alias("x"), (F.col("by") + dy).alias("y"), none.cast("long").alias("blk"), F.col("label").alias("label"), edge[name].alias("s")) for name, dx, dy in GIVEN]
-    rows = blocks.select(F.inline(F.array(own, *sent)))
-    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-    met = rows.groupBy("x", "y").agg(of("own", "blk").alias("blk"), of("own", "label").alias("label"), of("own", "s").alias("px"), of("left", "label").alias("left_mode"), of("top", "label").alias("above"), *[of(name, "s").alias(name) for name, *_ in GIVEN])
-    met = met.where(F.col("blk").isNotNull())
+    none, key = F.lit(None), F.col(order).cast("long") if order else F.lit(0).cast("long")
+    field = lambda part, x, y, blk, s: F.struct(F.lit(part).alias("part"), x.alias("x"), y.alias("y"), blk.alias("blk"), F.struct(key.alias("key"), F.col("label").cast("int").alias("label"), s.alias("s")).alias("v"))
+    own = field("own", F.col("bx").cast("long"), F.col("by").cast("long"), F.col("blk").cast("long"), px)
+    sent = [field(name, (F.col("bx") + dx).cast("long"), (F.col("by") + dy).cast("long"), none.cast("long"), edge[name]) for name, dx, dy in GIVEN]
+    rows = blocks.select(*by, F.inline(F.array(own, *sent)))
+    of = lambda part, c="v": F.max(F.when(F.col("part") == part, F.col(c)))
+    met = rows.groupBy(*by, "x", "y").agg(of("own", "blk").alias("blk"), F.count_if(F.col("part") == "own").alias("here"), of("own").alias("own"), *[of(name).alias(name) for name, *_ in GIVEN])
+    met = met.where(F.col("here") > 0).withColumn("blk", F.when(F.col("here") == 1, F.col("blk")).otherwise(F.raise_error(F.lit("two blocks lie at one place")).cast("long")))
+    if order:
+        met = met.withColumns({name: F.when(F.col(f"{name}.key") < F.col("own.key"), F.col(name)) for name, *_ in GIVEN})
+    bits = [F.when(F.col(name).isNotNull(), 1 << i).otherwise(0) for i, (name, *_) in enumerate(GIVEN)]
+    met = met.select(*by, "x", "y", "blk", F.col("own.label").alias("label"), F.col("own.s").alias("px"), F.col("left.label").alias("left_mode"), F.col("top.label").alias("above"), sum(bits[1:], bits[0]).alias("mask"), *[F.col(f"{name}.s").alias(name) for name, *_ in GIVEN])
     start = F.coalesce(*[F.get(name, F.lit(0)) for name, *_ in GIVEN], F.lit(128))
     parts: list[Column] = []
     for name, *_ in GIVEN:
@@ -110,7 +118,8 @@ def borders(blocks: DataFrame, n: int) -> DataFrame:
         met = met.withColumn(name, F.coalesce(F.col(name), F.array_repeat(before, 1 if name == "corner" else n)))
         parts.append(F.col(name))
     top_mode = F.when(F.col("y") * n % CTU != 0, F.col("above"))
-    return met.select(F.lit(n).alias("n"), "blk", "label", "px", "left_mode", top_mode.alias("top_mode"), F.concat(*parts).alias("border"))
+    more = [F.col("x").alias("bx"), F.col("y").alias("by"), F.col("mask")] if by or order else []
+    return met.select(*by, F.lit(n).alias("n"), "blk", "label", "px", "left_mode", top_mode.alias("top_mode"), F.concat(*parts).alias("border"), *more)
 
 
 def _rows(arrays: pa.Array, n: int) -> np.ndarray:
@@ -129,6 +138,20 @@ def predicted(border: Column, modes: Sequence[int], n: int, chroma: bool = False
     return F.arrow_udf(run, "array<array<int>>")(border)
 
 
+def predicted_by(border: Column, mode: Column, n: int, chroma: bool = False) -> Column:
+    """Prediction of each block by its own mode, an array of n * n."""
+
+    def run(b: pa.Array, m: pa.Array) -> pa.Array:
+        b, m = _rows(b, 4 * n + 1), m.to_numpy(zero_copy_only=False)
+        y = np.empty((len(m), n * n), np.int32)
+        for one in np.unique(m):
+            some = m == one
+            y[some] = predict(b[some], int(one), n, chroma).reshape(-1, n * n)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, n * n), pa.int32()), pa.array(y.reshape(-1)))
+
+    return F.arrow_udf(run, "array<int>")(border, mode)
+
+
 def mode_sads(border: Column, px: Column, n: int, chroma: bool = False) -> Column:
     """Sum of absolute differences under each of the 35 modes."""
 
@@ -140,14 +163,43 @@ def mode_sads(border: Column, px: Column, n: int, chroma: bool = False) -> Colum
     return F.arrow_udf(run, "array<int>")(border, px)
 
 
+def _biased(sads: Column, cand: Column, qp: int) -> Column:
+    bias = lambda m: F.when(m == F.get(cand, F.lit(0)), 1).when(F.array_contains(cand, m), 2).otherwise(3)
+    return F.array_min(F.transform(sads, lambda s, m: F.struct((s + qp * bias(m)).alias("cost"), m.alias("mode"))))
+
+
 def decide(blocks: DataFrame, n: int, qp: int = 32) -> DataFrame:
     """n, blk, mode, cost: the cheapest mode, on equal cost the lowest. Labels are the neighbours' modes; modes that are likely from them cost less."""
     b = borders(blocks, n).withColumn("cand", probable_modes(F.col("left_mode"), F.col("top_mode"))).withColumn("sads", mode_sads(F.col("border"), F.col("px"), n))
-    bias = lambda m: F.when(m == F.get("cand", F.lit(0)), 1).when(F.array_contains("cand", m), 2).otherwise(3)
-    best = F.array_min(F.transform("sads", lambda s, m: F.struct((s + qp * bias(m)).alias("cost"), m.alias("mode"))))
+    best = _biased(F.col("sads"), F.col("cand"), qp)
     return b.select("n", "blk", best["mode"].alias("mode"), best["cost"].alias("cost"))
 
 
+def decide_in_order(bordered: DataFrame, n: int, by: Sequence[str], order: str, qp: int = 32, rounds: int = 4) -> DataFrame:
+    """by, blk, bx, by, order, mode, cost: modes whose costs are biased by the modes that were decided for the blocks left and above.
+
+    bordered: of borders(), with order. The first round knows no modes (all are equally likely), each further one those of the round before. A
+    block's neighbours come before it in coding order, so after as many rounds as blocks follow each other in a tree block's row
+    the modes are those of deciding block after block; they stay as soon as a round changes none. Blocks are compared with
+    all modes once; what meets the neighbours in each round is their modes alone.
+    """
+    place = [*by, "bx", "by"]
+    own = ["blk", order, "mask", "sads"]
+    now = bordered.withColumn("sads", mode_sads(F.col("border"), F.col("px"), n)).select(*place, *own)
+    now = now.withColumn("best", F.array_min(F.transform("sads", lambda s, m: F.struct((s + 3 * qp).alias("cost"), m.alias("mode")))))
+    for _ in range(rounds):
+        # a block and what it tells those right and below meet in one grouping by place
+        none = F.lit(None).cast(now.select(F.struct(*own)).schema[0].dataType)
+        say = lambda part, dx, dy, mine: F.struct((F.col("bx") + dx).alias("bx"), (F.col("by") + dy).alias("by"), F.lit(part).alias("part"), F.col("best.mode").alias("mode"), mine.alias("mine"))
+        sent = now.select(*by, F.inline(F.array(say("own", 0, 0, F.struct(*own)), say("left", 1, 0, none), say("top", 0, 1, none))))
+        of = lambda part: F.max(F.when(F.col("part") == part, F.col("mode"))).alias(part)
+        met = sent.groupBy(*place).agg(F.max("mine").alias("mine"), of("left"), of("top")).where("mine is not null").select(*place, "mine.*", "left", "top")
+        left = F.when(F.col("mask").bitwiseAND(2) != 0, F.col("left"))
+        top = F.when((F.col("mask").bitwiseAND(8) != 0) & (F.col("by") * n % CTU != 0), F.col("top"))
+        now = met.withColumn("cand", probable_modes(left, top)).withColumn("best", _biased(F.col("sads"), F.col("cand"), qp)).drop("left", "top", "cand")
+    return now.select(*by, F.lit(n).alias("n"), "blk", "bx", "by", order, F.col("best.mode").alias("mode"), F.col("best.cost").cast("long").alias("cost"))
+
+
 def decide_chroma(one: DataFrame, two: DataFrame, luma: DataFrame, n: int) -> DataFrame:
     """The best of five modes for two colour planes at once, given the luma mode (luma: blk, mode)."""
     sads = lambda plane, name: borders(plane, n).select("blk", mode_sads(F.col("border"), F.col("px"), n, chroma=True).alias(name))
@@ -158,16 +210,25 @@ def decide_chroma(one: DataFrame, two: DataFrame, luma: DataFrame, n: int) -> Da
     return both.select(F.lit(n).alias("n"), "blk", best["mode"].alias("mode"), best["cost"].alias("cost"))
 
 
-def quadtree(own: DataFrame, levels: int) -> DataFrame:
-    """own (level, node, cost): costs of blocks, level 0 the finest, four nodes of a level to one of the next.
+def quadtree(own: DataFrame, levels: int, *keep: str) -> DataFrame:
+    """own (level, node, cost, keep): costs of blocks, level 0 the finest, four nodes of a level to one of the next.
 
-    A row per node with the best cost and whether it is split: where its parts' best costs add up to
-    less than its own. One grouping per level, bottom up; nodes without four parts aren't split.
+    A row per node with the best cost (best), whether it is split: where its parts' best costs add up to
+    less than its own, and whether it is a leaf: not split, and all above it are. Nodes without four parts aren't split. A tree's
+    nodes (at most 85 of four levels) meet in one grouping and are folded there, level by level.
     """
-    best = own.where("level = 0").select("level", "node", F.col("cost").alias("best"), F.lit(False).alias("split"))
-    out = best
-    for level in range(1, levels):
-        parts = best.groupBy(F.expr("node div 4").alias("node")).agg(F.sum("best").alias("parts"), F.count("*").alias("k")).where("k = 4")
-        best = own.where(F.col("level") == level).join(parts, "node", "left").select("level", "node", F.least("cost", "parts").alias("best"), F.coalesce(F.col("parts") < F.col("cost"), F.lit(False)).alias("split"))
-        out = out.unionByName(best)
-    return out
+    root = F.expr(f"node div cast(pow(4, {levels - 1} - level) as bigint)")
+    tree = own.select(root.alias("__root"), F.struct(F.col("level").cast("int").alias("level"), F.col("node").cast("long").alias("node"), F.col("cost").cast("long").alias("cost"), *keep).alias("x")).groupBy("__root").agg(F.collect_list("x").alias("nodes"))
+    done = []
+    for level in range(levels):
+        parts = " + ".join(f"try_element_at(best{level - 1}, 4 * x.node + {i})" for i in range(4)) if level else "cast(null as bigint)"
+        tree = tree.withColumn(f"sums{level}", F.expr(f"transform(filter(nodes, x -> x.level = {level}), x -> struct(x, {parts} as parts))"))
+        tree = tree.withColumn(f"best{level}", F.expr(f"map_from_entries(transform(sums{level}, y -> struct(y.x.node, least(y.x.cost, coalesce(y.parts, y.x.cost)))))"))
+        done.append(f"sums{level}")
+    tree = tree.withColumn("sums", F.concat(*done))
+    tree = tree.withColumn("splits", F.expr("map_from_entries(transform(filter(sums, y -> y.parts < y.x.cost), y -> struct(struct(y.x.level as level, y.x.node as node), true)))"))
+    above = " and ".join(f"(y.x.level + {i} >= {levels} or coalesce(try_element_at(splits, struct(y.x.level + {i} as level, y.x.node div {4**i} as node)), false))" for i in range(1, levels))
+    split = "coalesce(y.parts < y.x.cost, false)"
+    kept = "".join(f", y.x.{c} as {c}" for c in keep)
+    row = f"struct(y.x.level as level, y.x.node as node, least(y.x.cost, coalesce(y.parts, y.x.cost)) as best, {split} as split, not {split} and {above} as leaf{kept})"
+    return tree.select(F.expr(f"inline(transform(sums, y -> {row}))"))

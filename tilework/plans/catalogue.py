@@ -69,12 +69,20 @@ def psnr_weighted_avg(s, d):
 PLANAR = (32, 32)
 
 
+def planar_frames(px: DataFrame, width: int, height: int, samples: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Planar frames of vectors of 64 samples (vec_id, px), whose bytes follow each other; missing vectors are 128 throughout."""
+    many = width * height * 3 // 2 // 64
+    digits = lambda a: F.array_join(F.transform(a, lambda x: F.lpad(F.hex(samples(x).cast("long")), 2, "0")), "")
+    parts = px.select(F.expr(f"vec_id div {many}").cast("int").alias("frame_no"), F.struct((F.col("vec_id") % many).cast("int").alias("v"), digits(F.col("px")).alias("h")).alias("part"))
+    held = parts.groupBy("frame_no").agg(F.map_from_entries(F.collect_list("part")).alias("held"))
+    grey = digits(F.array_repeat(F.lit(128), 64))
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.coalesce(F.try_element_at("held", i), grey)), "")
+    return RP.planes(held.select("frame_no", F.unhex(whole).alias("data")), width, height)
+
+
 def _frames(s: SparkSession, d: str, samples: Callable[[Column], Column] = lambda x: x) -> DataFrame:
-    """24 vectors each are a planar frame of 32x32 samples; an incomplete one is left out."""
-    digits = F.array_join(F.transform("px", lambda x: F.lpad(F.hex(samples(x).cast("long")), 2, "0")), "")
-    parts = _px(s, d).select(F.expr("vec_id div 24").cast("int").alias("frame_no"), F.struct(F.col("vec_id").alias("v"), digits.alias("h")).alias("part"))
-    whole = parts.groupBy("frame_no").agg(F.array_sort(F.collect_list("part")).alias("parts")).where("size(parts) = 24")
-    return RP.planes(whole.select("frame_no", F.unhex(F.array_join("parts.h", "")).alias("data")), *PLANAR)
+    """24 vectors each are a planar frame of 32x32 samples; what the last one lacks is 128."""
+    return planar_frames(_px(s, d), *PLANAR, samples)
 
 
 @_query
@@ -298,7 +306,7 @@ def mode_decision_chroma(s, d):
 def quadtree_open_loop(s, d):
     """Splits by the costs of the best modes, from blocks of 4 up to 32."""
     own = _union(P.decide(_grid(s, d, n), n).select(F.lit(i).alias("level"), F.col("blk").alias("node"), F.col("cost").cast("long").alias("cost")) for i, n in enumerate(SIZES))
-    return P.quadtree(own, len(SIZES))
+    return P.quadtree(own, len(SIZES)).drop("leaf")
 
 
 def _dct_query(n: int, sine: bool = False) -> Callable[[SparkSession, str], DataFrame]:

@@ -19,6 +19,12 @@ _BLEN = "CASE WHEN ({0}) = 0 THEN 0 ELSE length(bin({0})) END"
 _UE = "repeat('0', length(bin({0} + 1)) - 1) || bin({0} + 1)"
 
 
+def _planar(many: int) -> str:
+    """f, q, px: samples of frames of so many vectors in planar order; what the last one lacks is 128."""
+    own = f"SELECT vec_id // {many} AS f, vec_id % {many} * 64 + p AS q, px FROM ({_PX})"
+    return f"SELECT a.f, a.q, coalesce(b.px, 128) AS px FROM (SELECT f, unnest(range(0, {many * 64})) AS q FROM (SELECT DISTINCT vec_id // {many} AS f FROM embeddings)) a LEFT JOIN ({own}) b ON b.f = a.f AND b.q = a.q"
+
+
 def _cells(n: int, source: str = _RES) -> str:
     """blk, y, x, r of blocks of n x n. source: vec_id, p, r."""
     if n == 8:
@@ -39,10 +45,10 @@ def _m(n: int, sine: bool) -> str:
       FROM (SELECT k, x, least(b, 128 - b) AS a FROM (SELECT k, x, (2 * x + 1) * k * {32 // n} % 128 AS b FROM {every})))"""
 
 
-def _forward(n: int, sine: bool = False) -> str:
-    """CTEs ending in f(blk, y, x, c)."""
+def _forward(n: int, sine: bool = False, cells: str = "") -> str:
+    """CTEs ending in f(blk, y, x, c). cells: other residuals (blk, y, x, r) than those of the vectors."""
     log = n.bit_length() - 1
-    return f"""{_m(n, sine)}, r0 AS ({_cells(n)}),
+    return f"""{_m(n, sine)}, r0 AS ({cells or _cells(n)}),
     f1 AS (SELECT blk, r0.y, m.k AS x, (sum(m.c * r) + {1 << log - 2 if log > 1 else 0})::BIGINT >> {log - 1} AS c FROM r0 JOIN m ON m.x = r0.x GROUP BY ALL),
     f AS (SELECT blk, m.k AS y, f1.x AS x, (sum(m.c * f1.c) + {1 << log + 5})::BIGINT >> {log + 6} AS c FROM f1 JOIN m ON m.x = f1.y GROUP BY ALL)"""
 
@@ -57,16 +63,19 @@ def _level(qp: int, n: int = 8) -> str:
     return f"(sign(c) * ((abs(c) * {_QUANT[qp]} + {171 << bits - 9}) >> {bits}))::INT"
 
 
-def _dequantized(qp: int) -> str:
-    return f"least(32767, greatest(-32768, (l * {_DEQUANT[qp] << qp // 6} + 2) >> 2))"
+def _dequantized(qp: int, n: int = 8) -> str:
+    shift = n.bit_length() - 2
+    return f"least(32767, greatest(-32768, (l * {_DEQUANT[qp] << qp // 6} + {1 << shift - 1}) >> {shift}))"
 
 
 _SAMPLE = _PX.replace(" AS px FROM", " AS r FROM")
 _OTHER_SAMPLE = f"SELECT vec_id, p, (r * 5 + 77) % 256 AS r FROM ({_SAMPLE})"
 
 
-def _predictions(n: int, source: str = _SAMPLE, chroma: bool = False) -> str:
-    """CTEs ending in pr: blk, mode, p, v (prediction), own (sample), ll and tl (modes left and above)."""
+def _predictions(n: int, source: str = _SAMPLE, chroma: bool = False, grid: str = "", near: str = "") -> str:
+    """CTEs ending in pr: blk, mode, p, v (prediction), own (sample), ll and tl (modes left and above), mask (neighbours there).
+
+    grid: other CTEs ending in g (blk, gx, gy, a, mode); near: further conditions on a neighbour {0}."""
     nn, c, log = n * n, 2 * n + 1, n.bit_length() - 1
     many = max(1, n // 8) ** 2
     at = "(blk // 4) % 10 * 2 + blk % 2 AS gx, blk // 40 * 2 + blk % 4 // 2 AS gy" if n == 4 else "blk % 10 AS gx, blk // 10 AS gy"
@@ -79,25 +88,27 @@ def _predictions(n: int, source: str = _SAMPLE, chroma: bool = False) -> str:
     edges = "" if chroma else f"""WHEN rr.mode = 1 AND p = 0 THEN (r[{c - 1}] + 2 * dc + r[{c + 1}] + 2) >> 2 WHEN rr.mode = 1 AND x = 0 THEN (r[{c - 1} - y] + 3 * dc + 2) >> 2 WHEN rr.mode = 1 AND y = 0 THEN (r[{c + 1} + x] + 3 * dc + 2) >> 2
       WHEN rr.mode = 26 AND x = 0 THEN least(255, greatest(0, r[{c + 1}] + ((r[{c - 1} - y] - r[{c}]) >> 1)))
       WHEN rr.mode = 10 AND y = 0 THEN least(255, greatest(0, r[{c - 1}] + ((r[{c + 1} + x] - r[{c}]) >> 1)))"""
-    return f"""g0 AS (SELECT blk, list(r ORDER BY y, x) AS a FROM ({_cells(n, source)}) GROUP BY blk),
-g AS (SELECT g0.blk, a, {at}, (e.label * 11 % 35)::INT AS mode FROM g0 JOIN embeddings e ON e.vec_id = {first.replace('blk', 'g0.blk')}),
-b0 AS (SELECT g.blk, g.a, l.mode AS ll, CASE WHEN g.gy * {n} % 32 != 0 THEN t.mode END AS tl,
+    grid = grid or f"""g0 AS (SELECT blk, list(r ORDER BY y, x) AS a FROM ({_cells(n, source)}) GROUP BY blk),
+g AS (SELECT g0.blk, a, {at}, (e.label * 11 % 35)::INT AS mode FROM g0 JOIN embeddings e ON e.vec_id = {first.replace('blk', 'g0.blk')})"""
+    side = lambda a, dx, dy: f"LEFT JOIN g {a} ON {a}.gx = g.gx + {dx} AND {a}.gy = g.gy + {dy}{near.format(a)}"
+    mask = " + ".join(f"CASE WHEN {a}.blk IS NULL THEN 0 ELSE {1 << i} END" for i, a in enumerate(("lb", "l", "c", "t", "tr")))
+    return f"""{grid},
+b0 AS (SELECT g.blk, g.a, {mask} AS mask, l.mode AS ll, CASE WHEN g.gy * {n} % 32 != 0 THEN t.mode END AS tl,
   CASE WHEN lb.blk IS NOT NULL THEN {column('lb')} END AS q1, CASE WHEN l.blk IS NOT NULL THEN {column('l')} END AS q2, CASE WHEN c.blk IS NOT NULL THEN [c.a[{nn}]] END AS q3,
   CASE WHEN t.blk IS NOT NULL THEN {row('t')} END AS q4, CASE WHEN tr.blk IS NOT NULL THEN {row('tr')} END AS q5
-  FROM g LEFT JOIN g lb ON lb.gx = g.gx - 1 AND lb.gy = g.gy + 1 LEFT JOIN g l ON l.gx = g.gx - 1 AND l.gy = g.gy LEFT JOIN g c ON c.gx = g.gx - 1 AND c.gy = g.gy - 1
-  LEFT JOIN g t ON t.gx = g.gx AND t.gy = g.gy - 1 LEFT JOIN g tr ON tr.gx = g.gx + 1 AND tr.gy = g.gy - 1),
+  FROM g {side('lb', -1, 1)} {side('l', -1, 0)} {side('c', -1, -1)} {side('t', 0, -1)} {side('tr', 1, -1)}),
 b1 AS (SELECT * REPLACE (coalesce(q1, {fill('coalesce(q2[1], q3[1], q4[1], q5[1], 128)')}) AS q1) FROM b0),
 b2 AS (SELECT * REPLACE (coalesce(q2, {fill('q1[-1]')}) AS q2) FROM b1), b3 AS (SELECT * REPLACE (coalesce(q3, [q2[-1]]) AS q3) FROM b2),
 b4 AS (SELECT * REPLACE (coalesce(q4, {fill('q3[-1]')}) AS q4) FROM b3), b5 AS (SELECT * REPLACE (coalesce(q5, {fill('q4[-1]')}) AS q5) FROM b4),
-b6 AS (SELECT blk, a AS own, ll, tl, q1 || q2 || q3 || q4 || q5 AS r0 FROM b5),
+b6 AS (SELECT blk, a AS own, ll, tl, mask, q1 || q2 || q3 || q4 || q5 AS r0 FROM b5),
 bs AS (SELECT *, list_transform(range(1, {4 * n + 2}), lambda i: CASE WHEN i IN (1, {4 * n + 1}) THEN r0[i] ELSE (r0[i-1] + 2 * r0[i] + r0[i+1] + 2) >> 2 END) AS r1 FROM b6),
 md AS (SELECT mode, coalesce({_ANGLES}[mode - 1], 0) AS a, coalesce({_INVERSE}[mode - 1], 0) AS inv, CASE WHEN mode >= 18 THEN 1 ELSE -1 END AS d FROM (SELECT unnest(range(0, 35)) AS mode)),
 xy AS (SELECT q // {n} AS y, q % {n} AS x, q AS p FROM (SELECT unnest(range(0, {nn})) AS q)),
 kk AS (SELECT mode, a, inv, d, y, x, p, (CASE WHEN d > 0 THEN x ELSE y END) + (((CASE WHEN d > 0 THEN y ELSE x END) + 1) * a >> 5) + 1 AS k, (((CASE WHEN d > 0 THEN y ELSE x END) + 1) * a) & 31 AS f FROM md, xy),
 pl AS (SELECT mode, y, x, p, f, CASE WHEN k >= 0 THEN {c} + d * k ELSE {c} - d * ((k * inv + 128) >> 8) END AS i1, CASE WHEN f = 0 THEN {c} WHEN k + 1 >= 0 THEN {c} + d * (k + 1) ELSE {c} - d * (((k + 1) * inv + 128) >> 8) END AS i2 FROM kk),
-rr AS (SELECT blk, own, ll, tl, mode, CASE WHEN {smooth} THEN r1 ELSE r0 END AS r FROM bs, md),
+rr AS (SELECT blk, own, ll, tl, mask, mode, CASE WHEN {smooth} THEN r1 ELSE r0 END AS r FROM bs, md),
 dc AS (SELECT blk, (list_sum(r0[{c - n}:{c - 1}]) + list_sum(r0[{c + 1}:{c + n}]) + {n})::INT >> {log + 1} AS dc FROM bs),
-pr AS (SELECT rr.blk, rr.mode, p, own[p + 1] AS own, ll, tl, CASE
+pr AS (SELECT rr.blk, rr.mode, p, own[p + 1] AS own, ll, tl, mask, CASE
   WHEN rr.mode = 0 THEN (({n - 1} - x) * r[{c - 1} - y] + (x + 1) * r[{c + n + 1}] + ({n - 1} - y) * r[{c + 1} + x] + (y + 1) * r[{c - n - 1}] + {n}) >> {log + 1}
   {edges}
   WHEN rr.mode = 1 THEN dc
@@ -149,12 +160,12 @@ def all_sql(qps: tuple[int, ...]) -> dict[str, str]:
     mean = "round(avg(CASE WHEN {0} THEN psnr END), 4) AS {1}"
     out["psnr_weighted_avg"] = f"{sse}, q AS (SELECT vec_id, {psnr} AS psnr FROM d), a3 AS (SELECT {mean.format('vec_id % 6 < 4', 'y')}, {mean.format('vec_id % 6 = 4', 'cb')}, {mean.format('vec_id % 6 = 5', 'cr')} FROM q) SELECT *, round((4 * y + cb + cr) / 6, 4) AS mean FROM a3"
     plane = "CASE WHEN q < 1024 THEN 'y' WHEN q < 1280 THEN 'cb' ELSE 'cr' END"
-    squares = f"SELECT f, {plane} AS plane, count(*) AS n, sum((px - c) * (px - c))::BIGINT AS sse FROM (SELECT vec_id // 24 AS f, vec_id % 24 * 64 + p AS q, px, least(255, px // 6 * 6 + 3) AS c FROM ({_PX})) WHERE f IN (SELECT vec_id // 24 FROM embeddings GROUP BY 1 HAVING count(*) = 24) GROUP BY ALL"
+    squares = f"SELECT f, {plane} AS plane, count(*) AS n, sum((px - c) * (px - c))::BIGINT AS sse FROM (SELECT f, q, px, least(255, px // 6 * 6 + 3) AS c FROM ({_planar(24)})) GROUP BY ALL"
     decibel = "max(CASE WHEN plane = '{0}' AND sse > 0 THEN 10 * log10(65025.0::DOUBLE * n / sse) END) AS psnr_{0}"
     planar = f"SELECT f::INT AS frame_no, round(psnr_y, 6) AS psnr_y, round(psnr_cb, 6) AS psnr_cb, round(psnr_cr, 6) AS psnr_cr, round((4 * psnr_y + psnr_cb + psnr_cr) / 6, 6) AS psnr FROM (SELECT f, {', '.join(map(decibel.format, ('y', 'cb', 'cr')))} FROM ({squares}) GROUP BY f)"
     out["planar_psnr"] = planar
     out["planar_blocks"] = f"""SELECT f::INT AS frame_no, (q % 32 // 8)::INT AS bx, (q // 256)::INT AS by, sum(px)::BIGINT AS total, md5(string_agg(px::VARCHAR, ',' ORDER BY q)) AS digest
-      FROM (SELECT vec_id // 24 AS f, vec_id % 24 * 64 + p AS q, px FROM ({_PX})) WHERE q < 1024 AND f IN (SELECT vec_id // 24 FROM embeddings GROUP BY 1 HAVING count(*) = 24) GROUP BY ALL"""
+      FROM ({_planar(24)}) WHERE q < 1024 GROUP BY ALL"""
     sized = f"SELECT *, frame_no * 37 % 1000 + 500 AS bytes FROM ({planar})"
     out["distortion_report"] = f"""SELECT frame_no::VARCHAR AS frame, round(bytes / 1024, 6) AS kib, psnr_y, psnr_cb, psnr_cr FROM ({sized})
       UNION ALL SELECT 'avg', round(avg(bytes) * 30 / 1024, 6), round(avg(psnr_y), 6), round(avg(psnr_cb), 6), round(avg(psnr_cr), 6) FROM ({sized})"""

@@ -4,7 +4,8 @@
     spark.read.format("rawplanar").option("width", 352).option("height", 288).load(path)
 
 Rows: frame_no, y, cb, cr (binary, raster order). A file has no header: its size must be a whole
-number of frames, else reading fails. Frames are read in ranges, one per task, each with a seek. The
+number of frames, else reading fails. Frames are read in ranges, one per task, each with a seek; filters on frame_no
+that are pushed down (spark.sql.python.filterPushdown.enabled) leave tasks and bytes of other frames out. The
 path must be one that executors can open as a file; ``read_frames`` goes through Spark's own readers
 for any other store, a clip of at most 2 GB at a time. Writing gives a folder of files, each with the frames of one partition and named by
 the first of them; range-partition and sort by frame_no before, and the files in order are the clip.
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "frame_no int, y binary, cb binary, cr binary"
 
@@ -35,13 +36,32 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str, width: int, height: int, per_task: int):
         self.path, self.luma, self.per_task = path, width * height, per_task
         self.frame = self.luma * 3 // 2
+        self.first, self.last = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Bounds of frame_no decide which bytes are read; all other filters, and those that bounds can't express, stay with Spark."""
+        for f in filters:
+            own = getattr(f, "attribute", None) == ("frame_no",)
+            least = {EqualTo: lambda v: v, GreaterThanOrEqual: lambda v: v, GreaterThan: lambda v: v + 1, In: lambda v: min(v)}
+            most = {EqualTo: lambda v: v, LessThanOrEqual: lambda v: v, LessThan: lambda v: v - 1, In: lambda v: max(v)}
+            value = getattr(f, "value", None)
+            if not own or value is None or type(f) not in least | most or value == ():
+                yield f
+                continue
+            if type(f) in least:
+                self.first = max(self.first, least[type(f)](value))
+            if type(f) in most:
+                self.last = most[type(f)](value) + 1 if self.last is None else min(self.last, most[type(f)](value) + 1)
+            if isinstance(f, In):  # its bounds are wider than it
+                yield f
 
     def partitions(self) -> Sequence[InputPartition]:
         size = os.path.getsize(self.path)
         if size % self.frame:
             raise ValueError(f"{self.path} ends within a frame")
         n = size // self.frame
-        return [FrameRange(i, min(i + self.per_task, n)) for i in range(0, n, self.per_task)]
+        n = n if self.last is None else max(self.first, min(n, self.last))
+        return [FrameRange(i, min(i + self.per_task, n)) for i in range(self.first, n, self.per_task)] or [FrameRange(0, 0)]
 
     def read(self, partition: FrameRange) -> Iterator[tuple]:
         quarter = self.luma // 4
@@ -150,3 +170,30 @@ def plane_blocks(frames: DataFrame, plane: str, width: int, height: int, n: int
 
     out = frames.where(F.col(plane).isNotNull()).select("frame_no", F.posexplode(F.arrow_udf(cut, "array<array<int>>")(plane)).alias("i", "px"))
     return out.select("frame_no", (F.col("i") % across).alias("bx"), F.expr(f"i div {across}").cast("int").alias("by"), "px")
+
+
+def planes_of_blocks(blocks: DataFrame, plane: str, width: int, height: int, *by: str) -> DataFrame:
+    """by, frame_no and the plane (binary, raster order) of its blocks (frame_no, x, y: first sample; n: size; px): blocks of all sizes, in any order. Samples that no block covers are an error.
+
+    A frame is put together in one group; it is bounded by the size of a picture, not by the clip.
+    """
+    parts = blocks.groupBy(*by, "frame_no").agg(F.collect_list(F.struct("x", "y", "n", F.transform("px", lambda v: v.cast("short")).alias("px"))).alias("parts"))
+
+    def scatter(column: pa.Array) -> pa.Array:
+        out = []
+        for frame in column:
+            flat = frame.values.flatten()
+            x, y, n = (flat[i].to_numpy(zero_copy_only=False) for i in range(3))
+            px, first = flat[3].flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n * n)])
+            whole = np.full((height, width), -1, np.int16)
+            for size in np.unique(n):
+                some = np.flatnonzero(n == size)
+                inside = np.arange(size)
+                at = (first[some][:, None] + np.arange(size * size)).reshape(-1, size, size)
+                whole[y[some][:, None, None] + inside[:, None], x[some][:, None, None] + inside] = px[at]
+            if (whole < 0).any():
+                raise ValueError("blocks leave samples of a frame out")
+            out.append(whole.astype(np.uint8).tobytes())
+        return pa.array(out, pa.binary())
+
+    return parts.select(*by, "frame_no", F.arrow_udf(scatter, "binary")("parts").alias(plane))
