@@ -71,10 +71,10 @@ def test_nothing_is_left_and_no_setting_is_changed(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:3]:
         stage(spark, docs, sf_dir)
     folder = store.shared_dir(spark).removeprefix("file:")
-    paths = [p.removeprefix("file:") for p in store._written(spark)]
+    paths = [p.removeprefix("file:") for p in store.written_paths(spark)]
     assert len(paths) > 8 and all(p.startswith(folder) for p in paths) and any(os.path.exists(f"{p}/_SUCCESS") for p in paths) and spark.conf.get(key) == before
     store.clear(spark)
-    assert not any(os.path.exists(p) for p in paths) and not store._written(spark)
+    assert not any(os.path.exists(p) for p in paths) and not store.written_paths(spark)
     assert corpus_pipeline.quality_stage(spark, docs, sf_dir).count() > 0
 
 
@@ -96,6 +96,6 @@ def test_texts_of_a_megabyte(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() >= 0
     docs.write.mode("overwrite").parquet(f"{store.fresh_path(spark, 'long')}/documents.parquet")
-    path = store._written(spark)[-1]
+    path = store.written_paths(spark)[-1]
     for name in ("op2_quality_rules", "op3_ngram_join", "op4_packing", "op5_line_dedup", "op6_personal_data", "op10_substring_dedup"):
         assert queries.queries()[name](spark, path).select("doc_id").distinct().count() == len(rows), name

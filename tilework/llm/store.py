@@ -1,83 +1,54 @@
-"""Where intermediate results go: the shared folder that the cluster names.
-
-``spark.checkpoint.dir`` is read from the session. Only where it is unset and
-Spark runs on this machine alone (tests) a temporary folder is made; on a cluster
-that is an error, as executors couldn't see it.
+"""Intermediate results of the corpus operators, in the shared folder that the cluster names (see sources/scratch.py).
 
 What is computed at once sends texts to Python in small batches, by a setting that
 is put back afterwards. What is computed later, with a frame that an operator returns,
 runs under the session's own settings; Spark bounds its batches to 64 MB unless told
 otherwise (spark.sql.execution.arrow.maxBytesPerBatch).
-
-Intermediate results are column files in that folder. They are read again by what
-is built on them, also after a lost executor, so they stay until the application
-ends or ``clear`` is called.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written by each application, and the temporary folder of one on this machine.
-_WRITTEN: dict[str, list[str]] = {}
-_LOCAL: dict[str, str] = {}
-
-
-def _written(spark: SparkSession) -> list[str]:
-    app = spark.sparkContext.applicationId
-    if app not in _WRITTEN:
-        _WRITTEN[app] = []
-        atexit.register(clear, spark)
-    return _WRITTEN[app]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _LOCAL:
-        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="tilework-")
-        _written(spark).append(_LOCAL[sc.applicationId])
-    return _LOCAL[sc.applicationId]
+from ..sources.scratch import clear, fresh_path, remove, shared_dir, written_paths
 
+__all__ = ["clear", "fresh_path", "left_out", "materialise", "remove", "scratch", "shared_dir", "small_batches", "stored", "written"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet; it goes with the application."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written(spark).append(path)
-    return path
+#: How many blocks of each session want small batches just now, and its own setting.
+_SMALL: dict[int, list] = {}
+_LOCK = Lock()
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
     """Batches to Python have at most so many rows meanwhile."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(key, rows)
+    key, name = "spark.sql.execution.arrow.maxRecordsPerBatch", id(spark._jsparkSession)
+    with _LOCK:  # threads of one session share its setting: the first sets it, the last puts it back
+        state = _SMALL.setdefault(name, [0, spark.conf.get(key)])
+        state[0] += 1
+        if not 0 < int(spark.conf.get(key)) <= rows:
+            spark.conf.set(key, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _LOCK:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(key, state[1])
+                del _SMALL[name]
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """What is written meanwhile goes at the end, but for the paths put into the list."""
-    before, keep = set(_written(spark)), []
+    before, keep = set(written_paths(spark)), []
     yield keep
-    for path in [p for p in _written(spark) if p not in before and p not in keep]:
+    for path in [p for p in written_paths(spark) if p not in before and p not in keep]:
         remove(spark, path)
 
 
@@ -104,20 +75,3 @@ def left_out(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) ->
     ids = materialise(ids.select(F.col("doc_id").alias("__tw_doc")).distinct())
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     return docs.join(ids, F.col("doc_id") == F.col("__tw_doc"), "left_anti")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder, wherever Spark has it."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _written(spark):
-        _written(spark).remove(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Removes all intermediate results of this application; frames built on them can't be read any more."""
-    if spark.sparkContext._jsc is None:  # stopped before
-        return
-    for path in reversed([*_written(spark)]):
-        remove(spark, path)
-    _LOCAL.pop(spark.sparkContext.applicationId, None)
