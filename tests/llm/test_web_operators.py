@@ -338,7 +338,25 @@ def test_archives_of_many_members(spark, tmp_path):
         other = tmp_path / f"cut{k}"
         other.mkdir()
         (other / "a.warc.gz").write_bytes(cut)
-        with pytest.raises(Exception, match="ended before|cut short|no record"):
+        with pytest.raises(Exception, match="ended before|cut short|no record|Unexpected end|not a gzip"):
+            warc.read_archives(spark, str(other)).collect()
+
+
+def test_large_pages_and_archives(spark, tmp_path):
+    """A page of 8 MB in a thousand segments, read back from compressed archives piece by piece, and records that say less or more than they hold."""
+    html = "".join(f"<p>{i} words\r\n\r\nand lines</p>" for i in range(280_000))
+    assert len(html) > 8 << 20
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(1, "u", html), (2, "u", "x"), (3, "u", html)], "page_id long, url string, html string"), path, archive_bytes=4 << 20)
+    index = {(r.page_id, r.record_type, r.payload_bytes) for r in warc.archive_index(spark, path).collect()}
+    assert index == {(1, "response", len(html)), (2, "response", 1), (3, "revisit", len(html))}
+    for wrong in (3, 9):
+        other = tmp_path / f"wrong{wrong}"
+        other.mkdir()
+        record = next(warc.page_records(1, "u", b"payload", plain_digest(b"payload"), None, "urn:1", 1000)) + b"\r\n\r\n"
+        n = int(re.search(rb"Content-Length: (\d+)", record)[1])
+        (other / "a.warc.gz").write_bytes(gzip.compress(record.replace(b"Content-Length: %d" % n, b"Content-Length: %d" % (n + wrong - 6))))
+        with pytest.raises(Exception, match="longer than it says|cut short|no record"):
             warc.read_archives(spark, str(other)).collect()
 
 

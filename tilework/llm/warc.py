@@ -11,15 +11,17 @@ the identifier of their origin, ordered by segment number, checked against the
 total length, joined, and the chunked framing is decoded. A missing, repeated or
 short segment raises an error instead of giving a damaged page, and so does an
 archive that ends within a record or a gzip member. A file may have any number of
-members.
+members. Archives whose names end in .gz are read as streams, by Spark's text reader with the empty line as line end, and no
+more than a record is held of them, whatever their size; plain ones, which that reader would split, are read whole and can have 2 GB.
 
 Files are made by Spark's text writer with the record separator as line end, so
 they go wherever Spark can write, are valid archives (gzip by default), and a
-lost task is simply written again. An archive holds about ``archive_bytes`` and
-is read as one row. Segments of one record may be in different archives.
+lost task is simply written again. An archive holds about ``archive_bytes``.
+Segments of one record may be in different archives.
 
 A null html is an empty payload; payloads may be of any length; equal payloads,
-also very many, are found by digest with pre-aggregation. Repeated page_ids give
+also very many, are found by digest and length with pre-aggregation; owners of repeated ones are broadcast while they are
+at most ``broadcast_rows``, so that pages stay where they lie, and joined beyond. Repeated page_ids give
 records of their own (numbered by a running id), and of equal payloads all rows with
 the smallest page_id are responses. Empty tables give no records. Columns but
 page_id, url and html are ignored, whatever their names.
@@ -29,9 +31,7 @@ A null page_id is kept: its record has an empty page identifier.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 EOL = b"\r\n"
-RECORD_END = "\r\n\r\n"
+EMPTY_LINE = b"\r\n\r\n"
+RECORD_END = EMPTY_LINE.decode()
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "origin string, segment int, kind string, page_id long, uri string, digest string, refers_to long, total long, block binary"
 
@@ -110,12 +111,14 @@ def _digests(column: pa.Array) -> pa.Array:
     return pa.array([payload_digest((x or "").encode()) for x in column.to_pylist()], pa.string())
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, archive_bytes: int = 32 << 20, compression: str = "gzip") -> None:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, archive_bytes: int = 32 << 20, compression: str = "gzip", broadcast_rows: int = 500_000) -> None:
     """Writes a record per row of pages (page_id, url, html) to archives under path."""
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").withColumn("digest", F.arrow_udf(_digests, "string")(F.col("html")))
-    # Who owns a payload is settled on digests alone; pages meet the owners of repeated payloads only.
-    owners = own.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__tw_digest"), "owner")
-    marked = own.join(owners, F.col("digest") == F.col("__tw_digest"), "left").select("page_id", "url", "html", "digest", F.expr("if(page_id = owner, null, owner)").alias("refers_to"), F.monotonically_increasing_id().alias("row"))
+    own = own.withColumn("size", F.length(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    # Who owns a payload is settled on digests and lengths alone; pages meet the owners of repeated payloads only, and stay where they lie while these are few.
+    owners = materialise(own.groupBy("digest", "size").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__tw_digest"), F.col("size").alias("__tw_size"), "owner"))
+    owners = F.broadcast(owners) if owners.count() <= broadcast_rows else owners
+    marked = own.join(owners, (F.col("digest") == F.col("__tw_digest")) & (F.col("size") == F.col("__tw_size")), "left").select("page_id", "url", "html", "digest", F.expr("if(page_id = owner, null, owner)").alias("refers_to"), F.monotonically_increasing_id().alias("row"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,47 +137,112 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 8192, archi
     marked.mapInArrow(records, "value string").write.option("lineSep", RECORD_END).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[dict[str, object]]:
-    """Header fields of each record, with its content under "block"."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        fields: dict[str, object] = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        n = int(fields["Content-Length"])
-        fields["block"] = data[end + 4 : end + 4 + n]
-        if data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut short")
-        at = end + 8 + n
-        yield fields
-
-
-def _inflated(data: bytes) -> bytes:
-    """Contents of a file: as it is, or of all its gzip members (often one for each record); an error where the last is cut short."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
-        return f.read()
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("kind", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+class RecordReader:
+    """Records of archives from pieces of their bytes that were cut at each empty line. Holds one record at a time.
+
+    A block that ends in a line end makes the cut come earlier than the record's end, so what a piece has beyond the record is kept for the next one.
+    """
+
+    def __init__(self) -> None:
+        self.name: str | None = None
+        self.fields: dict[str, object] | None = None
+        self.parts: list[bytes] = []
+        self.missing = 0
+        self.rest = b""
+
+    def end(self) -> None:
+        """The file ends here. A last piece isn't followed by an empty line, which may be left over."""
+        if self.fields is not None or self.rest not in (b"", EMPTY_LINE):
+            raise ValueError(f"a record of {self.name} is cut short")
+        self.rest = b""
+
+    def add(self, name: str, piece: bytes) -> dict[str, object] | None:
+        """Header fields of the record that this piece ends, with its content under "block"; None in between."""
+        if name != self.name:
+            self.end()
+            self.name = name
+        data, self.rest = self.rest + piece + EMPTY_LINE, b""
+        if self.fields is None:
+            return self._begin(data)
+        self.parts.append(data)
+        self.missing -= len(data)
+        if self.missing > 0:
+            return None
+        whole = b"".join(self.parts)
+        fields, size = self.fields, len(whole) + self.missing
+        if whole[size - len(EMPTY_LINE) : size] != EMPTY_LINE:
+            raise ValueError(f"a record of {name} is longer than it says")
+        fields["block"] = whole[: size - len(EMPTY_LINE)]
+        self.fields, self.parts, over = None, [], whole[size:]
+        if over.startswith(b"WARC/"):
+            self._begin(over)
+        else:
+            self.rest = over
+        return fields
+
+    def _begin(self, head: bytes) -> None:
+        if not head.startswith(b"WARC/"):
+            raise ValueError(f"no record where one should begin in {self.name}")
+        self.fields = dict(x.split(": ", 1) for x in head[: -len(EMPTY_LINE)].decode().split("\r\n")[1:])
+        self.missing = int(self.fields["Content-Length"]) + len(EMPTY_LINE)
+
+
+def parse_archive(data: bytes, name: str = "archive") -> Iterator[dict[str, object]]:
+    """Header fields of each record of an archive that is held as a whole, with its content under "block"."""
+    if data and not data.endswith(EMPTY_LINE):
+        raise ValueError(f"a record of {name} is cut short")
+    reader = RecordReader()
+    for piece in data.split(EMPTY_LINE)[:-1]:
+        if record := reader.add(name, piece):
+            yield record
+    reader.end()
+
+
+SCHEMA = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("kind", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+
+
+def _rows(records: Iterator[dict[str, object]]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 256 records or about 4 MB."""
     whole = lambda x: int(x) if x else None
-    for batch in batches:
-        for i in range(batch.num_rows):
-            data = _inflated(batch.column(0)[i].as_py())
-            rows = []
-            for r in parse_archive(data):
-                segment = whole(r.get("WARC-Segment-Number"))
-                rows.append((r.get("WARC-Segment-Origin-ID") or r["WARC-Record-ID"], segment, r["WARC-Type"], whole(r.get("WARC-Page-ID", "").strip()), r.get("WARC-Target-URI"), r["WARC-Payload-Digest"].removeprefix("sha1:"), whole(r.get("WARC-Refers-To-Page-ID")), whole(r.get("WARC-Segment-Total-Length")), r["block"]))
-            for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), schema.types, strict=True)], schema=schema)
+    send = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+    rows, size = [], 0
+    for r in records:
+        origin = r.get("WARC-Segment-Origin-ID") or r["WARC-Record-ID"]
+        rows.append((origin, whole(r.get("WARC-Segment-Number")), r["WARC-Type"], whole(r.get("WARC-Page-ID", "").strip()), r.get("WARC-Target-URI"), r["WARC-Payload-Digest"].removeprefix("sha1:"), whole(r.get("WARC-Refers-To-Page-ID")), whole(r.get("WARC-Segment-Total-Length")), r["block"]))
+        size += len(r["block"])
+        if len(rows) >= 256 or size > 1 << 22:
+            yield send()
+            rows, size = [], 0
+    if rows:
+        yield send()
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records() -> Iterator[dict[str, object]]:
+        reader = RecordReader()
+        for batch in batches:
+            for name, piece in zip(batch["path"].to_pylist(), batch["piece"], strict=True):
+                if record := reader.add(name, piece.as_py()):
+                    yield record
+        reader.end()
+
+    yield from _rows(records())
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _rows(r for batch in batches for name, data in zip(batch["path"].to_pylist(), batch["content"], strict=True) for r in parse_archive(data.as_py(), name))
+
+
+def _joined(pieces: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else b"".join(x) for x in pieces.to_pylist()], pa.binary())
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per page: page_id, uri, kind, digest, refers_to, payload (null for revisits)."""
-    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, RECORDS)
+    pieces = spark.read.option("lineSep", RECORD_END).option("pathGlobFilter", "*.gz").text(path)
+    streamed = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece")).mapInArrow(_streamed, RECORDS)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[^z]").load(path).select("path", "content").mapInArrow(_held, RECORDS)
+    records = streamed.unionByName(plain)
     single = records.where("segment is null").select("page_id", "uri", "kind", "digest", "refers_to", F.when(F.col("kind") == "response", F.col("block")).alias("block"))
     parts = records.where("segment is not null")
     whole = parts.groupBy("origin").agg(
@@ -183,7 +251,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("pieces"),
     )
     fits = F.col("page").isNotNull() & F.col("total").isNotNull() & (F.col("last") == F.col("n")) & (F.col("bytes") == F.col("total"))
-    joined = F.expr("aggregate(pieces, cast('' as binary), (a, p) -> concat(a, p.block))")
+    joined = F.arrow_udf(_joined, "binary")(F.transform("pieces", lambda p: p["block"]))
     checked = F.when(fits, joined).otherwise(F.raise_error(F.concat(F.lit("segments of "), F.coalesce("origin", F.lit("?")), F.lit(" are missing or damaged"))))
     segmented = whole.select("page.page_id", "page.uri", F.lit("response").alias("kind"), "page.digest", F.lit(None).cast("long").alias("refers_to"), checked.alias("block"))
     return single.unionByName(segmented).withColumn("payload", F.arrow_udf(_payloads, "binary")(F.col("block"))).drop("block")
