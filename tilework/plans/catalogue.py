@@ -500,7 +500,7 @@ def segment_concat(s, d):
     """Segments of each stream joined in order, with their number and bytes."""
     seg = _t(s, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     whole = seg.groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum(F.length("data")).alias("n_bytes"), F.array_sort(F.collect_list(F.struct("turn", "data"))).alias("a"))
-    return whole.select("conv_id", "segments", "n_bytes", F.md5(F.expr("aggregate(a, cast('' as binary), (x, y) -> concat(x, y.data))")).alias("digest"))
+    return whole.select("conv_id", "segments", "n_bytes", F.md5(F.unhex(F.array_join(F.transform("a", lambda x: F.hex(x["data"])), ""))).alias("digest"))
 
 
 @_query
