@@ -3,7 +3,7 @@
 Tables of vectors stand in for video: a vector of 64 numbers is an 8x8 block in raster order,
 value v giving the residual floor(256 v) within -255..255 and the sample floor(256 v) + 128
 within 0..255. Blocks of 16 and 32 are made of 4 and 16 consecutive vectors in Z order
-(incomplete groups are left out), blocks of 4 are quarters of a vector.
+(what the last one lacks is 128, or 0 in residuals), blocks of 4 are quarters of a vector.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def sample_blocks(vectors: DataFrame) -> DataFrame:
 def grid_blocks(vectors: DataFrame, n: int, width: int = 10) -> DataFrame:
     """blk, bx, by, label, px: blocks of n x n samples on a picture ``width`` blocks of 8 wide (larger blocks make up a picture of as many of their own). The label is that of the first vector."""
     many = max(1, n // 8) ** 2
-    px = _squares(vectors.select("vec_id", samples(F.col("embedding")).alias("r")), n).withColumnRenamed("r", "px")
+    px = _squares(vectors.select("vec_id", samples(F.col("embedding")).alias("r")), n, 128).withColumnRenamed("r", "px")
     first = F.expr("blk div 4") if n == 4 else F.col("blk") * many
     blk, q = F.col("blk"), F.col("blk") % 4
     bx, by = (F.expr("blk div 4") % width * 2 + q % 2, F.expr(f"blk div {4 * width} * 2 + blk % 4 div 2")) if n == 4 else (blk % width, F.expr(f"blk div {width}"))
@@ -39,11 +39,11 @@ def grid_blocks(vectors: DataFrame, n: int, width: int = 10) -> DataFrame:
 
 def residual_blocks(vectors: DataFrame, n: int) -> DataFrame:
     """blk, r: residual blocks of n x n samples in raster order."""
-    return _squares(vectors.select("vec_id", residuals(F.col("embedding")).alias("r")), n)
+    return _squares(vectors.select("vec_id", residuals(F.col("embedding")).alias("r")), n, 0)
 
 
-def _squares(base: DataFrame, n: int) -> DataFrame:
-    """base (vec_id, r: 64 values) as blocks of n x n: blk, r."""
+def _squares(base: DataFrame, n: int, fill: int) -> DataFrame:
+    """base (vec_id, r: 64 values) as blocks of n x n: blk, r; missing vectors count as filled."""
     if n == 8:
         return base.select(F.col("vec_id").alias("blk"), "r")
     if n == 4:
@@ -52,7 +52,8 @@ def _squares(base: DataFrame, n: int) -> DataFrame:
     side = n // 8
     many = side * side
     parts = base.groupBy(F.expr(f"vec_id div {many}").alias("blk")).agg(F.collect_list(F.struct((F.col("vec_id") % many).cast("int").alias("q"), "r")).alias("parts"))
-    ordered = parts.where(F.size("parts") == many).select("blk", F.transform(F.array_sort("parts"), lambda p: p["r"]).alias("parts"))
+    held = parts.select("blk", F.map_from_entries("parts").alias("held"))
+    ordered = held.select("blk", F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda q: F.coalesce(F.try_element_at("held", q), F.array_repeat(F.lit(fill), 64))).alias("parts"))
     # the part that holds a row's and column's sample, in Z order
     z = {(0, 0): 0}
     for q in range(many):

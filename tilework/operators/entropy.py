@@ -99,3 +99,34 @@ def header(fields: DataFrame, by: str) -> DataFrame:
     code = F.when(F.col("kind") == "u", F.lpad(F.bin("value"), F.col("bits"), F.lit("0"))).when(F.col("kind") == "ue", exp_golomb(F.greatest(F.col("value"), F.lit(0)))).otherwise(signed_exp_golomb(F.col("value")))
     whole = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", code.alias("c")))), lambda x: x["c"]), ""), F.lit("1"))
     return fields.groupBy(by).agg(whole.alias("b")).select(by, F.rpad("b", F.expr("(length(b) + 7) div 8 * 8"), F.lit("0")).alias("bits"))
+
+
+def bit_offsets(rows: DataFrame, by: list[str], segment: str, order: list[Column], bits: str, bucket: int = 4096) -> DataFrame:
+    """rows with first_bit: where each row's bits begin in its stream (by), rows being ordered by segment (a whole number) and order.
+
+    Sums run on three levels: over the rows of a segment, over the segments of a bucket, and over buckets, so
+    that no task sees more of a stream than a segment's rows, a bucket's segments or all buckets' sums.
+    """
+    size = F.length(bits).cast("long")
+    inside = Window.partitionBy(*by, segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumn("__at", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    sums = rows.groupBy(*by, segment).agg(F.sum(size).alias("__size")).withColumn("__bucket", F.floor(F.col(segment) / bucket))
+    within = Window.partitionBy(*by, "__bucket").orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sums.groupBy(*by, "__bucket").agg(F.sum("__size").alias("__size")).withColumn("__first", F.coalesce(F.sum("__size").over(over), F.lit(0))).drop("__size")
+    starts = sums.withColumn("__start", F.coalesce(F.sum("__size").over(within), F.lit(0))).join(buckets, [*by, "__bucket"]).select(*by, segment, (F.col("__start") + F.col("__first")).alias("__start"))
+    return own.join(starts, [*by, segment]).withColumn("first_bit", F.col("__at") + F.col("__start")).drop("__at", "__start")
+
+
+def packed(rows: DataFrame, by: list[str], bits: str, chunk: int = 1024) -> DataFrame:
+    """by, chunk (number), data (binary): the bits of rows (with first_bit) as bytes, so many to a row but for the last of a stream, which ends in zero bits. A row's bits may lie in several chunks."""
+    end = F.col("first_bit") + F.length(bits)
+    numbers = F.sequence(F.floor(F.col("first_bit") / (8 * chunk)), F.floor((end - 1) / (8 * chunk)))
+    parts = rows.where(F.length(bits) > 0).select(*by, "first_bit", F.col(bits).alias("__bits"), F.explode(numbers).alias("chunk"))
+    low = F.greatest(F.col("first_bit"), F.col("chunk") * 8 * chunk)
+    high = F.least(F.col("first_bit") + F.length("__bits"), (F.col("chunk") + 1) * 8 * chunk)
+    parts = parts.select(*by, "chunk", F.struct(low.alias("at"), F.substring("__bits", (low - F.col("first_bit") + 1).cast("int"), (high - low).cast("int")).alias("b")).alias("p"))
+    whole = parts.groupBy(*by, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["b"]), "").alias("b"))
+    whole = whole.withColumn("b", F.rpad("b", F.expr("(length(b) + 7) div 8 * 8").cast("int"), F.lit("0")))
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.expr("length(b) div 8 - 1").cast("int")), lambda i: F.lpad(F.conv(F.substring("b", i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
+    return whole.select(*by, "chunk", F.unhex(digits).alias("data"))

@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
 from ..operators import blocks as B
+from ..operators import coefficients as C
 from ..operators import entropy as E
 from ..operators import geometry as G
+from ..operators import neighbours as NB
 from ..operators import predict as P
 from ..operators import report as R
 from ..operators import transform as T
@@ -173,12 +174,77 @@ def planes_round_trip(s, d):
     return _union([one("y", 32), one("cb", 16), one("cr", 8)])
 
 
+def _levels(s: SparkSession, d: str, qp: int = 22) -> DataFrame:
+    """Levels of the residual blocks of all sizes, for brightness and up to 16 for colour, with a spread of modes: n, blk, luma, mode, level."""
+    each = lambda n: B.residual_blocks(_t(s, d, "embeddings"), n).select(F.lit(n).alias("n"), "blk", F.explode(F.array(F.lit(True), *([F.lit(False)] if n < 32 else []))).alias("luma"), (F.col("blk") * 7 % 35).cast("int").alias("mode"), T.quantize(T.dct(F.col("r"), n), qp, n).alias("level"))
+    return _union([each(n) for n in SIZES])
+
+
+def _bins(s: SparkSession, d: str) -> DataFrame:
+    return C.coefficient_bins(_levels(s, d), "n", "blk", "luma")
+
+
+@_query
+def coefficient_bins(s, d):
+    """Bins of levels and the contexts of each, within their element."""
+    return _bins(s, d).withColumn("ctx", F.array_join("ctx", ","))
+
+
+@_query
+def bin_contexts(s, d):
+    """Each bin's context among all, and the state that it begins with."""
+    return C.with_contexts(_bins(s, d), C.context_table(s), F.lit(22))
+
+
+@_query
+def packed_bins(s, d):
+    """Bins of each size's blocks as streams of bytes, 256 to a row."""
+    at = E.bit_offsets(_bins(s, d).drop("ctx"), ["n", "luma"], "blk", [F.desc("grp"), F.col("ord")], "bins", bucket=64)
+    return E.packed(at, ["n", "luma"], "bins", 256).select("n", "luma", "chunk", F.length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+def _around(leaf: DataFrame) -> DataFrame:
+    """Leaves with size and mode of the leaf left and above of their first sample, null where there is none in the tile."""
+    side = F.col("n") / 4
+    cell = leaf.withColumns({"cx": (F.col("bx") * side).cast("int"), "cy": (F.col("by") * side).cast("int")})
+    along = F.sequence(F.lit(0), (side - 1).cast("int"))
+    at = lambda part, x, y: F.transform(along, lambda i: F.struct(x(i).cast("int").alias("cx"), y(i).cast("int").alias("cy"), F.lit(part).alias("part"), F.col("n").alias("size"), F.col("mode").alias("its")))
+    told = cell.select("frame_no", "tile", F.inline(F.concat(at("left", lambda i: F.col("cx") + side, lambda i: F.col("cy") + i), at("top", lambda i: F.col("cx") + i, lambda i: F.col("cy") + side))))
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c))).alias(f"{part}_{c}")
+    place = ["frame_no", "tile", "cx", "cy"]
+    return cell.join(told.groupBy(*place).agg(of("left", "size"), of("top", "size"), of("left", "its"), of("top", "its")), place, "left")
+
+
+@_query
+def tree_syntax(s, d):
+    """Bins of the luma side of all trees in the order in which they are coded: splits, modes, flags and levels of a tile's leaves as one sequence."""
+    coded = settled(_coded(s, d).select("n", "blk", "frame_no", "tile", "bx", "by", "place", "mode", "level"), "coded")
+    leaf = _around(coded.drop("level"))
+    none = F.lit(None).cast("array<int>")
+    row = lambda place, step, part, element, b, c: F.struct(place.cast("long").alias("place"), F.lit(step).alias("step"), F.lit(0).alias("down"), part.cast("int").alias("part"), F.lit(element).alias("element"), b.alias("bins"), c.alias("ctx"))
+    zero, place = F.lit(0), F.col("place")
+    split = lambda size: F.array(((F.coalesce(F.col("left_size"), F.lit(99)) < size).cast("int") + (F.coalesce(F.col("top_size"), F.lit(99)) < size).cast("int")))
+    flag = lambda c: c.cast("int").cast("string")
+    top = F.when(F.col("cy") % (P.CTU // 4) != 0, F.col("top_its"))
+    leaf = leaf.withColumn("cand", NB.probable_modes(F.col("left_its"), top)).withColumn("idx", NB.mode_index(F.col("mode"), F.col("cand")))
+    first = place - F.when(F.col("n") == 4, place % 4).otherwise(0)  # of the four leaves of 4 that are coded together
+    rows = F.array(
+        row(place, 0, zero, "split", F.when(place % 64 == 0, flag(F.col("n") < 32)), split(32)),
+        row(place, 1, zero, "split", F.when((place % 16 == 0) & (F.col("n") <= 16), flag(F.col("n") < 16)), split(16)),
+        row(place, 2, zero, "part", F.when((place % 4 == 0) & (F.col("n") <= 8), flag(F.col("n") != 4)), F.array(zero)),
+        row(first, 3, place % 4, "luma_mode", flag(F.col("idx") < 3), F.array(zero)),
+        row(first, 4, place % 4, "luma_mode_rest", F.substring(E.mode_bins(F.col("idx")), 2, 9), none),
+    )
+    modes = leaf.select("frame_no", "tile", F.inline(rows)).where("bins is not null")
+    cbf = coded.select("frame_no", "tile", "place", F.lit(5).alias("step"), zero.alias("down"), zero.alias("part"), F.lit("coded").alias("element"), flag(T.coded(F.col("level"))).alias("bins"), F.array(E.coded_flag_context(F.col("n"), F.lit(True))).alias("ctx"))
+    bins = C.coefficient_bins(coded.withColumn("luma", F.lit(True)).select("frame_no", "tile", "place", "n", "mode", "luma", "level"), "frame_no", "tile", "place")
+    levels = bins.select("frame_no", "tile", "place", F.lit(6).alias("step"), (1024 - F.col("grp")).alias("down"), F.col("ord").alias("part"), "element", "bins", "ctx")
+    return _union([modes, cbf, levels]).withColumn("ctx", F.array_join("ctx", ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in clip_oracles.all_sql().items() if k in _QUERIES}
-
-
-__all__ = ["E", "X", "oracle_sql", "queries"]

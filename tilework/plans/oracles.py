@@ -33,8 +33,10 @@ def _cells(n: int, source: str = _RES) -> str:
         return f"SELECT vec_id * 4 + p // 32 * 2 + p % 8 // 4 AS blk, (p // 8 % 4)::INT AS y, (p % 4)::INT AS x, r FROM ({source})"
     many = (n // 8) ** 2
     q = f"(vec_id % {many})"
-    return f"""SELECT vec_id // {many} AS blk, (p // 8 + 8 * (({q} >> 1 & 1) + 2 * ({q} >> 3 & 1)))::INT AS y, (p % 8 + 8 * (({q} & 1) + 2 * ({q} >> 2 & 1)))::INT AS x, r
-      FROM ({source}) WHERE vec_id // {many} IN (SELECT vec_id // {many} FROM embeddings GROUP BY 1 HAVING count(*) = {many})"""
+    # what the last block lacks is 0 in residuals and 128 in samples
+    fill = 0 if source == _RES else 205 if source == _OTHER_SAMPLE else 128
+    every = f"SELECT v AS vec_id, p, coalesce(r, {fill}) AS r FROM (SELECT blk * {many} + unnest(range(0, {many})) AS v FROM (SELECT DISTINCT vec_id // {many} AS blk FROM embeddings)) CROSS JOIN (SELECT unnest(range(0, 64)) AS p) LEFT JOIN (SELECT vec_id AS v, p, r FROM ({source})) USING (v, p)"
+    return f"""SELECT vec_id // {many} AS blk, (p // 8 + 8 * (({q} >> 1 & 1) + 2 * ({q} >> 3 & 1)))::INT AS y, (p % 8 + 8 * (({q} & 1) + 2 * ({q} >> 2 & 1)))::INT AS x, r FROM ({every})"""
 
 
 def _m(n: int, sine: bool) -> str:
