@@ -90,7 +90,8 @@ def coefficient_bins(blocks: DataFrame, *by: str) -> DataFrame:
     grp counts down with the groups of a block from 1,024 for the last position's parts, and ord goes up within one. bins is a string; ctx has the context of each of its bins, or is null where they have none. Blocks without levels have no rows.
     """
     spark = blocks.sparkSession
-    x = blocks.where(F.exists("level", lambda v: v != 0)).withColumn("kind", scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
+    own = blocks.select(F.struct(*by).alias("__by"), "n", "mode", "luma", "level")  # whatever the names in by
+    x = own.where(F.exists("level", lambda v: v != 0)).withColumn("kind", scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
     x = x.join(F.broadcast(scan_arrays(spark)), ["n", "kind"])
     x = x.withColumn("s", F.transform("scan", lambda p: F.get("level", p)))
     x = x.withColumn("last", F.size("s") - F.array_position(F.reverse(F.transform("s", lambda v: v != 0)), True).cast("int"))
@@ -115,7 +116,7 @@ def coefficient_bins(blocks: DataFrame, *by: str) -> DataFrame:
     last_p = F.get("scan", F.col("last"))
     lx, ly = last_p % F.col("n"), F.expr("element_at(scan, last + 1) div n").cast("int")
     x = x.withColumns({"lx": F.when(F.col("kind") == "ver", ly).otherwise(lx), "ly": F.when(F.col("kind") == "ver", lx).otherwise(ly)})
-    keep = [*by, "n", "kind", "luma", "last", "scan", "lx", "ly"]
+    keep = ["__by", "n", "kind", "luma", "last", "scan", "lx", "ly"]
     x = x.select(*keep, F.posexplode(F.arrays_zip("parts", "carry")).alias("k", "z")).select(*keep, "k", "z.carry", "z.parts.*")
 
     colour = lambda e: F.when(F.col("luma"), 0).otherwise(COLOUR[e])
@@ -162,4 +163,4 @@ def coefficient_bins(blocks: DataFrame, *by: str) -> DataFrame:
         row(g, 4, "sign", F.when(some, F.col("signs")), none),
         row(g, 5, "rest", F.col("rest"), none),
     ]
-    return x.select(*by, F.inline(F.array(*rows))).where("bins != ''")
+    return x.select("__by", F.inline(F.array(*rows))).where("bins != ''").select("__by.*", "grp", "ord", "element", "bins", "ctx")

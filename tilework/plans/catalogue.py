@@ -196,19 +196,20 @@ def neighbour_mask(s, d):
     return NB.neighbour_mask(_t(s, d, "embeddings").select("vec_id"), "vec_id", 10)
 
 
-def _sizes_and_modes(s: SparkSession) -> DataFrame:
-    return s.range(4 * 35).select(F.call_function("shiftleft", F.lit(4), F.expr("cast(id div 35 as int)")).alias("n"), (F.col("id") % 35).cast("int").alias("mode"))
+def _sizes_and_modes(s: SparkSession, d: str) -> DataFrame:
+    """vec_id, n, mode: each vector's mode (a spread of its label) in blocks of all sizes."""
+    return _t(s, d, "embeddings").select("vec_id", F.explode(F.array(*map(F.lit, (4, 8, 16, 32)))).alias("n"), (F.col("label") * 11 % 35).cast("int").alias("mode"))
 
 
 @_query
 def mode_filter_flag(s, d):
-    return _sizes_and_modes(s).withColumn("smoothed", NB.uses_smoothing(F.col("n"), F.col("mode")))
+    return _sizes_and_modes(s, d).withColumn("smoothed", NB.uses_smoothing(F.col("n"), F.col("mode")))
 
 
 @_query
 def scan_choice(s, d):
     luma = F.explode(F.array(F.lit(True), F.lit(False)))
-    return _sizes_and_modes(s).withColumn("luma", luma).withColumn("scan", G.scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
+    return _sizes_and_modes(s, d).withColumn("luma", luma).withColumn("scan", G.scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
@@ -364,7 +365,9 @@ def cbf_flags(s, d):
 
 @_query
 def scan_order(s, d):
-    return G.scan_order(s)
+    """Levels in the order of each scan."""
+    order = G.scan_order(s, (8,)).select("kind", "pos", (F.col("y") * 8 + F.col("x")).cast("int").alias("p"))
+    return _levels(s, d).select("blk", F.posexplode("level").alias("p", "level")).join(F.broadcast(order), "p").select("blk", "kind", "pos", "level")
 
 
 @_query
@@ -384,11 +387,11 @@ def cg_context(s, d):
 
 @_query
 def significance_contexts(s, d):
-    """All places, patterns, scans and sizes, for luma and colour."""
-    x, y = (F.col("p") % F.col("n")).alias("x"), F.floor(F.col("p") / F.col("n")).cast("int").alias("y")
-    grid = s.range(1024).select(F.col("id").cast("int").alias("p")).select("p", F.explode(F.array(*map(F.lit, SIZES))).alias("n")).where("p < n * n")
-    grid = grid.select("n", x, y, F.explode(F.array(*map(F.lit, range(4)))).alias("pattern")).select("*", F.explode(F.array(*map(F.lit, ("diag", "hor", "ver")))).alias("kind")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("luma"))
-    return grid.withColumn("ctx", E.significance_context(F.col("pattern"), F.col("kind"), F.col("x"), F.col("y"), F.col("n"), F.col("luma")))
+    """Contexts of all places of the groups with levels, by the groups right and below, for every scan, luma and colour."""
+    groups = E.group_flags(_levels(s, d), 8).withColumnRenamed("ctx", "pattern")
+    at = groups.select("blk", "pattern", "gy", "gx", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    at = at.select("blk", "pattern", (F.col("gx") * 4 + F.col("i") % 4).cast("int").alias("x"), (F.col("gy") * 4 + F.expr("i div 4")).cast("int").alias("y"), F.explode(F.array(*map(F.lit, ("diag", "hor", "ver")))).alias("kind")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("luma"))
+    return at.withColumn("ctx", E.significance_context(F.col("pattern"), F.col("kind"), F.col("x"), F.col("y"), F.lit(8), F.col("luma")))
 
 
 @_query
@@ -400,7 +403,7 @@ def coded_flag_contexts(s, d):
 
 @_query
 def context_init(s, d):
-    grid = s.range(256 * 52).select(F.expr("cast(id div 52 as int)").alias("value"), (F.col("id") % 52).cast("int").alias("qp"))
+    grid = _t(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 256).cast("int").alias("value"), (F.col("o_orderkey") % 52).cast("int").alias("qp"))
     return grid.withColumn("state", E.context_state(F.col("value"), F.col("qp")))
 
 
@@ -486,7 +489,8 @@ def parameter_sets(s, d):
 
 @_query
 def chroma_qp(s, d):
-    return s.range(52).select(F.col("id").cast("int").alias("qp"), X.chroma_qp(F.col("id").cast("int")).alias("chroma_qp"))
+    qp = (F.col("o_orderkey") % 52).cast("int")
+    return _t(s, d, "orders").select("o_orderkey", qp.alias("qp"), X.chroma_qp(qp).alias("chroma_qp"))
 
 
 @_query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Fixed values of the public H.265 specification, as lists in SQL: displacements of the modes 2 to 34, the
-#: same divided into 8192, the first column of the 32-point cosine matrix, chroma QPs from luma QP 30 on.
+#: same divided into 8192, the first column of the 32-point cosine matrix, chroma QPs from luma QP 30 on (of an earlier draft: the final edition differs at 34 and from 44 on).
 _ANGLES = "[32, 26, 21, 17, 13, 9, 5, 2, 0, -2, -5, -9, -13, -17, -21, -26, -32, -26, -21, -17, -13, -9, -5, -2, 0, 2, 5, 9, 13, 17, 21, 26, 32]"
 _INVERSE = "[256, 315, 390, 482, 630, 910, 1638, 4096, 0, -4096, -1638, -910, -630, -482, -390, -315, -256, -315, -390, -482, -630, -910, -1638, -4096, 0, 4096, 1638, 910, 630, 482, 390, 315, 256]"
 _COSINE = "[64, 90, 90, 90, 89, 88, 87, 85, 83, 82, 80, 78, 75, 73, 70, 67, 64, 61, 57, 54, 50, 46, 43, 38, 36, 31, 25, 22, 18, 13, 9, 4]"
@@ -191,9 +191,9 @@ def all_sql(qps: tuple[int, ...]) -> dict[str, str]:
     out["ref_smooth"] = f"SELECT vec_id, p, CASE WHEN p IN (0, 63) THEN px ELSE (lag(px) OVER w + 2 * px + lead(px) OVER w + 2) >> 2 END AS v FROM ({_PX}) WINDOW w AS (PARTITION BY vec_id ORDER BY p)"
     has = lambda dx, dy, bit: f"CASE WHEN x + {dx} >= 0 AND x + {dx} < 10 AND (SELECT count(*) FROM embeddings q WHERE q.vec_id = e.vec_id + {dx} + 10 * {dy}) > 0 THEN {bit} ELSE 0 END"
     out["neighbour_mask"] = f"SELECT vec_id, {' + '.join(has(dx, dy, 1 << i) for i, (dx, dy) in enumerate(((-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))))} AS mask FROM (SELECT vec_id, vec_id % 10 AS x FROM embeddings) e"
-    grid = "SELECT unnest([4, 8, 16, 32]) AS n, mode FROM (SELECT unnest(range(0, 35)) AS mode)"
-    out["mode_filter_flag"] = f"SELECT n, mode, n > 4 AND mode != 1 AND (mode = 0 OR least(abs(mode - 10), abs(mode - 26)) > CASE n WHEN 8 THEN 7 WHEN 16 THEN 1 ELSE 0 END) AS smoothed FROM ({grid})"
-    out["scan_choice"] = f"SELECT n, mode, luma, CASE WHEN n = 4 OR (n = 8 AND luma) THEN CASE WHEN mode BETWEEN 22 AND 30 THEN 'hor' WHEN mode BETWEEN 6 AND 14 THEN 'ver' ELSE 'diag' END ELSE 'diag' END AS scan FROM ({grid}), (SELECT unnest([true, false]) AS luma)"
+    grid = "SELECT vec_id, unnest([4, 8, 16, 32]) AS n, label * 11 % 35 AS mode FROM embeddings"
+    out["mode_filter_flag"] = f"SELECT vec_id, n, mode, n > 4 AND mode != 1 AND (mode = 0 OR least(abs(mode - 10), abs(mode - 26)) > CASE n WHEN 8 THEN 7 WHEN 16 THEN 1 ELSE 0 END) AS smoothed FROM ({grid})"
+    out["scan_choice"] = f"SELECT vec_id, n, mode, luma, CASE WHEN n = 4 OR (n = 8 AND luma) THEN CASE WHEN mode BETWEEN 22 AND 30 THEN 'hor' WHEN mode BETWEEN 6 AND 14 THEN 'ver' ELSE 'diag' END ELSE 'diag' END AS scan FROM ({grid}), (SELECT unnest([true, false]) AS luma)"
     out["mpm_candidates"] = f"{_LABELS} SELECT vec_id, c[1] AS c0, c[2] AS c1, c[3] AS c2 FROM c"
     out["mode_index"] = f"{_LABELS} SELECT vec_id, mode, {_IDX} AS idx FROM c"
     out["mode_bins"] = f"{_LABELS} SELECT vec_id, CASE idx WHEN 0 THEN '10' WHEN 1 THEN '110' WHEN 2 THEN '111' ELSE '0' || lpad(bin(idx - 3), 5, '0') END AS bins FROM (SELECT vec_id, {_IDX} AS idx FROM c)"
@@ -217,20 +217,21 @@ def all_sql(qps: tuple[int, ...]) -> dict[str, str]:
     out["quantize_sums"] = " UNION ALL ".join(sums(n, q) for n in (4, 8, 16, 32) for q in qps)
     flag = lambda n: f"SELECT {n} AS n, blk, luma, coded, CASE WHEN luma AND {n} != 4 THEN 1 ELSE 0 END AS ctx FROM (SELECT blk, bool_or({_level(37, n)} != 0) AS coded FROM (WITH {_forward(n)} SELECT * FROM f) GROUP BY blk), (SELECT unnest([true, false]) AS luma)"
     out["coded_flag_contexts"] = " UNION ALL ".join(map(flag, (4, 8, 16, 32)))
-    out["significance_contexts"] = """WITH g AS (SELECT n, (p % n)::INT AS x, (p // n)::INT AS y, pattern, kind, luma FROM (SELECT unnest(range(0, 1024)) AS p), (SELECT unnest([4, 8, 16, 32]) AS n),
-      (SELECT unnest([0, 1, 2, 3]) AS pattern), (SELECT unnest(['diag', 'hor', 'ver']) AS kind), (SELECT unnest([true, false]) AS luma) WHERE p < n * n)
-    SELECT *, CASE WHEN x + y = 0 THEN 0 WHEN n = 4 THEN [[0, 1, 4, 5], [2, 3, 4, 5], [6, 6, 8, 8], [7, 7, 8, 8]][y + 1][x + 1]
-      ELSE CASE WHEN luma AND x // 4 + y // 4 > 0 THEN 3 ELSE 0 END + CASE WHEN n = 8 THEN CASE kind WHEN 'diag' THEN 9 ELSE 15 END WHEN luma THEN 21 ELSE 12 END
-        + CASE pattern WHEN 0 THEN [2, 1, 1, 0, 0, 0, 0][x % 4 + y % 4 + 1] WHEN 1 THEN [2, 1, 0, 0][y % 4 + 1] WHEN 2 THEN [2, 1, 0, 0][x % 4 + 1] ELSE 2 END END AS ctx FROM g"""
+    out["significance_contexts"] = f"""WITH {_forward(8)}, lv AS (SELECT blk, y, x, {_level(32)} AS l FROM f), gf AS (SELECT DISTINCT blk, y // 4 AS gy, x // 4 AS gx FROM lv WHERE l != 0),
+      gp AS (SELECT g.*, CASE WHEN a.blk IS NULL THEN 0 ELSE 1 END + CASE WHEN b.blk IS NULL THEN 0 ELSE 2 END AS pattern FROM gf g LEFT JOIN gf a ON a.blk = g.blk AND a.gy = g.gy AND a.gx = g.gx + 1 LEFT JOIN gf b ON b.blk = g.blk AND b.gy = g.gy + 1 AND b.gx = g.gx),
+      q AS (SELECT blk, pattern, (gx * 4 + i % 4)::INT AS x, (gy * 4 + i // 4)::INT AS y, kind, luma FROM gp, (SELECT unnest(range(0, 16)) AS i), (SELECT unnest(['diag', 'hor', 'ver']) AS kind), (SELECT unnest([true, false]) AS luma))
+    SELECT *, CASE WHEN x + y = 0 THEN 0 ELSE CASE WHEN luma AND x // 4 + y // 4 > 0 THEN 3 ELSE 0 END + CASE kind WHEN 'diag' THEN 9 ELSE 15 END
+        + CASE pattern WHEN 0 THEN [2, 1, 1, 0, 0, 0, 0][x % 4 + y % 4 + 1] WHEN 1 THEN [2, 1, 0, 0][y % 4 + 1] WHEN 2 THEN [2, 1, 0, 0][x % 4 + 1] ELSE 2 END END AS ctx FROM q"""
     out["cbf_flags"] = f"WITH {_forward(8)} SELECT blk, bool_or({_level(37)} != 0) AS coded FROM f GROUP BY blk"
-    out["scan_order"] = " UNION ALL ".join(_scan(n, k) for n in (4, 8, 16, 32) for k in ("diag", "hor", "ver"))
+    scans = " UNION ALL ".join(_scan(8, k) for k in ("diag", "hor", "ver"))
+    out["scan_order"] = f"WITH {lev}, sc AS ({scans}) SELECT blk, kind, pos::INT AS pos, l AS level FROM lv JOIN sc ON sc.y = lv.y AND sc.x = lv.x"
     last = f"WITH {lev}, sc AS ({_scan(8, 'diag')}), ls AS (SELECT blk, count(*) AS n_sig, max(pos) AS last_pos, arg_max(lv.y, pos) AS y, arg_max(lv.x, pos) AS x FROM lv JOIN sc ON sc.y = lv.y AND sc.x = lv.x WHERE l != 0 GROUP BY blk)"
     out["last_significant"] = f"{last} SELECT blk, n_sig, last_pos, y, x FROM ls"
     # groups 0-3 are single places, 4 is 4 and 5, 5 is 6 and 7
     code = "CASE WHEN {0} < 4 THEN repeat('1', {0}::INT) || '0' WHEN {0} < 6 THEN '11110' || ({0} - 4)::VARCHAR ELSE '11111' || ({0} - 6)::VARCHAR END"
     out["last_pos_bins"] = f"{last} SELECT blk, {code.format('x')} AS x_bins, {code.format('y')} AS y_bins FROM ls"
     out["cg_context"] = f"WITH {lev}, g AS (SELECT DISTINCT blk, y // 4 AS gy, x // 4 AS gx FROM lv WHERE l != 0) SELECT g.blk, g.gy, g.gx, CASE WHEN r.blk IS NULL THEN 0 ELSE 1 END + CASE WHEN w.blk IS NULL THEN 0 ELSE 2 END AS ctx FROM g LEFT JOIN g r ON r.blk = g.blk AND r.gy = g.gy AND r.gx = g.gx + 1 LEFT JOIN g w ON w.blk = g.blk AND w.gx = g.gx AND w.gy = g.gy + 1"
-    out["context_init"] = "SELECT value, qp, CASE WHEN s > 63 THEN (s - 64) * 2 + 1 ELSE (63 - s) * 2 END AS state FROM (SELECT value, qp, least(126, greatest(1, (((value >> 4) * 5 - 45) * qp >> 4) + (value & 15) * 8 - 16)) AS s FROM (SELECT i // 52 AS value, i % 52 AS qp FROM (SELECT unnest(range(0, 13312)) AS i)))"
+    out["context_init"] = "SELECT o_orderkey, value, qp, CASE WHEN s > 63 THEN (s - 64) * 2 + 1 ELSE (63 - s) * 2 END AS state FROM (SELECT *, least(126, greatest(1, (((value >> 4) * 5 - 45) * qp >> 4) + (value & 15) * 8 - 16)) AS s FROM (SELECT o_orderkey, (o_custkey % 256)::INT AS value, (o_orderkey % 52)::INT AS qp FROM orders))"
     out["exp_golomb"] = f"SELECT o_orderkey, {_UE.format('o_custkey')} AS ue, {_UE.format('(CASE WHEN s > 0 THEN 2 * s - 1 ELSE -2 * s END)')} AS se FROM (SELECT o_orderkey, o_custkey, o_custkey - 500 AS s FROM orders)"
     out["coeff_remain_code"] = """WITH o AS (SELECT o_orderkey, o_custkey % 300 AS v, (o_orderkey % 5)::INT AS k FROM orders), t AS (SELECT *, v // (1::BIGINT << k) AS pre, v - 2 * (1::BIGINT << k) AS e FROM o)
     SELECT o_orderkey, v, k, CASE WHEN pre < 3 THEN repeat('1', pre::INT) || '0' || CASE WHEN k = 0 THEN '' ELSE lpad(bin(v % (1::BIGINT << k)), k, '0') END
@@ -269,7 +270,7 @@ def all_sql(qps: tuple[int, ...]) -> dict[str, str]:
     ue = lambda v: _UE.format(f"({v})")
     fields = f"{ue('32 * (p_size + 1)')} || {ue('32 * (p_size % 17 + 1)')} || CASE WHEN p_size % 6 != 0 THEN '1' ELSE '0' END || {ue('p_size % 3')} || {ue('p_size % 2')} || '11'"
     out["parameter_sets"] = f"SELECT p_partkey, rpad(b, ((length(b) + 7) // 8 * 8)::INT, '0') AS bits FROM (SELECT p_partkey, {fields} AS b FROM part)"
-    out["chroma_qp"] = f"SELECT qp, CASE WHEN qp < 30 THEN qp ELSE {_CHROMA_QP}[qp - 29] END AS chroma_qp FROM (SELECT unnest(range(0, 52)) AS qp)"
+    out["chroma_qp"] = f"SELECT o_orderkey, qp, CASE WHEN qp < 30 THEN qp ELSE {_CHROMA_QP}[qp - 29] END AS chroma_qp FROM (SELECT o_orderkey, (o_orderkey % 52)::INT AS qp FROM orders)"
     out["chroma_mode_bins"] = f"{_LABELS} SELECT vec_id, ['100', '101', '110', '111', '0'][i % 5 + 1] AS bins FROM (SELECT vec_id, {_IDX} AS i FROM c)"
     out["segment_concat"] = "SELECT conv_id, count(*) AS segments, sum(strlen(coalesce(text, '')))::BIGINT AS n_bytes, md5(string_agg(coalesce(text, ''), '' ORDER BY turn, text)) AS digest FROM conversations GROUP BY conv_id"
     out["topn_desc_with_index"] = "SELECT p_brand, place, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS place FROM part) WHERE place <= 5"

@@ -5,7 +5,7 @@
 
 Rows: frame_no, y, cb, cr (binary, raster order). A file has no header: its size must be a whole
 number of frames, else reading fails. Frames are read in ranges, one per task, each with a seek; filters on frame_no
-that are pushed down (spark.sql.python.filterPushdown.enabled) leave tasks and bytes of other frames out. The
+leave tasks and bytes of other frames out with option prune and spark.sql.python.filterPushdown.enabled. The
 path must be one that executors can open as a file; ``read_frames`` goes through Spark's own readers
 for any other store, a clip of at most 2 GB at a time. Writing gives a folder of files, each with the frames of one partition and named by
 the first of them; range-partition and sort by frame_no before, and the files in order are the clip.
@@ -38,23 +38,6 @@ class _Reader(DataSourceReader):
         self.frame = self.luma * 3 // 2
         self.first, self.last = 0, None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Bounds of frame_no decide which bytes are read; all other filters, and those that bounds can't express, stay with Spark."""
-        for f in filters:
-            own = getattr(f, "attribute", None) == ("frame_no",)
-            least = {EqualTo: lambda v: v, GreaterThanOrEqual: lambda v: v, GreaterThan: lambda v: v + 1, In: lambda v: min(v)}
-            most = {EqualTo: lambda v: v, LessThanOrEqual: lambda v: v, LessThan: lambda v: v - 1, In: lambda v: max(v)}
-            value = getattr(f, "value", None)
-            if not own or value is None or type(f) not in least | most or value == ():
-                yield f
-                continue
-            if type(f) in least:
-                self.first = max(self.first, least[type(f)](value))
-            if type(f) in most:
-                self.last = most[type(f)](value) + 1 if self.last is None else min(self.last, most[type(f)](value) + 1)
-            if isinstance(f, In):  # its bounds are wider than it
-                yield f
-
     def partitions(self) -> Sequence[InputPartition]:
         size = os.path.getsize(self.path)
         if size % self.frame:
@@ -74,6 +57,27 @@ class _Reader(DataSourceReader):
                 yield n, data[: self.luma], data[self.luma : self.luma + quarter], data[self.luma + quarter :]
 
 
+class _PruningReader(_Reader):
+    """Spark refuses readers with pushFilters where the session doesn't push filters, so it is asked for by an option."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Bounds of frame_no decide which bytes are read; all other filters, and those that bounds can't express, stay with Spark."""
+        for f in filters:
+            own = getattr(f, "attribute", None) == ("frame_no",)
+            least = {EqualTo: lambda v: v, GreaterThanOrEqual: lambda v: v, GreaterThan: lambda v: v + 1, In: lambda v: min(v)}
+            most = {EqualTo: lambda v: v, LessThanOrEqual: lambda v: v, LessThan: lambda v: v - 1, In: lambda v: max(v)}
+            value = getattr(f, "value", None)
+            if not own or value is None or type(f) not in least | most or value == ():
+                yield f
+                continue
+            if type(f) in least:
+                self.first = max(self.first, least[type(f)](value))
+            if type(f) in most:
+                self.last = most[type(f)](value) + 1 if self.last is None else min(self.last, most[type(f)](value) + 1)
+            if isinstance(f, In):  # its bounds are wider than it
+                yield f
+
+
 class _Part(WriterCommitMessage):
     def __init__(self, written: str, final: str):
         self.written, self.final = written, final
@@ -123,7 +127,7 @@ def check_empty(path: str, overwrite: bool) -> None:
 
 
 class RawPlanar(DataSource):
-    """Options: path, width, height, frames_per_task."""
+    """Options: path, width, height, frames_per_task, prune (true: bounds of frame_no decide what is read)."""
 
     @classmethod
     def name(cls) -> str:
@@ -133,7 +137,8 @@ class RawPlanar(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options["width"]), int(self.options["height"]), int(self.options.get("frames_per_task", "16")))
+        kind = _PruningReader if self.options.get("prune", "").lower() == "true" else _Reader
+        return kind(self.options["path"], int(self.options["width"]), int(self.options["height"]), int(self.options.get("frames_per_task", "16")))
 
     def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
         check_empty(self.options["path"], overwrite)
