@@ -572,3 +572,19 @@ def test_bounds_of_groups_equal_loops():
             if 4 * max(size[i], size[j]) <= 5 * min(size[i], size[j]) and max(size[i], size[j]) <= min(most[i], most[j]):
                 shared = {n for c, n, _ in ties if c == i} & {n for c, n, _ in ties if c == j}
                 assert any(bits & ngramjoin.FIRM for c, n, bits in ties if n in shared and c in (i, j))
+
+
+def test_checked_kinds_of_personal_data(spark):
+    """Accounts by their check digits, IPv6 addresses by their groups; neither needs a score."""
+    cases = {
+        "x DE89370400440532013000 y": ["iban:2:24"],
+        "x DE89 3704 0044 0532 0130 00 y": ["iban:2:29"],
+        "x DE88 3704 0044 0532 0130 00 y": [],
+        "x GB29 NWBK 6016 1331 9268 19. ZZ": ["iban:2:29"],
+        "at 2001:db8::ff00:42:8329, twice": ["ipv6:3:25"],
+        "at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 now": ["ipv6:3:42"],
+        "1::2::3::4 and 12:30:45 and 1:2:3:4:5:6:7 and a::b": [],
+    }
+    rows = [(i, t) for i, t in enumerate(cases)]
+    for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert [s for s in r.spans.split(",") if s.split(":")[0] in pii.CHECKED] == cases[rows[r.doc_id][1]], r

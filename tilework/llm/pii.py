@@ -2,7 +2,9 @@
 
 Base spans are four fixed patterns with checks (see BASE). Besides, generators
 with high recall propose spans that may overlap: anything around an "@", digit
-groups of any punctuation, and long strings with digits. Lists of numbers are one
+groups of any punctuation, long strings with digits or of letters in mixed case, and letters with
+digits as on documents. Two more kinds carry their own check and need no score: bank accounts (IBAN, by their check digits) and
+addresses of machines in hexadecimal groups (IPv6). Lists of numbers are one
 run of digit groups, so besides the run each part of it is proposed: neighbouring
 groups of PART_DIGITS digits in all, or one group of more, without a mark of lists
 (LIST_MARK) inside. Boosted trees score each candidate by its form (digits, letters, separators, ...)
@@ -44,14 +46,20 @@ BASE = {
 #: Generators of further candidates, by the kind that they propose.
 GENERATORS = {
     "address": r"(?:\G|(?<![^\s@<>\"',;]))[^\s@<>\"',;]++@[^\s@<>\"',;]++",
-    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().,/:-]{0,2}+[0-9])++",
+    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:(?:\x20/\x20|[\x20().,/:-]{0,2}+)[0-9])++",
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "ipv6": r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{1,4}+(?:::?[0-9A-Fa-f]{1,4}+){2,7}+(?![0-9A-Za-z:])",
+    "document": r"(?<![0-9A-Za-z_/-])[A-Z]{1,3}+[0-9]{6,9}+(?![0-9A-Za-z_/-])",
+    "key": r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{20,}+(?![0-9])",
 }
+#: Kinds whose check alone decides.
+CHECKED = ("iban", "ipv6")
 KINDS = [*BASE, *GENERATORS]
 CONTEXT = 24
 PART_DIGITS = (7, 19)
 LIST_MARK = r"[,:/] | [,:/]|  "
-EXAMPLES = 6_000
+EXAMPLES = 8_000
 LISTS = 600
 PRECISION = 0.98
 
@@ -65,6 +73,24 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
 
 
+def _colons(m: Column) -> Column:
+    return F.length(F.regexp_replace(m, "[^:]", ""))
+
+
+def _flips(m: Column) -> Column:
+    """Places where a capital follows a small letter."""
+    return F.length(m) - F.length(F.regexp_replace(m, "[a-z](?=[A-Z])", ""))
+
+
+def _iban(m: Column) -> Column:
+    """Whether the check digits of an account fit: country and check digits moved to the end, letters as 10 to 35, the number leaves 1 modulo 97."""
+    plain = F.regexp_replace(m, "\\x20", "")
+    moved = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+    value = lambda c: F.when(c >= "A", F.ascii(c) - 55).otherwise(F.ascii(c) - 48)
+    rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(c >= "A", 100).otherwise(10) + value(c)) % 97)
+    return F.length(plain).between(15, 34) & (rest == 1)
+
+
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -77,6 +103,10 @@ def _valid(kind: Column, m: Column) -> Column:
         .when(kind == "card", F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False))
         .when(kind == "phone", F.length(d).between(10, 15))
         .when(kind == "number", F.length(d) >= PART_DIGITS[0])
+        .when(kind == "iban", _iban(m))
+        # eight groups, or fewer around one "::"
+        .when(kind == "ipv6", F.when(m.contains("::"), ~m.rlike("::.*::") & (_colons(m) <= 7) & m.rlike("[A-Fa-f]|:.*:.*:.*:")).otherwise(_colons(m) == 7))
+        .when(kind == "key", _flips(m) >= 3)
         .otherwise(True)
     )
 
@@ -129,8 +159,8 @@ def _with_parts(placed: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """A row per match or part that passes its check, and at least one per row of docs: rid, doc_id, kind, m, start, end, part, before, after (kind null where there is none)."""
     text = F.col("text")
-    # most texts hold neither a digit nor an "@"
-    found = F.when(text.rlike("[0-9@]"), F.concat(*[_matches(text, k, p) for k, p in patterns.items()]))
+    # most texts hold neither a digit nor an "@" nor anything like a key
+    found = F.when(text.rlike("[0-9@]|[A-Za-z+/_-]{20}"), F.concat(*[_matches(text, k, p) for k, p in patterns.items()]))
     rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", F.explode_outer(found).alias("x")).select("rid", "doc_id", "x.*")
     run = Window.partitionBy("rid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(run)).withColumn("start", F.col("end") - F.length("m"))
@@ -141,7 +171,7 @@ def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 _COUNTED = {"digits": "[^0-9]", "letters": "[^A-Za-z]", "upper": "[^A-Z]", "blanks": "[^ ]", "dashes": "[^-]", "dots": "[^.]", "colons": "[^:]", "slashes": "[^/]", "commas": "[^,]", "brackets": "[^()]", "beyond_hex": "[^G-Zg-z]"}
 _SECRET_WORDS = r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer|credential)[\s\W]*$"
-_PERSON_WORDS = r"(?i)(?:tel|telephone|phone|mobile|call|fax|card|visa|account|iban|ssn|passport|contact|reach)\W{0,3}(?:no\W{0,2}|number\W{0,2}|is\W)?$"
+_PERSON_WORDS = r"(?i)(?:tel|telephone|phone|mobile|call|fax|card|visa|account|iban|ssn|passport|licen[cs]e|identity|reisepass|ausweis|pasaporte|passeport|contact|reach)\W{0,3}(?:no\W{0,2}|n[r°]\W{0,2}|number\W{0,2})?(?:is\W)?$"
 _THING_WORDS = r"(?i)(?:isbn|issn|version|v|page|pages|pp|no|order|model|chapter|section|doi|year|from|in|on|at|rfc|iso)\W{0,2}$"
 
 
@@ -153,6 +183,7 @@ def features() -> dict[str, Column]:
     out["groups"] = F.size(F.split(m, r"[^0-9A-Za-z]+", -1))
     out["longest"] = F.array_max(F.transform(F.split(m, r"[^0-9A-Za-z]+", -1), F.length))
     out["distinct_chars"] = F.size(F.array_distinct(F.split(m, "")))
+    out["flips"] = _flips(m)
     out["host_dots"] = F.length(F.regexp_replace(F.regexp_extract(m, "@(.*)", 1), "[^.]", ""))
     flags = {
         "plus": m.startswith("+"), "bracket": m.startswith("("), "date": m.rlike(r"^(?:[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4})(?:\D.*)?$"),
@@ -174,6 +205,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[int, str, int, int,
     word = lambda a=2, z=9: "".join(r.choice("etaoinshrdlucmwfgypbvk") for _ in range(r.randint(a, z)))
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     base64 = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
     pick = r.choice
     private = [
         lambda: ("", f"{word()}.{word()}@{word()}.{pick(['com', 'org', 'de', 'net'])}", ""), lambda: (pick(["mail ", "write to ", ""]), f"{word()}{d(2)}@{word()}-{word()}.{word(2, 3)}", ""),
@@ -182,8 +214,15 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[int, str, int, int,
         lambda: (pick(["", "card ", "visa "]), pick([d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}"]), ""), lambda: ("", d(16), ""), lambda: (pick(["account ", "account no. "]), d(r.randint(8, 12)), ""),
         lambda: (pick(["ssn ", ""]), f"{d(3)}-{d(2)}-{d(4)}", ""),
         lambda: (pick(["token = \"", "secret: \"", "key=\"", "api_key = '"]), pick([hexa(32), hexa(40), hexa(64), base64(32)]), "\""), lambda: (pick(["password ", "bearer "]), base64(r.randint(20, 44)) + d(2), ""), lambda: ("", pick([hexa(40), hexa(32) + d(2), base64(40) + d(1)]), ""),
+        lambda: (pick(["passport ", "passport number ", "passport no. ", "identity card ", "licence ", "Reisepass ", "passport is "]), pick("ACKLPXYZ") + pick(["", pick("ABCX")]) + d(r.randint(6, 8)), ""),
+        lambda: (pick(["token = \"", "key: \"", "secret=\"", "key is ", "password ", "api_key = '"]), mixed(r.randint(20, 44)), pick(["\"", ""])), lambda: (pick(["", "token ", "key "]), mixed(r.randint(24, 44)), ""),
+        lambda: (pick(["tel ", "mobile ", "phone: ", ""]), f"0{d(3)} / {d(2)} {d(2)} {d(3)}", ""), lambda: (pick(["Tel. ", "", "phone "]), f"0{d(2)} / {d(r.randint(2, 3))} {d(2)} {d(2)}", ""), lambda: ("", f"0{d(2)} / {d(2)} {d(2)} {d(2)} {d(2)}", ""),
+        lambda: (pick(["", "call ", "tel "]), f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", ""), lambda: (pick(["", "tel : ", "le "]), f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", ""), lambda: (pick(["", "call me at "]), f"({d(3)}) {d(3)}-{d(4)}", ""), lambda: ("", f"0{d(3)} {d(3)} {d(4)}", ""),
     ]
     common = [
+        lambda: (pick(["model ", "part ", "flight ", "order ", "", "standard ", "batch "]), pick("ABCDEFGHKLMNPRSTX") + pick(["", pick("ABCDR"), pick("ABCDR") + pick("XYZ")]) + d(r.randint(6, 8)), ""),
+        lambda: (pick(["class ", "the ", "method ", "see "]), "".join(word(3, 9).capitalize() for _ in range(r.randint(4, 7))), ""), lambda: ("", "/".join(word(3, 8).capitalize() for _ in range(r.randint(3, 6))), ""), lambda: ("", "-".join(word(3, 8).capitalize() for _ in range(r.randint(4, 6))), ""),
+        lambda: (pick(["", "in "]), f"{d(3)} / {d(3)}, {d(2)} / {d(2)}", ""),
         lambda: (pick(["on ", "", "from "]), pick([f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", f"1{d(1)}/0{r.randint(1, 9)}/19{d(2)}", f"1{d(1)}.0{r.randint(1, 9)}.20{d(2)}"]), ""), lambda: ("at ", f"20{d(2)}-1{r.randint(0, 2)}-2{d(1)} 1{d(1)}:{r.randint(10, 59)}:{r.randint(10, 59)}", ""),
         lambda: (pick(["$", "€", ""]), f"{r.randint(1, 99)},{d(3)},{d(3)}" + pick(["", ".00", ",000"]), pick(["", " people", " km"])), lambda: ("", f"{r.randint(1, 9)} {d(3)} {d(3)}", pick([" people", " EUR", " m"])), lambda: ("", f"{r.randint(1, 99)}.{d(3)}.{d(3)}", pick(["", " euros"])),
         lambda: (pick(["pi is ", "about ", ""]), f"{d(1)}.{d(r.randint(7, 15))}", ""), lambda: (pick(["ISBN ", "isbn: "]), pick([f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"978{d(10)}"]), ""), lambda: ("pages ", f"{d(2)}, {d(2)}, {d(2)}, {d(2)}", ""),
@@ -261,7 +300,7 @@ def _fit(spark: SparkSession) -> tuple[boosting.Boosted, dict[str, float]]:
     held = np.array([r.doc_id % 4 == 0 for r in rows])
     model = boosting.fit(x[~held], y[~held])
     odds = model.predict(x)
-    limits = {k: boosting.threshold(odds[held & (x[:, 0] == KINDS.index(k))], y[held & (x[:, 0] == KINDS.index(k))], PRECISION) for k in GENERATORS}
+    limits = {k: boosting.threshold(odds[held & (x[:, 0] == KINDS.index(k))], y[held & (x[:, 0] == KINDS.index(k))], PRECISION) for k in GENERATORS if k not in CHECKED}
     return model, limits
 
 
@@ -274,8 +313,8 @@ def detect(docs: DataFrame) -> DataFrame:
     # Only rows that matter go on; each row of docs keeps at least one (the first match, or the null one).
     names = {n: c for n, c in features().items()}
     scored = found.withColumns({n: F.when(~is_base & F.col("kind").isNotNull(), c) for n, c in names.items()}).withColumn("kind_no", F.col("k"))
-    limit = reduce(lambda a, k: F.when(F.col("kind") == k, F.lit(limits[k])).otherwise(a), GENERATORS, F.lit(float("inf")))
-    scored = scored.withColumn("odds", F.when(~is_base & F.col("kind").isNotNull(), F.expr(odds))).withColumn("chosen", F.col("kind").isNotNull() & (is_base | (F.col("odds") >= limit)))
+    limit = reduce(lambda a, k: F.when(F.col("kind") == k, F.lit(limits[k])).otherwise(a), limits, F.lit(0.0))
+    scored = scored.withColumn("odds", F.when(F.col("kind").isin(*CHECKED), 1e6).when(~is_base & F.col("kind").isNotNull(), F.expr(odds))).withColumn("chosen", F.col("kind").isNotNull() & (is_base | (F.col("odds") >= limit)))
     rows = scored.select("rid", "doc_id", F.when(F.col("chosen"), F.col("kind")).alias("kind"), F.col("k"), F.col("start"), F.col("end"), F.when(F.col("chosen"), F.coalesce("odds", F.lit(1e9))).alias("odds"), (is_base & F.col("chosen")).alias("base"))
 
     # Stretches of overlapping spans; in each, best first, what overlaps nothing kept before stays (base ones always).
