@@ -161,7 +161,9 @@ class RecordReader:
         if name != self.name:
             self.end()
             self.name = name
-        data, self.rest = self.rest + piece + EMPTY_LINE, b""
+        # files that follow each other in one task: what the one before left over is no part of a record
+        left = b"" if self.rest == EMPTY_LINE and piece.startswith(b"WARC/") else self.rest
+        data, self.rest = left + piece + EMPTY_LINE, b""
         if self.fields is None:
             return self._begin(data)
         self.parts.append(data)
@@ -221,8 +223,8 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[dict[str, object]]:
         reader = RecordReader()
         for batch in batches:
-            for name, piece in zip(batch["path"].to_pylist(), batch["piece"], strict=True):
-                if record := reader.add(name, piece.as_py()):
+            for piece in batch["piece"].to_pylist():
+                if record := reader.add("an archive", piece):
                     yield record
         reader.end()
 
@@ -240,7 +242,7 @@ def _joined(pieces: pa.Array) -> pa.Array:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per page: page_id, uri, kind, digest, refers_to, payload (null for revisits)."""
     pieces = spark.read.option("lineSep", RECORD_END).option("pathGlobFilter", "*.gz").text(path)
-    streamed = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece")).mapInArrow(_streamed, RECORDS)
+    streamed = pieces.select(F.col("value").cast("binary").alias("piece")).mapInArrow(_streamed, RECORDS)
     plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[^z]").load(path).select("path", "content").mapInArrow(_held, RECORDS)
     records = streamed.unionByName(plain)
     single = records.where("segment is null").select("page_id", "uri", "kind", "digest", "refers_to", F.when(F.col("kind") == "response", F.col("block")).alias("block"))
