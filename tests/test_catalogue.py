@@ -1,7 +1,7 @@
 import pytest
 
 from tests.compare import assert_same
-from tilework.plans import catalogue
+from tilework.plans import catalogue, clips
 
 SQL = catalogue.oracle_sql()
 
@@ -36,4 +36,5 @@ def test_entry_survives_a_corpus_package_that_cannot_be_imported(monkeypatch):
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(__spark_entry__.importlib, "import_module", lambda name: refuse(name))
-    assert set(__spark_entry__.queries()) == set(catalogue.queries()) and set(__spark_entry__.oracle_sql()) == set(SQL)
+    assert set(__spark_entry__.queries()) == set(catalogue.queries()) | set(clips.queries())
+    assert set(__spark_entry__.oracle_sql()) == set(SQL) | set(clips.oracle_sql())
