@@ -53,6 +53,8 @@ GENERATORS = {
     "document": r"(?<![0-9A-Za-z_/-])[A-Z]{1,3}+[0-9]{6,9}+(?![0-9A-Za-z_/-])",
     "key": r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]{20,}+(?![0-9])",
 }
+#: What a text has somewhere if it has a match of the kind; a plain search for it is far cheaper than that for matches.
+NEEDS = {"email": "@", "address": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "number": "[0-9]", "secret": "[0-9]", "iban": "[A-Z][0-9]{2}", "ipv6": ":[0-9A-Fa-f]{1,4}:", "document": "[A-Z][0-9]{6}", "key": "[a-z][A-Z]"}
 #: Kinds whose check alone decides.
 CHECKED = ("iban", "ipv6")
 KINDS = [*BASE, *GENERATORS]
@@ -159,8 +161,10 @@ def _with_parts(placed: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """A row per match or part that passes its check, and at least one per row of docs: rid, doc_id, kind, m, start, end, part, before, after (kind null where there is none)."""
     text = F.col("text")
+    none = F.array().cast("array<struct<k:int,i:int,gap:int,m:string,before:string,after:string>>")
+    each = [F.when(text.contains("@") if NEEDS[k] == "@" else text.rlike(NEEDS[k]), _matches(text, k, p)).otherwise(none) for k, p in patterns.items()]
     # most texts hold neither a digit nor an "@" nor anything like a key
-    found = F.when(text.rlike("[0-9@]|[A-Za-z+/_-]{20}"), F.concat(*[_matches(text, k, p) for k, p in patterns.items()]))
+    found = F.when(text.rlike("[0-9@]|[a-z][A-Z]"), F.concat(*each))
     rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", F.explode_outer(found).alias("x")).select("rid", "doc_id", "x.*")
     run = Window.partitionBy("rid", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(run)).withColumn("start", F.col("end") - F.length("m"))
