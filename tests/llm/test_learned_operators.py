@@ -240,6 +240,33 @@ def test_toxicity_of_odd_rows(spark, toxic, odd, none):
     assert toxicity.toxicity(none.select("doc_id", "text", "lang"), labels, SMALL).count() == 0
 
 
+def test_all_labelled_rows_train_or_calibrate(spark, monkeypatch):
+    """Also more of them than any sample held, and texts of more than 4,000 words."""
+    telling = F.when(F.col("id") % 7 == 0, F.lit(" grumblo")).otherwise(F.lit(""))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 50, telling).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 7 == 0).cast("int").alias("toxic"))
+    counted, trained, calibrate = [], toxicity._trained, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "_trained", lambda rows, *more: counted.append(rows.count()) or trained(rows, *more))
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, z, y, rows: counted.append(int(rows.sum())) or calibrate(m, z, y, rows))
+    toxicity.fit(docs, labels, Network(steps=20, rounds=1))
+    assert sum(counted) == docs.where(~toxicity.held_out()).count() and min(counted) > 4_000
+    monkeypatch.undo()
+    long = spark.createDataFrame([(i, "snarfix " * 6_000 if i % 2 else "ka " * 9, "en") for i in range(40)], "doc_id long, text string, lang string")
+    model = toxicity.fit(long, long.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), Network(steps=20))
+    score = {r.doc_id % 2: r.score for r in toxicity.score(long, model).collect()}
+    assert score[1] > 0.7 > score[0]
+
+
+def test_shards_learn_one_network_whatever_the_files(spark, toxic):
+    rows, docs, labels = toxic
+    p = Network(steps=250, shard_rows=100)
+    one, two = (toxicity.fit(d, labels.repartition(k), p) for d, k in ((docs, 1), (docs.repartition(7), 4)))
+    assert all((a == b).all() for a, b in zip(one.tables, two.tables, strict=True)) and (one.slope, one.shift, one.cuts) == (two.slope, two.shift, two.cuts)
+    truth = {i: y for i, _, _, y in rows}
+    out = [r for r in toxicity.score(docs, one).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert sum((r.score >= 0.7) != bool(truth[r.doc_id]) for r in out) <= 0.05 * len(out)
+
+
 def test_convolution_equals_plain_loops(spark):
     m = toxicity.train([np.random.default_rng(k).integers(1, 50, (40, 4)).astype(np.int32) for k in range(6)], np.array([0.0, 1] * 3), Network(steps=3, filters=2))
     rng, lengths = np.random.default_rng(1), [0, 1, 2, 127, 128, 129, 700]
