@@ -245,3 +245,17 @@ def test_predictions_of_many_modes_are_rows_of_one_each(spark):
     for r in rows[:: 97]:
         assert r.px == P.predict(borders[r.blk : r.blk + 1], r.mode, 32).reshape(-1).tolist()
     assert [x for lot in P._lots(700, 1024) for x in range(700)[lot]] == [*range(700)]
+
+
+def test_transforms_work_in_lots():
+    """Memory beyond input and output doesn't follow the number of blocks."""
+    import tracemalloc
+
+    x = np.random.default_rng(4).integers(-255, 256, (4_000, 32, 32)).astype(np.int32)
+    tracemalloc.start()
+    y = T.in_lots(T.forward, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < y.nbytes + 24e6
+    assert (y[::500] == T.forward(x[::500].astype(np.int64))).all()
+    assert T.in_lots(T.forward, x[:0]).shape == (0, 32, 32)
