@@ -40,15 +40,31 @@ NO_TILES: tuple[Field, ...] = (("u2", 0),)
 PICTURE_REST: tuple[Field, ...] = (("u1", 0), ("u1", 1), ("u1", 0), ("u1", 0), ("ue", 0), ("u1", 0), ("u1", 0))
 
 
-def _code(kind: str, value: int | str) -> Column:
-    v = F.col(value) if isinstance(value, str) else F.lit(value)
+def _code(kind: str, name: str) -> Column:
+    v = F.col(name)
     if kind in ("ue", "se"):
         return (exp_golomb if kind == "ue" else signed_exp_golomb)(v.cast("long"))
     return fixed_bits(v.cast("long"), int(kind[1:]))
 
 
+def _fixed(kind: str, value: int) -> str:
+    """Bits of a field whose value is known."""
+    if kind[1:].isdigit():
+        return format(value, f"0{kind[1:]}b")
+    code = format((value if kind == "ue" else 2 * value - 1 if value > 0 else -2 * value) + 1, "b")
+    return "0" * (len(code) - 1) + code
+
+
 def bits(fields: Sequence[Field]) -> Column:
-    return F.concat(*[_code(k, v) for k, v in fields])
+    parts: list[str | Column] = []
+    for kind, value in fields:
+        if isinstance(value, str):
+            parts.append(_code(kind, value))
+        elif parts and isinstance(parts[-1], str):
+            parts[-1] += _fixed(kind, value)
+        else:
+            parts.append(_fixed(kind, value))
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
 def closed(b: Column) -> Column:
