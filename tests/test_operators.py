@@ -259,3 +259,33 @@ def test_transforms_work_in_lots():
     assert peak < y.nbytes + 24e6
     assert (y[::500] == T.forward(x[::500].astype(np.int64))).all()
     assert T.in_lots(T.forward, x[:0]).shape == (0, 32, 32)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bits_of_known_fields_are_one_string_and_digits_come_by_words(spark):
+    from tilework.operators import headers as H
+
+    assert str(H.bits(H.SEQUENCE)).count("bin(") <= 6 and H._fixed("ue", 4) == "00101" and H._fixed("se", -2) == "00101" and H._fixed("u5", 3) == "00011"
+    texts = ["".join(map(str, np.random.default_rng(i).integers(0, 2, 8 * i))) for i in range(40)]
+    found = spark.createDataFrame([(t,) for t in texts], "b string").select("b", X.bits_to_hex(F.col("b")).alias("h")).collect()
+    assert all(r.h == "".join(f"{int(r.b[i : i + 8], 2):02X}" for i in range(0, len(r.b), 8)) for r in found)
+
+
+def test_rows_are_dealt_before_they_grow_or_are_summed(spark, sf_dir):
+    """Else the task that reads a small file holds the groups of all of it."""
+    from tilework.plans import catalogue
+
+    plan = _plan(catalogue.largest_tile(spark, sf_dir))
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    plan = _plan(catalogue.stats_wide(spark, sf_dir))
+    assert "pivot" not in plan and "hashpartitioning(l_orderkey" in plan
+    assert plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning(l_orderkey")
+
+
+def test_intervals_are_not_broadcast(spark, sf_dir):
+    from tilework.plans import clips
+
+    assert "Broadcast" not in _plan(clips.tiles_of_blocks(spark, sf_dir))

@@ -74,9 +74,10 @@ def tiles_of_blocks(s, d):
     """The tile of each event's block in the grid of its stream: column and row by joins of places with intervals."""
     streams = _t(s, d, "part").select(F.col("p_partkey").alias("stream"), (F.col("p_size") + 3).cast("int").alias("across"), (F.col("p_size") % 9 + 2).cast("int").alias("down"), (F.col("p_size") % 4 + 1).cast("int").alias("cols"), (F.col("p_size") % 2 + 1).cast("int").alias("rows"))
     many = _t(s, d, "part").agg(F.max("p_partkey")).first()[0]
-    events = _t(s, d, "events").select("event_id", (F.col("event_id") * 7 % many + 1).alias("stream")).join(streams, "stream")
+    events = _t(s, d, "events").select("event_id", (F.col("event_id") * 7 % many + 1).alias("stream")).join(streams.hint("merge"), "stream")
     events = events.select("event_id", "stream", (F.col("event_id") * 13 % F.col("across")).alias("x"), (F.col("event_id") * 5 % F.col("down")).alias("y"))
-    axis = lambda n, k, name: G.split_uniform(streams.select("stream", n, k), F.col(n), F.col(k)).select("stream", F.col("j").alias(f"tile_{name}"), F.col("start").alias(f"{name}0"), F.col("size").alias(f"{name}_size"))
+    axis = lambda n, k, name: G.split_uniform(streams.select("stream", n, k), F.col(n), F.col(k)).select("stream", F.col("j").alias(f"tile_{name}"), F.col("start").alias(f"{name}0"), F.col("size").alias(f"{name}_size")).hint("merge")
+    # merged: intervals are many times the file whose size Spark goes by when it broadcasts
     at = TR.interval_of(events, axis("across", "cols", "x"), "x", ["stream"], first="x0", size="x_size")
     at = TR.interval_of(at, axis("down", "rows", "y"), "y", ["stream"], first="y0", size="y_size")
     return at.select("event_id", "stream", "tile_x", "tile_y", (F.col("x") - F.col("x0")).alias("x_in_tile"), (F.col("y") - F.col("y0")).alias("y_in_tile"))
