@@ -289,3 +289,12 @@ def test_intervals_are_not_broadcast(spark, sf_dir):
     from tilework.plans import clips
 
     assert "Broadcast" not in _plan(clips.tiles_of_blocks(spark, sf_dir))
+
+
+def test_bins_are_made_once(spark, sf_dir):
+    """Their offsets and their bytes come from the same stored rows; and levels aren't transformed for brightness and colour apart."""
+    from tilework.plans import clips
+
+    assert "ArrowEvalPython" not in _plan(clips.packed_bins(spark, sf_dir))
+    plan = clips._levels(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("ArrowEvalPython")

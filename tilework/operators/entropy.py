@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bit_length, clip, exp_golomb, fixed_bits, signed_exp_golomb
+from ..functions.exprs import bit_length, bits_to_hex, clip, exp_golomb, fixed_bits, signed_exp_golomb
 
 
 def last_significant(levels: DataFrame, scan: DataFrame, n: int, kind: str = "diag") -> DataFrame:
@@ -128,5 +128,4 @@ def packed(rows: DataFrame, by: list[str], bits: str, chunk: int = 1024) -> Data
     parts = parts.select(*by, "chunk", F.struct(low.alias("at"), F.substring("__bits", (low - F.col("first_bit") + 1).cast("int"), (high - low).cast("int")).alias("b")).alias("p"))
     whole = parts.groupBy(*by, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["b"]), "").alias("b"))
     whole = whole.withColumn("b", F.rpad("b", F.expr("(length(b) + 7) div 8 * 8").cast("int"), F.lit("0")))
-    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.expr("length(b) div 8 - 1").cast("int")), lambda i: F.lpad(F.conv(F.substring("b", i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
-    return whole.select(*by, "chunk", F.unhex(digits).alias("data"))
+    return whole.select(*by, "chunk", F.unhex(bits_to_hex(F.col("b"))).alias("data"))

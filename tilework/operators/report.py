@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import psnr
+from .blocks import dealt
 
 
 def tile_stats(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """gop, frame, tile, bytes: orders and their lines stand in for frames and tiles; quantities are summed to one row per tile first."""
-    tiles = lineitem.groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("tile")).agg(F.sum("l_quantity").cast("long").alias("bytes"))
+    # dealt by frame before they are summed: lines hardly share a tile, so sums of a task that reads them would hold nearly each line
+    tiles = dealt(lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey").groupBy(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("tile")).agg(F.sum("l_quantity").cast("long").alias("bytes"))
     return tiles.join(orders.select(F.col("o_orderkey").alias("frame"), F.col("o_custkey").alias("gop"), F.year("o_orderdate").alias("year")), "frame")
 
 
@@ -35,7 +37,7 @@ def weighted_mean(y: Column, cb: Column, cr: Column) -> Column:
 
 def wide(tiles: DataFrame, count: int) -> DataFrame:
     """One row per frame with a column per tile."""
-    return tiles.groupBy("frame").pivot("tile", list(range(1, count + 1))).agg(F.sum("bytes")).withColumnsRenamed({str(i): f"tile{i}_bytes" for i in range(1, count + 1)})
+    return tiles.groupBy("frame").agg(*[F.sum(F.when(F.col("tile") == i, F.col("bytes"))).alias(f"tile{i}_bytes") for i in range(1, count + 1)])
 
 
 def plane_report(source: DataFrame, coded: DataFrame) -> DataFrame:

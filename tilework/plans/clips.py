@@ -177,7 +177,9 @@ def planes_round_trip(s, d):
 
 def _levels(s: SparkSession, d: str, qp: int = 22) -> DataFrame:
     """Levels of the residual blocks of all sizes, for brightness and up to 16 for colour, with a spread of modes: n, blk, luma, mode, level."""
-    each = lambda n: B.residual_blocks(_t(s, d, "embeddings"), n).select(F.lit(n).alias("n"), "blk", F.explode(F.array(F.lit(True), *([F.lit(False)] if n < 32 else []))).alias("luma"), (F.col("blk") * 7 % 35).cast("int").alias("mode"), T.quantize(T.dct(F.col("r"), n), qp, n).alias("level"))
+    # levels are made once for brightness and colour
+    own = lambda n: B.residual_blocks(_t(s, d, "embeddings"), n).select(F.lit(n).alias("n"), "blk", (F.col("blk") * 7 % 35).cast("int").alias("mode"), T.quantize(T.dct(F.col("r"), n), qp, n).alias("level"))
+    each = lambda n: own(n).select("n", "blk", F.explode(F.array(F.lit(True), *([F.lit(False)] if n < 32 else []))).alias("luma"), "mode", "level")
     return _union([each(n) for n in SIZES])
 
 
@@ -200,7 +202,8 @@ def bin_contexts(s, d):
 @_query
 def packed_bins(s, d):
     """Bins of each size's blocks as streams of bytes, 256 to a row."""
-    at = E.bit_offsets(_bins(s, d).drop("ctx"), ["n", "luma"], "blk", [F.desc("grp"), F.col("ord")], "bins", bucket=64)
+    bins = settled(_bins(s, d).drop("ctx"), "bins")  # sums of their sizes and the bins themselves are read from it
+    at = E.bit_offsets(bins, ["n", "luma"], "blk", [F.desc("grp"), F.col("ord")], "bins", bucket=64)
     return E.packed(at, ["n", "luma"], "bins", 256).select("n", "luma", "chunk", F.length("data").alias("n_bytes"), F.md5("data").alias("digest"))
 
 
