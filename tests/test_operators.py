@@ -298,3 +298,10 @@ def test_bins_are_made_once(spark, sf_dir):
     assert "ArrowEvalPython" not in _plan(clips.packed_bins(spark, sf_dir))
     plan = clips._levels(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("ArrowEvalPython")
+
+
+def test_vectors_are_dealt_before_their_bins_are_made(spark, sf_dir):
+    """Else a small file's vectors are all worked on by the one task that reads it."""
+    from tilework.plans import clips
+
+    assert clips._levels(spark, sf_dir).where("n in (4, 8)").rdd.getNumPartitions() >= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

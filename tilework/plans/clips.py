@@ -177,8 +177,9 @@ def planes_round_trip(s, d):
 
 def _levels(s: SparkSession, d: str, qp: int = 22) -> DataFrame:
     """Levels of the residual blocks of all sizes, for brightness and up to 16 for colour, with a spread of modes: n, blk, luma, mode, level."""
-    # levels are made once for brightness and colour
-    own = lambda n: B.residual_blocks(_t(s, d, "embeddings"), n).select(F.lit(n).alias("n"), "blk", (F.col("blk") * 7 % 35).cast("int").alias("mode"), T.quantize(T.dct(F.col("r"), n), qp, n).alias("level"))
+    # vectors are dealt first, as their file is small for what becomes of it; levels are made once for brightness and colour
+    vectors = B.dealt(_t(s, d, "embeddings").select("vec_id", "embedding"), "vec_id")
+    own = lambda n: B.residual_blocks(vectors, n).select(F.lit(n).alias("n"), "blk", (F.col("blk") * 7 % 35).cast("int").alias("mode"), T.quantize(T.dct(F.col("r"), n), qp, n).alias("level"))
     each = lambda n: own(n).select("n", "blk", F.explode(F.array(F.lit(True), *([F.lit(False)] if n < 32 else []))).alias("luma"), "mode", "level")
     return _union([each(n) for n in SIZES])
 
