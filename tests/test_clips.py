@@ -224,6 +224,29 @@ def test_coefficient_bins_equal_a_coder_with_running_state(spark):
     assert got == expected
 
 
+def test_bins_are_dealt_to_rows_from_columns(spark):
+    """Lambdas within a generator are evaluated without compiled code, and anew for each row that it gives."""
+    df = spark.createDataFrame([(1, 4, 0, True, [1] * 16)], "k int, n int, mode int, luma boolean, level array<int>")
+    plan = C.coefficient_bins(df, "k")._jdf.queryExecution().optimizedPlan().toString()
+    inline = next(x for x in plan.splitlines() if "Generate inline(" in x)
+    assert "lambda" not in inline and "CASE" not in inline
+
+
+def test_bins_of_odd_blocks(spark):
+    """A block without levels has no rows, one whose luma isn't known is as colour; a level that isn't known has no bin, but a context."""
+    level = [5, -1, 0, 0, 2, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0]
+    empty = [(1, 4, 0, True, [0] * 16), (2, 4, 0, True, None), (3, 4, 0, True, []), (4, None, 0, True, level), (5, 5, 0, True, level), (6, 4, 0, True, [None] * 16)]
+    rows = [(7, 4, 0, True, level), (8, 4, 0, False, level), (9, 4, None, None, level), (10, 4, 0, None, level), (10, 4, 0, None, level), (None, 4, 0, False, level), (11, 4, 0, True, [5, None, *level[2:]])]
+    bins: dict = {}
+    for r in C.coefficient_bins(spark.createDataFrame(empty + rows, "k int, n int, mode int, luma boolean, level array<int>"), "k").orderBy(F.desc("grp"), "ord").collect():
+        bins.setdefault(r.k, []).append((r.grp, r.ord, r.element, r.bins, r.ctx))
+    assert set(bins) == {7, 8, 9, 10, 11, None}
+    assert bins[9] == bins[8] == bins[None] == bins[10][::2] == bins[10][1::2] != bins[7]  # a row that comes twice counts twice
+    own = {e: (b, c) for _, _, e, b, c in bins[11]}
+    assert own["significant"] == ("000011", [7, 4, 3, 6, 1, 2, 0])
+    assert own["sign"] == ("000", None) and own["over_one"] == ("011", [1, 2, 0])
+
+
 def test_intermediate_results_go_with_the_session(tmp_path):
     code = f"""
 import os

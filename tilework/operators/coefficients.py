bin_contexts: bins and contexts are cut from arrays, not worked out for each level in lambdas

Symptom: bin_contexts took 10,196 JVM and 484 GC seconds per input GB on 0.02 GB of vectors (10,879 in all), 209 of 223 task seconds in the one stage that makes the bins of levels.
Evidence: of that stage's samples in a profile nearly all were in higher-order functions, which Spark doesn't compile: each level's context of significance was worked out from its place by some hundred expressions and a struct was made for it, each level looked again at those before it, each group at all groups before it, and the ten rows of a group were worked out inside the generator, where nothing is compiled or shared.
Fix: contexts of significance come with the scans from the small broadcast table (by group and pattern of neighbours), and a group's flags, contexts and bases are slices and repeats of arrays; rows' strings and contexts are made in a projection and only dealt out by the generator. Same rows, no further shuffle, the broadcast table is of fixed size.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1754 -> 1036 s, shuffle 0.13 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.04 GB, longest task 59 -> 24 s, most memory of a task 67 -> 67 MB; at 6 GB of input CPU 7918 -> 3467 s, shuffle 0.72 -> 0.52 GB, spill 0.00 -> 0.00 GB, read 0.52 -> 0.26 GB, longest task 343 -> 138 s, most memory of a task 67 -> 67 MB; with hot keys, at 1 GB of input CPU 1170 -> 738 s, shuffle 0.07 -> 0.05 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.02 GB, longest task 32 -> 13 s, most memory of a task 67 -> 67 MB.

@@ -62,6 +62,16 @@ def scan_arrays(spark: SparkSession) -> DataFrame:
     return whole.select("n", "kind", F.transform("o", lambda s: s["p"]).alias("scan"), groups.alias("groups")).withColumn("at", at)
 
 
+def scan_contexts(spark: SparkSession) -> DataFrame:
+    """scan_arrays with luma_ctx and colour_ctx: by group as scanned and pattern of its neighbours' flags, the contexts of significance of its 16 places, last one first."""
+    p = lambda g, j: F.get("scan", g * GROUP + GROUP - 1 - j)
+    x, y = lambda p: (p % F.col("n")).cast("int"), lambda p: F.floor(p / F.col("n")).cast("int")
+    one = lambda p, pattern, luma: (significance_context(pattern, F.col("kind"), x(p), y(p), F.col("n"), F.lit(luma)) + (0 if luma else COLOUR["significant"])).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    all_ = lambda luma: F.transform("groups", lambda _, g: F.transform(upto(4), lambda pattern: F.transform(upto(GROUP), lambda j: one(p(g, j), pattern, luma))))
+    return scan_arrays(spark).withColumns({"luma_ctx": all_(True), "colour_ctx": all_(False)})
+
+
 def _last_prefix(v: Column, n: Column) -> Column:
     group = _last_group(v)
     return F.concat(F.repeat(F.lit("1"), group), F.when(group < 2 * (bit_length(n) - 1) - 1, "0").otherwise(""))
@@ -92,75 +102,80 @@ def coefficient_bins(blocks: DataFrame, *by: str) -> DataFrame:
     spark = blocks.sparkSession
     own = blocks.select(F.struct(*by).alias("__by"), "n", "mode", "luma", "level")  # whatever the names in by
     x = own.where(F.exists("level", lambda v: v != 0)).withColumn("kind", scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
-    x = x.join(F.broadcast(scan_arrays(spark)), ["n", "kind"])
+    x = x.join(F.broadcast(scan_contexts(spark)), ["n", "kind"])
+    x = x.withColumn("contexts", F.when(F.col("luma"), F.col("luma_ctx")).otherwise(F.col("colour_ctx")))
     x = x.withColumn("s", F.transform("scan", lambda p: F.get("level", p)))
-    x = x.withColumn("last", F.size("s") - F.array_position(F.reverse(F.transform("s", lambda v: v != 0)), True).cast("int"))
-    x = x.withColumn("flags", F.transform("groups", lambda _, g: F.exists(F.slice("s", g * GROUP + 1, GROUP), lambda v: v != 0)))
+    # of each level as scanned, the bin that says whether it isn't 0
+    x = x.withColumn("bits", F.transform("s", lambda v: F.when(v != 0, "1").when(v == 0, "0")))
+    x = x.withColumn("last", F.size("s") - F.array_position(F.reverse("bits"), "1").cast("int"))
+    x = x.withColumn("flags", F.transform("groups", lambda _, g: F.array_contains(F.slice("bits", g * GROUP + 1, GROUP), "1")))
     w, end = F.expr("n div 4").cast("int"), F.expr(f"last div {GROUP}").cast("int")
-    flag = lambda raster: F.get("flags", F.get("at", raster))
+    flag = lambda raster: F.coalesce(F.get("flags", F.get("at", raster)), F.lit(False))
 
     def group(g: Column) -> Column:
         c = F.get("groups", g)
-        right = (c % w < w - 1) & F.coalesce(flag(c + 1), F.lit(False))
-        lower = F.coalesce(flag(c + w), F.lit(False))
-        vals = F.reverse(F.slice("s", g * GROUP + 1, F.when(g == end, F.col("last") % GROUP + 1).otherwise(GROUP)))
-        size = F.transform(F.filter(vals, lambda v: v != 0), lambda v: F.abs(v))
-        signs = F.array_join(F.transform(F.filter(vals, lambda v: v != 0), lambda v: F.when(v < 0, "1").otherwise("0")), "")
-        return F.struct(g.alias("g"), right.cast("int").alias("right"), lower.cast("int").alias("lower"), F.get("flags", g).alias("flag"), vals.alias("vals"), size.alias("abs"), signs.alias("signs"))
+        pattern = ((c % w < w - 1) & flag(c + 1)).cast("int") + 2 * flag(c + w).cast("int")
+        many = F.when(g == end, F.col("last") % GROUP + 1).otherwise(GROUP)
+        back = lambda a: F.reverse(F.slice(a, g * GROUP + 1, many))
+        return F.struct(g.alias("g"), pattern.alias("pattern"), F.get("flags", g).alias("flag"), back("s").alias("vals"), back("bits").alias("bits"), F.get("contexts", g).alias("contexts"))
 
     x = x.withColumn("parts", F.transform(F.sequence(end, F.lit(0), F.lit(-1)), group))
-    over = lambda a: F.exists(F.slice(a, 1, FLAGS), lambda v: v > 1)
-    # try_element_at: the first group has none before it
-    before = F.transform("parts", lambda _, i: F.try_element_at(F.filter(F.slice("parts", F.lit(1), i), lambda q: F.size(q["abs"]) > 0), F.lit(-1)))
-    x = x.withColumn("carry", F.transform(before, lambda q: F.coalesce(over(q["abs"]), F.lit(False)).cast("int")))
+    # of each group, its levels that aren't 0, and which of those with flags is the first over 1 (0: none)
+    x = x.withColumn("found", F.transform("parts", lambda q: F.filter(q["vals"], lambda v: v != 0)))
+    x = x.withColumn("over", F.transform("found", lambda a: F.array_position(F.transform(F.slice(a, 1, FLAGS), lambda v: F.abs(v) > 1), True).cast("int")))
+    # whether the last group with levels before it has one over 1: twice its number, and one more if so
+    x = x.withColumn("marks", F.transform(F.arrays_zip("found", "over"), lambda q, i: F.when(F.size(q["found"]) > 0, 2 * i + (q["over"] > 0).cast("int"))))
+    x = x.withColumn("carry", F.transform("marks", lambda _, i: F.coalesce(F.array_max(F.slice("marks", F.lit(1), i)) % 2, F.lit(0))))
     last_p = F.get("scan", F.col("last"))
     lx, ly = last_p % F.col("n"), F.expr("element_at(scan, last + 1) div n").cast("int")
     x = x.withColumns({"lx": F.when(F.col("kind") == "ver", ly).otherwise(lx), "ly": F.when(F.col("kind") == "ver", lx).otherwise(ly)})
-    keep = ["__by", "n", "kind", "luma", "last", "scan", "lx", "ly"]
-    x = x.select(*keep, F.posexplode(F.arrays_zip("parts", "carry")).alias("k", "z")).select(*keep, "k", "z.carry", "z.parts.*")
+    keep = ["__by", "n", "luma", "lx", "ly"]
+    x = x.select(*keep, F.posexplode(F.arrays_zip("parts", "found", "over", "carry")).alias("k", "z"))
+    x = x.select(*keep, "k", "z.found", "z.over", "z.carry", "z.parts.*")
 
     colour = lambda e: F.when(F.col("luma"), 0).otherwise(COLOUR[e])
-    is_end = F.col("k") == 0
-    coded = is_end | (F.col("g") == 0) | F.col("flag")
-    top = F.when(is_end, F.col("last")).otherwise(F.col("g") * GROUP + GROUP - 1)
-    pattern = F.col("right") + 2 * F.col("lower")
-
-    def significant(v: Column, j: Column) -> Column:
-        pos = top - j
-        p = F.get("scan", pos)
-        said = (is_end & (j == 0)) | ((pos == F.col("g") * GROUP) & (F.col("g") != 0) & ~F.exists(F.slice("vals", F.lit(1), j), lambda q: q != 0))
-        px, py = (p % F.col("n")).cast("int"), F.floor(p / F.col("n")).cast("int")
-        return F.when(~said, F.struct((v != 0).cast("int").cast("string").alias("bin"), (significance_context(pattern, F.col("kind"), px, py, F.col("n"), F.col("luma")) + colour("significant")).alias("ctx")))
-
-    sig = F.filter(F.transform("vals", significant), lambda q: q.isNotNull())
-    x = x.withColumn("sig", F.when(coded, sig))
-    some, any1 = F.size("abs") > 0, over(F.col("abs"))
-    set_ = F.when((F.col("g") > 0) & F.col("luma"), 2).otherwise(0) + F.col("carry")
-    ones = F.transform(F.slice("abs", 1, FLAGS), lambda a, i: F.struct((a > 1).cast("int").cast("string").alias("bin"), (set_ * 4 + F.when(F.exists(F.slice("abs", F.lit(1), i), lambda q: q > 1), 0).otherwise(F.least(i + 1, F.lit(3))) + colour("over_one")).alias("ctx")))
-    x = x.withColumn("ones", F.when(some, ones))
-    two = F.when(some & any1, F.when(F.try_element_at(F.filter(F.slice("abs", 1, FLAGS), lambda a: a > 1), F.lit(1)) > 2, "1").otherwise("0"))
-    base = lambda i: F.when(i < FLAGS, F.when(F.exists(F.slice("abs", F.lit(1), i), lambda q: q >= 2), 2).otherwise(3)).otherwise(1)
-    left = F.filter(F.transform("abs", lambda a, i: F.struct(a.cast("int").alias("a"), (a - base(i)).cast("long").alias("rest"))), lambda q: q["rest"] >= 0)
+    g, is_end = F.col("g"), F.col("k") == 0
+    coded = is_end | (g == 0) | F.col("flag")
+    # no flag for the last level, nor for a group's last place where all before it are 0
+    here, first = F.size("bits"), is_end.cast("int")
+    said = (g != 0) & ~F.coalesce(F.array_contains(F.slice("bits", F.lit(1), here - 1), "1"), F.lit(False))
+    x = x.withColumns({"here": here, "first": first, "flagged": F.greatest(here - first - said.cast("int"), F.lit(0))})
+    contexts = F.get("contexts", F.col("pattern"))
+    x = x.withColumn("abs", F.transform("found", lambda v: F.abs(v)))
+    some, any1, flags = F.size("abs") > 0, F.col("over") > 0, F.least(F.size("abs"), F.lit(FLAGS))
+    # flags count up to the first level over 1, and are 0 after it
+    upto = F.when(any1, F.col("over"))
+    set_ = F.when((g > 0) & F.col("luma"), 2).otherwise(0) + F.col("carry")
+    base = set_ * 4 + colour("over_one")
+    ones_ctx = F.concat(F.slice(F.array(*[base + min(i + 1, 3) for i in range(FLAGS)]), F.lit(1), F.coalesce(upto, flags)), F.array_repeat(base, flags - F.coalesce(upto, flags)))
+    two = F.when(some & any1, F.when(F.get("abs", F.col("over") - 1) > 2, "1").otherwise("0"))
+    # what the flags say of each level
+    known = F.coalesce(upto, F.lit(FLAGS))
+    told = F.concat(F.array_repeat(F.lit(3), known), F.array_repeat(F.lit(2), FLAGS - known), F.array_repeat(F.lit(1), GROUP - FLAGS))
+    left = F.filter(F.zip_with("abs", F.slice(told, F.lit(1), F.size("abs")), lambda a, b: F.struct(a.cast("int").alias("a"), (a - b).cast("long").alias("rest"))), lambda q: q["rest"] >= 0)
     start = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
     fold = lambda s, q: F.struct(F.when((q["a"] > F.call_function("shiftleft", F.lit(3), s["k"])) & (s["k"] < 4), s["k"] + 1).otherwise(s["k"]).alias("k"), F.concat(s["out"], remainder_code(q["rest"], s["k"])).alias("out"))
-    x = x.withColumn("left", F.when(some & (any1 | (F.size("abs") > FLAGS)), left)).withColumn("rest", F.aggregate("left", start, fold)["out"])
+    rest = F.aggregate(F.when(some & (any1 | (F.size("abs") > FLAGS)), left), start, fold)["out"]
 
-    bins = lambda c: F.array_join(F.transform(c, lambda q: q["bin"]), "")
-    ctx = lambda c: F.transform(c, lambda q: q["ctx"].cast("int"))
+    n, luma = F.col("n"), F.col("luma")
+    text = lambda a: F.array_join(a, "")
+    ints = lambda a: a.cast("array<int>")
+    x = x.withColumns({"xs": F.when(is_end, _last_prefix(F.col("lx"), n)), "ys": F.when(is_end, _last_prefix(F.col("ly"), n))})
     none = F.lit(None).cast("array<int>")
-    row = lambda grp, i, element, b, c: F.struct(grp.cast("int").alias("grp"), F.lit(i).alias("ord"), F.lit(element).alias("element"), b.alias("bins"), c.alias("ctx"))
-    n, luma, g = F.col("n"), F.col("luma"), F.col("g")
     head = F.lit(1 << 10)  # before all groups
-    xs, ys = _last_prefix(F.col("lx"), n), _last_prefix(F.col("ly"), n)
-    lasts = [row(head, 0, "last_x", F.when(is_end, xs), _last_contexts(xs, n, luma)), row(head, 1, "last_y", F.when(is_end, ys), _last_contexts(ys, n, luma)), row(head, 2, "last_x_rest", F.when(is_end, _last_suffix(F.col("lx"))), none), row(head, 3, "last_y_rest", F.when(is_end, _last_suffix(F.col("ly"))), none)]
-    own = F.when(~is_end & (g != 0), F.col("flag").cast("int").cast("string"))
     rows = [
-        *lasts,
-        row(g, 0, "group", own, F.array(F.greatest("right", "lower") + colour("group"))),
-        row(g, 1, "significant", bins("sig"), ctx("sig")),
-        row(g, 2, "over_one", bins("ones"), ctx("ones")),
-        row(g, 3, "over_two", two, F.array(set_ + colour("over_two"))),
-        row(g, 4, "sign", F.when(some, F.col("signs")), none),
-        row(g, 5, "rest", F.col("rest"), none),
+        (head, 0, "last_x", F.col("xs"), _last_contexts(F.col("xs"), n, luma)),
+        (head, 1, "last_y", F.col("ys"), _last_contexts(F.col("ys"), n, luma)),
+        (head, 2, "last_x_rest", F.when(is_end, _last_suffix(F.col("lx"))), none),
+        (head, 3, "last_y_rest", F.when(is_end, _last_suffix(F.col("ly"))), none),
+        (g, 0, "group", F.when(~is_end & (g != 0), F.col("flag").cast("int").cast("string")), F.array((F.col("pattern") > 0).cast("int") + colour("group"))),
+        (g, 1, "significant", F.when(coded, text(F.slice("bits", F.col("first") + 1, F.col("flagged")))), F.slice(contexts, GROUP - F.col("here") + F.col("first") + 1, F.col("flagged"))),
+        (g, 2, "over_one", F.when(some, text(F.transform(F.slice("abs", 1, FLAGS), lambda a: F.when(a > 1, "1").otherwise("0")))), ones_ctx),
+        (g, 3, "over_two", two, F.array(set_ + colour("over_two"))),
+        (g, 4, "sign", F.when(some, text(F.transform("found", lambda v: F.when(v < 0, "1").otherwise("0")))), none),
+        (g, 5, "rest", rest, none),
     ]
-    return x.select("__by", F.inline(F.array(*rows))).where("bins != ''").select("__by.*", "grp", "ord", "element", "bins", "ctx")
+    # all but their dealing to rows is done in a projection, which is compiled
+    x = x.select("__by", "g", *[c for _, _, e, b, ctx in rows for c in (b.alias(f"{e}_bins"), ints(ctx).alias(f"{e}_ctx"))])
+    row = lambda grp, i, e: F.struct(grp.cast("int").alias("grp"), F.lit(i).alias("ord"), F.lit(e).alias("element"), F.col(f"{e}_bins").alias("bins"), F.col(f"{e}_ctx").alias("ctx"))
+    return x.select("__by", F.inline(F.array(*[row(grp, i, e) for grp, i, e, *_ in rows]))).where("bins != ''").select("__by.*", "grp", "ord", "element", "bins", "ctx")
