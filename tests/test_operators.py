@@ -300,6 +300,14 @@ def test_bins_are_made_once(spark, sf_dir):
     assert plan.index("Generate explode") < plan.index("ArrowEvalPython")
 
 
+def test_levels_of_bins_are_made_once(spark, sf_dir):
+    """A filter on levels goes down to where they are made, and has blocks transformed once for itself."""
+    from tilework.plans import clips
+
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert count(clips.coefficient_bins(spark, sf_dir)) == count(clips._levels(spark, sf_dir)) == 4
+
+
 def test_vectors_are_dealt_before_their_bins_are_made(spark, sf_dir):
     """Else a small file's vectors are all worked on by the one task that reads it."""
     from tilework.plans import clips

coefficient_bins: levels are made once, without a filter that has blocks transformed again

Symptom: coefficient_bins took 8,230 JVM, 150 Python and 426 GC seconds per input GB on 0.02 GB of vectors (8,842 in all), and its plan sends the blocks of each size through Python twice.
Evidence: the plan has eight ArrowEvalPython for four sizes; the filter on blocks with levels is pushed down to the transform and quantiser and evaluates both for itself, for blocks of 8 even before vectors are dealt to all tasks. Most of the rest were lambdas over each level, which the commit before this one took out of the operator that both queries use.
Fix: blocks without levels aren't filtered; their scanned levels are null, so that nothing is worked out for them and they give no rows. Same rows, no barrier or setting.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1677 -> 1148 s, shuffle 0.13 -> 0.09 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.04 GB, longest task 61 -> 26 s, most memory of a task 34 -> 34 MB; at 6 GB of input CPU 6260 -> 3567 s, shuffle 0.72 -> 0.52 GB, spill 0.00 -> 0.00 GB, read 0.52 -> 0.26 GB, longest task 285 -> 107 s, most memory of a task 34 -> 34 MB; with hot keys, at 1 GB of input CPU 1236 -> 816 s, shuffle 0.07 -> 0.05 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.02 GB, longest task 29 -> 18 s, most memory of a task 34 -> 34 MB.

@@ -101,10 +101,11 @@ def coefficient_bins(blocks: DataFrame, *by: str) -> DataFrame:
     """
     spark = blocks.sparkSession
     own = blocks.select(F.struct(*by).alias("__by"), "n", "mode", "luma", "level")  # whatever the names in by
-    x = own.where(F.exists("level", lambda v: v != 0)).withColumn("kind", scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
+    x = own.withColumn("kind", scan_kind(F.col("n"), F.col("mode"), F.col("luma")))
     x = x.join(F.broadcast(scan_contexts(spark)), ["n", "kind"])
     x = x.withColumn("contexts", F.when(F.col("luma"), F.col("luma_ctx")).otherwise(F.col("colour_ctx")))
-    x = x.withColumn("s", F.transform("scan", lambda p: F.get("level", p)))
+    # blocks without levels have none of what follows; a filter would go down to where levels are made, and make them twice
+    x = x.withColumn("s", F.when(F.exists("level", lambda v: v != 0), F.transform("scan", lambda p: F.get("level", p))))
     # of each level as scanned, the bin that says whether it isn't 0
     x = x.withColumn("bits", F.transform("s", lambda v: F.when(v != 0, "1").when(v == 0, "0")))
     x = x.withColumn("last", F.size("s") - F.array_position(F.reverse("bits"), "1").cast("int"))
